@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablepulse.llm.bpe import op9_bpe_pair_index
 from tablepulse.llm.simhash_pivots import op3_simhash_pivots
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_pivots,)}
+    return {f.__name__: f for f in (op3_simhash_pivots, op9_bpe_pair_index)}
 
 
 def oracle_sql() -> dict[str, str]:
