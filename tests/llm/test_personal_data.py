@@ -1,0 +1,100 @@
+import hashlib
+import itertools
+import random
+import re
+
+import pytest
+
+from tablepulse.llm import personal_data as P
+
+rng = random.Random(4)
+BITS = list("0123456789") * 3 + list("@.. -+()a%") + ["127.0.0.1", "x@y.zz", "é", "🎉", "+1 (555) 555-0100", "4111 1111 1111 1111", "4111-1111-1111-1112", "000", "\n"]
+TEXTS = [None, "", "@", "a@b", "a@b.c", "a@@b.c.d", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "1.2.3.256", "0001.002.3.4", "9" * 40, "+1-2", "+123456789", "+1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "++491701234567", "9" * 50000, "a" * 60000 + "@", "x." * 30000 + "@b.c"] + ["".join(rng.choice(BITS) for _ in range(rng.randrange(60))) for _ in range(1500)]
+
+
+def brute(text):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c in "0123456789"]
+        if 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d[::-1])) % 10 == 0:
+            out.append(("card", m.start(), m.end()))
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c in "0123456789" for c in m[0]) <= 15]
+
+
+def test_fixed_patterns():
+    for t in TEXTS:
+        if t and len(t) < 1000:
+            assert P.base_spans(t) == brute(t), t
+    for t in TEXTS[:18]:
+        if t:
+            P.find(t.encode(), P.trained())
+
+
+def test_rows(spark, docs_of, tmp_path):
+    few = [t for t in TEXTS if not t or len(t) < 1000][:200]
+    docs_of(list(enumerate(few)) + [(None, "a@b.c"), (4, few[4])], spans="clash").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = P.op10_personal_data(spark, str(tmp_path)).collect()
+    assert len(rows) == len(few) + 2
+    for r in rows:
+        text = (few[r.doc_id] if r.doc_id is not None else "a@b.c") or ""
+        want = brute(text)
+        shown = ",".join("%s:%d:%d" % s for s in want)
+        assert r.base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in want) for k in P.BASE_KINDS)
+        every = [tuple(s.split(":")) for s in r.spans.split(",") if s]
+        assert {tuple(map(str, s)) for s in want} <= set(every)
+        assert every == sorted(every, key=lambda s: (P.KINDS.index(s[0]), int(s[1]), int(s[2])))
+    assert P.spans(docs_of([])).count() == 0
+
+
+def labellings(choices):
+    for n in range(len(choices) + 1):
+        for some in itertools.combinations(choices, n):
+            some = sorted(some)
+            if all(a[1] <= b[0] for a, b in itertools.pairwise(some)):
+                yield some
+
+
+def value(some, weights):
+    return sum(c[3] for c in some) + sum(weights.get(f"{a}>{b[2]}", 0) for a, b in zip(["", *(c[2] for c in some)], some, strict=False))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_decoding_and_expectations_against_all_labellings(seed):
+    import math
+
+    r = random.Random(seed)
+    choices = []
+    for _ in range(r.randrange(1, 9)):
+        s = r.randrange(30)
+        k = r.choice("ab")
+        choices.append((s, s + r.randrange(1, 12), k, r.uniform(-2, 3), [f"{k}|f{r.randrange(3)}"]))
+    weights = {f"{a}>{b}": r.uniform(-1, 1) for a in ["", "a", "b"] for b in "ab"}
+    every = list(labellings(choices))
+    got = P.decode(choices, weights)
+    best = max(value(x, weights) for x in every)
+    assert any([(c[2], c[0], c[1]) for c in x] == got and abs(value(x, weights) - best) < 1e-9 for x in every)
+    total = sum(math.exp(value(x, weights)) for x in every)
+    want = {}
+    for x in every:
+        p = math.exp(value(x, weights)) / total
+        for a, c in zip(["", *(c[2] for c in x)], x, strict=False):
+            for n in [*c[4], f"{a}>{c[2]}"]:
+                want[n] = want.get(n, 0) + p
+    got = P.expected(choices, weights)
+    assert all(abs(got.get(n, 0) - v) < 1e-9 for n, v in want.items())
+
+
+def test_held_out_sentences():
+    weights, right, found, there = P.trained(), 0, 0, 0
+    for text, spans in P.sentences(300, seed=99):
+        base, added = P.find(text.encode(), weights)
+        right += len(set(spans) & set(added))
+        found += len(added)
+        there += len([s for s in spans if not any(b[1] < s[2] and b[2] > s[1] for b in base)])
+    assert right > 0.95 * there and right > 0.95 * found
+
+
+def test_mask():
+    assert P.mask("to a@b.c now 1.1.1.1", [("ip", 13, 20), ("email", 3, 8)]) == "to [email] now [ip]"
