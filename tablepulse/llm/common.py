@@ -11,11 +11,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker works on at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch, where the session has Spark's default.
+BATCH_BYTES, DEFAULT_BATCH = 8 << 20, "67108864b"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,20 +33,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_chunks(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[tuple[list, list[bytes]]]:
+def in_chunks(batches: Iterable[pa.RecordBatch], text: int = 1, size: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """Keys (column 0) and texts (a binary column; null: empty), a few megabytes at a time."""
     for batch in batches:
         keys, texts = batch.column(0).to_pylist(), batch.column(text)
-        sizes = np.cumsum(np.diff(np.asarray(texts.offsets if hasattr(texts, "offsets") else [0] * (len(keys) + 1), dtype=np.int64)))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(keys):
             start = int(sizes[at - 1]) if at else 0
-            upto = max(at + 1, int(np.searchsorted(sizes, start + CHUNK_BYTES, side="right")))
+            upto = max(at + 1, int(np.searchsorted(sizes, start + size, side="right")))
             yield keys[at:upto], [x or b"" for x in texts.slice(at, upto - at).to_pylist()]
             at = upto
 
 
-def map_texts(docs: DataFrame, function: Callable[[list, list[bytes]], dict[str, list]], schema: str, *more: Column) -> DataFrame:
+def text_rows(docs: DataFrame) -> DataFrame:
+    """doc_id and the text's UTF-8 bytes, sent to Python in batches of BATCH_BYTES at most, so that long texts don't pile up."""
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == DEFAULT_BATCH:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+
+def map_texts(docs: DataFrame, function: Callable[[list, list[bytes]], dict[str, list]], schema: str) -> DataFrame:
     """function gets doc_ids and UTF-8 texts (null: empty) and gives columns of schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -55,7 +66,23 @@ def map_texts(docs: DataFrame, function: Callable[[list, list[bytes]], dict[str,
             out = function(keys, texts)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more).mapInArrow(run, schema)
+    return text_rows(docs).mapInArrow(run, schema)
+
+
+def filter_texts(docs: DataFrame, keep: Callable[[list[bytes]], list[bool]]) -> DataFrame:
+    """The rows of docs, with all their columns, whose text keep is true of; nothing is shuffled."""
+    text_rows(docs.limit(0))  # sets the batch size
+    name, schema = "text", docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(name)).cast(pa.binary())
+            mask: list[bool] = []
+            for _, some in in_chunks([pa.RecordBatch.from_arrays([texts, texts], names=["key", "text"])]):
+                mask += keep(some)
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
 
 
 class Forest:

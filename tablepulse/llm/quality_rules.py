@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepulse.llm.common import in_chunks, map_texts, table
-from tablepulse.llm.tokens import Words, sums
+from tablepulse.llm.common import in_chunks, map_texts, table, text_rows
+from tablepulse.llm.tokens import Words, shared_words, sums
 
 BUCKETS, PRIOR, THRESHOLD = 1 << 16, 20.0, -0.05
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEAT_PERCENT = 10, 5, 20
@@ -82,15 +82,14 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
     """(bucket, n): n-grams of all rows of docs by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = Words(), np.zeros(BUCKETS, np.int64)
+        words, total = shared_words(), np.zeros(BUCKETS, np.int64)
         for _, texts in in_chunks(batches):
             single, pair = buckets(*_parts(words, texts))
             total += np.bincount(single, minlength=BUCKETS) + np.bincount(pair[pair >= 0], minlength=BUCKETS)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["bucket", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return text_rows(docs).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def _parts(words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +124,7 @@ def apply(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) ->
     sent = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float64))
 
     def run(keys: list, texts: list[bytes]) -> dict[str, list]:
-        words = _worker()
+        words = shared_words()
         numbers, counts = words.read(texts)
         parts, part_counts = words.part_hashes(numbers, counts)
         single, pair = buckets(parts, part_counts)
@@ -150,15 +149,6 @@ def apply(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) ->
     return map_texts(docs, run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")
 
 
-_WORDS: list[Words] = []
-
-
-def _worker() -> Words:
-    if not _WORDS:
-        _WORDS.append(Words())
-    return _WORDS[0]
-
-
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1").select("doc_id")
 

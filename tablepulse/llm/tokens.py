@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
 
-#: Distinct words that a worker keeps before it starts its table anew.
-TABLE_LIMIT = 400_000
+#: Distinct words that a worker may know at once, and those, the first it met, that it keeps when there are more.
+TABLE_LIMIT, TABLE_KEPT = 240_000, 160_000
 #: Runs of letters and digits (anything beyond ASCII counts as a letter), and runs of other characters.
 PARTS = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff]+").findall
 SYMBOLS = b"#*$%&|<>"
@@ -39,6 +40,9 @@ class Growing:
         self.data[self.size : need] = values
         self.size = need
 
+    def cut(self, size: int) -> None:
+        self.data, self.size = self.data[:size].copy(), size
+
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... for each of the ranges, one after another."""
@@ -50,17 +54,23 @@ class Words:
     """Numbers of a chunk's words. A word's parts are hashed with CRC-32."""
 
     def __init__(self) -> None:
-        self.reset()
-
-    def reset(self) -> None:
         self.numbers = Numbers()
         self.chars, self.symbols = Growing(np.int32), Growing(np.int32)
         self.part_start, self.part_count, self.parts = Growing(np.int64), Growing(np.int32), Growing(np.uint32)
 
+    def trim(self) -> None:
+        """Only what was met first is kept: frequent words are among it."""
+        kept = Numbers()
+        kept.update(islice(self.numbers.items(), TABLE_KEPT))
+        self.numbers = kept
+        for facts in (self.chars, self.symbols, self.part_start, self.part_count):
+            facts.cut(len(kept))
+        self.parts.cut(int(self.part_start.data[-1] + self.part_count.data[-1]))
+
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(word numbers of all texts, number of words of each)."""
         if len(self.numbers) > TABLE_LIMIT:
-            self.reset()
+            self.trim()
         number = self.numbers.__getitem__
         found = [text.split() for text in texts]
         counts = np.fromiter(map(len, found), np.int64, len(found))
@@ -96,3 +106,13 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     upto = np.concatenate([[0], np.cumsum(values)])
     bounds = np.concatenate([[0], np.cumsum(counts)])
     return upto[bounds[1:]] - upto[bounds[:-1]]
+
+
+_WORDS: list[Words] = []
+
+
+def shared_words() -> Words:
+    """The one table of this Python worker, kept from task to task."""
+    if not _WORDS:
+        _WORDS.append(Words())
+    return _WORDS[0]

@@ -5,6 +5,7 @@ from zlib import crc32
 import numpy as np
 
 from tablepulse.llm import quality_rules as Q
+from tablepulse.llm import tokens
 
 rng = random.Random(1)
 VOCAB = ["the", "of", "thand", "érst", "on,", "in.", "a", "ndre***", "x|", "$$$", "<b>"]
@@ -51,6 +52,17 @@ def test_against_brute_force(spark, docs_of):
         assert r.kept == (not r.base_failed and r.score >= -0.05)
 
 
+def test_tables_are_trimmed(monkeypatch):
+    monkeypatch.setattr(tokens, "TABLE_LIMIT", 5)
+    monkeypatch.setattr(tokens, "TABLE_KEPT", 3)
+    few, many = tokens.Words(), [str(i).encode() * 2 + b"* x" + str(i % 7).encode() for i in range(50)]
+    for text in many:
+        numbers, counts = few.read([text, b"", text])
+        parts, part_counts = few.part_hashes(numbers, counts)
+        assert part_counts.tolist() == [len(grams(text.decode())) // 2 + 1, 0, len(grams(text.decode())) // 2 + 1]
+        assert Q.buckets(parts, part_counts)[0].tolist() == 2 * grams(text.decode())[: part_counts[0]]
+
+
 def test_empty_and_repeated(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert Q.apply(docs_of([]), Q.fit(docs_of([]), none)).count() == 0
