@@ -16,7 +16,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 from unicodedata import normalize
 
 import numpy as np
@@ -26,9 +26,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepulse.llm.common import in_chunks, table
+from tablepulse.llm.common import in_chunks, table, text_rows
 
-TABLE_LIMIT = 300_000
+#: Pieces of text that a worker may know at once, and those, the first it met, that it keeps when there are more.
+TABLE_LIMIT, TABLE_KEPT = 300_000, 200_000
 
 
 def printable_bytes() -> list[str]:
@@ -70,16 +71,22 @@ class Codec:
             pair = vocab[a] << 20 | vocab[b]
             self.pair_of.append(pair)
             self.merges.setdefault(pair, (rank, vocab[a + b]))
-        self.tokens = [""] * (max(chain(vocab.values(), self.special.values())) + 1)
+        self.tokens = np.full(max(chain(vocab.values(), self.special.values())) + 1, "", dtype=object)
         for token, i in chain(vocab.items(), self.special.items()):
             self.tokens[i] = token
-        self.reset()
-
-    def reset(self) -> None:
         self.table = WordTable()
         self.words: dict[str, list[int]] = {}
         self.starts, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
+    def trim(self) -> None:
+        """Only what was met first is kept: frequent words are among it."""
+        kept = WordTable()
+        kept.update(islice(self.table.items(), TABLE_KEPT))
+        self.table = kept
+        self.words = dict(islice(self.words.items(), TABLE_KEPT))
+        self.starts, self.counts = self.starts[:TABLE_KEPT].copy(), self.counts[:TABLE_KEPT].copy()
+        self.flat = self.flat[: int(self.starts[-1] + self.counts[-1])].copy()
+
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, by the pair occurrence index."""
         if not words:
@@ -169,7 +176,7 @@ class Codec:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin (and the last's end)."""
         if len(self.table) > TABLE_LIMIT:
-            self.reset()
+            self.trim()
         number, numbers, lengths, specials = self.table.__getitem__, [], [], {}
         for k, text in enumerate(texts):
             if b"<|" in text and self.special_pattern.search(decoded := text.decode()):
@@ -202,9 +209,9 @@ class Codec:
         bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         return flat, np.concatenate([[0], ends])[bounds]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """Without a decoder in the file, tokens are joined by a space; special ones are kept."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+        return " ".join(self.tokens[ids].tolist()) if len(ids) else ""
 
 
 @lru_cache(maxsize=2)
@@ -220,13 +227,11 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         own = codec(path)
         for keys, texts in in_chunks(batches):
             flat, bounds = own.encode(texts)
-            every = flat.tolist()
-            decoded = [own.decode(every[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            decoded = [own.decode(flat[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists, pa.array(decoded, pa.string())], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return text_rows(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

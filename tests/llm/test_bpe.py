@@ -35,6 +35,7 @@ def test_random(text):
 
 def test_tables_start_anew(monkeypatch):
     monkeypatch.setattr(bpe, "TABLE_LIMIT", 3)
+    monkeypatch.setattr(bpe, "TABLE_KEPT", 2)
     for text in [*HARD, *HARD]:
         same(text)
 
