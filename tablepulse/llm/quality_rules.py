@@ -21,6 +21,8 @@ from tablepulse.llm.common import in_chunks, map_texts, table, text_rows
 from tablepulse.llm.tokens import Words, shared_words, sums
 
 BUCKETS, PRIOR, THRESHOLD = 1 << 16, 20.0, -0.05
+#: Trusted ids (16 to 24 bytes each) that are broadcast at most.
+BROADCAST_LIMIT = 1_000_000
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEAT_PERCENT = 10, 5, 20
 
 
@@ -79,17 +81,21 @@ def duplicate_lines(text: bytes) -> int:
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(bucket, n): n-grams of all rows of docs by bucket."""
+    """(bucket, raw, target): n-grams of all rows of docs, and of those that are trusted, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = shared_words(), np.zeros(BUCKETS, np.int64)
-        for _, texts in in_chunks(batches):
-            single, pair = buckets(*_parts(words, texts))
-            total += np.bincount(single, minlength=BUCKETS) + np.bincount(pair[pair >= 0], minlength=BUCKETS)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["bucket", "n"])
+        words, total = shared_words(), np.zeros((2, BUCKETS), np.int64)
+        for trusted, texts in in_chunks(batches):
+            parts, counts = _parts(words, texts)
+            single, pair = buckets(parts, counts)
+            in_target = np.repeat(np.array(trusted, dtype=bool), counts)
+            for which, mask in ((0, slice(None)), (1, in_target)):
+                total[which] += np.bincount(single[mask], minlength=BUCKETS) + np.bincount(pair[mask][pair[mask] >= 0], minlength=BUCKETS)
+        found = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array(t[found], pa.int64()) for t in total)], names=["bucket", "raw", "target"])
 
-    return text_rows(docs).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = text_rows(docs.select(F.col("trusted").cast("long").alias("doc_id"), "text"))
+    return rows.mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def _parts(words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,15 +111,14 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR) -> np.
 
 def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """Log ratios by bucket. trusted: doc_ids of the target; further columns and repeated ids don't matter."""
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    target = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    out = []
-    for rows in (docs, target):
-        total = np.zeros(BUCKETS)
-        for r in ngram_counts(rows).collect():  # BUCKETS rows at most
-            total[r.bucket] = r.n
-        out.append(total)
-    return log_ratios(*out)
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted")).where("doc_id is not null").distinct()
+    if ids.count() <= BROADCAST_LIMIT:  # else Spark's own choice, which may shuffle the texts
+        ids = F.broadcast(ids)
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left")
+    total = np.zeros((2, BUCKETS))
+    for r in ngram_counts(marked.select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")).collect():  # BUCKETS rows at most
+        total[:, r.bucket] = r.raw, r.target
+    return log_ratios(*total)
 
 
 def apply(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 from zlib import crc32
 
 import numpy as np
+import pytest
 
 from tablepulse.llm import quality_rules as Q
 from tablepulse.llm import tokens
@@ -33,7 +34,9 @@ def grams(text):
     return [p % Q.BUCKETS for p in parts] + [((a * 0x9E3779B97F4A7C15 & m) ^ (b * 0xC2B2AE3D27D4EB4F & m)) >> 48 for a, b in zip(parts, parts[1:], strict=False)]
 
 
-def test_against_brute_force(spark, docs_of):
+@pytest.mark.parametrize("limit", [Q.BROADCAST_LIMIT, 0])
+def test_against_brute_force(spark, docs_of, monkeypatch, limit):
+    monkeypatch.setattr(Q, "BROADCAST_LIMIT", limit)
     docs = docs_of(list(enumerate(TEXTS)), score=1, kept="clash", bucket=2)
     trusted = {i for i in range(len(TEXTS)) if i % 3}
     labels = spark.createDataFrame([(i, int(i in trusted), 0) for i in range(len(TEXTS))] * 2 + [(None, 1, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
