@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablepulse.llm.bpe import op9_bpe_pair_index
+from tablepulse.llm.classifier import op7_quality_classifier
 from tablepulse.llm.decontamination import op1_decontamination
 from tablepulse.llm.licenses import op6_license_scan
 from tablepulse.llm.line_dedup import OP4_SQL, op4_line_dedup
@@ -16,7 +17,7 @@ from tablepulse.llm.simhash_pivots import op3_simhash_pivots
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_simhash_pivots, op4_line_dedup, op5_quality_rules, op6_license_scan, op9_bpe_pair_index, op10_personal_data)}
+    return {f.__name__: f for f in (op1_decontamination, op3_simhash_pivots, op4_line_dedup, op5_quality_rules, op6_license_scan, op7_quality_classifier, op9_bpe_pair_index, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
