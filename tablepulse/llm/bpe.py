@@ -234,10 +234,11 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     return text_rows(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     return encode_decode(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
+        *(["ids"] if with_ids else []),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -7,6 +7,7 @@ columns of the input, whatever they are called, neither clash nor travel through
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -21,14 +22,36 @@ CHUNK_BYTES = 1 << 20
 BATCH_BYTES, DEFAULT_BATCH = 8 << 20, "67108864b"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's, or one of our own where none is set, as in tests."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder, so that a lost executor costs no recomputation of what came before."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Relay:
+    """Hands a frame on as a Parquet table in the shared folder; the table before it is removed."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.base, self.last, self.n = spark, f"{shared_dir(spark)}/relay-{uuid.uuid4()}", None, 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path, self.n = f"{self.base}/{self.n}", self.n + 1
+        df.write.parquet(path)
+        if self.last:
+            gone = self.spark._jvm.org.apache.hadoop.fs.Path(self.last)
+            gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+        self.last = path
+        return self.spark.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

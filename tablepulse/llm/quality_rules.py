@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepulse.llm.common import in_chunks, map_texts, table, text_rows
+from tablepulse.llm.common import filter_texts, in_chunks, map_texts, table, text_rows
 from tablepulse.llm.tokens import Words, shared_words, sums
 
 BUCKETS, PRIOR, THRESHOLD = 1 << 16, 20.0, -0.05
@@ -121,6 +121,29 @@ def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     return log_ratios(*total)
 
 
+def judge(texts: list[bytes], ratio: np.ndarray, threshold: float = THRESHOLD) -> dict[str, np.ndarray | list]:
+    """The facts, score and verdict of each text."""
+    words = shared_words()
+    numbers, counts = words.read(texts)
+    parts, part_counts = words.part_hashes(numbers, counts)
+    single, pair = buckets(parts, part_counts)
+    gained = ratio[single] + np.where(pair >= 0, ratio[pair], 0.0)
+    grams = np.maximum(2 * part_counts - 1, 1)
+    score = np.add.reduceat(np.append(gained, 0.0), np.cumsum(part_counts) - part_counts) * (part_counts > 0) / grams
+    repeat = repeated_words(numbers, counts)
+    failed = (counts < LEAST_WORDS) | (100 * repeat > MOST_REPEAT_PERCENT * counts)
+    return {
+        "n_words": counts,
+        "word_chars": sums(words.chars.data[numbers].astype(np.int64), counts),
+        "n_symbols": sums(words.symbols.data[numbers].astype(np.int64), counts),
+        "n_dup_lines": list(map(duplicate_lines, texts)),
+        "n_repeat_words": repeat,
+        "base_failed": failed,
+        "score": score,
+        "kept": ~failed & (score >= threshold),
+    }
+
+
 def apply(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
@@ -129,31 +152,17 @@ def apply(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) ->
     sent = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float64))
 
     def run(keys: list, texts: list[bytes]) -> dict[str, list]:
-        words = shared_words()
-        numbers, counts = words.read(texts)
-        parts, part_counts = words.part_hashes(numbers, counts)
-        single, pair = buckets(parts, part_counts)
-        ratio = sent.value
-        gained = ratio[single] + np.where(pair >= 0, ratio[pair], 0.0)
-        grams = np.maximum(2 * part_counts - 1, 1)
-        score = np.add.reduceat(np.append(gained, 0.0), np.cumsum(part_counts) - part_counts) * (part_counts > 0) / grams
-        repeat = repeated_words(numbers, counts)
-        failed = (counts < LEAST_WORDS) | (100 * repeat > MOST_REPEAT_PERCENT * counts)
-        return {
-            "doc_id": keys,
-            "n_words": counts,
-            "word_chars": sums(words.chars.data[numbers].astype(np.int64), counts),
-            "n_symbols": sums(words.symbols.data[numbers].astype(np.int64), counts),
-            "n_dup_lines": list(map(duplicate_lines, texts)),
-            "n_repeat_words": repeat,
-            "base_failed": failed,
-            "score": score,
-            "kept": ~failed & (score >= threshold),
-        }
+        return {"doc_id": keys, **judge(texts, sent.value, threshold)}
 
     return map_texts(docs, run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")
 
 
+def reject(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that aren't kept; all columns stay as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float64))
+    return filter_texts(docs, lambda texts: judge(texts, sent.value, threshold)["kept"].tolist())
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1").select("doc_id")
 
