@@ -53,7 +53,7 @@ def test_large_groups_are_dealt_again(spark):
     frame = spark.createDataFrame([(S.signed(x),) for x in values], "fp long")
     for limit in (4096, 16):
         got = defaultdict(set)
-        for r in S.components(S.links(frame, limit)).collect():
+        for r in S.components(S.links(frame, group_limit=limit)).collect():
             got[r.component] |= {r.node, r.component}
         want = brute_components({S.signed(x): x for x in values})
         groups = defaultdict(set)
