@@ -15,7 +15,6 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain, islice
 from unicodedata import normalize
 
@@ -26,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepulse.llm.common import in_chunks, table, text_rows
+from tablepulse.llm.common import in_chunks, table, text_rows, worker_state
 
 #: Pieces of text that a worker may know at once, and those, the first it met, that it keeps when there are more.
-TABLE_LIMIT, TABLE_KEPT = 300_000, 200_000
+TABLE_LIMIT, TABLE_KEPT = 240_000, 160_000
 
 
 def printable_bytes() -> list[str]:
@@ -214,9 +213,8 @@ class Codec:
         return " ".join(self.tokens[ids].tolist()) if len(ids) else ""
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return worker_state(("codec", path), lambda: Codec(path))
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:

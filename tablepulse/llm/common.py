@@ -6,9 +6,12 @@ columns of the input, whatever they are called, neither clash nor travel through
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +111,24 @@ def filter_texts(docs: DataFrame, keep: Callable[[list[bytes]], list[bool]]) ->
     return docs.mapInArrow(run, schema)
 
 
+_STATE: dict = {}
+
+
+def worker_state(name: Hashable, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task; of one operator only, so that a pipeline's tables don't pile up.
+
+    When another operator's turn has come, what the last one held goes back to the system."""
+    if name not in _STATE:
+        if _STATE:
+            _STATE.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library keeps it for later use
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _STATE[name] = make()
+    return _STATE[name]
+
+
 class Forest:
     """Union-find with the smallest member as root."""
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepulse.llm.common import filter_texts, map_texts, table
+from tablepulse.llm.common import filter_texts, map_texts, table, worker_state
 from tablepulse.llm.tokens import Growing, Words, ragged
 
 SHINGLE, MIN_SIMILARITY, RADIUS, LEAST_WORDS, ITEM_BLOCK = 5, 0.8, 3, 8, 20_000
@@ -187,15 +187,11 @@ class PlainHashes(Words):
         self.hashes.add([hashed(plain(w)) for w in fresh])
 
 
-_TABLES: list[PlainHashes] = []
-
-
 def leaks(texts: list[bytes], items: Items) -> list[tuple[int, int, float, int, int]]:
     """(text, item, similarity, first word, differing bits) for each text and item of it, at its most similar place."""
-    if not _TABLES:
-        _TABLES.append(PlainHashes())
-    numbers, counts = _TABLES[0].read(texts)
-    hashes = _TABLES[0].hashes.data[numbers]
+    known = worker_state("plain hashes", PlainHashes)
+    numbers, counts = known.read(texts)
+    hashes = known.hashes.data[numbers]
     counted = hashes != 0
     text = np.repeat(np.arange(len(texts)), counts)[counted]
     hashes = hashes[counted]

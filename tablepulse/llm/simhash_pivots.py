@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepulse.llm.common import Forest, components, cut, map_texts, table
+from tablepulse.llm.common import Forest, components, cut, map_texts, table, worker_state
 
 SHINGLE, RADIUS, GROUP_LIMIT = 3, 3, 4096
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -57,6 +57,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint long, n_shingles) of every document; a null or blank text has fingerprint zero."""
 
     def run(keys: list, texts: list[bytes]) -> dict[str, list]:
+        worker_state("fingerprints", dict)  # none, but what another operator has left goes
         found = [fingerprint(x) for x in texts]
         return {"doc_id": keys, "fp": [x[0] for x in found], "n_shingles": [x[1] for x in found]}
 

@@ -8,6 +8,8 @@ from zlib import crc32
 
 import numpy as np
 
+from tablepulse.llm.common import worker_state
+
 #: Distinct words that a worker may know at once, and those, the first it met, that it keeps when there are more.
 TABLE_LIMIT, TABLE_KEPT = 240_000, 160_000
 #: Runs of letters and digits (anything beyond ASCII counts as a letter), and runs of other characters.
@@ -108,11 +110,6 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return upto[bounds[1:]] - upto[bounds[:-1]]
 
 
-_WORDS: list[Words] = []
-
-
 def shared_words() -> Words:
     """The one table of this Python worker, kept from task to task."""
-    if not _WORDS:
-        _WORDS.append(Words())
-    return _WORDS[0]
+    return worker_state("words", Words)
