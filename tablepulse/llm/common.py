@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker works on at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Rows of a checkpoint file, where their number is known.
+FILE_ROWS = 50_000
 #: Bytes of an Arrow batch, where the session has Spark's default.
 BATCH_BYTES, DEFAULT_BATCH = 8 << 20, "67108864b"
 
@@ -33,10 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder, so that a lost executor costs no recomputation of what came before."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, written to the shared checkpoint folder, so that a lost executor costs no recomputation of what came before.
+
+    rows: about how many there are at most; then no more files are written than hold FILE_ROWS each."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).checkpoint(eager=True)
 
 
 class Relay:
@@ -165,13 +169,13 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + 100_000], pa.int64()), pa.array(roots[at : at + 100_000], pa.int64())], names=["a", "b"])
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, nodes: int | None = None, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b), for every node but those smallest ones themselves.
 
     Large-star and small-star steps alternate until nothing changes. Each partition first ties its own links
     together, which shortens chains. No step holds the links of a node in one place: minima are pre-aggregated and
-    joins on a frequent node can be split. Each round ends in a checkpoint."""
-    stars = cut(links.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long").distinct())
+    joins on a frequent node can be split. Each round ends in a checkpoint. nodes: how many there are at most."""
+    stars = cut(links.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long").distinct(), nodes)
     seen = None
     for _ in range(rounds):
         # large star: larger neighbours of a node are hung on the smallest one in its neighbourhood
@@ -181,7 +185,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: smaller neighbours and the node itself are hung on the smallest one
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
-        stars = cut(small.mapInArrow(_contract, "a long, b long").distinct())
+        stars = cut(small.mapInArrow(_contract, "a long, b long").distinct(), nodes if seen is None else seen[0])
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             break

@@ -31,17 +31,18 @@ def doc_key(text: Column) -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(text).alias("t")]
 
 
-def ordered_ranks(keys: DataFrame, *by: str) -> DataFrame:
-    """keys, all different, with a number r that grows with their order."""
-    return cut(keys.orderBy(*by).withColumn("r", F.monotonically_increasing_id()))
+def ordered_ranks(keys: DataFrame, rows: int, *by: str) -> DataFrame:
+    """keys, all different and rows at most, with a number r that grows with their order."""
+    return cut(keys.orderBy(*by).withColumn("r", F.monotonically_increasing_id()), rows)
 
 
 def repeated_positions(docs: DataFrame) -> DataFrame:
     """(d, t, pos, words, r): lines that occur twice or more anywhere, with rank 0."""
     lines = docs.where("text is not null").select(*doc_key(F.col("text")), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = cut(lines.select(*DOC, "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))
-    often = cut(lines.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"))
-    return cut(lines.join(ordered_ranks(often, "h1", "h2"), ["h1", "h2"]).select(*DOC, "pos", "words", "r").distinct())
+    n = lines.count()
+    often = lines.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    return cut(lines.join(ordered_ranks(often, n // 2, "h1", "h2"), ["h1", "h2"]).select(*DOC, "pos", "words", "r").distinct(), n)
 
 
 def shortest_runs(positions: DataFrame, min_words: int) -> DataFrame:
@@ -65,8 +66,9 @@ def shortest_runs(positions: DataFrame, min_words: int) -> DataFrame:
 
 def later_copies(positions: DataFrame, min_words: int) -> DataFrame:
     """(d, t, s, e): shortest runs that are later copies, as lines s to e (exclusive)."""
-    runs = cut(shortest_runs(positions, min_words).withColumn("k", F.floor(F.log2(F.col("n") + F.lit(0.5))).cast("int")))
-    deepest = runs.agg(F.max("k")).first()[0]
+    n = positions.count()
+    runs = cut(shortest_runs(positions, min_words).withColumn("k", F.floor(F.log2(F.col("n") + F.lit(0.5))).cast("int")), 2 * n)
+    deepest, n_runs = runs.agg(F.max("k"), F.count("*")).first()
     rank, named = positions.select(*DOC, "pos", "r"), []
     for k in range(0 if deepest is None else deepest + 1):
         here = runs.where(F.col("k") == k)
@@ -75,17 +77,19 @@ def later_copies(positions: DataFrame, min_words: int) -> DataFrame:
         named.append(here.join(first, [*DOC, "s"]).withColumn("tail", F.col("s") + F.col("n") - (1 << k)).join(tail, [*DOC, "tail"]).select(*DOC, "s", "n", "r1", "r2"))
         if k < deepest:
             further = rank.select(*DOC, (F.col("pos") - (1 << k)).alias("pos"), F.col("r").alias("r2"))
-            pairs = cut(rank.withColumnRenamed("r", "r1").join(further, [*DOC, "pos"]))
-            often = cut(pairs.groupBy("r1", "r2").count().where("count > 1").select("r1", "r2"))
-            rank = cut(pairs.join(ordered_ranks(often, "r1", "r2"), ["r1", "r2"]).select(*DOC, "pos", "r"))
+            pairs = cut(rank.withColumnRenamed("r", "r1").join(further, [*DOC, "pos"]), n)
+            n = pairs.count()
+            often = pairs.groupBy("r1", "r2").count().where("count > 1").select("r1", "r2")
+            rank = cut(pairs.join(ordered_ranks(often, n // 2, "r1", "r2"), ["r1", "r2"]).select(*DOC, "pos", "r"), n)
     if not named:
         return runs.select(*DOC, "s", F.col("n").alias("e"))
     intervals = named[0]
     for more in named[1:]:
         intervals = intervals.unionByName(more)
-    intervals = cut(intervals)
+    intervals = cut(intervals, n_runs)
     place = F.struct("d", "t", "s")
-    earliest = intervals.groupBy("n", "r1", "r2").agg(F.min(place).alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    # written out, so that both sides of the join are dealt anew and a frequent passage's rows can be split
+    earliest = cut(intervals.groupBy("n", "r1", "r2").agg(F.min(place).alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), n_runs // 2)
     later = (F.col("d") != F.col("least.d")) | (F.col("t") != F.col("least.t")) | (F.col("s") >= F.col("least.s") + F.col("n"))
     return intervals.join(earliest, ["n", "r1", "r2"]).where(later).select(*DOC, "s", (F.col("s") + F.col("n")).alias("e"))
 
