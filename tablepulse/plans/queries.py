@@ -503,3 +503,13 @@ for _t, _c, _number in (("labels_left", "toxic", True), ("orders", "o_totalprice
     query(f"target_analysis_{_c}", _target_sql(_t, _c, _number))(lambda s, d, t=_t, c=_c: _target(s, d, t, c))
 query("insights_ranked")(lambda s, d: s.createDataFrame([(k, x.insight_id, x.family, x.importance, x.message) for k, x in enumerate(analysis(s, d, "messy").insights, 1)], "rank int, insight_id string, family string, importance int, message string"))
 query("type_histogram")(lambda s, d: facts.type_histogram(types_frame(analysis(s, d, "messy").table, list(analysis(s, d, "messy").profile.types))))
+
+
+def _charts(spark: SparkSession, sf: str) -> DataFrame:
+    from tablepulse.operators.charts import marks_frame, overview, report_charts
+
+    a = analysis(spark, sf, "messy")
+    return marks_frame(a, report_charts(a) + overview(a))
+
+
+query("chart_marks")(_charts)
