@@ -7,57 +7,60 @@ from pyspark.sql import functions as F
 
 from tablepulse.functions.dates import iso_text, native_micros, read_text
 from tablepulse.functions.text import WHITESPACE, display, normalized
-from tablepulse.operators.facts import percent, value_counts
+from tablepulse.operators.facts import percent, union, value_counts
 from tablepulse.operators.frame import Table
 
 
-def frequencies(df: DataFrame | Table, name: str, k: int | None = 10, display_length: int = 200) -> DataFrame:
-    """(rank, value, n, percentage, truncated, original_length, fingerprint): values by frequency, then value; the k first."""
-    table = Table.of(df)
-    counts = value_counts(table, table.position(name)).where("value is not null")
-    total = counts.agg(F.sum("n").alias("total"))
-    ordered = counts.select("value", "n", display(F.col("value").cast("string"), display_length).alias("shown")).orderBy(F.desc("n"), "value")
-    top = (ordered.limit(k) if k else ordered).crossJoin(F.broadcast(total))  # one row
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "v"))
-    chosen = top.select(F.col("value").alias("v"), "n", "total", "shown.*")
-    ranked = chosen.withColumn("rank", rank) if k else chosen.withColumn("rank", F.lit(None).cast("int"))
-    return ranked.select("rank", "value", "n", percent(F.col("n"), F.col("total")).alias("percentage"), "truncated", "original_length", "fingerprint")
+def stacked_counts(table: Table, names: list[str]) -> DataFrame:
+    """(column_name, value, n): how often each value of each column stands, values as text, missing ones left out."""
+    return union([value_counts(table, table.position(c)).where("value is not null").select(F.lit(c).alias("column_name"), F.col("value").cast("string").alias("value"), "n") for c in names])
 
 
-def category_summary(df: DataFrame | Table, names: list[str], k: int = 10) -> DataFrame:
-    """(column_name, non_null_count, category_count, mode, mode_count, top_category_share, other_value_count, entropy_bits,
-    high_cardinality) per column."""
-    from tablepulse.operators.facts import union
+def _ranked(counts: DataFrame, k: int) -> DataFrame:
+    """The k most frequent values of each column, ties by text; Spark keeps no more than k rows of a column in a task."""
+    order = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def top_values(df: DataFrame | Table, names: list[str], k: int = 10, display_length: int = 200) -> DataFrame:
+    """(column_name, rank, value, n, percentage, truncated, original_length, fingerprint) of the k most frequent values of each column."""
+    counts = stacked_counts(Table.of(df), names)
+    totals = counts.groupBy("column_name").agg(F.sum("n").alias("total"))
+    shown = _ranked(counts, k).join(F.broadcast(totals), "column_name").withColumn("shown", display(F.col("value"), display_length))  # one row a column
+    return shown.select("column_name", "rank", F.col("shown.value").alias("value"), "n", percent(F.col("n"), F.col("total")).alias("percentage"), "shown.truncated", "shown.original_length", "shown.fingerprint")
 
-    table = Table.of(df)
-    frames = []
-    for name in names:
-        counts = value_counts(table, table.position(name)).where("value is not null")
-        top = counts.orderBy(F.desc("n"), "value").limit(k).agg(F.sum("n").alias("top"), F.max_by("value", F.struct("n", F.lit(0))).alias("_"))
-        mode = counts.orderBy(F.desc("n"), "value").limit(1).select(F.col("value").cast("string").alias("mode"), F.col("n").alias("mode_count"))
-        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("non_null_count"), F.count("*").alias("category_count"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-        joined = total.join(F.broadcast(mode), F.lit(True), "left").join(F.broadcast(top.select("top")), F.lit(True), "left")  # rows of one
-        n = F.col("non_null_count")
-        frames.append(
-            joined.select(
-                F.lit(name).alias("column_name"), "non_null_count", "category_count", "mode", "mode_count", F.when(n > 0, percent(F.col("mode_count"), n)).alias("top_category_share"),
-                (n - F.coalesce("top", F.lit(0))).alias("other_value_count"), F.when(n > 0, F.greatest(F.log2(n) - F.col("s") / n, F.lit(0.0))).alias("entropy_bits"),
-                (F.col("category_count") > F.greatest(F.lit(20), F.floor(n * 0.5))).alias("high_cardinality"),
-            )
-        )
-    return union(frames)
 
+def frequencies(df: DataFrame | Table, name: str, k: int = 10, display_length: int = 200) -> DataFrame:
+    """(rank, value, n, percentage, truncated, original_length, fingerprint): the k most frequent values of a column."""
+    return top_values(df, [name], k, display_length).drop("column_name")
 
-def collisions(df: DataFrame | Table, name: str) -> DataFrame:
-    """One row: non_null_count, collision_groups and affected_rows, of values that differ but are alike once trimmed and case-folded.
+
+def category_summary(df: DataFrame | Table, names: list[str], k: int = 10) -> DataFrame:
+    """(column_name, non_null_count, category_count, mode, mode_count, top_category_share, other_value_count, entropy_bits,
+    high_cardinality) per column, all in one job."""
+    counts = stacked_counts(Table.of(df), names)
+    total = counts.groupBy("column_name").agg(F.sum("n").alias("non_null_count"), F.count("*").alias("category_count"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    top = _ranked(counts, k).groupBy("column_name").agg(F.sum("n").alias("top"), F.max(F.when(F.col("rank") == 1, F.col("value"))).alias("mode"), F.max("n").alias("mode_count"))
+    every = total.sparkSession.createDataFrame([(c,) for c in names], "column_name string")
+    joined = every.join(F.broadcast(total), "column_name", "left").join(F.broadcast(top), "column_name", "left")  # one row a column
+    n = F.coalesce("non_null_count", F.lit(0))
+    return joined.select(
+        "column_name", n.alias("non_null_count"), F.coalesce("category_count", F.lit(0)).alias("category_count"), "mode", "mode_count", F.when(n > 0, percent(F.col("mode_count"), n)).alias("top_category_share"),
+        (n - F.coalesce("top", F.lit(0))).alias("other_value_count"), F.when(n > 0, F.greatest(F.log2(n) - F.col("s") / n, F.lit(0.0))).alias("entropy_bits"),
+        (F.coalesce("category_count", F.lit(0)) > F.greatest(F.lit(20), F.floor(n * 0.5))).alias("high_cardinality"),
+    )
+
+
+def collisions(df: DataFrame | Table, *names: str) -> DataFrame:
+    """(column_name, non_null_count, collision_groups, affected_rows), of values that differ but are alike once trimmed and case-folded.
 
     Python folds the case of distinct values only."""
-    table = Table.of(df)
-    i = table.position(name)
-    counts = value_counts(table, i).where("value is not null").withColumn("folded", normalized(F.col("value").cast("string")))
-    groups = counts.groupBy("folded").agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
+    counts = stacked_counts(Table.of(df), list(names)).withColumn("folded", normalized(F.col("value")))
+    groups = counts.groupBy("column_name", "folded").agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
     several = F.col("forms") > 1
-    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("non_null_count"), F.count_if(several).alias("collision_groups"), F.coalesce(F.sum(F.when(several, F.col("n"))), F.lit(0)).alias("affected_rows"))
+    found = groups.groupBy("column_name").agg(F.sum("n").alias("non_null_count"), F.count_if(several).alias("collision_groups"), F.coalesce(F.sum(F.when(several, F.col("n"))), F.lit(0)).alias("affected_rows"))
+    every = found.sparkSession.createDataFrame([(c,) for c in names], "column_name string")
+    return every.join(F.broadcast(found), "column_name", "left").na.fill(0)  # one row a column
 
 
 def datetime_summary(df: DataFrame | Table, name: str) -> DataFrame:
@@ -85,8 +88,6 @@ def datetime_summary(df: DataFrame | Table, name: str) -> DataFrame:
 def text_summary(df: DataFrame | Table, names: list[str]) -> DataFrame:
     """(column_name, minimum_length, maximum_length, average_length, median_length, empty_string_count, whitespace_only_count)
     per column, lengths in code points; one pass, but for the median, which counts lengths."""
-    from tablepulse.operators.facts import union
-
     table = Table.of(df)
     frames = []
     for name in names:

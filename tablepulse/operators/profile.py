@@ -110,7 +110,9 @@ def profile_table(df: DataFrame | Table, types: list[ColumnType], config: Profil
     if categories := of("categorical"):
         found |= {r.column_name: r.asDict() for r in categorical.category_summary(by_position, categories, config.top_values).collect()}
         for c in categories:
-            found[c]["top_values"] = [r.asDict() for r in categorical.frequencies(by_position, c, config.top_values, config.display_length).collect()]
+            found[c]["top_values"] = []
+        for r in categorical.top_values(by_position, categories, config.top_values, config.display_length).orderBy("column_name", "rank").collect():
+            found[r.column_name]["top_values"].append(r.asDict())
     if texts := of("text"):
         found |= {r.column_name: r.asDict() for r in categorical.text_summary(by_position, texts).collect()}
     for c in of("datetime"):

@@ -177,6 +177,15 @@ class Context:
     def column(self, target: Target) -> ColumnProfile:
         return self.profile.columns[target.position]
 
+    @property
+    def collisions(self) -> dict[int, Any]:
+        """Collisions of all categorical columns, counted once for all."""
+        if "collisions" not in self._cache:
+            by_position = Table(self.table.df, tuple(f"_c{i}" for i in range(len(self.table))))
+            names = [f"_c{c.position}" for c in self.profile.columns if c.effective_type == "categorical"]
+            self._cache["collisions"] = {int(r.column_name[2:]): r for r in categorical.collisions(by_position, *names).collect()}
+        return self._cache["collisions"]
+
     def validate(self) -> None:
         """Facts of another table are refused."""
         p, n = self.profile, len(self.table)
@@ -279,8 +288,7 @@ def padded_names(context: Context, target: Target, t: CheckThresholds) -> Draft
 
 
 def colliding_categories(context: Context, target: Target, t: CheckThresholds) -> Draft | None:
-    by_position = Table(context.table.df, tuple(f"_c{i}" for i in range(len(context.table))))
-    r = categorical.collisions(by_position, f"_c{target.position}").first()
+    r = context.collisions[target.position]
     return Draft("low", "Categories differ only in case or outer white space.", "affected_category_row_count", r.affected_rows, "category_consistency", Population(r.affected_rows, r.non_null_count, "non_null_rows")) if r.collision_groups else None
 
 

@@ -255,7 +255,7 @@ def decide(name: str, position: int, dtype: str, kind: T.DataType, rows: int, nu
     return ColumnType(name, position, dtype, found, confidence, (*evidence, *common), tuple(warnings), tuple(others), rows, nulls, distinct, len(values), sampled)
 
 
-def _samples(table: Table, present: list[int], config: SemanticConfig) -> list[tuple[list[Any], bool]]:
+def _samples(table: Table, rows: int, present: list[int], config: SemanticConfig) -> list[tuple[list[Any], bool]]:
     """The inspected values of each column, and whether they are a sample."""
     limit = config.inspected_values
     wanted = [i for i in range(len(table)) if present[i] and not isinstance(table.kind(i), T.ArrayType | T.MapType | T.StructType | T.BinaryType)]
@@ -269,10 +269,15 @@ def _samples(table: Table, present: list[int], config: SemanticConfig) -> list[t
             for i, v in zip(whole, row, strict=True):
                 if v is not None:
                     out[i].append(v)
-    for i in wanted:
-        if present[i] > limit:
-            values = table.df.select(table.value(i).alias("v")).where("v is not null")
-            out[i] = [r.v for r in evenly_spaced(values, limit).orderBy("_pos").collect()]
+    large = [i for i in wanted if present[i] > limit]
+    full = [i for i in large if present[i] == rows]  # without missing values, their places are the same rows
+    for group in [full] * bool(full) + [[i] for i in large if i not in full]:
+        values = table.df.select(*(table.value(i).alias(f"_c{i}") for i in group))
+        if group is not full:
+            values = values.where(F.col(f"_c{group[0]}").isNotNull())
+        for row in evenly_spaced(values, limit).orderBy("_pos").collect():
+            for i in group:
+                out[i].append(row[f"_c{i}"])
     return [(out[i], present[i] > limit) for i in range(len(table))]
 
 
@@ -280,7 +285,7 @@ def infer_types(df: DataFrame | Table, config: SemanticConfig | None = None, fac
     """Semantic type of each column, in order. facts: rows of column_facts, if they are known."""
     table, config = Table.of(df), config or SemanticConfig()
     facts = facts or sorted(column_facts(table).collect(), key=lambda r: r.position)
-    samples = _samples(table, [f.non_null_count if f.distinct_count is not None else 0 for f in facts], config)
+    samples = _samples(table, facts[0].row_count if facts else 0, [f.non_null_count if f.distinct_count is not None else 0 for f in facts], config)
     return [decide(f.column_name, f.position, f.dtype, table.kind(f.position), f.row_count, f.null_count, f.distinct_count, values, sampled, config) for f, (values, sampled) in zip(facts, samples, strict=True)]
 
 

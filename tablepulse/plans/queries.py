@@ -198,9 +198,9 @@ def _category_sql(table: str, column: str, k: int = 10) -> str:
 
 
 _CATEGORIES = (("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("part", "p_type"), ("part", "p_name"), ("customer", "c_mktsegment"), ("events", "event_type"))
-query("category_diagnostics", " UNION ALL ".join(f"SELECT * FROM ({_category_sql(t, c)})" for t, c in _CATEGORIES))(lambda s, d: rounded(facts.union([categorical.category_summary(read(s, d, t), [c]) for t, c in _CATEGORIES])))
+query("category_diagnostics", " UNION ALL ".join(f"SELECT * FROM ({_category_sql(t, c)})" for t, c in _CATEGORIES))(lambda s, d: rounded(facts.union([categorical.category_summary(read(s, d, t), [c for u, c in _CATEGORIES if u == t]) for t in dict.fromkeys(t for t, _ in _CATEGORIES)])))
 query("category_collisions", f"WITH c AS ({_counts_sql(input_sql('cat_messy'), 'flag')}), g AS (SELECT lower(trim(value)) AS k, count(*) AS forms, sum(n) AS n FROM c GROUP BY 1) SELECT sum(n)::BIGINT AS non_null_count, count(*) FILTER (forms > 1) AS collision_groups, coalesce(sum(n) FILTER (forms > 1), 0)::BIGINT AS affected_rows FROM g")(
-    lambda s, d: rounded(categorical.collisions(derived(s, d, "cat_messy"), "flag"))
+    lambda s, d: rounded(categorical.collisions(derived(s, d, "cat_messy"), "flag").drop("column_name"))
 )
 
 
