@@ -178,14 +178,16 @@ def components(links: DataFrame, nodes: int | None = None, rounds: int = 60) ->
     stars = cut(links.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long").distinct(), nodes)
     seen = None
     for _ in range(rounds):
+        most = nodes if seen is None else seen[0]
         # large star: larger neighbours of a node are hung on the smallest one in its neighbourhood
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # minima are written out, so that both sides of a join are dealt anew and a frequent node's rows can be split
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), most and 2 * most)
+        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), most and 2 * most)
         # small star: smaller neighbours and the node itself are hung on the smallest one
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")), most)
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
-        stars = cut(small.mapInArrow(_contract, "a long, b long").distinct(), nodes if seen is None else seen[0])
+        stars = cut(small.mapInArrow(_contract, "a long, b long").distinct(), most)
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             break

@@ -112,10 +112,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
-def links(distinct: DataFrame, n: int | None = None, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints (column fp) within RADIUS bits, enough of them to keep every group together.
-
-    n: how many there are, if that is known."""
+def links(distinct: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """(a, b): pairs of distinct fingerprints (column fp) within RADIUS bits, enough of them to keep every group together."""
     tables = list(combinations(range(len(BLOCKS)), 2))
     masks = [sum(((1 << BLOCKS[b][1]) - 1) << BLOCKS[b][0] for b in pair) for pair in tables]
     with_parts = distinct.select("fp", *(_partial(F.col("fp"), b).alias(f"d{b}") for b in range(len(BLOCKS))))
@@ -123,8 +121,9 @@ def links(distinct: DataFrame, n: int | None = None, group_limit: int = GROUP_LI
     key, found = ["mask", "k1", "k2"], []
     while masks:
         large = rows.groupBy(*key).count().where(F.col("count") > group_limit).drop("count")
-        large = cut(large, n and 10 * n // group_limit)
-        any_large = not large.isEmpty()
+        any_large = large.count() > 0
+        if any_large:
+            large = cut(large)
         small = rows.join(large, key, "left_anti") if any_large else rows
         groups = small.groupBy(*key).agg(F.collect_list("fp").alias("group")).where(F.size("group") > 1).select("group")
         found.append(groups.mapInArrow(_links, "a long, b long"))
@@ -147,8 +146,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component. A null doc_id stays a row; its component is that of the group's smallest id, or null. Empty table: no rows."""
     prints = cut(fingerprints(docs))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), prints.count())
-    n = distinct.count()
-    tied = components(links(distinct, n), n)
+    tied = components(links(distinct), distinct.count())
     nodes = distinct.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     of = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = nodes.join(of, "component").select("fp", "component_id")
