@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tablepulse.functions.dates import iso_text, native_micros, read_text
@@ -23,30 +23,48 @@ def _ranked(counts: DataFrame, k: int) -> DataFrame:
 
 
 def top_values(df: DataFrame | Table, names: list[str], k: int = 10, display_length: int = 200) -> DataFrame:
-    """(column_name, rank, value, n, percentage, truncated, original_length, fingerprint) of the k most frequent values of each column."""
+    """(column_name, rank, value, n, percentage, truncated, original_length, fingerprint) of the k most frequent values of each column,
+    and of all its values non_null_count, category_count and entropy_bits."""
     counts = stacked_counts(Table.of(df), names)
-    totals = counts.groupBy("column_name").agg(F.sum("n").alias("total"))
+    totals = _totals(counts)
     shown = _ranked(counts, k).join(F.broadcast(totals), "column_name").withColumn("shown", display(F.col("value"), display_length))  # one row a column
-    return shown.select("column_name", "rank", F.col("shown.value").alias("value"), "n", percent(F.col("n"), F.col("total")).alias("percentage"), "shown.truncated", "shown.original_length", "shown.fingerprint")
+    return shown.select("column_name", "rank", F.col("shown.value").alias("value"), "n", percent(F.col("n"), F.col("non_null_count")).alias("percentage"), "shown.truncated", "shown.original_length", "shown.fingerprint", "non_null_count", "category_count", "entropy_bits")
+
+
+def _totals(counts: DataFrame) -> DataFrame:
+    found = counts.groupBy("column_name").agg(F.sum("n").alias("non_null_count"), F.count("*").alias("category_count"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    return found.select("column_name", "non_null_count", "category_count", F.greatest(F.log2("non_null_count") - F.col("s") / F.col("non_null_count"), F.lit(0.0)).alias("entropy_bits"))
+
+
+def summarized(names: list[str], top: list[Row]) -> dict[str, dict]:
+    """The summary of each column, from the rows of top_values."""
+    out: dict[str, dict] = {c: {"non_null_count": 0, "category_count": 0, "mode": None, "mode_count": None, "top_category_share": None, "other_value_count": 0, "entropy_bits": None, "high_cardinality": False, "top_values": []} for c in names}
+    for r in sorted(top, key=lambda r: (r.column_name, r.rank)):
+        x = out[r.column_name]
+        if r.rank == 1:
+            x |= {"non_null_count": r.non_null_count, "category_count": r.category_count, "mode": r.value, "mode_count": r.n, "top_category_share": r.percentage, "other_value_count": r.non_null_count, "entropy_bits": r.entropy_bits, "high_cardinality": r.category_count > max(20, int(r.non_null_count * 0.5))}
+        x["other_value_count"] -= r.n
+        x["top_values"].append({k: r[k] for k in ("rank", "value", "n", "percentage", "truncated", "original_length", "fingerprint")})
+    return out
 
 
 def frequencies(df: DataFrame | Table, name: str, k: int = 10, display_length: int = 200) -> DataFrame:
     """(rank, value, n, percentage, truncated, original_length, fingerprint): the k most frequent values of a column."""
-    return top_values(df, [name], k, display_length).drop("column_name")
+    return top_values(df, [name], k, display_length).drop("column_name", "non_null_count", "category_count", "entropy_bits")
 
 
 def category_summary(df: DataFrame | Table, names: list[str], k: int = 10) -> DataFrame:
     """(column_name, non_null_count, category_count, mode, mode_count, top_category_share, other_value_count, entropy_bits,
     high_cardinality) per column, all in one job."""
     counts = stacked_counts(Table.of(df), names)
-    total = counts.groupBy("column_name").agg(F.sum("n").alias("non_null_count"), F.count("*").alias("category_count"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    total = _totals(counts)
     top = _ranked(counts, k).groupBy("column_name").agg(F.sum("n").alias("top"), F.max(F.when(F.col("rank") == 1, F.col("value"))).alias("mode"), F.max("n").alias("mode_count"))
     every = total.sparkSession.createDataFrame([(c,) for c in names], "column_name string")
     joined = every.join(F.broadcast(total), "column_name", "left").join(F.broadcast(top), "column_name", "left")  # one row a column
     n = F.coalesce("non_null_count", F.lit(0))
     return joined.select(
         "column_name", n.alias("non_null_count"), F.coalesce("category_count", F.lit(0)).alias("category_count"), "mode", "mode_count", F.when(n > 0, percent(F.col("mode_count"), n)).alias("top_category_share"),
-        (n - F.coalesce("top", F.lit(0))).alias("other_value_count"), F.when(n > 0, F.greatest(F.log2(n) - F.col("s") / n, F.lit(0.0))).alias("entropy_bits"),
+        (n - F.coalesce("top", F.lit(0))).alias("other_value_count"), "entropy_bits",
         (F.coalesce("category_count", F.lit(0)) > F.greatest(F.lit(20), F.floor(n * 0.5))).alias("high_cardinality"),
     )
 

@@ -24,14 +24,23 @@ def moments(df: DataFrame | Table, names: list[str] | None = None, ddof: int = 1
     """A row per numeric column: counts of finite, infinite, non-numeric, zero, positive and negative values, extremes, mean,
     variance, standard_deviation, bias-corrected skewness (from 3 values) and excess kurtosis (from 4); constants have 0 for both.
 
-    One pass over all columns; a second one with scaled values only if some value exceeds LARGE."""
+    One pass over all columns. Columns with a value beyond LARGE get a second one, with their values divided by the largest first."""
     table = Table.of(df)
     chosen = [table.position(n) for n in names] if names else [i for i in range(len(table)) if table.is_numeric(i)]
-    largest = table.df.agg(*(F.max(F.abs(table.finite(i))).alias(f"x{i}") for i in chosen)).first() if any(table.dtype(i) in ("double", "float") for i in chosen) else None
+    rows = _moment_rows(table, dict.fromkeys(chosen, 1.0), ddof)
+    top = {r.position: max(abs(r.minimum or 0), abs(r.maximum or 0)) for r in rows}
+    if large := {i: x for i, x in top.items() if x > LARGE}:
+        again = {r.position: r for r in _moment_rows(table, large, ddof)}
+        rows = [again.get(r.position, r) for r in rows]
+    return table.df.sparkSession.createDataFrame(rows, MOMENTS)
+
+
+MOMENTS = "position int, column_name string, finite_count long, non_numeric_count long, positive_infinity_count long, negative_infinity_count long, zero_count long, positive_count long, negative_count long, minimum double, maximum double, mean double, variance double, standard_deviation double, skewness double, kurtosis double"
+
+
+def _moment_rows(table: Table, scales: dict[int, float], ddof: int) -> list:
     out = []
-    for i in chosen:
-        top = float(largest[f"x{i}"] or 0) if largest else 0.0
-        scale = top if top > LARGE else 1.0
+    for i, scale in scales.items():
         v, whole, number = table.finite(i) / scale, table.finite(i), table.number(i)
         n = F.count(whole)
         var = (F.var_samp if ddof else F.var_pop)(v)
@@ -49,13 +58,8 @@ def moments(df: DataFrame | Table, names: list[str] | None = None, ddof: int = 1
                 undefined_to_null(var * scale * scale).alias("variance"), undefined_to_null(dev * scale).alias("standard_deviation"), undefined_to_null(skew).alias("skewness"), undefined_to_null(kurt).alias("kurtosis"),
             )
         )
-    if not out:
-        empty = table.df.sparkSession.range(0)
-        fields = ["position int", "column_name string"] + [f"{n} bigint" for n in ("finite_count", "non_numeric_count", "positive_infinity_count", "negative_infinity_count", "zero_count", "positive_count", "negative_count")] + [f"{n} double" for n in ("minimum", "maximum", "mean", "variance", "standard_deviation", "skewness", "kurtosis")]
-        return empty.select(*(F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in fields))
     # aggregates of at most 40 columns at a time keep the generated code small
-    rows = [table.df.agg(F.array(*out[k : k + 40]).alias("all")).select(F.explode("all").alias("x")).select("x.*") for k in range(0, len(out), 40)]
-    return union(rows)
+    return [r for k in range(0, len(out), 40) for r in table.df.agg(F.array(*out[k : k + 40]).alias("all")).select(F.explode("all").alias("x")).select("x.*").collect()]
 
 
 def picked(values: DataFrame, places: list[int]) -> dict[int, float]:
@@ -111,16 +115,17 @@ def quantiles(df: DataFrame | Table, name: str, shares: tuple[float, ...] = (0.2
     return out
 
 
-def quartiles(df: DataFrame | Table, names: list[str] | None = None, interpolation: str = "linear") -> DataFrame:
+def quartiles(df: DataFrame | Table, names: list[str] | None = None, interpolation: str = "linear", distinct: dict[str, int] | None = None) -> DataFrame:
     """(column_name, first_quartile, median, third_quartile, interquartile_range) of numeric columns.
 
-    Linear quartiles of columns without too many distinct values come from one aggregate over all of them."""
+    Linear quartiles of columns without too many distinct values come from one aggregate over all of them. distinct: how many
+    there are by column, if that is known."""
     table = Table.of(df)
     chosen = [table.position(n) for n in names] if names else [i for i in range(len(table)) if table.is_numeric(i)]
     spark, rows = table.df.sparkSession, []
     if chosen and interpolation == "linear":
-        distinct = table.df.agg(*(F.approx_count_distinct(table.finite(i)) for i in chosen)).first()
-        few = [i for i, d in zip(chosen, distinct, strict=True) if d <= PERCENTILE_LIMIT]
+        counts = [distinct[table.names[i]] for i in chosen] if distinct else table.df.agg(*(F.approx_count_distinct(table.finite(i)) for i in chosen)).first()
+        few = [i for i, d in zip(chosen, counts, strict=True) if d <= PERCENTILE_LIMIT]
         if few:
             found = table.df.agg(*(F.percentile(table.finite(i), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for i in few)).first()
             rows = [(i, *(q or [None] * 3)) for i, q in zip(few, found, strict=True)]

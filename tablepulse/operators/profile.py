@@ -105,14 +105,10 @@ def profile_table(df: DataFrame | Table, types: list[ColumnType], config: Profil
     of = lambda kind: [f"_c{i}" for i, k in kinds.items() if k == kind]
     found: dict[str, dict] = {}
     if numbers := of("numeric"):
-        quartiles = {r.column_name: r.asDict() for r in numeric.quartiles(by_position, numbers, config.interpolation).collect()}
+        quartiles = {r.column_name: r.asDict() for r in numeric.quartiles(by_position, numbers, config.interpolation, {f"_c{t.position}": t.distinct_count or 0 for t in types}).collect()}
         found |= {r.column_name: r.asDict() | quartiles[r.column_name] for r in numeric.moments(by_position, numbers, config.ddof).collect()}
     if categories := of("categorical"):
-        found |= {r.column_name: r.asDict() for r in categorical.category_summary(by_position, categories, config.top_values).collect()}
-        for c in categories:
-            found[c]["top_values"] = []
-        for r in categorical.top_values(by_position, categories, config.top_values, config.display_length).orderBy("column_name", "rank").collect():
-            found[r.column_name]["top_values"].append(r.asDict())
+        found |= categorical.summarized(categories, categorical.top_values(by_position, categories, config.top_values, config.display_length).collect())
     if texts := of("text"):
         found |= {r.column_name: r.asDict() for r in categorical.text_summary(by_position, texts).collect()}
     for c in of("datetime"):

@@ -513,3 +513,23 @@ def _charts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 query("chart_marks")(_charts)
+
+
+# The shapes of the published baseline: a hundred thousand rows at sf0.1
+
+_THREE = ("value", "event_type", "user_id")
+
+
+def _profile_of_three(spark: SparkSession, sf: str) -> DataFrame:
+    from tablepulse.operators.profile import profile_frame, profile_table
+
+    table = Table.of(read(spark, sf, "events").select(*_THREE))
+    return profile_frame(table, profile_table(table, infer_types(table)))
+
+
+query("profile_events_x3")(lambda s, d: _profile_of_three(s, d).drop("dtype"))
+query("semantic_events_x4")(lambda s, d: (lambda df: types_frame(df, infer_types(df)).select("position", "column_name", "semantic_type"))(read(s, d, "events").select("event_id", "value", "event_type", "user_id")))
+query(
+    "duplicate_rows_events",
+    "WITH g AS (SELECT count(*) AS c FROM events GROUP BY value, event_type, user_id) SELECT sum(c)::BIGINT AS row_count, sum(c - 1)::BIGINT AS duplicate_row_count, round((sum(c - 1) * 100.0 / sum(c))::DOUBLE, 6) AS duplicate_row_percentage FROM g",
+)(lambda s, d: rounded(facts.duplicate_rows(read(s, d, "events").select(*_THREE))))
