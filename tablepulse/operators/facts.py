@@ -75,9 +75,9 @@ def dataset_summary(df: DataFrame | Table) -> DataFrame:
     size = [F.sum(F.octet_length(F.col(f"_c{i}"))) if table.is_text(i) else F.count(F.col(f"_c{i}")) * 8 for i in range(n)]
     missing = sum((F.count_if(table.missing(i)) for i in range(n)), F.lit(0))
     data = sum((F.coalesce(s, F.lit(0)) for s in size), F.lit(0))
-    counted = table.df.agg(F.count("*").alias("rows"), missing.alias("missing_cell_count"), data.alias("data_bytes"))
+    counted = table.df.agg(F.count("*").alias("row_count"), missing.alias("missing_cell_count"), data.alias("data_bytes"))
     cells = F.col("row_count") * n
-    both = counted.crossJoin(duplicate_rows(table))  # two rows of one
+    both = counted.join(duplicate_rows(table), "row_count")  # a row each, of the same table
     return both.select("row_count", F.lit(n).cast("long").alias("column_count"), cells.alias("cell_count"), "missing_cell_count", percent(F.col("missing_cell_count"), cells).alias("missing_percentage"), "duplicate_row_count", "duplicate_row_percentage", "data_bytes")
 
 

@@ -59,8 +59,9 @@ class Table:
         return c.isNull() | F.isnan(c) if isinstance(self.kind(i), FRACTIONAL) else c.isNull()
 
     def value(self, i: int) -> Column:
-        """The value; null if missing."""
-        return F.when(~self.missing(i), F.col(f"_c{i}"))
+        """The value; null if missing. Of types without NaN it's the bare column, so that filters reach the scan."""
+        c = F.col(f"_c{i}")
+        return F.when(~F.isnan(c), c) if isinstance(self.kind(i), FRACTIONAL) else c
 
     def number(self, i: int) -> Column:
         """As a double; null if missing or no number (text is read where it can be)."""
@@ -94,6 +95,11 @@ def _scan_position(df: DataFrame) -> tuple[DataFrame, int]:
     return marked.withColumn("_pos", lookup[part] + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id"), before
 
 
+def in_scan_order(df: DataFrame) -> DataFrame:
+    """df with _pos, the row's place in scan order."""
+    return _scan_position(df)[0]
+
+
 def evenly_spaced(df: DataFrame, size: int, *order: str) -> DataFrame:
     """Up to size rows at positions i * (n - 1) // (size - 1), both ends included, with column _pos.
 

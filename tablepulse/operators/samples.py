@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablepulse.functions.text import has_punctuation, has_whitespace, matches
 from tablepulse.operators.facts import missing_counts
-from tablepulse.operators.frame import Table, evenly_spaced
+from tablepulse.operators.frame import Table, evenly_spaced, in_scan_order
 from tablepulse.operators.numeric import top_classes
 
 
@@ -71,3 +71,10 @@ def top_and_other(df: DataFrame | Table, name: str, most: int = 10) -> DataFrame
     counts = value_counts(table, i).where("value is not null")
     rest = counts.join(F.broadcast(top_classes(table, i, most).select("value")), "value", "left_anti").agg(F.sum("n").alias("n"))
     return top.unionByName(rest.where("n is not null").select(F.lit(most + 1).alias("rank"), F.lit("Other (remaining categories)").alias("label"), "n"))
+
+
+def first_values(df: DataFrame | Table, name: str, most: int = 5_000) -> DataFrame:
+    """(position, value): a column's first non-missing values in scan order."""
+    table = Table.of(df)
+    values = table.df.select(table.value(table.position(name)).alias("value")).where("value is not null")
+    return in_scan_order(values).where(F.col("_pos") < most).select(F.col("_pos").alias("position"), "value")

@@ -262,6 +262,7 @@ _N = 1000
 query("evenly_spaced_sample", f"WITH t AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS pos, count(*) OVER () AS n FROM events) SELECT pos, event_id, value FROM t WHERE n <= {_N} OR pos IN (SELECT (i * (n - 1)) // {_N - 1} FROM range({_N}) r(i), (SELECT count(*) AS n FROM events))")(
     lambda s, d: evenly_spaced(read(s, d, "events").select("event_id", "value"), _N, "event_id").select(F.col("_pos").alias("pos"), "event_id", "value")
 )
+query("first_values", "SELECT event_id - 0 AS position, value FROM events ORDER BY event_id LIMIT 5000")(lambda s, d: samples.first_values(read(s, d, "events"), "value"))
 query("monotonic_identifier", "WITH t AS (SELECT event_id > lag(event_id) OVER (ORDER BY event_id) AS up FROM events) SELECT least(count(*), 10000) AS inspected, coalesce(bool_and(up), true) AS strictly_increasing FROM t")(lambda s, d: samples.rising(read(s, d, "events"), "event_id", "event_id"))
 query(
     "scatter_sample",
