@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from tablepulse.operators.frame import Table
 
 #: Beyond this magnitude sums of squares may overflow, so values are divided by the largest one first.
 LARGE = 1e150
+#: Columns whose moments are taken in one aggregate.
+MOMENT_COLUMNS = 10
 #: Distinct values that one task may hold for Spark's own percentile; beyond, order statistics are picked from a range sort.
 PERCENTILE_LIMIT = 1_000_000
 
@@ -58,8 +63,8 @@ def _moment_rows(table: Table, scales: dict[int, float], ddof: int) -> list:
                 undefined_to_null(var * scale * scale).alias("variance"), undefined_to_null(dev * scale).alias("standard_deviation"), undefined_to_null(skew).alias("skewness"), undefined_to_null(kurt).alias("kurtosis"),
             )
         )
-    # aggregates of at most 40 columns at a time keep the generated code small
-    return [r for k in range(0, len(out), 40) for r in table.df.agg(F.array(*out[k : k + 40]).alias("all")).select(F.explode("all").alias("x")).select("x.*").collect()]
+    # a few columns at a time keep the generated code small enough to be compiled
+    return [r for k in range(0, len(out), MOMENT_COLUMNS) for r in table.df.agg(F.array(*out[k : k + MOMENT_COLUMNS]).alias("all")).select(F.explode("all").alias("x")).select("x.*").collect()]
 
 
 def picked(values: DataFrame, places: list[int]) -> dict[int, float]:
@@ -172,20 +177,56 @@ def correlations(df: DataFrame | Table, names: list[str], limit: int = CORRELATI
     columns; pairs without two rows or with a constant side have none."""
     table = Table.of(df)
     pairs = list(combinations(names[:limit], 2))
-    rows = []
-    for k in range(0, len(pairs), 100):  # a hundred pairs keep the generated code small
-        aggregates = []
-        for a, b in pairs[k : k + 100]:
-            x, y = table.finite(table.position(a)), table.finite(table.position(b))
-            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-            size = lambda v: F.greatest(F.max(F.abs(v)), F.lit(1e-300))
-            varied = (F.count(x) >= 2) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)) & size(x).isNotNull()
-            r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-            aggregates.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.when(varied, undefined_to_null(r)).alias("coefficient"), F.count(x).alias("observation_count")))
-        rows.append(table.df.agg(F.array(*aggregates).alias("all")).select(F.explode("all").alias("x")).select("x.*"))
-    if not rows:
-        return table.df.sparkSession.createDataFrame([], "left string, right string, coefficient double, observation_count long")
-    return union(rows).where("coefficient is not null")
+    if not pairs:
+        return table.df.sparkSession.createDataFrame([], CORRELATIONS)
+    return (_few_pairs(table, pairs) if len(pairs) <= EXPRESSION_PAIRS else _many_pairs(table, names[:limit])).where("coefficient is not null")
+
+
+#: Up to so many pairs are aggregate expressions; more are matrix products in Python, of which each task sends one row a pair.
+EXPRESSION_PAIRS = 100
+CORRELATIONS = "left string, right string, coefficient double, observation_count long"
+
+
+def _few_pairs(table: Table, pairs: list[tuple[str, str]]) -> DataFrame:
+    aggregates = []
+    for a, b in pairs:
+        x, y = table.finite(table.position(a)), table.finite(table.position(b))
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        varied = (F.count(x) >= 2) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+        aggregates.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.when(varied, undefined_to_null(r)).alias("coefficient"), F.count(x).alias("observation_count")))
+    rows = [table.df.agg(F.array(*aggregates[k : k + 20]).alias("all")).select(F.explode("all").alias("x")).select("x.*") for k in range(0, len(aggregates), 20)]
+    return union(rows)
+
+
+def _many_pairs(table: Table, names: list[str]) -> DataFrame:
+    """Sums of products over rows where both columns are finite, centred and scaled by the columns' own mean and deviation first."""
+    values = [table.finite(table.position(n)) for n in names]
+    facts = table.df.agg(*(F.struct(F.max(F.abs(v)).alias("top"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("dev")).alias(f"s{k}") for k, v in enumerate(values))).first()
+    usable = lambda x: x is not None and np.isfinite(x)
+    shift = np.array([f.mean if usable(f.mean) else 0.0 for f in facts])
+    scale = np.array([f.dev if usable(f.dev) and f.dev > 0 else max(f.top or 0.0, 1.0) for f in facts])
+    n = len(names)
+    upper = np.triu_indices(n, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, n, n))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            known = np.isfinite(x)
+            x = np.where(known, (np.where(known, x, 0.0) - shift) / scale, 0.0)
+            m = known.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()) for a in upper] + [pa.array(t[upper]) for t in total], names=["i", "j", *"abcdef"])
+
+    parts = table.df.select(*(v.alias(f"v{k}") for k, v in enumerate(values))).mapInArrow(run, "i int, j int, " + ", ".join(f"{c} double" for c in "abcdef"))
+    s = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in "abcdef"))
+    vx, vy = F.col("d") - F.col("b") * F.col("b") / F.col("a"), F.col("e") - F.col("c") * F.col("c") / F.col("a")
+    # what is left of a constant side is rounding
+    varied = (F.col("a") >= 2) & (vx > 1e-14 * (F.col("d") + 1e-14)) & (vy > 1e-14 * (F.col("e") + 1e-14))
+    r = F.when(F.col("a") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col("f") - F.col("b") * F.col("c") / F.col("a"), F.sqrt(F.when(vx > 0, vx)) * F.sqrt(F.when(vy > 0, vy))))))
+    name = F.array(*map(F.lit, names))
+    return s.where("a > 0").select(F.get(name, F.col("i")).alias("left"), F.get(name, F.col("j")).alias("right"), F.when(varied, r).alias("coefficient"), F.col("a").cast("long").alias("observation_count"))
 
 
 def strongest(pairs: DataFrame, n: int = 10) -> DataFrame:

@@ -104,12 +104,28 @@ def test_texts_and_collisions(spark):
     assert (r.collision_groups, r.affected_rows, r.non_null_count) == (2, 4, 6)
 
 
-def test_correlations(spark):
+@pytest.mark.parametrize("expressions", [100, 0])
+def test_correlations(spark, monkeypatch, expressions):
+    monkeypatch.setattr(numeric, "EXPRESSION_PAIRS", expressions)
     df = spark.createDataFrame([(1.0, 2.0, 5.0, None), (2.0, 4.0, 5.0, 1.0), (3.0, 6.0, 5.0, math.inf), (100.0, 200.0, 5.0, 2.0)], "x double, y double, c double, m double")
     got = {(r.left, r.right): (r.coefficient, r.observation_count) for r in numeric.correlations(df, ["x", "y", "c", "m"]).collect()}
     assert got[("x", "y")] == (pytest.approx(1.0), 4) and set(got) == {("x", "y"), ("x", "m"), ("y", "m")} and got[("x", "m")][1] == 2
 
 
+def test_many_pairs_as_few(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("l_partkey", "l_quantity * 1e6 + 1e9 AS q", "l_extendedprice", "if(l_linenumber = 3, null, l_tax) AS t", "1e300 * l_discount AS d", "5 AS c", "if(l_linenumber = 1, 7, null) AS k")
+    both = []
+    for most in (100, 0):
+        monkeypatch.setattr(numeric, "EXPRESSION_PAIRS", most)
+        both.append({(r.left, r.right): (r.coefficient, r.observation_count) for r in numeric.correlations(df, df.columns).collect()})
+    few, many = both
+    many = {p: v for p, v in many.items() if "d" not in p}  # products near 1e300 overflow in the expression only
+    few = {p: v for p, v in few.items() if "d" not in p}
+    assert set(few) == set(many) and len(few) == 6
+    for p, (r, n) in few.items():
+        assert many[p] == (pytest.approx(r, abs=1e-9), n)
+
+
 def test_histogram_and_boxes(spark):
     got = numeric.histogram(one(spark, [0, 1, 2, 3, 4, 10, None, math.inf]), "x").collect()
     assert [r["count"] for r in got] == [4, 1, 1] and got[0].low == 0 and got[-1].high == 10
