@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tablepulse.operators.facts import percent, union, value_counts
@@ -43,28 +44,31 @@ def moments(df: DataFrame | Table, names: list[str] | None = None, ddof: int = 1
 MOMENTS = "position int, column_name string, finite_count long, non_numeric_count long, positive_infinity_count long, negative_infinity_count long, zero_count long, positive_count long, negative_count long, minimum double, maximum double, mean double, variance double, standard_deviation double, skewness double, kurtosis double"
 
 
-def _moment_rows(table: Table, scales: dict[int, float], ddof: int) -> list:
+MOMENT_NAMES = [f.split()[0] for f in MOMENTS.split(", ")]
+
+
+def _moment_rows(table: Table, scales: dict[int, float], ddof: int) -> list[Row]:
+    """One row a column. Spark gives sums and population moments; the corrections of these few numbers are made here."""
+    inf, kind = "double('infinity')", "samp" if ddof else "pop"
+    values = table.df.select(*(c for i in scales for c in (table.number(i).alias(f"n{i}"), table.missing(i).alias(f"m{i}"))))
+    values = values.selectExpr("*", *(f"CASE WHEN abs(n{i}) < {inf} THEN n{i} END AS f{i}" for i in scales))
+    wanted = [
+        f"struct({i} AS position, count(f{i}) AS n, count_if(NOT m{i}) - count(n{i}) AS text, count_if(n{i} = {inf}) AS up, count_if(n{i} = -{inf}) AS down, count_if(f{i} = 0) AS zero, count_if(f{i} > 0) AS plus, count_if(f{i} < 0) AS minus, "
+        f"min(f{i}) AS low, max(f{i}) AS high, avg(f{i} / {x!r}D) AS mean, var_{kind}(f{i} / {x!r}D) AS var, stddev_{kind}(f{i} / {x!r}D) AS dev, skewness(f{i} / {x!r}D) AS g1, kurtosis(f{i} / {x!r}D) AS g2)"
+        for i, x in scales.items()
+    ]
     out = []
-    for i, scale in scales.items():
-        v, whole, number = table.finite(i) / scale, table.finite(i), table.number(i)
-        n = F.count(whole)
-        var = (F.var_samp if ddof else F.var_pop)(v)
-        dev = (F.stddev_samp if ddof else F.stddev_pop)(v)
-        g1, g2, spread = F.skewness(v), F.kurtosis(v), F.coalesce(F.var_pop(v), F.lit(0.0))
-        c = n.cast("double")
-        skew = F.when(n < 3, None).when(spread == 0, 0.0).otherwise(g1 * F.sqrt(c * (c - 1)) / (c - 2))
-        kurt = F.when(n < 4, None).when(spread == 0, 0.0).otherwise((c - 1) * ((c + 1) * g2 + 6) / ((c - 2) * (c - 3)))
-        out.append(
-            F.struct(
-                F.lit(i).alias("position"), F.lit(table.names[i]).alias("column_name"), n.alias("finite_count"), F.count_if(~table.missing(i) & number.isNull()).alias("non_numeric_count"),
-                F.count_if(number == float("inf")).alias("positive_infinity_count"), F.count_if(number == float("-inf")).alias("negative_infinity_count"),
-                F.count_if(whole == 0).alias("zero_count"), F.count_if(whole > 0).alias("positive_count"), F.count_if(whole < 0).alias("negative_count"),
-                F.min(whole).alias("minimum"), F.max(whole).alias("maximum"), undefined_to_null(F.avg(v) * scale).alias("mean"),
-                undefined_to_null(var * scale * scale).alias("variance"), undefined_to_null(dev * scale).alias("standard_deviation"), undefined_to_null(skew).alias("skewness"), undefined_to_null(kurt).alias("kurtosis"),
-            )
-        )
-    # a few columns at a time keep the generated code small enough to be compiled
-    return [r for k in range(0, len(out), MOMENT_COLUMNS) for r in table.df.agg(F.array(*out[k : k + MOMENT_COLUMNS]).alias("all")).select(F.explode("all").alias("x")).select("x.*").collect()]
+    for k in range(0, len(wanted), MOMENT_COLUMNS):  # a few columns at a time keep the generated code small enough to be compiled
+        for r in values.agg(F.expr(f"array({', '.join(wanted[k : k + MOMENT_COLUMNS])})").alias("all")).first()["all"]:
+            n, scale, flat = r.n, scales[r.position], r.low == r.high
+            skew = None if n < 3 else 0.0 if flat else r.g1 and r.g1 * math.sqrt(n * (n - 1)) / (n - 2)
+            kurt = None if n < 4 else 0.0 if flat else r.g2 and (n - 1) * ((n + 1) * r.g2 + 6) / ((n - 2) * (n - 3))
+            if n >= 3 and not flat and r.g1 is None:  # no deviation is left of values that differ in their last places only
+                skew, kurt = 0.0, 0.0 if n >= 4 else None
+            mean, dev, var = (None if v is None else v * f for v, f in ((r.mean, scale), (r.dev, scale), (r.var, scale)))
+            var = None if var is None else var * scale
+            out.append(Row(r.position, table.names[r.position], n, r.text, r.up, r.down, r.zero, r.plus, r.minus, r.low, r.high, *(v if v is not None and math.isfinite(v) else None for v in (mean, var, dev, skew, kurt))))
+    return [Row(**dict(zip(MOMENT_NAMES, r, strict=True))) for r in out]
 
 
 def picked(values: DataFrame, places: list[int]) -> dict[int, float]:
