@@ -187,7 +187,7 @@ def correlations(df: DataFrame | Table, names: list[str], limit: int = CORRELATI
 
 
 #: Up to so many pairs are aggregate expressions; more are matrix products in Python, of which each task sends one row a pair.
-EXPRESSION_PAIRS = 100
+EXPRESSION_PAIRS = 10
 CORRELATIONS = "left string, right string, coefficient double, observation_count long"
 
 
