@@ -1,8 +1,8 @@
 """Licence scan: one Aho-Corasick pass finds notice phrases and identifier tags; a shunting-yard parser reads the expressions.
 
 A text is lower-cased (A-Z) and reduced to its words with one space between them, so that a phrase is a run of whole words
-whatever stood between. What follows an identifier tag in the text itself is read as a licence expression: identifiers,
-parentheses, WITH before AND before OR. An expression's freedom is a number from 0 to 1: OR gives the better of two sides,
+whatever stood between. What follows an identifier tag in the text itself, up to the end of the line or the next tag and
+however long, is read as a licence expression: identifiers, parentheses, WITH before AND before OR. An expression's freedom is a number from 0 to 1: OR gives the better of two sides,
 AND the worse, WITH lifts a copyleft licence half way to 1. A text's score is the least freedom of what it names, 0 if it names nothing.
 """
 
@@ -48,7 +48,7 @@ NOTICES = {
 }
 
 TAGS = ("spdx license identifier", "license expression")
-_TAG = re.compile(r"(?i:SPDX-License-Identifier|License-Expression)[ \t]*[:=][ \t]*([^\n]{0,2000})")
+_TAG = re.compile(r"(?i:SPDX-License-Identifier|License-Expression)[ \t]*[:=]")
 _TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 
 #: How freely a licence lets its text be used, by the start of its label; the longest fitting start counts.
@@ -65,15 +65,17 @@ def freedom(label: str) -> float:
     return FREEDOM[max((k for k in FREEDOM if label.startswith(k)), key=len)]
 
 
-def postfix(text: str) -> list[str]:
-    """The longest well-formed expression at the start of text, operators after their operands; empty if there is none.
+def postfix(text: str, at: int = 0, upto: int | None = None) -> list[str]:
+    """The longest well-formed expression that begins text[at:upto] and stays on its line, operators after their operands;
+    empty if there is none.
 
     Shunting-yard: operands go out at once, operators wait on a stack for those that bind tighter."""
     out: list[str] = []
     stack: list[str] = []
-    best: list[str] = []
-    operand, at = False, 0  # operand: whether one has just ended
-    while m := _TOKEN.match(text, at):
+    best: tuple[int, list[str]] = (0, [])  # how much of out, and the operators that come after it: three at most
+    operand, depth = False, 0  # operand: whether one has just ended
+    upto = len(text) if upto is None else upto
+    while m := _TOKEN.match(text, at, upto):  # a token never crosses the end of a line
         at, token = m.end(), m[1]
         word = token.lower()
         if word in _RANK:
@@ -87,35 +89,41 @@ def postfix(text: str) -> list[str]:
             if operand or stack[-1:] == ["with"]:
                 break
             stack.append(token)
+            depth += 1
         elif token == ")":
-            if not operand or "(" not in stack:
+            if not operand or not depth:
                 break
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
+            depth -= 1
         else:
             if operand:
                 break
             out.append(word)
             operand = True
-        if operand and "(" not in stack:
-            best = out + stack[::-1]
-    return best
+        if operand and not depth:
+            best = (len(out), stack[::-1])
+    return out[: best[0]] + best[1]
 
 
 def evaluate(expression: list[str]) -> tuple[list[str], float]:
     """(labels, freedom) of an expression in postfix order."""
-    stack: list[tuple[list[str], float]] = []
+    labels: list[list[str]] = []  # in the order of the text, each as the parts that WITH ties together
+    stack: list[float] = []
     for token in expression:
         if token not in _RANK:
-            stack.append(([token], freedom(token)))
+            labels.append([token])
+            stack.append(freedom(token))
             continue
-        (right, r), (left, x) = stack.pop(), stack.pop()
+        right, left = stack.pop(), stack.pop()
         if token == "with":  # the exception belongs to the licence that it follows
-            stack.append(([*left[:-1], f"{left[-1]} with {right[0]}"], (1 + x) / 2))
+            exception = labels.pop()
+            labels[-1] += exception
+            stack.append((1 + left) / 2)
         else:
-            stack.append((left + right, max(x, r) if token == "or" else min(x, r)))
-    return stack[0] if stack else ([], 0.0)
+            stack.append(max(left, right) if token == "or" else min(left, right))
+    return [" with ".join(x) for x in labels], stack[0] if stack else 0.0
 
 
 @lru_cache(maxsize=1)
@@ -151,8 +159,10 @@ def scan_text(text: bytes) -> tuple[int, list[tuple[int, str]], list[str], list[
     score = min(map(freedom, labels), default=None)
     expressions = []
     if tagged:
-        for m in _TAG.finditer(text.decode()):
-            if expression := postfix(m[1]):
+        decoded = text.decode()
+        tags = [m.span() for m in _TAG.finditer(decoded)]
+        for (_, at), (upto, _) in zip(tags, [*tags[1:], (len(decoded), 0)], strict=True):
+            if expression := postfix(decoded, at, upto):
                 named, free = evaluate(expression)
                 labels.update(named)
                 expressions.append(expression)

@@ -55,3 +55,18 @@ def test_tags_and_notices():
     n, places, labels, expressions, score = L.scan_text("Licensed under CC BY-NC 4.0.\n# SPDX-License-Identifier: Apache-2.0 AND MIT\nAll rights reserved.".encode())
     assert labels == ["all-rights-reserved", "apache-2.0", "cc-by", "cc-by-nc", "mit"] and expressions == [["apache-2.0", "mit", "and"]] and score == 0.0
     assert L.scan_text("Licensed under the Apache License, Version 2.0.".encode())[2] == ["apache", "apache-2.0"]
+
+
+def test_long_expressions_and_many_tags_on_a_line():
+    names = [f"MIT-{i}" for i in range(60000)]
+    for text, last in ((" OR ".join([*names, "AGPL-3.0"]), 0.9), ("(" + " AND ".join([*names, "AGPL-3.0"]) + ")", 0.2), ("(" * 20000 + "AGPL-3.0" + ")" * 20000, 0.2)):
+        labels, expressions, score = L.scan_text(f"x SPDX-License-Identifier: {text}\nGPL-2.0".encode())[2:]
+        assert score == last and "agpl-3.0" in labels and len(expressions) == 1 and len(labels) == len(re.findall(r"MIT-|AGPL", text))
+    with_ = L.scan_text(("SPDX-License-Identifier: GPL-2.0" + " WITH x" * 60000).encode())
+    assert with_[2] == ["gpl-2.0" + " with x" * 60000]
+    one = "SPDX-License-Identifier: MIT x SPDX-License-Identifier: GPL-3.0-only"
+    assert L.scan_text(one.encode())[2:] == (["gpl-3.0-only", "mit"], [["mit"], ["gpl-3.0-only"]], 0.3)
+    two = "SPDX-License-Identifier: MIT OR License-Expression=(ISC SPDX-License-Identifier: SPDX-License-Identifier:\tAGPL-3.0"
+    assert L.scan_text(two.encode())[2:] == (["agpl-3.0", "mit"], [["mit"], ["agpl-3.0"]], 0.2)
+    many = " ".join(f"SPDX-License-Identifier: MIT-{i} /" for i in range(20000))
+    assert len(L.scan_text(many.encode())[3]) == 20000
