@@ -1,8 +1,10 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field over candidate segments.
 
-Candidates are segments of up to SPAN_LIMIT characters that look like an entity of some type: addresses, numbers in
-groups, identifiers, secrets. Features describe the whole span (its form, digits, check digits, length), the word before it
-and how it sits in its surroundings; a further weight stands for each pair of types that follow one another within ZONE
+Candidates are all segments of up to SPAN_LIMIT characters between two token borders that have the shape of some type:
+addresses, numbers in groups, identifiers, secrets. They overlap: where numbers stand side by side, each of them, each part
+of one that begins and ends at a border and each run over several is a candidate. Runs of letters and digits are tokens; the
+edges of what the fixed patterns find are borders too. Features describe the whole span (its form, digits, check digits,
+length), the word before it, what touches its edges and how it sits in its surroundings; a further weight stands for each pair of types that follow one another within ZONE
 characters. A labelling picks segments that don't overlap; everything else is plain text with score zero. Decoding goes once
 over the sorted borders and keeps the best score for each last type, so boundaries and types are chosen together in time
 linear in the number of candidates. The weights are trained here, by maximum likelihood on generated sentences with a fixed
@@ -11,10 +13,13 @@ seed. What the fixed patterns find always stays; the field adds what doesn't ove
 
 from __future__ import annotations
 
+import heapq
 import math
 import random
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,22 +41,35 @@ _MAY = re.compile(rb"[0-9@]")
 #: Words before a span that tell its type.
 CUES = ("key", "token", "secret", "password", "passwd", "ssn", "social", "iban", "account", "card", "visa", "phone", "call", "tel", "mail", "mac", "device")
 
-_CANDIDATES = (
-    ("secret", re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,120}(?![A-Za-z0-9_-])")),
-    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
-    ("number", re.compile(r"(?<![0-9A-Za-z])\(?[0-9](?:[ ()./-]{0,2}[0-9]){6,22}(?![0-9A-Za-z])")),
-    ("mac", re.compile(r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])")),
-    ("ipv6", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
+_RUN, _PART = re.compile(r"[A-Za-z0-9_-]{16,}"), re.compile(r"[A-Za-z0-9]+|[_-]+")
+
+
+def _shape(source: str, token: str, whole: str, start: str = "") -> tuple[str, re.Pattern, re.Pattern, re.Pattern]:
+    """(source, starts with the longest segment from there, characters that no segment ends before, whole segments)."""
+    return source, re.compile(f"(?:(?<![{token}]){start})(?=({whole}))"), re.compile(f"[{token}]"), re.compile(whole)
+
+
+#: All segments of these are shorter than SPAN_LIMIT.
+_SHAPES = (
+    _shape("iban", "A-Za-z0-9", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
+    _shape("number", "0-9A-Za-z", r"\+?\(?[0-9](?:[ ()./-]{0,2}[0-9]){6,22}", "|(?=[+(])"),
+    _shape("mac", "0-9A-Fa-f", r"[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}"),
+    _shape("ipv6", "0-9A-Fa-f", r"(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}"),
 )
 _FORMS = (
     ("ssn", re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")),
     ("local phone", re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}")),
+    ("long phone", re.compile(r"\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}")),
+    ("date", re.compile(r"[0-9]{4}[./-][0-9]{2}[./-][0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4}")),
     ("hex", re.compile(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}|(?=.*[0-9])(?=.*[A-F])[0-9A-F]{16,}")),
     ("mixed", re.compile(r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+")),
     ("digits", re.compile(r"[0-9]+")),
     ("letters", re.compile(r"[A-Za-z_-]+")),
 )
 
+_ALL_DIGITS, _TIES = frozenset("0123456789"), frozenset("-_./:+()")
+_ALNUM = _ALL_DIGITS | frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
 Span = tuple[str, int, int]
 
 
@@ -93,18 +111,46 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def candidates(text: str, taken: list[Span]) -> list[Span]:
-    """(source pattern, start, end) of segments that may be an entity, without those that overlap taken."""
-    found = sorted({(m.start(), m.end(), source) for source, pattern in _CANDIDATES for m in pattern.finditer(text) if m.end() - m.start() <= SPAN_LIMIT})
-    held, out, i = sorted((s, e) for _, s, e in taken), [], 0
-    upto = 0  # the furthest end of the held spans that start before this candidate's end
-    for start, end, source in found:
-        while i < len(held) and held[i][0] < end:
-            upto = max(upto, held[i][1])
-            i += 1
-        if upto <= start:
-            out.append((source, start, end))
-    return out
+def _words(part: str) -> Iterator[tuple[int, int, str]]:
+    for run in _RUN.finditer(part):
+        pieces = [m.span() for m in _PART.finditer(part, run.start(), run.end())]
+        for i, (start, _) in enumerate(pieces):
+            for k in range(i, len(pieces)):
+                end = pieces[k][1]
+                if end - start > SPAN_LIMIT:
+                    break
+                if end - start >= 16:
+                    yield start, end, "secret"
+
+
+def _shaped(part: str, source: str, starts: re.Pattern, token: re.Pattern, whole: re.Pattern) -> Iterator[tuple[int, int, str]]:
+    for m in starts.finditer(part):
+        start = m.start()
+        for end in range(start + 7, m.end(1) + 1):
+            if not token.match(part, end) and whole.fullmatch(part, start, end):
+                yield start, end, source
+
+
+def candidates(text: str, taken: list[Span]) -> Iterator[Span]:
+    """(source, start, end) of all segments that may be an entity, by start and end, in the text around taken."""
+    at = 0
+    for start, end in [*sorted((s, e) for _, s, e in taken), (len(text), len(text))]:
+        if start > at:
+            part = text[at:start]
+            for s, e, source in heapq.merge(_words(part), *(_shaped(part, *x) for x in _SHAPES)):
+                yield source, at + s, at + e
+        at = max(at, end)
+
+
+def beside(text: str, at: int, step: int) -> str:
+    """What touches a segment's edge: a letter or digit, a mark that ties one to it, a digit after a space, or none of these."""
+    near = text[at : at + 1] if at >= 0 else ""
+    if near in _ALNUM:
+        return "token"
+    far = text[at + step : at + step + 1] if at + step >= 0 else ""
+    if near in _TIES and far in _ALNUM:
+        return near
+    return "digit" if near == " " and far in _ALL_DIGITS else "none"
 
 
 def features(text: str, source: str, start: int, end: int) -> list[str]:
@@ -117,6 +163,8 @@ def features(text: str, source: str, start: int, end: int) -> list[str]:
     assigned = text[max(0, start - 3) : start].rstrip("\"' ")[-1:] in ("=", ":")
     quoted = text[start - 1 : start] in ('"', "'") and text[end : end + 1] in ('"', "'")
     out = ["bias", f"source {source}", f"form {form}", f"source {source} form {form}", f"cue {cue}", f"digits {min(digits, 20) // 4}", f"length {min(end - start, 60) // 8}", f"assigned {assigned} quoted {quoted}"]
+    left, right = beside(text, start - 1, -1), beside(text, end, 1)
+    out += [f"left {left}", f"right {right}", f"source {source} tied {left in _TIES or left == 'token'} {right in _TIES or right == 'token'}"]
     if source == "iban":
         out.append(f"check {iban_ok(span)}")
     return out
@@ -127,47 +175,45 @@ MAY_BE = {"secret": ("secret",), "iban": ("iban",), "number": ("phone", "ssn"),
 Weights = dict[str, float]
 
 
-def zones(spans: list[Span]) -> list[list[Span]]:
-    out: list[list[Span]] = []
-    reach = -ZONE - 1
-    for c in sorted(spans, key=lambda c: (c[1], c[2])):
-        if c[1] - reach > ZONE:
-            out.append([])
-        out[-1].append(c)
+def zones(spans: Iterable[Span]) -> Iterator[Iterator[Span]]:
+    """spans, sorted by start and end, in groups more than ZONE characters apart; none is held in memory."""
+    reach, number = -ZONE - 1, 0
+
+    def place(c: Span) -> int:
+        nonlocal reach, number
+        number += c[1] - reach > ZONE
         reach = max(reach, c[2])
-    return out
+        return number
 
+    return (zone for _, zone in groupby(spans, place))
 
-def options(text: str, zone: list[Span], weights: Weights) -> list[tuple[int, int, str, float, list[str]]]:
+
+def options(text: str, zone: Iterable[Span], weights: Weights) -> Iterator[tuple[int, int, str, float, list[str]]]:
     """(start, end, type, score, feature names) of all typed segments of a zone."""
-    out = []
     for source, start, end in zone:
         names = features(text, source, start, end)
         for kind in MAY_BE[source]:
             typed = [f"{kind}|{n}" for n in names]
-            out.append((start, end, kind, sum(weights.get(n, 0.0) for n in typed), typed))
-    return out
+            yield start, end, kind, sum(weights.get(n, 0.0) for n in typed), typed
 
 
-def decode(choices: list[tuple[int, int, str, float, list[str]]], weights: Weights) -> list[Span]:
+def decode(choices: Iterable[tuple[int, int, str, float, list[str]]], weights: Weights) -> list[Span]:
     """The best labelling: segments in order, none overlapping."""
+    return decode_sorted(sorted(choices, key=lambda c: c[0]), weights)
+
+
+def decode_sorted(choices: Iterable[tuple[int, int, str, float, list[str]]], weights: Weights) -> list[Span]:
+    """The same for choices by start; only those that the last one overlaps are held."""
     best: dict[str, tuple[float, tuple | None]] = {"": (0.0, None)}
-    closing = sorted(range(len(choices)), key=lambda i: choices[i][1])
-    opening = sorted(range(len(choices)), key=lambda i: choices[i][0])
-    ended: dict[int, tuple[float, tuple]] = {}
-    k = 0
-    for i in opening:
-        start = choices[i][0]
-        while k < len(closing) and choices[closing[k]][1] <= start:
-            j = closing[k]
-            kind = choices[j][2]
-            if kind not in best or ended[j][0] > best[kind][0]:
-                best[kind] = ended[j]
-            k += 1
-        _, end, kind, score, _ = choices[i]
+    open_: list[tuple[int, int, str, float, tuple]] = []  # by end
+    for i, (start, end, kind, score, _) in enumerate(choices):
+        while open_ and open_[0][0] <= start:
+            _, _, ended, value, path = heapq.heappop(open_)
+            if ended not in best or value > best[ended][0]:
+                best[ended] = value, path
         value, path = max(((v + weights.get(f"{last}>{kind}", 0.0), p) for last, (v, p) in best.items()), key=lambda x: x[0])
-        ended[i] = (value + score, (path, (kind, start, end)))
-    value, path = max([*best.values(), *ended.values()], key=lambda x: x[0])
+        heapq.heappush(open_, (end, i, kind, value + score, (path, (kind, start, end))))
+    _, path = max([*best.values(), *((v, p) for _, _, _, v, p in open_)], key=lambda x: x[0])
     out = []
     while path:
         path, span = path
@@ -180,9 +226,14 @@ def _log_sum(values: list[float]) -> float:
     return top if top == -math.inf else top + math.log(sum(math.exp(v - top) for v in values))
 
 
+def _log_add(a: float, b: float) -> float:
+    low, high = (a, b) if a < b else (b, a)
+    return high + math.log1p(math.exp(low - high))
+
+
 def _sums(choices: list, weights: Weights) -> tuple[list[dict[str, float]], list[float], float]:
     """Log sums over labellings: for each choice, those before it by last type; those up to and with it; all."""
-    last: dict[str, list[float]] = {"": [0.0]}
+    last: dict[str, float] = {"": 0.0}
     closing = sorted(range(len(choices)), key=lambda i: choices[i][1])
     opening = sorted(range(len(choices)), key=lambda i: choices[i][0])
     before: list[dict[str, float]] = [{}] * len(choices)
@@ -190,20 +241,29 @@ def _sums(choices: list, weights: Weights) -> tuple[list[dict[str, float]], list
     k = 0
     for i in opening:
         while k < len(closing) and choices[closing[k]][1] <= choices[i][0]:
-            last.setdefault(choices[closing[k]][2], []).append(upto[closing[k]])
+            kind, value = choices[closing[k]][2], upto[closing[k]]
+            last[kind] = _log_add(last[kind], value) if kind in last else value
             k += 1
-        before[i] = {y: _log_sum(v) for y, v in last.items()}
+        before[i] = dict(last)
         kind, score = choices[i][2], choices[i][3]
-        upto[i] = score + _log_sum([v + weights.get(f"{y}>{kind}", 0.0) for y, v in before[i].items()])
+        upto[i] = score + _log_sum([v + weights.get(f"{y}>{kind}", 0.0) for y, v in last.items()])
     return before, upto, _log_sum([0.0, *upto])
 
 
 def _after(choices: list, weights: Weights) -> list[float]:
     """Log sum over what may follow each choice."""
     out = [0.0] * len(choices)
+    following: dict[str, float] = {}
+    opening = sorted(range(len(choices)), key=lambda i: -choices[i][0])
+    k = 0
     for i in sorted(range(len(choices)), key=lambda i: -choices[i][1]):
         end, kind = choices[i][1], choices[i][2]
-        out[i] = _log_sum([0.0] + [weights.get(f"{kind}>{c[2]}", 0.0) + c[3] + out[j] for j, c in enumerate(choices) if c[0] >= end])
+        while k < len(opening) and choices[opening[k]][0] >= end:
+            j = opening[k]
+            value, y = choices[j][3] + out[j], choices[j][2]
+            following[y] = _log_add(following[y], value) if y in following else value
+            k += 1
+        out[i] = _log_sum([0.0, *(weights.get(f"{kind}>{y}", 0.0) + v for y, v in following.items())])
     return out
 
 
@@ -212,12 +272,14 @@ def expected(choices: list, weights: Weights) -> dict[str, float]:
     before, _, total = _sums(choices, weights)
     after, out = _after(choices, weights), {}
     for i, (_, _, kind, score, names) in enumerate(choices):
+        here = 0.0
         for y, v in before[i].items():
             name = f"{y}>{kind}"
             p = math.exp(v + weights.get(name, 0.0) + score + after[i] - total)
             out[name] = out.get(name, 0.0) + p
-            for n in names:
-                out[n] = out.get(n, 0.0) + p
+            here += p
+        for n in names:
+            out[n] = out.get(n, 0.0) + here
     return out
 
 
@@ -249,9 +311,26 @@ def sentences(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
             lambda: ("part ", f"{digits(4)}-{digits(4)}", ""), lambda: ("", "XX12 " + "ABCD EFGH IJKL", ""), lambda: ("", "".join(word() for _ in range(9)), ""), lambda: ("sum ", f"{digits(7)}", ""),
         ],
     }
+    dashed = lambda *groups: "-".join(map(digits, groups))
+    alone = [
+        ("phone", lambda: f"({digits(3)}) {dashed(3, 4)}"), ("phone", lambda: dashed(3, 3, 4)), ("phone", lambda: ".".join(map(digits, (3, 3, 4)))), ("phone", lambda: f"+{rng.randrange(1, 99)} ({digits(3)}) {dashed(3, 4)}"),
+        ("phone", lambda: f"+1-{dashed(3, 3, 4)}"), ("ssn", lambda: dashed(3, 2, 4)), ("ssn", lambda: dashed(3, 2, 4)), ("iban", iban), ("mac", lambda: ":".join(hexes(2) for _ in range(6))),
+        ("ipv6", lambda: ":".join(hexes(4) for _ in range(8))), ("", lambda: f"{rng.randrange(1950, 2030)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}"), ("", lambda: str(rng.randrange(1, 2030))),
+        ("", lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4))), ("", lambda: digits(7)), ("", lambda: dashed(2, 3, 3, 4, 2)), ("", lambda: dashed(4, 3, 2, 4)), ("", lambda: dashed(3, 2, 4, 3)),
+    ]
     out = []
     for _ in range(n):
         text, spans = "", []
+        if rng.random() < 0.4:  # side by side, with at most a cue in front
+            text = rng.choice(["", "", "SSN ", "call ", "from ", word() + " "])
+            for _ in range(rng.randrange(2, 4)):
+                kind, make = rng.choice(alone)
+                body = make()
+                if kind:
+                    spans.append((kind, len(text), len(text) + len(body)))
+                text += body + rng.choice([" ", " ", " ", ", ", "; ", "/"])
+            out.append((text + word(), spans))
+            continue
         for _ in range(rng.randrange(1, 4)):
             text += " ".join(word() for _ in range(rng.randrange(0, 6))) + " "
             kind = rng.choice(list(kinds))
@@ -270,7 +349,7 @@ def trained(steps: int = 60, rate: float = 0.5, decay: float = 0.002) -> Weights
     for text, spans in sentences():
         want = set(spans)
         for zone in zones(candidates(text, base_spans(text))):
-            data.append((options(text, zone, {}), want))
+            data.append((list(options(text, zone, {})), want))
     weights: Weights = {}
     squares: dict[str, float] = {}
     for _ in range(steps):
@@ -298,7 +377,8 @@ def find(text: bytes, weights: Weights) -> tuple[list[Span], list[Span]]:
         return [], []
     decoded = text.decode()
     base = base_spans(decoded)
-    added = [span for zone in zones([c for c in candidates(decoded, base) if _DIGITS.search(decoded, c[1], c[2])]) for span in decode(options(decoded, zone, weights), weights)]
+    may = (c for c in candidates(decoded, base) if _DIGITS.search(decoded, c[1], c[2]))
+    added = [span for zone in zones(may) for span in decode_sorted(options(decoded, zone, weights), weights)]
     return base, sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

@@ -98,3 +98,56 @@ def test_held_out_sentences():
 
 def test_mask():
     assert P.mask("to a@b.c now 1.1.1.1", [("ip", 13, 20), ("email", 3, 8)]) == "to [email] now [ip]"
+
+
+def shown(text):
+    base, added = P.find(text.encode(), P.trained())
+    return [(k, text[s:e]) for k, s, e in base], [(k, text[s:e]) for k, s, e in added]
+
+
+@pytest.mark.parametrize(
+    ("text", "added"),
+    [
+        ("SSN 123-45-6789 2019-03-01", [("ssn", "123-45-6789")]),
+        ("7 123-45-6789", [("ssn", "123-45-6789")]),
+        ("555-123-4567 555-987-6543", [("phone", "555-123-4567"), ("phone", "555-987-6543")]),
+        ("call (555) 123-4567 2019-03-01 987-65-4321", [("phone", "(555) 123-4567"), ("ssn", "987-65-4321")]),
+        ("IBAN DE89 3704 0044 0532 0130 00 2019 GB29 NWBK 6016 1331 9268 19", [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB29 NWBK 6016 1331 9268 19")]),
+        ("2019-03-01 2020-04-05 1234567", []),
+    ],
+)
+def test_numbers_side_by_side(text, added):
+    assert shown(text) == ([], added)
+
+
+def test_number_beside_a_fixed_pattern():
+    assert shown("x +1 (826) 555-4081 190.137.223.204 y") == ([("ip", "190.137.223.204")], [("phone", "+1 (826) 555-4081")])
+
+
+def test_candidates_are_all_bounded_segments():
+    shapes = {source: whole for source, _, _, whole in P._SHAPES}
+    r = random.Random(12)
+    bits = [*"0123456789abcdefDE", *"0123456789", "-", "-", " ", " ", ":", ".", "(", "+", "_", "12", "45:", "a1:b2:c3:", "DE12", "ABCD", "é", "1.2.3.4", "a@b.cc", "x" * 14]
+    for _ in range(400):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(45)))
+        base = P.base_spans(text)
+        free = [not any(s <= i < e for _, s, e in base) for i in range(len(text))]
+        edges = {x for _, s, e in base for x in (s, e)} | {0, len(text)}
+
+        def token(i, chars):
+            return i not in edges and text[i - 1] in chars and text[i] in chars
+
+        want = set()
+        for s, e in itertools.combinations(range(len(text) + 1), 2):
+            if not all(free[s:e]):
+                continue
+            for source, whole in shapes.items():
+                chars = "0123456789abcdefABCDEF" if source in ("mac", "ipv6") else "".join(sorted(P._ALNUM))
+                if whole.fullmatch(text[s:e]) and (text[s] in "+(" or not token(s, chars)) and not token(e, chars):
+                    want.add((source, s, e))
+            word = "".join(sorted(P._ALNUM))
+            if re.fullmatch(r"[A-Za-z0-9_-]{16,120}", text[s:e]) and not any(token(x, c) for x in (s, e) for c in (word, "_-")):
+                want.add(("secret", s, e))
+        got = list(P.candidates(text, base))
+        assert set(got) == want and len(got) == len(want) and got == sorted(got, key=lambda c: c[1:]), text
+    assert max(e - s for _, s, e in P.candidates("a-" * 200, [])) == P.SPAN_LIMIT
