@@ -37,13 +37,19 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # another st
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_MAY = re.compile(rb"[0-9@]")
+#: Texts without any of these have no fixed span and no candidate.
+_MAY = re.compile(rb"[0-9@]"), re.compile(rb"[:-][A-Fa-f]{1,4}[:-]"), re.compile(rb"[A-Za-z_-]{16}")
+_PREFIX = re.compile(r"\+(?:[0-9]{1,3}[ .-]?)?\(?\Z")  # of a country
+_TURN = re.compile(r"[a-z](?=[A-Z])")
 #: Words before a span that tell its type.
 CUES = ("key", "token", "secret", "password", "passwd", "ssn", "social", "iban", "account", "card", "visa", "phone", "call", "tel", "mail", "mac", "device")
 
 _RUN, _PART = re.compile(r"[A-Za-z0-9_-]{16,}"), re.compile(r"[A-Za-z0-9]+|[_-]+")
 
 
+_GROUP = re.compile(r"[:-][0-9A-Fa-f]{1,4}[:-]")  # every MAC and IPv6 address has one
+
+
 def _shape(source: str, token: str, whole: str, start: str = "") -> tuple[str, re.Pattern, re.Pattern, re.Pattern]:
     """(source, starts with the longest segment from there, characters that no segment ends before, whole segments)."""
     return source, re.compile(f"(?:(?<![{token}]){start})(?=({whole}))"), re.compile(f"[{token}]"), re.compile(whole)
@@ -137,7 +143,12 @@ def candidates(text: str, taken: list[Span]) -> Iterator[Span]:
     for start, end in [*sorted((s, e) for _, s, e in taken), (len(text), len(text))]:
         if start > at:
             part = text[at:start]
-            for s, e, source in heapq.merge(_words(part), *(_shaped(part, *x) for x in _SHAPES)):
+            sources = [_words(part)] if _RUN.search(part) else []
+            if _DIGITS.search(part):
+                sources += [_shaped(part, *x) for x in _SHAPES[:2]]
+            if _GROUP.search(part):
+                sources += [_shaped(part, *x) for x in _SHAPES[2:]]
+            for s, e, source in heapq.merge(*sources):
                 yield source, at + s, at + e
         at = max(at, end)
 
@@ -164,7 +175,14 @@ def features(text: str, source: str, start: int, end: int) -> list[str]:
     quoted = text[start - 1 : start] in ('"', "'") and text[end : end + 1] in ('"', "'")
     out = ["bias", f"source {source}", f"form {form}", f"source {source} form {form}", f"cue {cue}", f"digits {min(digits, 20) // 4}", f"length {min(end - start, 60) // 8}", f"assigned {assigned} quoted {quoted}"]
     left, right = beside(text, start - 1, -1), beside(text, end, 1)
+    if _PREFIX.search(text, max(0, start - 6), start):
+        left = "prefix"
     out += [f"left {left}", f"right {right}", f"source {source} tied {left in _TIES or left == 'token'} {right in _TIES or right == 'token'}"]
+    if source == "number":
+        out.append(f"brackets {span.count('(') - span.count(')')}")
+    if source == "secret":  # names of several words turn from small to capital letters less often than chance does
+        turns = len(_TURN.findall(span)) * 7 > end - start
+        out += [f"turns {turns}", f"form {form} turns {turns} cue {cue != 'none'} assigned {assigned} quoted {quoted}"]
     if source == "iban":
         out.append(f"check {iban_ok(span)}")
     return out
@@ -299,16 +317,23 @@ def sentences(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
     def word() -> str:
         return "".join(rng.choice(["an", "er", "th", "ion", "ou", "st", "é"]) for _ in range(rng.randrange(1, 4)))
 
+    af = lambda k: "".join(rng.choice("abcdef") for _ in range(k))
+    letters = lambda k: "".join(rng.choice("ABCDEFGHJKLMNOPQRSTUVWXYZabcdefghjkmnopqrstuvwxyz") for _ in range(k))
+    parts = lambda: ["".join(rng.choice("abdefgilmnorstu") for _ in range(rng.randrange(3, 9))) for _ in range(rng.randrange(4, 6))]
+    camel = lambda: "".join(w.capitalize() for w in parts())
     kinds = {
-        "secret": [lambda: ('key = "', hexes(40), '"'), lambda: ("token: ", mixed(32), ""), lambda: ("api_key='", mixed(24), "'"), lambda: ("secret ", hexes(32), ""), lambda: ("password=", mixed(18), ""), lambda: ("", hexes(40), "")],
+        "secret": [lambda: ('key = "', hexes(40), '"'), lambda: ("token: ", mixed(32), ""), lambda: ("api_key='", mixed(24), "'"), lambda: ("secret ", hexes(32), ""), lambda: ("password=", mixed(18), ""), lambda: ("", hexes(40), ""),
+            lambda: ('key = "', letters(24), '"'), lambda: ("password=", letters(20), ""), lambda: ("token: ", letters(32), ""), lambda: ("secret '", letters(28), "'"), lambda: ("api_key='", letters(40), "'")],
         "iban": [lambda: ("IBAN ", iban(), ""), lambda: ("", iban(), ""), lambda: ("account ", iban(), ".")],
         "ssn": [lambda: ("SSN ", f"{digits(3)}-{digits(2)}-{digits(4)}", ""), lambda: ("social security ", f"{digits(3)}-{digits(2)}-{digits(4)}", ".")],
         "phone": [lambda: ("call ", f"({digits(3)}) {digits(3)}-{digits(4)}", ""), lambda: ("phone ", f"{digits(3)}-{digits(3)}-{digits(4)}", ","), lambda: ("tel ", f"{digits(3)}.{digits(3)}.{digits(4)}", "")],
-        "mac": [lambda: ("device ", ":".join(hexes(2) for _ in range(6)), "")],
-        "ipv6": [lambda: ("from ", ":".join(hexes(4) for _ in range(8)), "")],
+        "mac": [lambda: ("device ", ":".join(hexes(2) for _ in range(6)), ""), lambda: ("", ":".join(af(2) for _ in range(6)), ""), lambda: ("mac ", "-".join(af(2) for _ in range(6)), "")],
+        "ipv6": [lambda: ("from ", ":".join(hexes(4) for _ in range(8)), ""), lambda: ("", ":".join(af(4) for _ in range(8)), "")],
         "": [
             lambda: ("", word() + "-" + "".join(word() for _ in range(8)), ""), lambda: ("order ", digits(12), ""), lambda: ("", digits(16), ""), lambda: ("in ", "2019-2024 1990", ""), lambda: ("", "_" * 20, ""),
             lambda: ("part ", f"{digits(4)}-{digits(4)}", ""), lambda: ("", "XX12 " + "ABCD EFGH IJKL", ""), lambda: ("", "".join(word() for _ in range(9)), ""), lambda: ("sum ", f"{digits(7)}", ""),
+            lambda: ("", camel(), ""), lambda: (rng.choice(["key ", "token = ", "secret: "]), camel(), ""), lambda: (rng.choice(["", "key ", "token: "]), "_".join(parts()), ""),
+            lambda: (rng.choice(["", "secret ", "account: "]), "-".join(parts()), ""), lambda: (rng.choice(["", "key: ", "card "]), "".join(parts()), ""), lambda: ("", "-".join(af(2) for _ in range(9)), ""),
         ],
     }
     dashed = lambda *groups: "-".join(map(digits, groups))
@@ -373,12 +398,11 @@ def trained(steps: int = 60, rate: float = 0.5, decay: float = 0.002) -> Weights
 
 def find(text: bytes, weights: Weights) -> tuple[list[Span], list[Span]]:
     """(what the fixed patterns find, what the field adds), both by kind and start, in code points."""
-    if not _MAY.search(text):  # every pattern and candidate that the field accepts has a digit or an @
+    if not any(p.search(text) for p in _MAY):
         return [], []
     decoded = text.decode()
     base = base_spans(decoded)
-    may = (c for c in candidates(decoded, base) if _DIGITS.search(decoded, c[1], c[2]))
-    added = [span for zone in zones(may) for span in decode_sorted(options(decoded, zone, weights), weights)]
+    added = [span for zone in zones(candidates(decoded, base)) for span in decode_sorted(options(decoded, zone, weights), weights)]
     return base, sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

@@ -151,3 +151,18 @@ def test_candidates_are_all_bounded_segments():
         got = list(P.candidates(text, base))
         assert set(got) == want and len(got) == len(want) and got == sorted(got, key=lambda c: c[1:]), text
     assert max(e - s for _, s, e in P.candidates("a-" * 200, [])) == P.SPAN_LIMIT
+
+
+@pytest.mark.parametrize(
+    ("text", "added"),
+    [
+        ("de:ad:be:ef:ca:fe", [("mac", "de:ad:be:ef:ca:fe")]),
+        ("mac de-ad-be-ef-ca-fe x", [("mac", "de-ad-be-ef-ca-fe")]),
+        ("abcd:beef:cafe:babe:dead:fade:face:deed", [("ipv6", "abcd:beef:cafe:babe:dead:fade:face:deed")]),
+        ('key = "qWeRtYuIoPaSdFgHjKlZ"', [("secret", "qWeRtYuIoPaSdFgHjKlZ")]),
+        ("see MyVeryLongClassNameHere, Donaudampfschifffahrtsgesellschaft, well-known-something-here-it-is", []),
+        ("-" * 40 + " " + "_" * 40, []),
+    ],
+)
+def test_entities_of_letters(text, added):
+    assert shown(text) == ([], added)
