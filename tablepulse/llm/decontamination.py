@@ -11,6 +11,9 @@ block in an index of the items' fingerprints misses none of them; those found ar
 item would begin; the item-sized window there, and those shifted by a few words, are compared with the item by their
 five-word shingles, each weighing as often as it stands (sum of minima over sum of maxima). From MIN_SIMILARITY on it's a leak.
 
+An item of fewer than WINDOW_WORDS words has three shingles at most, or is itself its only one, so at MIN_SIMILARITY all must
+be equal. It is looked up exactly: by the sum of its shingles' hashes, at every word, without fingerprints.
+
 Items are held in blocks of ITEM_BLOCK; each block is looked for in all texts.
 """
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from tablepulse.llm.common import filter_texts, map_texts, table, worker_state
 from tablepulse.llm.tokens import Growing, Words, ragged
 
-SHINGLE, MIN_SIMILARITY, RADIUS, LEAST_WORDS, ITEM_BLOCK = 5, 0.8, 3, 8, 20_000
+SHINGLE, MIN_SIMILARITY, RADIUS, LEAST_WORDS, WINDOW_WORDS, ITEM_BLOCK = 5, 0.8, 3, 1, 8, 20_000
 SIZES = tuple(sorted(x << k for x in (2, 3) for k in range(1, 14)))
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 Planes = list[np.ndarray]
@@ -108,6 +111,20 @@ def window_prints(hashes: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]
     return out
 
 
+def run_sums(hashes: np.ndarray, n: int) -> np.ndarray:
+    """For the run of n words that begins at each word, a number that is equal for runs of the same shingles."""
+    size = min(n, SHINGLE)
+    starts = max(len(hashes) - n + 1, 0)
+    each = np.zeros(starts + n - size if starts else 0, np.uint64)
+    for k in range(size):
+        each = (each ^ hashes[k : k + len(each)]) * np.uint64(0x9E3779B97F4A7C15)
+        each ^= each >> np.uint64(29)
+    out = np.zeros(starts, np.uint64)
+    for k in range(n - size + 1):
+        out += each[k : k + starts]
+    return out
+
+
 def shingles(words: list[bytes]) -> Counter:
     if len(words) < SHINGLE:
         return Counter([tuple(words)] if words else [])
@@ -160,15 +177,20 @@ class Items:
     ids: list
     words: list[list[bytes]]
     indexes: dict[int, Index] = field(init=False)
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)  # by number of words: sums, ascending, and their items
 
     def __post_init__(self) -> None:
         self.shingles = list(map(shingles, self.words))
         parts: dict[int, list] = {}
+        short: dict[int, list] = {}
         for i, words in enumerate(self.words):
-            if len(words) >= LEAST_WORDS:
+            if LEAST_WORDS <= len(words) < WINDOW_WORDS:
+                short.setdefault(len(words), []).append((int(run_sums(np.array([hashed(w) for w in words], np.uint64), len(words))[0]), i))
+            elif len(words) >= WINDOW_WORDS:
                 size = window_size(len(words))
                 prints = window_prints(np.array([hashed(w) for w in words], np.uint64), [size])[size]
                 parts.setdefault(size, []).append((prints, np.full(len(prints), i), np.arange(len(prints))))
+        self.short = {n: (np.array([x for x, _ in p], np.uint64), np.array([i for _, i in p], np.int64)) for n, p in ((n, sorted(p)) for n, p in short.items())}
         self.indexes = {size: Index(*(np.concatenate(x) for x in zip(*p, strict=True))) for size, p in parts.items()}
 
 
@@ -209,6 +231,18 @@ def leaks(texts: list[bytes], items: Items) -> list[tuple[int, int, float, int,
             for key, b in zip(zip(text[at].tolist(), index.items[entry].tolist(), start.tolist(), strict=True), bits.tolist(), strict=True):
                 places[key] = min(b, places.get(key, 64))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    for n, (sums, numbers) in items.short.items():
+        found = run_sums(hashes, n)
+        low = np.searchsorted(sums, found, side="left")
+        at = np.flatnonzero((left[: len(found)] >= n) & (sums[np.minimum(low, len(sums) - 1)] == found))
+        first, counts = low[at], np.searchsorted(sums, found[at], side="right") - low[at]
+        at, item = np.repeat(at, counts), numbers[ragged(first, counts)]
+        # all runs found are equal in their shingles, so the first of each text and item stands for the others
+        _, once = np.unique(text[at] * len(items.words) + item, return_index=True)
+        for a, i in zip(at[once].tolist(), item[once].tolist(), strict=True):
+            own = np.array([hashed(w) for w in items.words[i]], np.uint64)
+            bits = window_prints(own, [n])[n] ^ window_prints(hashes[a : a + n], [n])[n]
+            best[int(text[a]), i] = (1.0, a - int(begins[text[a]]), int(np.bitwise_count(bits)[0]))
     words: dict[int, list[bytes]] = {}
     for (t, i, start), bits in sorted(places.items()):
         if t not in words:
@@ -236,8 +270,7 @@ def item_blocks(items: DataFrame, size: int = ITEM_BLOCK) -> list[Items]:
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each row of docs and item that it holds: doc_id, item_id, similarity, first_word, hamming.
 
-    Text or item null or empty: no match; items of fewer than LEAST_WORDS words are not looked for. Repeated rows or items
-    give a row each; null ids stay null. Empty tables give no rows."""
+    Text or item null or empty, or without a word: no match. Repeated rows or items give a row each; null ids stay null. Empty tables give no rows."""
     out = None
     for block in item_blocks(items) or [Items([], [])]:
         sent = docs.sparkSession.sparkContext.broadcast(block)

@@ -55,6 +55,21 @@ def test_planted_items_against_all_windows():
     assert sum(abs(got[k] - want[k]) < 1e-9 for k in got) > 0.97 * len(got)
 
 
+def test_short_items_against_all_windows():
+    r = random.Random(9)
+    for _ in range(20):
+        words = [b"w%d" % i for i in range(r.choice([2, 3, 6]))]
+        items = [[r.choice(words) for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 7, 8)] + [[b"a", b"b", b"c", b"a", b"b", b"c", b"a"], [b"only"], []]
+        docs = [[r.choice(words) for _ in range(r.randrange(30))] for _ in range(20)] + [[b"b", b"c", b"a", b"b", b"c", b"a", b"b"], [b"ONLY!"], []]
+        docs += [[b"x"] * 3 + i + [b"y"] * 3 for i in items[:8]]
+        got = {(t, i): s for t, i, s, *_ in D.leaks([b" ".join(d) for d in docs], D.Items(list(range(len(items))), items))}
+        want = brute([D.plain_words(b" ".join(d)) for d in docs], items)
+        short = lambda x: {k: v for k, v in x.items() if len(items[k[1]]) < 8}
+        assert short(got) == short(want) and len(short(want)) > 8
+    item = D.plain_words(b"To be, or not to be?")
+    assert D.leaks([b"", b"He said: to be or NOT to be. To be or not to be!"], D.Items([7], [item])) == [(1, 0, 1.0, 2, 0)]
+
+
 def test_window_prints():
     hashes = np.array([rng.getrandbits(64) for _ in range(90)], np.uint64)
     for sizes in ([4], [6, 8, 12], [24, 96], [128]):
