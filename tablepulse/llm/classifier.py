@@ -7,7 +7,8 @@ numbers: how many parts (log), how many differ, the mean's length and the share
 
 Context vectors are counted over all rows: a row for each word row and task, summed before and after the shuffle; the driver
 gets WORDS rows. The network is fitted in numpy on labelled rows, TRAIN_LIMIT at most (the first by hash of doc_id); CALIBRATION
-of them set the temperature that its logits are divided by. Labels, lang, source and doc_id are no inputs.
+of them set the temperature that its logits are divided by. n fitting rows are gone over EPOCHS * sqrt(FULL / n) times,
+FULL being those of TRAIN_LIMIT labels: less often the more there are, without a jump at any size. Labels, lang, source and doc_id are no inputs.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from tablepulse.llm.tokens import shared_words
 
 WORDS, SIZE, NONZERO, REACH = 8192, 48, 4, 2
 TRAIN_LIMIT, CALIBRATION, HIDDEN, EPOCHS, BATCH, RATE, DECAY, THRESHOLD = 20_000, 0.2, 32, 30, 64, 3e-3, 1e-4, 0.3
+FULL = int(TRAIN_LIMIT * (1 - CALIBRATION))
 EXTRA = 4
 
 
@@ -105,6 +107,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
+def epochs(n: int) -> int:
+    """How often n fitting rows are gone over."""
+    return round(EPOCHS * np.sqrt(FULL / n))
+
+
 @dataclass
 class Network:
     mean: np.ndarray
@@ -135,7 +142,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 1) -> Network:
     rate = np.clip(fit_y.mean(), 0.01, 0.99)
     params = [rng.normal(0, 1 / np.sqrt(width), (width, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1, HIDDEN), np.array(np.log(rate / (1 - rate)))]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(EPOCHS if len(z) > 2000 else EPOCHS * 4):
+    for _ in range(epochs(len(z))):
         order = rng.permutation(len(z))
         for at in range(0, len(z), BATCH):
             rows = order[at : at + BATCH]

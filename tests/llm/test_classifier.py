@@ -70,3 +70,11 @@ def test_odd_rows(spark, docs_of):
     assert len(got) == 5 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     none = C.fit(docs_of([]), labels.limit(0))
     assert C.score(docs_of([]), none).count() == 0
+
+
+def test_epochs_change_smoothly():
+    many = [C.epochs(n) for n in range(1, 20001)]
+    assert C.epochs(C.FULL) == C.EPOCHS and many == sorted(many, reverse=True)
+    assert all(a - b <= max(1, a / n) for n, (a, b) in enumerate(zip(many, many[1:], strict=False), 1))
+    steps = [C.epochs(n) * n for n in (1, 10, 100, 1000, 2000, 4000, 20000)]
+    assert steps == sorted(steps)
