@@ -174,7 +174,8 @@ def components(links: DataFrame, nodes: int | None = None, rounds: int = 60) ->
 
     Large-star and small-star steps alternate until nothing changes. Each partition first ties its own links
     together, which shortens chains. No step holds the links of a node in one place: minima are pre-aggregated and
-    joins on a frequent node can be split. Each round ends in a checkpoint. nodes: how many there are at most."""
+    joins on a frequent node can be split. Each round ends in a checkpoint. nodes: how many there are at most. An error
+    is raised if something still changes in the last of rounds, far more than are needed."""
     stars = cut(links.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long").distinct(), nodes)
     seen = None
     for _ in range(rounds):
@@ -192,4 +193,6 @@ def components(links: DataFrame, nodes: int | None = None, rounds: int = 60) ->
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return stars.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")

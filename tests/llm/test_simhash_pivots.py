@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 import xxhash
 
 from tablepulse.llm import simhash_pivots as S
@@ -69,6 +70,12 @@ def test_chains_and_empty(spark, docs_of):
     assert S.near_duplicates(docs_of([])).count() == 0
 
 
+def test_components_that_still_change_are_an_error(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        S.components(links, rounds=1)
+
+
 def test_repeated_rows_and_ties(spark, docs_of):
     rows = [(5, "a b c d"), (5, "a b c d"), (3, "A B c D"), (None, "a b c d")]
     assert sorted((r.doc_id or -1, r.component_id) for r in S.near_duplicates(docs_of(rows)).collect()) == [(-1, 3), (3, 3), (5, 3), (5, 3)]
