@@ -24,13 +24,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each near-duplicate group. Rows of one doc_id are one document, of which the row
-    with the smallest text stays; rows without doc_id come after all others and are told apart by their text."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1) - F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1)))
-    keyed = docs.withColumn("_key", key)
-    groups = simhash_pivots.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
+    """The document of smallest doc_id of each near-duplicate group; documents without doc_id come after all others, and of
+    several with that doc_id one stays, by hash. A document is its doc_id and text, as in line dedup: of rows equal in both
+    one stays, and rows that share only their doc_id are told apart."""
+    key = [x.alias(f"_{i}") for i, x in enumerate(line_dedup.doc_key(F.col("text")))]
+    keyed = docs.withColumn("_key", F.xxhash64(*key))
+    groups = simhash_pivots.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
+    ids = keyed.select("_key", key[0]).groupBy("_key").agg(F.min("_0").alias("_0"))
+    first = groups.join(ids.hint("merge"), "_key").groupBy("component_id").agg(F.min(F.struct("_0", "_key"))["_key"].alias("_key")).select("_key")
+    rank = F.row_number().over(Window.partitionBy("_key", "doc_id", "text").orderBy("_key"))
     # always a sorted join, at any size: what is kept grows with the corpus
     return keyed.join(first.hint("merge"), "_key", "left_semi").withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
 

@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tablepulse.llm import decontamination as D
 from tablepulse.llm import quality_rules as Q
+from tablepulse.llm import stages
 from tests.llm.test_bpe import PATH
 from tests.llm.test_decontamination import brute as brute_leaks
 from tests.llm.test_line_dedup import brute as brute_lines
@@ -93,6 +94,18 @@ def test_every_stage_against_brute_force(spark, tmp_path):
             assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {d: w[2] for d, w in want.items()}
 
 
+def test_near_copies_keep_texts_that_share_a_doc_id(spark, docs_of, tmp_path):
+    say = lambda seed: " ".join(random.Random(seed).choice("abcdefghij") + str(random.Random(seed * 1000 + i).randrange(99)) for i in range(400))
+    a, b, c = say(1), say(2), say(3)
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, c), (None, c), (None, a + " end"), (4, None), (0, b + " end"), (0, "other words stand here"), (None, "nothing else like it"), (None, "and one more of them")]
+    want = {(1, a), (0, b + " end"), (3, c), (4, None), (0, "other words stand here"), (None, "nothing else like it"), (None, "and one more of them")}
+    docs = docs_of(rows, _key="clash", _0="clash", component_id="clash")
+    got = stages.near_copies(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    assert set(found) == want and len(found) == len(want)
+
+
 def test_odd_rows_pass_every_stage(spark, docs_of, tmp_path):
     fixture(tmp_path)
     text = "a b c d e f g h i j k l m n o p"
