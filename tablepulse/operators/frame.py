@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablepulse.operators.lineage import written
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 FRACTIONAL = (T.FloatType, T.DoubleType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -77,22 +81,30 @@ class Table:
         return F.when(F.abs(c) < float("inf"), c)
 
 
+def _dealt_anew(df: DataFrame) -> bool:
+    """Whether each job may cut df into other partitions: a shuffle's are merged, split and bounded at run time."""
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def _scan_position(df: DataFrame) -> tuple[DataFrame, int]:
     """df with _pos, the row's place in scan order (single-file sources: file order), and the number of rows.
 
     The id that Spark gives holds a partition's number and the place in it, so the rows before each partition are all that
-    is counted: one number for each partition, and no shuffle of rows."""
+    is counted: one number for each partition. Rows that come from a shuffle are written with their id first, and counted
+    and read from there: two jobs over the same plan may deal them out differently."""
     marked = df.withColumn("_id", F.monotonically_increasing_id())
+    if _dealt_anew(df):
+        marked = written(marked)
     part = F.shiftright("_id", 33)
     counts = sorted((r.p, r["count"]) for r in marked.select(part.alias("p")).groupBy("p").count().collect())
-    before, offsets = 0, {}
-    for p, n in counts:
-        offsets[p] = before
-        before += n
-    if not offsets:
-        return marked.withColumn("_pos", F.lit(0).cast("long")).drop("_id"), 0
-    lookup = F.create_map(*(x for p, n in offsets.items() for x in (F.lit(p).cast("long"), F.lit(n).cast("long"))))
-    return marked.withColumn("_pos", lookup[part] + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id"), before
+    n = sum(c for _, c in counts)
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    if len(counts) < 2:
+        return marked.withColumn("_pos", place).drop("_id"), n
+    before = np.cumsum([0, *(c for _, c in counts[:-1])])
+    offsets = df.sparkSession.createDataFrame(pa.table({"_part": pa.array([p for p, _ in counts], pa.int64()), "_before": pa.array(before, pa.int64())}))
+    placed = marked.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # two numbers a partition
+    return placed.select(*df.columns, (F.col("_before") + place).alias("_pos")), n
 
 
 def in_scan_order(df: DataFrame) -> DataFrame:

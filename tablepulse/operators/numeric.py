@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -86,9 +87,11 @@ def picked(values: DataFrame, places: list[int]) -> dict[int, float]:
         wanted = [p for p in places if 0 <= p < before]
         if not wanted:
             return {}
-        offset = F.create_map(*(x for p, o in offsets.items() for x in (F.lit(p), F.lit(o).cast("long"))))[F.col("part")]
+        starts = sorted((o, part) for part, o in offsets.items())
+        holds = {p: starts[bisect_right(starts, (p, before)) - 1] for p in wanted}  # the partition that a place is in
+        offset = F.coalesce(*(F.when(F.col("part") == part, F.lit(o).cast("long")) for o, part in set(holds.values())))
         own = Window.partitionBy("part").orderBy("value")
-        upto = ranged.withColumn("upto", F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)) + offset)
+        upto = ranged.where(F.col("part").isin([part for _, part in holds.values()])).withColumn("upto", F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)) + offset)
         hits = upto.where(" or ".join(f"(upto > {p} and upto - n <= {p})" for p in wanted)).select("value", "n", "upto").collect()
         return {p: float(next(r.value for r in hits if r.upto > p >= r.upto - r.n)) for p in wanted}
     finally:

@@ -6,7 +6,6 @@ with the stored ones, so no row is read twice.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tablepulse.functions.dates import native_micros
 from tablepulse.operators.frame import Table
+from tablepulse.operators.lineage import shared_dir
 from tablepulse.plans.queries import query, read
 
 
@@ -57,9 +57,7 @@ class FactsSink:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own where the cluster's nodes share one, else on this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{name}-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix=name)
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4()}"
 
 
 def _run(spark: SparkSession, sf: str, make) -> DataFrame:  # noqa: ANN001

@@ -149,3 +149,21 @@ def test_rising_and_maps(spark):
     got = samples.missing_map(df, 10, 1, order=("k",)).collect()
     assert len(got) == 10 and {r.column_name for r in got} == {"v"}
     assert samples.top_and_other(one(spark, list("aabbc"), "string"), "x", 2).orderBy("rank").collect()[-1].n == 1
+
+
+@pytest.mark.parametrize("advisory", ["64m", "2k"])
+def test_evenly_spaced_after_a_shuffle(spark, advisory):
+    """Rows that a shuffle has dealt out keep one order, however small the partitions that adaptive execution makes."""
+    conf = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, advisory)
+    try:
+        left = spark.range(20_000).selectExpr("id * 7919 % 20011 AS k", "id AS v")
+        joined = left.join(spark.range(20_011).hint("merge").withColumnRenamed("id", "k"), "k")
+        want = [i * 19_999 // 999 for i in range(1000)]
+        assert sorted(r._pos for r in evenly_spaced(joined, 1000).collect()) == want
+        ordered = evenly_spaced(joined, 1000, "k").collect()
+        keys = sorted(r.k for r in joined.collect())
+        assert {r._pos: r.k for r in ordered} == {p: keys[p] for p in want}
+    finally:
+        spark.conf.set(conf, before)
