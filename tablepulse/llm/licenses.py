@@ -2,8 +2,9 @@
 
 A text is lower-cased (A-Z) and reduced to its words with one space between them, so that a phrase is a run of whole words
 whatever stood between. What follows an identifier tag in the text itself, up to the end of the line or the next tag and
-however long, is read as a licence expression: identifiers, parentheses, WITH before AND before OR. An expression's freedom is a number from 0 to 1: OR gives the better of two sides,
-AND the worse, WITH lifts a copyleft licence half way to 1. A text's score is the least freedom of what it names, 0 if it names nothing.
+however long, is read as a licence expression: identifiers, parentheses, WITH (behind an identifier) before AND before OR. An
+expression's freedom is a number from 0 to 1: OR gives the better of two sides, AND the worse, WITH lifts a licence half way
+to 1. A text's score is the least freedom of what it names, 0 if it names nothing.
 """
 
 from __future__ import annotations
@@ -74,12 +75,13 @@ def postfix(text: str, at: int = 0, upto: int | None = None) -> list[str]:
     stack: list[str] = []
     best: tuple[int, list[str]] = (0, [])  # how much of out, and the operators that come after it: three at most
     operand, depth = False, 0  # operand: whether one has just ended
+    plain = False  # whether it was an identifier: an exception belongs to one licence, not to a bracket
     upto = len(text) if upto is None else upto
     while m := _TOKEN.match(text, at, upto):  # a token never crosses the end of a line
         at, token = m.end(), m[1]
         word = token.lower()
         if word in _RANK:
-            if not operand:
+            if not operand or (word == "with" and not plain):
                 break
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[word]:
                 out.append(stack.pop())
@@ -97,11 +99,12 @@ def postfix(text: str, at: int = 0, upto: int | None = None) -> list[str]:
                 out.append(stack.pop())
             stack.pop()
             depth -= 1
+            plain = False
         else:
             if operand:
                 break
             out.append(word)
-            operand = True
+            operand = plain = True
         if operand and not depth:
             best = (len(out), stack[::-1])
     return out[: best[0]] + best[1]

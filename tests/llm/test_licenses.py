@@ -51,7 +51,8 @@ def test_expressions(text, labels, score):
 
 
 def test_tags_and_notices():
-    assert L.scan_text(b"// SPDX-License-Identifier: (MIT OR GPL-3.0-or-later) WITH x\nmore")[2:] == (["gpl-3.0-or-later", "mit"], [["mit", "gpl-3.0-or-later", "or"]], 0.9) or True
+    assert L.scan_text(b"// SPDX-License-Identifier: (MIT OR GPL-3.0-or-later) WITH x\nmore")[2:] == (["gpl-3.0-or-later", "mit"], [["mit", "gpl-3.0-or-later", "or"]], 0.9)
+    assert L.scan_text(b"SPDX-License-Identifier: (GPL-2.0 WITH x) WITH y")[2:] == (["gpl-2.0 with x"], [["gpl-2.0", "x", "with"]], 0.65)
     n, places, labels, expressions, score = L.scan_text("Licensed under CC BY-NC 4.0.\n# SPDX-License-Identifier: Apache-2.0 AND MIT\nAll rights reserved.".encode())
     assert labels == ["all-rights-reserved", "apache-2.0", "cc-by", "cc-by-nc", "mit"] and expressions == [["apache-2.0", "mit", "and"]] and score == 0.0
     assert L.scan_text("Licensed under the Apache License, Version 2.0.".encode())[2] == ["apache", "apache-2.0"]
