@@ -9,7 +9,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
 
@@ -19,28 +18,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablepulse.operators.lineage import shared_dir, written
+
 #: Bytes of text that a Python worker works on at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 #: Rows of a checkpoint file, where their number is known.
 FILE_ROWS = 50_000
+#: Links that a task ties together at once.
+LINKS = 500_000
 #: Bytes of an Arrow batch, where the session has Spark's default.
 BATCH_BYTES, DEFAULT_BATCH = 8 << 20, "67108864b"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's, or one of our own where none is set, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return context.getCheckpointDir()
-
-
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, written to the shared checkpoint folder, so that a lost executor costs no recomputation of what came before.
 
     rows: about how many there are at most; then no more files are written than hold FILE_ROWS each."""
-    shared_dir(df.sparkSession)
-    return (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).checkpoint(eager=True)
+    return written(df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS))))
 
 
 class Relay:
@@ -158,11 +152,19 @@ class Forest:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of one partition as stars: each node with the smallest node that this partition ties it to."""
-    forest = Forest()
+    """Links of one partition, LINKS at a time, as stars: each node with the smallest node that these tie it to."""
+    forest, n = Forest(), 0
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             forest.join(a, b)
+        n += batch.num_rows
+        if n >= LINKS:
+            yield from _stars(forest)
+            forest, n = Forest(), 0
+    yield from _stars(forest)
+
+
+def _stars(forest: Forest) -> Iterator[pa.RecordBatch]:
     nodes = list(forest.up)
     roots = [forest.root(x) for x in nodes]
     for at in range(0, len(nodes), 100_000):

@@ -148,7 +148,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), prints.count())
     tied = components(links(distinct), distinct.count())
     nodes = distinct.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    of = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written out, so that both sides of the join are dealt anew and a frequent component's rows can be split
+    of = cut(nodes.groupBy("component").agg(F.min("least").alias("component_id")))
     by_print = nodes.join(of, "component").select("fp", "component_id")
     joined = prints.join(by_print, "fp")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_shingles")
