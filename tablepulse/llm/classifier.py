@@ -183,7 +183,8 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_LIMIT) -> Model:
-    """labels: doc_id, quality (1 good, 0 bad; others and nulls don't count). Of repeated labels the larger counts."""
+    """labels: doc_id, quality (1 good, 0 bad; others and nulls don't count). Of repeated labels the larger counts; of several
+    texts of one labelled doc_id the one whose pooled row is largest, so that the model doesn't depend on the rows' order."""
     vectors = word_vectors(context_vectors(docs))
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
@@ -194,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_LIMIT) -> Model:
 
     # limit rows of two numbers are broadcast, and limit pooled rows come back
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")
-    found = {r.doc_id: np.array(r.x, np.float32) for r in map_texts(chosen, run, "doc_id long, x array<float>").dropDuplicates(["doc_id"]).collect()}
+    found = {r.doc_id: np.array(r.x, np.float32) for r in map_texts(chosen, run, "doc_id long, x array<float>").groupBy("doc_id").agg(F.max("x").alias("x")).collect()}
     rows = [(found[r.doc_id], r.quality) for r in some.collect() if r.doc_id in found]
     x = np.array([r[0] for r in rows], np.float32).reshape(len(rows), SIZE + EXTRA)
     return Model(vectors, train(x, np.array([r[1] for r in rows], np.float64)))
