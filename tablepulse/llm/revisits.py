@@ -4,8 +4,10 @@ Addresses are compared in canonical form. A revisit takes over the payload of th
 entity tags must agree (weakly), or, without those on either side, the modification dates where both give one. Then the
 response's headers are kept, but those that a not-modified answer may update are taken from the revisit.
 
-The join is dealt by address and time bucket, so a hot address doesn't meet in one task: within a bucket a window looks back,
-and before it a running maximum over the address's buckets (one row each) does.
+The join is dealt by address and time, so a hot address doesn't meet in one task. Times are numbers of several digits in base
+BASE. For each address and time the latest response is known first; a window looks back over the times that share all digits
+but the last (BASE rows at most), one level up over the sums of those that share all but the last two, and so on. A time's
+answer is that of the lowest level with one.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from tablepulse.llm.common import table
 
 #: Headers that a 304 answer may update (RFC 9110, section 15.4.5, and Last-Modified).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-BUCKET = 10_000
+#: Rows that a window holds at most.
+BASE = 1000
 
 
 def canonical_url(url: Column) -> Column:
@@ -31,7 +34,24 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(params), "&"))).otherwise(""))
 
 
-def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def latest_before(times: DataFrame, base: int) -> DataFrame:
+    """(url, t, r): for each row (url, t, latest) the latest of that url at a smaller t; t from 0, rows differ in url and t."""
+    top = times.agg(F.max("t")).first()[0] or 0
+    levels, rows = [], times.select("url", "t", "latest")
+    while True:
+        rows = rows.withColumn("up", F.floor(F.col("t") / base))
+        back = Window.partitionBy("url", "up").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+        levels.append(rows.select("url", "t", "up", F.max("latest").over(back).alias("r")))
+        if top < base:
+            break
+        rows, top = rows.groupBy("url", "up").agg(F.max("latest").alias("latest")).withColumnRenamed("up", "t"), top // base
+    found = levels.pop().drop("up")
+    while levels:
+        found = levels.pop().join(found.select("url", F.col("t").alias("up"), F.col("r").alias("far")), ["url", "up"]).select("url", "t", F.coalesce("r", "far").alias("r"))
+    return found
+
+
+def resolve_revisits(records: DataFrame, base: int = BASE) -> DataFrame:
     """One row per revisit: record_id, url, outcome, response_id, headers (sorted name=value strings), payload_digest.
 
     records: record_id, type, url, ts (long), status, headers map<string,string> (lower-case names), payload_digest. Full
@@ -43,13 +63,12 @@ def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     full = (F.col("type") == "response") & (F.col("status") == 200)
     response = F.when(full, F.struct("ts", "record_id", entries.alias("headers"), "payload_digest"))
     rows = records.where(full | (F.col("type") == "revisit")).select("record_id", "type", canonical_url(F.col("url")).alias("url"), F.col("ts").cast("long").alias("ts"), F.coalesce("headers", F.expr("cast(map() as map<string,string>)")).alias("headers"), response.alias("response"))
-    rows = rows.withColumn("bucket", F.floor(F.col("ts") / bucket))
-    back = Window.partitionBy("url", "bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     known = F.col("url").isNotNull() & F.col("ts").isNotNull()
-    near = rows.where(known).withColumn("near", F.max("response").over(back)).where("type = 'revisit'")
-    before = Window.partitionBy("url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = rows.where(known).groupBy("url", "bucket").agg(F.max("response").alias("latest")).select("url", "bucket", F.max("latest").over(before).alias("far"))
-    found = near.join(buckets, ["url", "bucket"], "left").select("record_id", "url", "headers", F.coalesce("near", "far").alias("r"))
+    first = records.agg(F.min(F.col("ts").cast("long"))).first()[0] or 0
+    rows = rows.withColumn("t", F.col("ts") - F.lit(first))
+    times = rows.where(known).groupBy("url", "t").agg(F.max("response").alias("latest"))
+    # url and t are dealt anew on both sides, so that a frequent pair's revisits can be split
+    found = rows.where(known & (F.col("type") == "revisit")).join(latest_before(times, base), ["url", "t"]).select("record_id", "url", "headers", "r")
     lost = rows.where(~known & (F.col("type") == "revisit")).select("record_id", "url", "headers", F.lit(None).cast(found.schema["r"].dataType).alias("r"))
     every = found.unionByName(lost)
     old = F.map_from_entries("r.headers")

@@ -25,16 +25,16 @@ def test_canonical(spark, url, want):
     assert spark.createDataFrame([(url,)], "u string").select(R.canonical_url(F.col("u"))).first()[0] == want
 
 
-@pytest.mark.parametrize("bucket", [3, 7, 1000])
-def test_against_brute_force(spark, bucket):
-    rng = random.Random(bucket)
+@pytest.mark.parametrize(("base", "far"), [(2, 60), (7, 60), (1000, 2**40)])
+def test_against_brute_force(spark, base, far):
+    rng = random.Random(base)
     rows = []
     for i in range(400):
         kind = rng.choice(["response", "revisit", "revisit", "request"])
         headers = {k: v for k, v in (("etag", rng.choice(["a", "W/a", "b", None])), ("last-modified", rng.choice(["1", "2", None])), ("date", str(i)), ("server", f"s{i}")) if v}
         rows.append((i, kind, rng.choice(["http://x/", "https://x", "y", None, "hot"] + ["hot"] * 6), rng.choice([None] + [rng.randrange(-20, 40)] * 9), rng.choice([200, 200, 404]), headers if rng.random() < 0.9 else None, f"p{i}"))
-    rows.append(rows[5])
-    got = sorted((r.record_id, r.outcome, r.response_id, tuple(r.headers), r.payload_digest) for r in R.resolve_revisits(spark.createDataFrame(rows, SCHEMA).withColumn("bucket", F.lit(1)).withColumn("near", F.lit("clash")), bucket).collect())
+    rows += [rows[5], (401, "revisit", "hot", far, 304, {"server": "x" * 200_000}, None), (402, "response", "hot", -far, 200, None, "early")]
+    got = sorted((r.record_id, r.outcome, r.response_id, tuple(r.headers), r.payload_digest) for r in R.resolve_revisits(spark.createDataFrame(rows, SCHEMA).withColumn("bucket", F.lit(1)).withColumn("near", F.lit("clash")), base).collect())
     want = []
     canon = lambda u: None if u is None else u.split("//")[-1].rstrip("/")
     for i, kind, url, ts, _, headers, _ in rows:
