@@ -5,14 +5,17 @@ trusted documents (the target), one of the raw corpus. The score of a text is th
 of the two probabilities, so it doesn't grow with length; a text is kept if no countable fault stands against it and its
 score is THRESHOLD or more. Each bucket's counts are smoothed by PRIOR target n-grams, so rare n-grams say nothing.
 
-What travels: a row for each bucket and task, summed before and after the shuffle; the driver gets BUCKETS rows.
+What travels: a row for each bucket and task, summed before and after the shuffle; the driver gets BUCKETS rows. Trusted ids
+are broadcast up to BROADCAST_LIMIT. Of more ids a bit map is, so that the texts that meet the ids in a shuffle are the trusted
+ones and the few others that the map lets through; the raw corpus is counted where it lies.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +24,8 @@ from tablepulse.llm.common import filter_texts, in_chunks, map_texts, table, tex
 from tablepulse.llm.tokens import Words, shared_words, sums
 
 BUCKETS, PRIOR, THRESHOLD = 1 << 16, 20.0, -0.05
-#: Trusted ids (16 to 24 bytes each) that are broadcast at most.
-BROADCAST_LIMIT = 1_000_000
+#: Trusted ids (16 to 24 bytes each) that are broadcast at most; of more, a bit map of up to FILTER_BITS bits is.
+BROADCAST_LIMIT, FILTER_BITS = 1_000_000, 1 << 28
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEAT_PERCENT = 10, 5, 20
 
 
@@ -109,15 +112,38 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR) -> np.
     return np.log((target + prior) / (raw * share + prior))
 
 
+def probable(ids: DataFrame, n: int) -> Callable[[DataFrame], DataFrame]:
+    """A filter that keeps the rows whose doc_id is among the n ids, and few others: three bits of a map for each id."""
+    size = min(FILTER_BITS, max(1 << 10, 1 << (12 * n).bit_length()))
+    bits = F.array(*(F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(size)) for k in range(3)))
+    one = F.expr("shiftleft(1, int(bit % 32))")
+    words = ids.select(F.explode(bits).alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("word")).agg(F.bit_or(one).alias("ones"))
+    found, held = words.toArrow(), np.zeros(size // 32, np.int32)  # size / 32 rows at most
+    held[found["word"].to_numpy()] = found["ones"].to_numpy()
+    sent = ids.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def among(places: pd.Series) -> pd.Series:
+        p = np.stack(places.to_list()) if len(places) else np.zeros((0, 3), np.int64)
+        return pd.Series((sent.value[p >> 5] >> (p & 31).astype(np.int32) & 1).all(axis=1))
+
+    return lambda docs: docs.where("doc_id is not null").where(among(bits))
+
+
 def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """Log ratios by bucket. trusted: doc_ids of the target; further columns and repeated ids don't matter."""
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted")).where("doc_id is not null").distinct()
-    if ids.count() <= BROADCAST_LIMIT:  # else Spark's own choice, which may shuffle the texts
-        ids = F.broadcast(ids)
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left")
-    total = np.zeros((2, BUCKETS))
-    for r in ngram_counts(marked.select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")).collect():  # BUCKETS rows at most
-        total[:, r.bucket] = r.raw, r.target
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    docs, n, total = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids.count(), np.zeros((2, BUCKETS))
+    if n <= BROADCAST_LIMIT:
+        marked = docs.join(F.broadcast(ids.withColumn("trusted", F.lit(True))), "doc_id", "left").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
+        counted = [(marked, (0, 1))]
+    else:
+        target = probable(ids, n)(docs).join(ids, "doc_id", "left_semi")
+        counted = [(docs.select(F.lit(False).alias("trusted"), "text"), (0,)), (target.select(F.lit(True).alias("trusted"), "text"), (1,))]
+    for rows, which in counted:
+        for r in ngram_counts(rows).collect():  # BUCKETS rows at most
+            for k in which:
+                total[k, r.bucket] = r[1 + k]
     return log_ratios(*total)
 
 
