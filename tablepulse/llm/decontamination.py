@@ -1,27 +1,34 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, exact check of weighted shingles.
 
-Words are cut at ASCII white space, lower-cased (A-Z) and stripped of ASCII punctuation; what is left empty doesn't count.
-An item of n words is looked for through its windows of w(n) words: the largest window size that a passage at similarity
-0.8 or more keeps unedited somewhere, whatever was edited. Every text gives the fingerprint of its window of that size at
-each word. Fingerprints are counted 64 bits at once: the bit counts of windows of 1, 2, 4, ... words are kept as planes of a
-binary number and added as such.
-
-A fingerprint is cut in four blocks of 16 bits. Two fingerprints within RADIUS = 3 bits agree on a block, so looking up each
-block in an index of the items' fingerprints misses none of them; those found are compared whole. A survivor says where the
-item would begin; the item-sized window there, and those shifted by a few words, are compared with the item by their
-five-word shingles, each weighing as often as it stands (sum of minima over sum of maxima). From MIN_SIMILARITY on it's a leak.
+Words are cut at ASCII white space, lower-cased (A-Z) and stripped of ASCII punctuation; what is left empty doesn't count. A
+window's fingerprint has a bit set where over half of the hashes of its pairs of neighbouring words have it. Every text gives
+the fingerprint of the window at each word, for each size that items have. Fingerprints are counted 64 bits at once: the bit
+counts of windows of 1, 2, 4, ... pairs are kept as planes of a binary number and added as such, each size from the one below.
+Sizes are whole up to 63 words; longer items are cut to six leading binary digits (3 % at most), and all their windows of that
+size are indexed. A text that is a little shorter than an item is a window of its own.
+
+A fingerprint is cut in four blocks of 16 bits. Two fingerprints within RADIUS = 11 bits differ by two or fewer in some block,
+so items are indexed under all values within two bits of each of their blocks, and looking up each block of a window misses
+none of them; those found are compared whole. A survivor says where the item would begin; the item-sized window there, and
+those shifted by a few words, are compared with the item by their five-word shingles, each weighing as often as it stands (sum
+of minima over sum of maxima). From MIN_SIMILARITY on it's a leak. Windows of the same shingles are compared once in a text, so
+repetitive texts cost no more than others.
+
+Fingerprints find what is within RADIUS, which is not all that is similar: of a passage at similarity 0.8 about one bit in
+seven differs. tests/llm/test_decontamination.py measures the share of similar passages found (RECALL there).
 
 An item of fewer than WINDOW_WORDS words has three shingles at most, or is itself its only one, so at MIN_SIMILARITY all must
 be equal. It is looked up exactly: by the sum of its shingles' hashes, at every word, without fingerprints.
 
-Items are held in blocks of ITEM_BLOCK; each block is looked for in all texts.
+Items are held in blocks of ITEM_BLOCK, one at a time on the driver; each block is looked for in all texts.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -31,9 +38,14 @@ from pyspark.sql import functions as F
 from tablepulse.llm.common import filter_texts, map_texts, table, worker_state
 from tablepulse.llm.tokens import Growing, Words, ragged
 
-SHINGLE, MIN_SIMILARITY, RADIUS, LEAST_WORDS, WINDOW_WORDS, ITEM_BLOCK = 5, 0.8, 3, 1, 8, 20_000
-SIZES = tuple(sorted(x << k for x in (2, 3) for k in range(1, 14)))
+SHINGLE, MIN_SIMILARITY, RADIUS, LEAST_WORDS, WINDOW_WORDS, ITEM_BLOCK = 5, 0.8, 11, 1, 8, 10_000
+#: Leading binary digits of a window's size.
+DIGITS = 6
+#: Pairs of fingerprints that are compared at once, and words whose windows are counted at once (few, so that a processor's cache holds them).
+COMPARED, STRETCH = 1 << 20, 1 << 14
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The values of a block that differ from it in a quarter of RADIUS bits or fewer, as differences.
+NEARBY = np.array([sum(1 << b for b in bits) for n in range(RADIUS // 4 + 1) for bits in combinations(range(16), n)], np.uint16)
 Planes = list[np.ndarray]
 
 
@@ -49,66 +61,87 @@ def hashed(word: bytes) -> int:
     return (xxhash.xxh64_intdigest(word, 42) or 1) if word else 0
 
 
-def edits(n: int) -> int:
-    """Edits inside n words that a similarity of 0.8 or more may leave: each costs four shingles of n - 4 or more."""
-    return max(n - SHINGLE + 1, 0) // 40
+def reach(n: int) -> int:
+    """Words that an item of n words may be shifted or lack at one end at similarity 0.8 or more."""
+    return 1 + max(n - SHINGLE + 1, 0) // 9
 
 
 def window_size(n: int) -> int:
-    """Words that an item of n words keeps unedited somewhere at similarity 0.8 or more, as one of SIZES."""
-    kept = int(MIN_SIMILARITY * (n - SHINGLE + 1) / (edits(n) + 1)) + SHINGLE - 1
-    return max(s for s in SIZES if s <= min(kept, n))
-
-
-def add(a: Planes, b: Planes) -> Planes:
-    """Sum of binary numbers whose digits stand in planes, 64 of them side by side in each word."""
-    out, carry = [], None
-    for i in range(max(len(a), len(b))):
-        terms = [x[i] for x in (a, b) if i < len(x)] + ([carry] if carry is not None else [])
-        if len(terms) == 1:
-            digit, carry = terms[0], None
-        elif len(terms) == 2:
-            digit, carry = terms[0] ^ terms[1], terms[0] & terms[1]
+    """The size of an item's windows: n, cut to DIGITS leading binary digits."""
+    spare = max(n.bit_length() - DIGITS, 0)
+    return n >> spare << spare
+
+
+def least_words(n: int) -> int:
+    """Words that a text needs to hold an item of n words at similarity 0.8 or more."""
+    return int(np.ceil(MIN_SIMILARITY * (n - SHINGLE + 1))) + SHINGLE - 1
+
+
+def add(total: Planes, part: Planes, most: int) -> Planes:
+    """Sum of binary numbers, most at most, whose digits stand in planes, 64 of them side by side in each word; total is overwritten."""
+    carry = None
+    for i, a in enumerate(total):
+        b = part[i] if i < len(part) else None
+        if carry is None:
+            carry = a & b
+            a ^= b
+        elif b is None:
+            over = a & carry
+            a ^= carry
+            carry = over
+        else:
+            half = a ^ b
+            over = (a & b) | (half & carry)
+            np.bitwise_xor(half, carry, out=a)
+            carry = over
+    for i in range(len(total), most.bit_length()):
+        if i < len(part):
+            total, carry = [*total, part[i] ^ carry], part[i] & carry
         else:
-            half = terms[0] ^ terms[1]
-            digit, carry = half ^ terms[2], (terms[0] & terms[1]) | (half & terms[2])
-        out.append(digit)
-    return out if carry is None else [*out, carry]
+            total, carry = [*total, carry], np.zeros_like(carry)
+    return total
 
 
 def above(planes: Planes, bound: int) -> np.ndarray:
-    """Bits whose number is greater than bound."""
-    more, equal = np.zeros_like(planes[0]), ~np.zeros_like(planes[0])
-    for i in reversed(range(max(len(planes), bound.bit_length()))):
-        digit = planes[i] if i < len(planes) else np.zeros_like(more)
+    """Bits whose number is greater than bound: those that carry when its complement is added."""
+    digits = max(len(planes), bound.bit_length())
+    carry = np.zeros_like(planes[0])
+    for i, digit in enumerate(planes):
         if bound >> i & 1:
-            equal &= digit
+            carry &= digit
         else:
-            more |= equal & digit
-            equal &= ~digit
-    return more
+            carry |= digit
+    for i in range(len(planes), digits):
+        if bound >> i & 1:
+            carry[:] = 0
+    return carry
+
+
+def pair_hashes(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each word and the one that follows it."""
+    mixed = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ mixed >> np.uint64(32)
 
 
-def window_prints(hashes: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
-    """By window size, the fingerprint of the window that begins at each word: a bit is set in over half of the word hashes."""
-    counts: dict[int, Planes] = {1: [hashes]}
-    out = {}
+def run_prints(hashes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """By size, ascending, the fingerprint of the run of so many hashes that begins at each of them: a bit is set where over half have it."""
+    counts: list[Planes] = [[hashes]]  # of runs of 1, 2, 4, ...
+    total: Planes = []
+    done = 0
     for size in sorted(sizes):
-        total, at = None, 0
-        for k in reversed(range(size.bit_length())):
-            if not size >> k & 1:
-                continue
-            if 1 << k not in counts:
-                for j in range(k):
-                    if 2 << j not in counts:
-                        half = counts[1 << j]
-                        counts[2 << j] = add([p[: -(1 << j)] for p in half], [p[1 << j :] for p in half]) if len(half[0]) > 1 << j else [p[:0] for p in half]
-            part = [p[at:] for p in counts[1 << k]]
-            n = len(part[0]) if total is None else min(len(part[0]), len(total[0]))
-            total = [p[:n] for p in part] if total is None else add([p[:n] for p in total], [p[:n] for p in part])
-            at += 1 << k
-        out[size] = above(total, size // 2)
-    return out
+        gap = size - done
+        for k in range(gap.bit_length()):
+            if k == len(counts):
+                half, shift = counts[-1], 1 << k - 1
+                n = max(len(half[0]) - shift, 0)
+                counts.append(add([p[:n].copy() for p in half], [p[shift : shift + n] for p in half], 2 * shift))
+            if gap >> k & 1:
+                part = [p[done:] for p in counts[k]]
+                n = min(len(part[0]), len(total[0])) if total else len(part[0])
+                done += 1 << k
+                total = add([p[:n] for p in total], [p[:n] for p in part], done) if total else [p.copy() for p in part]
+        yield size, above(total, size // 2)
 
 
 def run_sums(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -136,62 +169,74 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / max(1, a.total() + b.total() - both)
 
 
-@dataclass
 class Index:
     """Fingerprints of one window size, looked up by any of their four blocks."""
 
-    prints: np.ndarray
-    items: np.ndarray
-    offsets: np.ndarray
-    has: list[np.ndarray] = field(default_factory=list)
-    order: list[np.ndarray] = field(default_factory=list)
-    starts: list[np.ndarray] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        for b in range(RADIUS + 1):
-            block = (self.prints >> np.uint64(16 * b) & np.uint64(0xFFFF)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            starts = np.searchsorted(block[order], np.arange(65537))
-            self.has.append(np.diff(starts) > 0)
-            self.order.append(order)
-            self.starts.append(starts)
-
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index in prints, entry) of all pairs within RADIUS bits."""
-        blocks = np.ascontiguousarray(prints).view(np.uint16).reshape(-1, 4)  # least significant first
-        at, entry = [], []
-        for b in range(RADIUS + 1):
-            hit = np.flatnonzero(self.has[b][blocks[:, b]])
-            value = blocks[hit, b].astype(np.int64)
-            first = self.starts[b][value]
-            counts = self.starts[b][value + 1] - first
-            where, found = np.repeat(hit, counts), self.order[b][ragged(first, counts)]
-            close = np.bitwise_count(prints[where] ^ self.prints[found]) <= RADIUS
-            at.append(where[close])
-            entry.append(found[close])
-        return np.concatenate(at), np.concatenate(entry)
+    def __init__(self, prints: np.ndarray, items: np.ndarray, offsets: np.ndarray) -> None:
+        self.prints, self.items, self.offsets = prints, items, offsets
+        self.has, self.keys, self.entries = np.zeros((4, 65536), bool), [], []
+        for b in range(4):
+            values = (prints >> np.uint64(16 * b)).astype(np.uint16)[:, None] ^ NEARBY
+            order = np.argsort(values, axis=None, kind="stable")
+            self.keys.append(values.ravel()[order])
+            self.entries.append((order // len(NEARBY)).astype(np.int32))
+            self.has[b, self.keys[b]] = True
+
+    def known(self, prints: np.ndarray) -> np.ndarray:
+        """Which prints have a block that some entry has, nearly."""
+        some = np.zeros(len(prints), bool)
+        for b in range(4):
+            some |= self.has[b].take((prints >> np.uint64(16 * b) & np.uint64(0xFFFF)).view(np.int64), mode="clip")
+        return some
+
+    def near(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(index in prints, entry) of all pairs within RADIUS bits, in parts; a pair may come once for each block."""
+        for b in range(4):
+            block = (prints >> np.uint64(16 * b)).astype(np.uint16)
+            hit = np.flatnonzero(self.has[b][block])
+            low, high = (np.searchsorted(self.keys[b], block[hit], side=side) for side in ("left", "right"))
+            upto = np.cumsum(high - low)
+            at = 0
+            while at < len(hit):
+                stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + COMPARED, side="right")))
+                n = high[at:stop] - low[at:stop]
+                where, found = np.repeat(hit[at:stop], n), self.entries[b][ragged(low[at:stop], n)]
+                close = np.bitwise_count(prints[where] ^ self.prints[found]) <= RADIUS
+                if close.any():
+                    yield where[close], found[close]
+                at = stop
 
 
 @dataclass
 class Items:
+    """Items, each once, with the ids that stand for it."""
+
     ids: list
     words: list[list[bytes]]
     indexes: dict[int, Index] = field(init=False)
+    least: dict[int, int] = field(init=False)  # by window size, the words that a text needs
     short: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)  # by number of words: sums, ascending, and their items
 
     def __post_init__(self) -> None:
+        same: dict[tuple, list] = {}
+        for i, words in zip(self.ids, self.words, strict=True):
+            same.setdefault(tuple(words), []).append(i)
+        self.ids, self.words = list(same.values()), list(map(list, same))
         self.shingles = list(map(shingles, self.words))
         parts: dict[int, list] = {}
         short: dict[int, list] = {}
+        self.least = {}
         for i, words in enumerate(self.words):
-            if LEAST_WORDS <= len(words) < WINDOW_WORDS:
-                short.setdefault(len(words), []).append((int(run_sums(np.array([hashed(w) for w in words], np.uint64), len(words))[0]), i))
-            elif len(words) >= WINDOW_WORDS:
-                size = window_size(len(words))
-                prints = window_prints(np.array([hashed(w) for w in words], np.uint64), [size])[size]
+            n, hashes = len(words), np.array([hashed(w) for w in words], np.uint64)
+            if LEAST_WORDS <= n < WINDOW_WORDS:
+                short.setdefault(n, []).append((int(run_sums(hashes, n)[0]), i))
+            elif n >= WINDOW_WORDS:
+                size = window_size(n)
+                prints = dict(run_prints(pair_hashes(hashes), [size - 1]))[size - 1]
                 parts.setdefault(size, []).append((prints, np.full(len(prints), i), np.arange(len(prints))))
+                self.least[size] = min(least_words(n), self.least.get(size, n))
         self.short = {n: (np.array([x for x, _ in p], np.uint64), np.array([i for _, i in p], np.int64)) for n, p in ((n, sorted(p)) for n, p in short.items())}
-        self.indexes = {size: Index(*(np.concatenate(x) for x in zip(*p, strict=True))) for size, p in parts.items()}
+        self.indexes = {size: Index(*(np.concatenate(x) for x in zip(*p, strict=True))) for size, p in sorted(parts.items())}
 
 
 class PlainHashes(Words):
@@ -209,6 +254,56 @@ class PlainHashes(Words):
         self.hashes.add([hashed(plain(w)) for w in fresh])
 
 
+def whole_prints(hashes: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The fingerprint of all pairs of each text."""
+    out = np.zeros(len(begins), np.uint64)
+    for k, (begin, size) in enumerate(zip(begins.tolist(), sizes.tolist(), strict=True)):
+        pairs = pair_hashes(hashes[begin : begin + size])
+        bits = np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * bits > len(pairs), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def places(items: Items, hashes: np.ndarray, text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Rows (text, item, first word of the item in it, differing bits) of all windows within RADIUS bits of an item's."""
+    left = (begins + sizes)[text] - np.arange(len(text))  # words from here to the text's end
+    out = [np.zeros((0, 4), np.int64)]
+
+    waiting: dict[int, list] = {}
+    held = 0
+
+    def compare() -> None:
+        nonlocal held
+        for size, parts in waiting.items():
+            index, (at, prints) = items.indexes[size], map(np.concatenate, zip(*parts, strict=True))
+            for where, entry in index.near(prints):
+                here, t = at[where], text[at[where]]
+                bits = np.bitwise_count(prints[where] ^ index.prints[entry])
+                out.append(np.column_stack([t, index.items[entry], here - begins[t] - index.offsets[entry], bits]).astype(np.int64))
+        waiting.clear()
+        held = 0
+
+    def look(size: int, prints: np.ndarray, counts: np.ndarray, at: np.ndarray) -> None:
+        nonlocal held
+        some = np.flatnonzero(items.indexes[size].known(prints) & counts)
+        waiting.setdefault(size, []).append((at[some], prints[some]))
+        held += len(some)
+        if held > COMPARED:
+            compare()
+
+    pairs, longest, index = pair_hashes(hashes), max(items.indexes, default=0), np.arange(len(hashes))
+    for start in range(0, len(pairs), STRETCH):
+        for grams, prints in run_prints(pairs[start : start + STRETCH + longest], [size - 1 for size in items.indexes]):
+            at = index[start : start + min(len(prints), STRETCH)]
+            look(grams + 1, prints[: len(at)], left[at] > grams, at)
+    small = np.flatnonzero((sizes >= min(items.least.values(), default=1)) & (sizes < longest))
+    prints = whole_prints(hashes, begins[small], sizes[small])
+    for size in items.indexes:
+        look(size, prints, (sizes[small] < size) & (sizes[small] >= items.least[size]), begins[small])
+    compare()
+    return np.concatenate(out)
+
+
 def leaks(texts: list[bytes], items: Items) -> list[tuple[int, int, float, int, int]]:
     """(text, item, similarity, first word, differing bits) for each text and item of it, at its most similar place."""
     known = worker_state("plain hashes", PlainHashes)
@@ -219,17 +314,7 @@ def leaks(texts: list[bytes], items: Items) -> list[tuple[int, int, float, int,
     hashes = hashes[counted]
     sizes = np.bincount(text, minlength=len(texts))
     begins = np.cumsum(sizes) - sizes
-    left = (begins + sizes)[text] - np.arange(len(text))  # words from here to the text's end
-    places: dict[tuple[int, int, int], int] = {}
-    for size, prints in window_prints(hashes, list(items.indexes)).items():
-        index, inside = items.indexes[size], np.flatnonzero(left[: len(prints)] >= size)
-        at, entry = index.near(prints[inside])
-        at = inside[at]
-        if len(at):
-            bits = np.bitwise_count(prints[at] ^ index.prints[entry])
-            start = at - begins[text[at]] - index.offsets[entry]
-            for key, b in zip(zip(text[at].tolist(), index.items[entry].tolist(), start.tolist(), strict=True), bits.tolist(), strict=True):
-                places[key] = min(b, places.get(key, 64))
+    left = (begins + sizes)[text] - np.arange(len(text))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for n, (sums, numbers) in items.short.items():
         found = run_sums(hashes, n)
@@ -240,44 +325,57 @@ def leaks(texts: list[bytes], items: Items) -> list[tuple[int, int, float, int,
         # all runs found are equal in their shingles, so the first of each text and item stands for the others
         _, once = np.unique(text[at] * len(items.words) + item, return_index=True)
         for a, i in zip(at[once].tolist(), item[once].tolist(), strict=True):
-            own = np.array([hashed(w) for w in items.words[i]], np.uint64)
-            bits = window_prints(own, [n])[n] ^ window_prints(hashes[a : a + n], [n])[n]
-            best[int(text[a]), i] = (1.0, a - int(begins[text[a]]), int(np.bitwise_count(bits)[0]))
+            best[int(text[a]), i] = (1.0, a - int(begins[text[a]]), 0)
+    found = places(items, hashes, text, begins, sizes) if len(hashes) else np.zeros((0, 4), np.int64)
+    if not len(found):
+        return [(t, i, *x) for (t, i), x in best.items()]
+    words_of = np.array([len(w) for w in items.words])
+    shift = np.array([reach(n) for n in words_of])[found[:, 1]]
+    rows = np.repeat(found, 2 * shift + 1, axis=0)
+    rows[:, 2] += ragged(-shift, 2 * shift + 1)
+    t, i, start, bits = rows.T
+    low = np.clip(start, 0, sizes[t])
+    high = np.clip(start + words_of[i], 0, sizes[t])
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(run_sums(hashes, SHINGLE), dtype=np.uint64)])
+    last = len(upto) - 1
+    content = upto[np.minimum(begins[t] + np.maximum(high - SHINGLE + 1, low), last)] - upto[np.minimum(begins[t] + low, last)]
+    order = np.lexsort((low, bits, i, t))
+    keys = np.column_stack([t, i, content.view(np.int64)])[order]
+    _, once = np.unique(keys, axis=0, return_index=True)  # the nearest of equal windows
     words: dict[int, list[bytes]] = {}
-    for (t, i, start), bits in sorted(places.items()):
-        if t not in words:
-            words = {t: plain_words(texts[t])}
-        n = len(items.words[i])
-        for shift in range(-1 - edits(n), 2 + edits(n)):
-            first = max(start + shift, 0)
-            s = similarity(items.shingles[i], shingles(words[t][first : max(start + shift + n, 0)]))
-            if s >= MIN_SIMILARITY and s > best.get((t, i), (0.0,))[0]:
-                best[t, i] = (s, first, bits)
-    return [(t, i, *found) for (t, i), found in best.items()]
-
-
-def item_blocks(items: DataFrame, size: int = ITEM_BLOCK) -> list[Items]:
-    """The benchmark, at most about size items at a time."""
+    for k in order[np.sort(once)].tolist():
+        a, b = int(t[k]), int(i[k])
+        if best.get((a, b), (0.0,))[0] == 1.0:
+            continue
+        if a not in words:
+            words = {a: plain_words(texts[a])}
+        s = similarity(items.shingles[b], shingles(words[a][int(low[k]) : int(high[k])]))
+        if s >= MIN_SIMILARITY and s > best.get((a, b), (0.0,))[0]:
+            best[a, b] = (s, int(low[k]), int(bits[k]))
+    return [(t, i, *x) for (t, i), x in best.items()]
+
+
+def item_blocks(items: DataFrame, size: int = ITEM_BLOCK) -> Iterator[Items]:
+    """The benchmark, at most about size items at a time; one block at least."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    blocks = -(-rows.count() // size)
-    out = []
+    blocks = max(1, -(-rows.count() // size))
     for b in range(blocks):
         found = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        out.append(Items([r.item_id for r in found], [plain_words(bytes(r.text or b"")) for r in found]))
-    return out
+        yield Items([r.item_id for r in found], [plain_words(bytes(r.text or b"")) for r in found])
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each row of docs and item that it holds: doc_id, item_id, similarity, first_word, hamming.
 
-    Text or item null or empty, or without a word: no match. Repeated rows or items give a row each; null ids stay null. Empty tables give no rows."""
+    Text or item null or empty, or without a word: no match. Repeated rows or items give a row each; null ids stay null. Empty
+    tables give no rows. A very long text is worked on whole."""
     out = None
-    for block in item_blocks(items) or [Items([], [])]:
+    for block in item_blocks(items):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(keys: list, texts: list[bytes], sent=sent) -> dict[str, list]:
-            found = leaks(texts, sent.value)
-            return {"doc_id": [keys[t] for t, *_ in found], "item_id": [sent.value.ids[x[1]] for x in found], "similarity": [x[2] for x in found], "first_word": [x[3] for x in found], "hamming": [x[4] for x in found]}
+            found = [(t, one, *x) for t, i, *x in leaks(texts, sent.value) for one in sent.value.ids[i]]
+            return {"doc_id": [keys[x[0]] for x in found], "item_id": [x[1] for x in found], "similarity": [x[2] for x in found], "first_word": [x[3] for x in found], "hamming": [x[4] for x in found]}
 
         rows = map_texts(docs, run, "doc_id long, item_id long, similarity double, first_word long, hamming int")
         out = rows if out is None else out.unionByName(rows)

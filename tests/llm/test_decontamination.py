@@ -5,6 +5,8 @@ import pytest
 
 from tablepulse.llm import decontamination as D
 
+#: The share of passages at similarity 0.8 or more that the fingerprints find, of items with up to three edits.
+RECALL = 0.95
 rng = random.Random(6)
 VOCAB = [b"w%d" % i for i in range(60)] + [b"the", b"of"] * 15
 
@@ -46,13 +48,38 @@ def planted():
     return docs, items
 
 
-def test_planted_items_against_all_windows():
-    docs, items = planted()
-    got = {(t, i): s for t, i, s, *_ in D.leaks([b" ".join(d) for d in docs], D.Items(list(range(len(items))), items))}
-    want = brute(docs, items)
-    assert set(got) <= set(want) and len(want) > 80
-    assert set(want) - set(got) == set()
-    assert sum(abs(got[k] - want[k]) < 1e-9 for k in got) > 0.97 * len(got)
+def found(docs, items):
+    """Similarities by (text, item number)."""
+    known = D.Items(list(range(len(items))), items)
+    return {(t, i): s for t, k, s, *_ in D.leaks([b" ".join(d) for d in docs], known) for i in known.ids[k]}
+
+
+def test_planted_items_against_all_windows(monkeypatch):
+    there = right = 0
+    for seed in range(2):
+        monkeypatch.setitem(globals(), "rng", random.Random(seed))
+        docs, items = planted()
+        got, want = found(docs, items), brute(docs, items)
+        assert set(got) <= set(want) and len(want) > 70
+        assert all(k in got for k, s in want.items() if s == 1.0)
+        assert sum(abs(got[k] - want[k]) < 1e-9 for k in got) > 0.95 * len(got)
+        there, right = there + len(want), right + len(got)
+    assert right > RECALL * there
+
+
+def test_passages_at_the_ends_of_texts():
+    item = text(60)
+    docs = [item[:56], item[4:], text(30) + item[:57], item[3:] + text(30), item[:40], item]
+    assert {t for t, _ in found(docs, [item])} == {0, 1, 2, 3, 5} == {t for t, _ in brute(docs, [item])}
+
+
+def test_long_and_repetitive_texts():
+    item, phrase = text(50), text(7)
+    docs = [text(100_000) + item + text(1000), phrase * 20_000, []]
+    near = [(phrase * 5)[k : k + 30] for k in range(7)] + [phrase * 4, (phrase * 6)[:40], item, list(item), item[:-1] + [b"other"]]
+    got = found(docs, near)
+    assert {k: s for k, s in got.items() if s == 1.0} == {**{(1, i): 1.0 for i in range(9)}, (0, 9): 1.0, (0, 10): 1.0}
+    assert set(got) - {(0, 11)} == {(1, i) for i in range(9)} | {(0, 9), (0, 10)}
 
 
 def test_short_items_against_all_windows():
@@ -62,7 +89,7 @@ def test_short_items_against_all_windows():
         items = [[r.choice(words) for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 7, 8)] + [[b"a", b"b", b"c", b"a", b"b", b"c", b"a"], [b"only"], []]
         docs = [[r.choice(words) for _ in range(r.randrange(30))] for _ in range(20)] + [[b"b", b"c", b"a", b"b", b"c", b"a", b"b"], [b"ONLY!"], []]
         docs += [[b"x"] * 3 + i + [b"y"] * 3 for i in items[:8]]
-        got = {(t, i): s for t, i, s, *_ in D.leaks([b" ".join(d) for d in docs], D.Items(list(range(len(items))), items))}
+        got = found(docs, items)
         want = brute([D.plain_words(b" ".join(d)) for d in docs], items)
         short = lambda x: {k: v for k, v in x.items() if len(items[k[1]]) < 8}
         assert short(got) == short(want) and len(short(want)) > 8
@@ -70,20 +97,27 @@ def test_short_items_against_all_windows():
     assert D.leaks([b"", b"He said: to be or NOT to be. To be or not to be!"], D.Items([7], [item])) == [(1, 0, 1.0, 2, 0)]
 
 
-def test_window_prints():
+def test_run_prints():
     hashes = np.array([rng.getrandbits(64) for _ in range(90)], np.uint64)
-    for sizes in ([4], [6, 8, 12], [24, 96], [128]):
-        for size, got in D.window_prints(hashes, sizes).items():
+    for sizes in ([4], [6, 8, 12], [24, 25, 26, 27, 89], [90], [1, 2], [128]):
+        for size, got in D.run_prints(hashes, sizes):
             want = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes[i : i + size]) > size) for i in range(90 - size + 1)]
             assert got.tolist() == want
+    begins, sizes = np.array([0, 30, 32]), np.array([30, 2, 58])
+    pairs = [D.pair_hashes(hashes[a : a + n]) for a, n in zip(begins, sizes, strict=True)]
+    assert D.whole_prints(hashes, begins, sizes).tolist() == [int(dict(D.run_prints(p, [len(p)]))[len(p)][0]) for p in pairs]
 
 
-def test_lookup_finds_all_within_radius():
+def test_lookup_finds_all_within_radius(monkeypatch):
     base = np.array([rng.getrandbits(64) for _ in range(300)], np.uint64)
-    probes = np.array([int(x) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for x in base], np.uint64)
+    probes = np.array([int(x) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(15))) for x in base], np.uint64)
     index = D.Index(base, np.arange(300), np.zeros(300, np.int64))
-    got = set(zip(*(x.tolist() for x in index.near(probes)), strict=True))
-    assert got == {(i, j) for i in range(300) for j in range(300) if (int(probes[i]) ^ int(base[j])).bit_count() <= 3}
+    want = {(i, j) for i in range(300) for j in range(300) if (int(probes[i]) ^ int(base[j])).bit_count() <= D.RADIUS}
+    for at_once in (D.COMPARED, 5):
+        monkeypatch.setattr(D, "COMPARED", at_once)
+        assert {x for part in index.near(probes) for x in zip(*(y.tolist() for y in part), strict=True)} == want
+    assert index.known(probes)[[i for i, _ in want]].all()
+    assert D.RADIUS == 11 and [D.window_size(n) for n in (8, 63, 64, 65, 66, 127, 129, 1000)] == [8, 63, 64, 64, 66, 126, 128, 992]
 
 
 @pytest.mark.parametrize("block", [20_000, 3])
@@ -94,7 +128,8 @@ def test_rows(spark, docs_of, monkeypatch, block):
     frame = spark.createDataFrame([(i, b" ".join(x).decode()) for i, x in enumerate(items)] + [(99, None), (None, None)], "item_id long, text string")
     documents = docs_of([*rows, (None, rows[40][1]), (500, None)], item_id=7, similarity="clash")
     got = {(r.doc_id, r.item_id) for r in D.find_leaks(documents, frame).collect()}
-    want = {(t, i) for t, i in brute(docs, items)}
+    want = set(found([[w.upper() for w in d] + [b"!!"] for d in docs], items))
+    assert want <= set(brute(docs, items))
     assert {x for x in got if x[0] is not None} == want and {i for d, i in got if d is None} == {i for t, i in want if t == 40}
     left = D.decontaminate(documents, frame)
     assert left.columns == documents.columns
