@@ -7,6 +7,7 @@ words, and decoded again from those ids.
 
 The file is one of the tokenizers library, of the kind that words end with a suffix: NFC, runs of white space, lower case,
 a split pattern whose matches are kept, bytes as printable characters. Special tokens in a text are found before all that.
+The library's parts follow different versions of Unicode; what they don't share with Python's is stated below.
 Text null or empty: no ids, decoded text empty. Memory: a chunk of text and tables of up to TABLE_LIMIT words.
 """
 
@@ -16,7 +17,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from itertools import chain, islice
-from unicodedata import normalize
+from unicodedata import category, normalize
 
 import numpy as np
 import public_tokenizers
@@ -31,6 +32,44 @@ from tablepulse.llm.common import in_chunks, table, text_rows, worker_state
 TABLE_LIMIT, TABLE_KEPT = 240_000, 160_000
 
 
+def _points(ranges: str) -> Iterator[int]:
+    for one in ranges.split():
+        first, _, last = one.partition("-")
+        yield from range(int(first, 16), int(last or first, 16) + 1)
+
+
+#: Fixed values, in hexadecimal: marks that came after Unicode 9, which the library neither reorders nor composes.
+LATER_MARKS = """
+7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 10f82-10f85 11070 1133b 1145e
+11839-1183a 11930 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f 1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef
+"""
+#: Letters and numbers of Unicode 16, which the library splits by and Python may not know yet.
+LATER_LETTERS = """
+1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 11bc0-11be0
+13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0
+"""
+LATER_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+#: Capital letters of Unicode 16 and 17, and the small letters of each.
+LATER_CAPITALS = "1c89 a7cb a7cc a7ce a7d2 a7d4 a7da a7dc 10d50-10d65 16ea0-16eb8"
+LATER_SMALL = "1c8a 264 a7cd a7cf a7d3 a7d5 a7db 19b 10d70-10d85 16ebb-16ed3"
+
+_APART = regex.compile("([" + "".join(map(chr, _points(LATER_MARKS))) + "])")
+_LETTERS, _NUMBERS = frozenset(map(chr, _points(LATER_LETTERS))), frozenset(map(chr, _points(LATER_NUMBERS)))
+#: The capital sigma is lower-cased by itself, so it has no final form.
+_LOWER = dict(zip(_points(LATER_CAPITALS), map(chr, _points(LATER_SMALL)), strict=True)) | {0x3A3: "σ"}
+_SPACE = regex.compile(r"\p{White_Space}")
+
+
+class Classes(dict):
+    """By character: itself if ASCII, else a character of the same class (white space, letter, number, other)."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        kind = category(c)[0]
+        self[point] = out = c if point < 128 else " " if _SPACE.match(c) else "é" if kind == "L" or c in _LETTERS else "²" if kind == "N" or c in _NUMBERS else "!"
+        return out
+
+
 def printable_bytes() -> list[str]:
     """The character that stands for each byte: itself if printable, else one from U+0100 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -59,9 +98,9 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
+        self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        self.classes = Classes()
         shown = printable_bytes()
-        self.path, self.bytes_of, self.library = path, {c: b for b, c in enumerate(shown)}, None
         self.inner, self.last = [vocab[c] for c in shown], [vocab[c + suffix] for c in shown]
         # by pair of ids: rank and id of what the merge makes
         self.merges: dict[int, tuple[int, int]] = {}
@@ -142,21 +181,12 @@ class Codec:
         return out
 
     def words_of(self, piece: bytes) -> list[str]:
-        """Split as the file says. Scripts beyond U+04FF, whose properties differ between Unicode versions, are normalised and split by the library itself."""
+        """Normalised and split as the file says."""
         text = piece.decode()
-        if not text.isascii():
-            if max(text) > "\u04ff":
-                return self.library_words(text)
-            text = normalize("NFC", text).replace("Σ", "σ")  # lower-cased one character at a time, so no final form
-        return self.pieces(text.lower())
-
-    def library_words(self, text: str) -> list[str]:
-        if self.library is None:
-            from tokenizers import Tokenizer
-
-            self.library = Tokenizer.from_file(self.path)
-        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return [bytes(map(self.bytes_of.__getitem__, shown)).decode() for shown, _ in found]
+        if text.isascii():
+            return self.pieces.findall(text.lower())
+        text = "".join(normalize("NFC", part) for part in _APART.split(text)).translate(_LOWER).lower()
+        return [text[m.start() : m.end()] for m in self.pieces.finditer(text.translate(self.classes))]
 
     def resolve(self) -> None:
         """Ids for all pending pieces."""

@@ -33,6 +33,18 @@ def test_random(text):
     same(text)
 
 
+def test_every_character_as_the_library():
+    """All of the first two planes and the ends of the others, between letters, numbers, marks and other characters."""
+    points = [c for c in [*range(128, 0x20000), *range(0x20000, 0x110000, 97), *range(0x2A6D0, 0x2A710), *range(0x323A0, 0x323C0), *range(0xE0100, 0xE01F0)] if not 0xD800 <= c < 0xE000]
+    own = bpe.codec(PATH)
+    for at in range(0, len(points), 64):
+        text = " ".join(f"a{c}a1{c}1!{c}!A\u0323{c} A{c}\u0301\u0323 {c}{c}'s{c}" for c in map(chr, points[at : at + 64]))
+        flat, _ = own.encode([text.encode()])
+        if flat.tolist() != LIB.encode(text, add_special_tokens=False).ids:
+            for c in map(chr, points[at : at + 64]):  # says which
+                same(f"a{c}a1{c}1!{c}!A\u0323{c} A{c}\u0301\u0323 {c}{c}'s{c}")
+
+
 def test_tables_start_anew(monkeypatch):
     monkeypatch.setattr(bpe, "TABLE_LIMIT", 3)
     monkeypatch.setattr(bpe, "TABLE_KEPT", 2)
