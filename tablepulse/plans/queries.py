@@ -510,7 +510,7 @@ def _charts(spark: SparkSession, sf: str) -> DataFrame:
     from tablepulse.operators.charts import marks_frame, overview, report_charts
 
     a = analysis(spark, sf, "messy")
-    return marks_frame(a, report_charts(a) + overview(a))
+    return marks_frame(a, report_charts(a) + overview())
 
 
 query("chart_marks")(_charts)

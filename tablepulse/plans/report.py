@@ -11,7 +11,7 @@ from math import isfinite
 from pathlib import PurePath
 
 from tablepulse.functions.svg import render
-from tablepulse.operators.charts import report_charts, titled
+from tablepulse.operators.charts import charts, report_charts, titled
 from tablepulse.plans.analysis import Analysis
 
 #: How much a report shows.
@@ -59,7 +59,7 @@ def html_report(a: Analysis) -> str:
         "Insights": "<ul>" + ("".join(f"<li><strong>{escape(i.title)}</strong>: {escape(i.message)}</li>" for i in a.insights[:MOST_INSIGHTS]) or "<li>None.</li>") + "</ul>",
         "Recommendations": _table(("Priority", "Recommendation", "Dimension", "Scope", "Detail"), ((x.priority, x.title, titled(x.dimension), x.column_name or "Dataset", x.message) for x in a.recommendations[:MOST_RECOMMENDATIONS]), "None.") + _omitted(len(a.recommendations), MOST_RECOMMENDATIONS, "recommendations"),
         "Method and limits": "<p>All figures are exact and deterministic. Readiness is no forecast of a model, and findings want judging by those who know the data.</p>",
-        "Charts": "".join(map(render, report_charts(a))),
+        "Charts": "".join(map(render, charts(a, report_charts(a)))),
     }
     body = "".join(f"<section><h2>{escape(k)}</h2>{v}</section>" for k, v in sections.items())
     return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Data report</title><style>{STYLE}</style></head><body><h1>Data health and readiness</h1><p>Dataset: {escape(a.source_name)}</p>{body}</body></html>'

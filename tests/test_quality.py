@@ -129,16 +129,29 @@ def test_analytics_targets_and_insights(spark):
 def test_charts_and_report(spark):
     df = spark.createDataFrame([(None if i % 8 == 0 else float(i), float(i % 5), "AB"[i % 2], "<b>&" if i % 3 else "East", None, 7) for i in range(80)], "measure double, outcome double, class string, region string, empty string, constant bigint").withColumnRenamed("measure", "measure <&>")
     a = analyze_table(df, "up/../load<.csv", target="class")
-    every = charts.report_charts(a) + charts.overview(a) + [charts.box(a, "measure <&>"), charts.box(a, "measure <&>", "class"), charts.scatter(a, "measure <&>", "outcome"), charts.scatter(a, "measure <&>", "outcome", "class"), charts.scatter(a, "outcome", "outcome"), charts.frequency(a, "region"), charts.missing_present(a, "empty"), charts.column_quality(a, "empty"), charts.affected_columns(a), charts.missingness(a), charts.box(a, "region")]
+    W, x = charts.Wanted, "measure <&>"
+    more = [W("box", x), W("boxes", x, target="class"), W("points", x, "outcome"), W("points", x, "outcome", target="class"), W("points", "outcome", "outcome"), W("categories", "region"), W("present", "empty"), W("column_findings", "empty"), W("affected"), W("missing_map"), W("box", "region")]
+    wanted = charts.report_charts(a) + charts.overview() + more
+    every = charts.charts(a, wanted)
     assert {c.kind for c in every} == set(charts.KINDS)
     for c in every:
         svg = render(c)
         assert "<&>" not in svg and "<b>" not in svg and document(c, True).startswith("<!doctype")
-    assert sum(m.value for m in charts.histogram(a, "measure <&>").marks) == 70 and len(charts.missingness(a).marks) == 60 * 6
-    assert [m.label for m in charts.frequency(a, "class", anonymous=True).marks] == ["Category 1", "Category 2"]
+    of = {w.spec: c for w, c in zip(wanted, every, strict=True)}
+    said = lambda name: [(m.label, m.value, m.detail, m.grp) for m in of[name].marks]
+    assert sum(m.value for m in of["histogram"].marks) == 70 and len(of["missing_map"].marks) == 60 * 6
+    assert said("classes") == [("Category 1", 40.0, "50.0%", ""), ("Category 2", 40.0, "50.0%", "")] and said("present") == [("Present", 0.0, "0.0%", ""), ("Missing", 80.0, "100.0%", "")]
+    assert said("types") == [(charts.titled(t), float(n), "", "") for t, n in a.profile.type_counts] and said("missing_most")[:3] == [("empty", 100.0, "80 missing", ""), ("measure <&>", 12.5, "10 missing", ""), ("outcome", 0.0, "0 missing", "")]
+    found = [(c, charts.SEVERITIES.index(f.severity) + 1, f.dimension) for f in a.quality.findings for c in f.target.columns]
+    columns = sorted({c for c, *_ in found}, key=lambda c: (-max(r for d, r, _ in found if d == c), -sum(d == c for d, *_ in found), c))
+    assert [(m.grp, m.label, m.value) for m in of["issues"].marks] == [(c, charts.titled(d), float(max((r for x, r, y in found if (x, y) == (c, d)), default=0))) for c in columns for d in charts.DIMENSIONS]
+    assert [m.label for m in of["affected"].marks] == [c for c in columns if any(set(r.finding_ids) & {f.finding_id for f in a.quality.findings if c in f.target.columns} for r in a.recommendations)]
+    assert [m.value for m in of["column_findings"].marks] == [float(sum(x == "empty" and y == d for x, _, y in found)) for d in charts.DIMENSIONS]
+    assert [m.value for m in of["severities"].marks] == [float(sum(f.severity == s for f in a.quality.findings)) for s in reversed(charts.SEVERITIES)]
+    assert not of["points"].marks and not of["box"].marks  # the last of each: columns that don't fit
     links, n = charts.action_links(a)
-    assert n == sum(len(r.finding_ids) for r in a.recommendations) == len(links)
+    assert n == sum(len(r.finding_ids) for r in a.recommendations) == links.count()
     report = html_report(a)
     assert report.count("<section>") == 12 and "<b>" not in report and "measure &lt;&amp;&gt;" in report
     assert report_filename("../x y/é<.csv") == "tablepulse_report_dataset.html" and report_filename("a b.csv") == "tablepulse_report_a_b.html"
-    assert charts.marks_frame(a, every).count() == sum(len(c.marks) for c in every)
+    assert charts.marks_frame(a, wanted).count() == sum(len(c.marks) for c in every)
