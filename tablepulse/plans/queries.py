@@ -328,8 +328,56 @@ query("freq_top10_other", f"WITH c AS ({_counts_sql('part', 'p_brand')}), o AS (
 
 # Semantic types, checks, scores
 
+#: What the rules are to see in the tables, told by hand: columns in order with their kind (number, text, moment, nested) and
+#: what the name hints at.
+_SEEN = {
+    "region": "r_regionkey:number r_name:text",
+    "nation": "n_nationkey:number n_name:text n_regionkey:number",
+    "customer": "c_custkey:number c_name:text c_nationkey:number c_acctbal:number c_mktsegment:text",
+    "supplier": "s_suppkey:number s_name:text s_nationkey:number s_acctbal:number",
+    "part": "p_partkey:number p_name:text p_brand:text p_type:text:category p_size:number p_retailprice:number",
+    "orders": "o_orderkey:number o_custkey:number o_orderstatus:text o_totalprice:number o_orderdate:moment o_orderpriority:text",
+    "lineitem": "l_orderkey:number l_partkey:number l_suppkey:number l_linenumber:number l_quantity:number l_extendedprice:number l_discount:number l_tax:number l_returnflag:text l_linestatus:text l_shipdate:moment",
+    "events": "event_id:number:identifier ts:moment user_id:number:identifier event_type:text:category value:number:continuous props:text",
+    "documents": "doc_id:number:identifier text:text:prose lang:text source:text n_chars:number",
+    "labels": "doc_id:number:identifier quality:number toxic:number",
+    "pages": "page_id:number:identifier url:text html:text",
+    "benchmark": "item_id:number:identifier text:text:prose",
+    "conversations": "conv_id:number:identifier turn:number role:text text:text:prose",
+    "embeddings": "vec_id:number:identifier embedding:nested label:number:category",
+}
+
+
+def _semantic_sql(table: str, only: tuple[str, ...] = ()) -> str:
+    """The rules for columns without nulls, as CASE over counts of each column. Identifiers here rise in file order."""
+    rows = []
+    for i, (name, kind, *hint) in enumerate(x.split(":") for x in _SEEN[table].split() if not only or x.split(":")[0] in only):
+        h, c = (hint or [""])[0], f"{name}::DOUBLE" if kind == "number" else name
+        number = f"bool_and({c} = floor({c})) AS whole, min({c}) = 0 AND max({c}) = 1 AS flag" if kind == "number" else "true AS whole, false AS flag"
+        text = f"avg(length({c})) AS size, avg(regexp_matches({c}, '\\s')::INT) AS spaced, avg(regexp_matches({c}, '[.!?;:,]')::INT) AS marked" if kind == "text" else "0 AS size, 0 AS spaced, 0 AS marked"
+        distinct = "NULL" if kind == "nested" else f"count(DISTINCT {c})"
+        rows.append(f"SELECT {i} AS position, '{name}' AS column_name, '{kind}' AS kind, '{h}' AS hint, count({name}) AS n, {distinct} AS d, {number}, {text} FROM {table}")
+    seen = " UNION ALL ".join(rows)
+    return f"""WITH seen AS (SELECT *, d * 1.0 / n AS ratio, n > 10000 AS sampled FROM ({seen})), told AS (
+  SELECT *, CASE WHEN kind = 'nested' THEN 'unknown' WHEN d = 1 THEN 'constant' WHEN kind = 'moment' THEN 'datetime'
+    WHEN kind = 'number' AND hint = 'identifier' AND n >= 4 AND ratio >= 0.8 THEN 'identifier'
+    WHEN kind = 'number' AND whole AND hint <> 'continuous' AND (d <= 20 OR (ratio <= 0.05 AND hint = 'category')) THEN 'numeric_discrete'
+    WHEN kind = 'number' THEN 'numeric_continuous'
+    WHEN (size >= 40 AND (ratio >= 0.5 OR greatest(spaced, marked) >= 0.5)) OR (hint = 'prose' AND size >= 20 AND greatest(spaced, marked) >= 0.5) THEN 'free_text'
+    WHEN d < n AND (d <= 20 OR (ratio <= 0.05 AND hint = 'category')) THEN 'categorical' ELSE 'unknown' END AS semantic_type FROM seen
+), sure AS (
+  SELECT *, CASE WHEN semantic_type = 'constant' THEN 4 WHEN semantic_type = 'unknown' THEN 1 WHEN semantic_type = 'datetime' THEN 3
+    WHEN semantic_type = 'identifier' THEN CASE WHEN ratio >= 0.98 AND NOT sampled THEN 3 ELSE 2 END
+    WHEN semantic_type = 'numeric_continuous' AND NOT whole AND NOT sampled THEN 3 ELSE 2 END AS level FROM told
+)
+SELECT position::INT AS position, column_name, semantic_type, CASE WHEN level = 4 THEN 'high' WHEN level - (n < 10)::INT >= 3 THEN 'high' WHEN level - (n < 10 AND NOT (flag AND kind = 'number'))::INT = 2 THEN 'medium' ELSE 'low' END AS confidence, sampled AND kind <> 'nested' AS sampled,
+  concat_ws(',', CASE WHEN kind = 'nested' THEN 'UNSUPPORTED_VALUES' WHEN semantic_type = 'identifier' THEN 'MULTIPLE_PLAUSIBLE_TYPES' WHEN flag AND d = 2 THEN 'BINARY_NUMERIC_AMBIGUITY' END,
+    CASE WHEN semantic_type = 'identifier' AND ratio < 0.98 THEN 'DUPLICATE_IDENTIFIER_VALUES' END, CASE WHEN n < 10 AND semantic_type <> 'constant' THEN 'INSUFFICIENT_OBSERVATIONS' END) AS warnings
+FROM sure"""
+
+
 for _t in TABLES:
-    query(f"semantic_types_{_t}")(lambda s, d, t=_t: types_frame(read(s, d, t), infer_types(read(s, d, t))).select("position", "column_name", "semantic_type", "confidence", "sampled", F.array_join("warnings", ",").alias("warnings")))
+    query(f"semantic_types_{_t}", _semantic_sql(_t))(lambda s, d, t=_t: types_frame(read(s, d, t), infer_types(read(s, d, t))).select("position", "column_name", "semantic_type", "confidence", "sampled", F.array_join("warnings", ",").alias("warnings")))
 
 _ANALYSES: dict[tuple, Analysis] = {}
 
@@ -393,8 +441,22 @@ def _shown(df: DataFrame) -> DataFrame:
 query("check_findings", f"{_F} SELECT {_SHOWN} FROM f")(lambda s, d: _shown(_found(s, d)))
 for _check in CATALOGUE:
     _id = _check[0]
+    if _id == "DQ_READINESS_HIGH_CARDINALITY":  # nothing of messy is so; addresses taken as categories are
+        continue
     query(f"check_{_id.lower()}", f"{_F} SELECT {_SHOWN} FROM f WHERE check_id = '{_id}'")(lambda s, d, i=_id: _shown(_found(s, d).where(F.col("check_id") == i)))
 
+
+
+def _near_unique(spark: SparkSession, sf: str) -> DataFrame:
+    a = analyze_table(read(spark, sf, "pages").select("page_id", "url"), "pages", confirmed={"url": "categorical"})
+    return _shown(findings_frame(a.table, a.quality).where("check_id = 'DQ_READINESS_HIGH_CARDINALITY'"))
+
+
+query(
+    "check_dq_readiness_high_cardinality",
+    "SELECT 'DQ_READINESS_HIGH_CARDINALITY' AS check_id, 'analytical_readiness' AS dimension, 'url' AS column_name, 'medium' AS severity, NULL::BIGINT AS affected, NULL::BIGINT AS population, NULL::DOUBLE AS affected_percentage, 'high_cardinality' AS family, NULL::VARCHAR AS root_cause FROM pages HAVING count(url) >= 10 AND count(DISTINCT url) >= 0.9 * count(url)",
+)(_near_unique)
+
 #: On messy: checks of columns that apply to some types only, and the columns they apply to.
 _SOME = {"DQ_UNIQUENESS_IDENTIFIER_VALUES": 1, "DQ_VALIDITY_NONFINITE_NUMERIC": 1, "DQ_CONSISTENCY_CATEGORY_NORMALIZATION": 1, "DQ_INTEGRITY_IDENTIFIER_MISSINGNESS": 1, "DQ_READINESS_HIGH_CARDINALITY": 1}
 _RUNS = ", ".join(f"('{i}', '{dim}', {1 if scope == 'dataset' else len(COLUMNS['messy'])}, {1 if scope == 'dataset' else _SOME.get(i, len(COLUMNS['messy']))})" for i, _, dim, scope, *_ in CATALOGUE)
@@ -445,7 +507,12 @@ query("dimension_scores", _dimension_sql())(lambda s, d: (lambda p, e: rounded(s
 query("overall_health", f"SELECT round(sum(score * weight)::DOUBLE, 6) AS overall, CASE WHEN sum(score * weight) >= 90 THEN 'excellent' WHEN sum(score * weight) >= 75 THEN 'good' WHEN sum(score * weight) >= 60 THEN 'needs_attention' WHEN sum(score * weight) >= 40 THEN 'poor' ELSE 'critical' END AS band FROM ({_dimension_sql()})")(
     lambda s, d: (lambda p, e: rounded(scoring.overall_health(scoring.dimension_scores(p.where("penalty_group <> 'identifier_missingness'"), e)).drop("run")))(*_scored(s, d))
 )
-query("health_scores")(lambda s, d: s.createDataFrame([(x.dimension, x.score, x.checks, x.weight) for x in analysis(s, d, "messy").health.dimensions] + [("overall", analysis(s, d, "messy").health.overall, None, 1.0)], "dimension string, score double, checks long, weight double"))
+query(
+    "health_scores",
+    f"{_RUN_SQL}, {_PRICED}, lost AS (SELECT dimension, sum(points) AS lost FROM p WHERE penalty_group <> 'identifier_missingness' OR dimension = 'integrity' GROUP BY dimension), "
+    f"s AS (SELECT w.dimension, greatest(0.0, 100 - coalesce(lost, 0))::DOUBLE AS score, (SELECT sum(ran) FROM c WHERE c.dimension = w.dimension)::BIGINT AS checks, w.w::DOUBLE AS weight FROM {_WEIGHTS} LEFT JOIN lost ON lost.dimension = w.dimension) "
+    "SELECT dimension, round(score, 6) AS score, checks, round(weight, 6) AS weight FROM s UNION ALL SELECT 'overall', round(sum(score * weight), 6), NULL, 1.0 FROM s",
+)(lambda s, d: rounded(s.createDataFrame([(x.dimension, x.score, x.checks, x.weight) for x in analysis(s, d, "messy").health.dimensions] + [("overall", analysis(s, d, "messy").health.overall, None, 1.0)], "dimension string, score double, checks long, weight double")))
 
 _ACTION = " ".join(f"WHEN '{f}' THEN '{a[0]}'" for f, a in assess.ACTIONS.items())
 _RANK = "max(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END)"
@@ -503,7 +570,7 @@ def _target(spark: SparkSession, sf: str, table: str, column: str) -> DataFrame:
 for _t, _c, _number in (("labels_left", "toxic", True), ("orders", "o_totalprice", True), ("orders", "o_orderstatus", False)):
     query(f"target_analysis_{_c}", _target_sql(_t, _c, _number))(lambda s, d, t=_t, c=_c: _target(s, d, t, c))
 query("insights_ranked")(lambda s, d: s.createDataFrame([(k, x.insight_id, x.family, x.importance, x.message) for k, x in enumerate(analysis(s, d, "messy").insights, 1)], "rank int, insight_id string, family string, importance int, message string"))
-query("type_histogram")(lambda s, d: facts.type_histogram(types_frame(analysis(s, d, "messy").table, list(analysis(s, d, "messy").profile.types))))
+query("type_histogram", "SELECT * FROM (VALUES ('numeric_continuous', 1), ('categorical', 1), ('datetime', 1), ('identifier', 1), ('constant', 1), ('empty', 1)) x(effective_type, n)")(lambda s, d: facts.type_histogram(types_frame(analysis(s, d, "messy").table, list(analysis(s, d, "messy").profile.types))))
 
 
 def _charts(spark: SparkSession, sf: str) -> DataFrame:
@@ -528,8 +595,14 @@ def _profile_of_three(spark: SparkSession, sf: str) -> DataFrame:
     return profile_frame(table, profile_table(table, infer_types(table)))
 
 
-query("profile_events_x3")(lambda s, d: _profile_of_three(s, d).drop("dtype"))
-query("semantic_events_x4")(lambda s, d: (lambda df: types_frame(df, infer_types(df)).select("position", "column_name", "semantic_type"))(read(s, d, "events").select("event_id", "value", "event_type", "user_id")))
+_X3 = " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, '{kind}' AS kind, count(*) AS row_count, count(*) - count({c}) AS null_count, count({c}) AS non_null_count, round(((count(*) - count({c})) * 100.0 / count(*))::DOUBLE, 6) AS missing_percentage, count(DISTINCT {c}) AS distinct_count, round((count(DISTINCT {c}) * 1.0 / count({c}))::DOUBLE, 6) AS cardinality_ratio, '' AS warnings FROM events"
+    for i, (c, kind) in enumerate((("value", "numeric"), ("event_type", "categorical"), ("user_id", "numeric")))
+)
+query("profile_events_x3", f"SELECT x.*, y.semantic_type AS effective_type FROM ({_X3}) x JOIN ({_semantic_sql('events', _THREE)}) y USING (column_name)")(lambda s, d: rounded(_profile_of_three(s, d).drop("dtype").withColumn("warnings", F.array_join("warnings", ","))))
+_FOUR = ("event_id", "value", "event_type", "user_id")
+_RANKED = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(_FOUR))
+query("semantic_events_x4", f"SELECT CASE column_name {_RANKED} END AS position, column_name, semantic_type FROM ({_semantic_sql('events', _FOUR)})")(lambda s, d: (lambda df: types_frame(df, infer_types(df)).select("position", "column_name", "semantic_type"))(read(s, d, "events").select(*_FOUR)))
 query(
     "duplicate_rows_events",
     "WITH g AS (SELECT count(*) AS c FROM events GROUP BY value, event_type, user_id) SELECT sum(c)::BIGINT AS row_count, sum(c - 1)::BIGINT AS duplicate_row_count, round((sum(c - 1) * 100.0 / sum(c))::DOUBLE, 6) AS duplicate_row_percentage FROM g",
