@@ -4,8 +4,8 @@ Words are cut at ASCII white space, lower-cased (A-Z) and stripped of ASCII punc
 window's fingerprint has a bit set where over half of the hashes of its pairs of neighbouring words have it. Every text gives
 the fingerprint of the window at each word, for each size that items have. Fingerprints are counted 64 bits at once: the bit
 counts of windows of 1, 2, 4, ... pairs are kept as planes of a binary number and added as such, each size from the one below.
-Sizes are whole up to 63 words; longer items are cut to six leading binary digits (3 % at most), and all their windows of that
-size are indexed. A text that is a little shorter than an item is a window of its own.
+Sizes are whole up to 31 words; those of longer items are cut to five leading binary digits (6 % at most), and all their windows
+of that size are indexed, so that few sizes serve all items. A text that is a little shorter than an item is a window of its own.
 
 A fingerprint is cut in four blocks of 16 bits. Two fingerprints within RADIUS = 11 bits differ by two or fewer in some block,
 so items are indexed under all values within two bits of each of their blocks, and looking up each block of a window misses
@@ -40,7 +40,7 @@ from tablepulse.llm.tokens import Growing, Words, ragged
 
 SHINGLE, MIN_SIMILARITY, RADIUS, LEAST_WORDS, WINDOW_WORDS, ITEM_BLOCK = 5, 0.8, 11, 1, 8, 10_000
 #: Leading binary digits of a window's size.
-DIGITS = 6
+DIGITS = 5
 #: Pairs of fingerprints that are compared at once, and words whose windows are counted at once (few, so that a processor's cache holds them).
 COMPARED, STRETCH = 1 << 20, 1 << 14
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"

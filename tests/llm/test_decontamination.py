@@ -117,7 +117,7 @@ def test_lookup_finds_all_within_radius(monkeypatch):
         monkeypatch.setattr(D, "COMPARED", at_once)
         assert {x for part in index.near(probes) for x in zip(*(y.tolist() for y in part), strict=True)} == want
     assert index.known(probes)[[i for i, _ in want]].all()
-    assert D.RADIUS == 11 and [D.window_size(n) for n in (8, 63, 64, 65, 66, 127, 129, 1000)] == [8, 63, 64, 64, 66, 126, 128, 992]
+    assert D.RADIUS == 11 and [D.window_size(n) for n in (8, 31, 32, 33, 63, 64, 65, 68, 1000)] == [8, 31, 32, 32, 62, 64, 64, 68, 992]
 
 
 @pytest.mark.parametrize("block", [20_000, 3])
