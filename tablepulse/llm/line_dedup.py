@@ -2,17 +2,22 @@
 
 A text is the sequence of its lines (cut at \\n). The suffixes of all sequences are ranked by distributed prefix doubling:
 rank 0 orders positions by their line, rank k + 1 by the pair of rank k here and 2^k lines on; ranks are made by a range sort
-of the distinct pairs, so they keep the suffixes' order and no task holds them all. Positions with one rank at depth 2^k are
-an interval of the suffix array whose common prefix is 2^k lines or longer. The interval for a prefix of l lines,
-2^k <= l < 2^(k+1), is that of the ranks k at its first line and at 2^k lines before its end.
+of the distinct pairs, so they keep the suffixes' order and no task holds them all. Positions whose line, or pair of ranks,
+occurs once fall away at each step.
 
 A run counts from MIN_WORDS words on. It's a later copy if the same lines stand at an earlier place (a smaller doc_id, or the
-same text further up) that ends before it begins. Every line within a later copy is deleted; of a maximal repeated run that is
-the whole run. It's enough to look at the shortest runs of MIN_WORDS words that begin or end at each line: a run is a later copy
-if those within it are, and they cover it. Positions whose line, or pair of ranks, occurs once fall away at each step.
-
-Only DataFrame functions run here. Hot lines are counted before the shuffle and joined in splittable joins; windows work
-within one text.
+same text further up) that ends before it begins. Every line within a later copy is deleted. The suffixes that begin a run of
+n lines are sorted as in the suffix array: by rank k at their first line, then by rank k at 2^k lines before the run's end,
+where 2^k is the greatest power up to n; equal ones by place. The longest common prefix of two neighbours reaches n lines
+exactly where both ranks agree (two blocks of 2^k lines cover the run), so a scan of neighbours cuts the array into the
+intervals of that depth, and the first of each interval is the earliest copy.
+
+Each line is looked at through the shortest runs of MIN_WORDS words that begin or end at it: a run is a later copy if those
+within it are, and they cover it. Where they overlap or touch, they join to the maximal repeated run. Only the shortest
+qualifying depth is needed of the intervals that are nested in one another, and their number is that of the lines.
+
+Only DataFrame functions run here. Hot lines are counted before the shuffle and joined in splittable joins; a passage with
+many copies is cut by the range sort wherever a partition is full; other windows work within one text.
 """
 
 from __future__ import annotations
@@ -86,12 +91,41 @@ def later_copies(positions: DataFrame, min_words: int) -> DataFrame:
     intervals = named[0]
     for more in named[1:]:
         intervals = intervals.unionByName(more)
-    intervals = cut(intervals, n_runs)
-    place = F.struct("d", "t", "s")
-    # written out, so that both sides of the join are dealt anew and a frequent passage's rows can be split
-    earliest = cut(intervals.groupBy("n", "r1", "r2").agg(F.min(place).alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), n_runs // 2)
-    later = (F.col("d") != F.col("least.d")) | (F.col("t") != F.col("least.t")) | (F.col("s") >= F.col("least.s") + F.col("n"))
-    return intervals.join(earliest, ["n", "r1", "r2"]).where(later).select(*DOC, "s", (F.col("s") + F.col("n")).alias("e"))
+    placed = interval_starts(intervals, n_runs)
+    later = (F.col("d") != F.col("first.d")) | (F.col("t") != F.col("first.t")) | (F.col("s") >= F.col("first.s") + F.col("n"))
+    return placed.where(later).select(*DOC, "s", (F.col("s") + F.col("n")).alias("e"))
+
+
+#: What tells an interval of the suffix array, and the order of places.
+DEPTH, PLACE = ("n", "r1", "r2"), ("d", "t", "s")
+
+
+def interval_starts(runs: DataFrame, n_runs: int) -> DataFrame:
+    """runs (d, t, s, n, r1, r2) with first, the earliest place in each one's interval.
+
+    The runs are sorted by range; neighbours are compared within partitions. An interval that goes on from one partition to
+    the next is handed on: the driver gets two rows a partition, its first and its last."""
+    array = cut(runs.orderBy(*DEPTH, *PLACE).withColumn("part", F.spark_partition_id()), n_runs)
+    order = Window.partitionBy("part").orderBy(*DEPTH, *PLACE)
+    here = F.struct(*DEPTH)
+    # the common prefix with the suffix before reaches n lines where both ranks agree
+    reaches = F.coalesce(F.lag(here).over(order) == here, F.lit(False))
+    marked = array.withColumn("opens", F.when(~reaches, F.struct(*PLACE)))
+    found = marked.withColumn("first", F.last("opens", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = found.groupBy("part").agg(F.min(here).alias("low"), F.max(F.struct(*DEPTH, *PLACE, "first")).alias("high")).orderBy("part").collect()
+    handed, before = [], None
+    for e in edges:
+        goes_on = before is not None and tuple(e.low) == before[0]
+        if goes_on:
+            handed.append((e.part, *before[0], before[1]))
+        last = tuple(e.high[c] for c in DEPTH)
+        before = last, before[1] if goes_on and last == before[0] else e.high["first"]
+    if not handed:
+        return found.drop("opens", "part")
+    given = runs.sparkSession.createDataFrame(handed, "part int, n int, r1 long, r2 long, earlier struct<d: long, t: long, s: int>")
+    kinds = dict(runs.dtypes)
+    given = given.select("part", *(F.col(c).cast(kinds[c]).alias(c) for c in DEPTH), F.col("earlier").cast(found.schema["first"].dataType).alias("earlier"))
+    return found.join(F.broadcast(given), ["part", *DEPTH], "left").withColumn("first", F.coalesce("earlier", "first")).drop("earlier", "opens", "part")
 
 
 def deleted_ranges(copies: DataFrame) -> DataFrame:

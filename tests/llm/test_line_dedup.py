@@ -48,6 +48,32 @@ def test_against_brute_force(spark, docs_of, seed):
     assert sum(n for _, n in got.values()) > 50
 
 
+@pytest.mark.parametrize("files", [3, 50_000])
+def test_intervals_go_on_over_partitions(spark, monkeypatch, files):
+    from tablepulse.llm import common
+
+    monkeypatch.setattr(common, "FILE_ROWS", files)
+    rng = random.Random(files)
+    runs = [(d, rng.randrange(-5, 5), s, n, n * 10, rng.randrange(2)) for d in range(40) for s, n in ((d % 3, 2), (7, rng.randrange(1, 4)))]
+    conf, before = "spark.sql.adaptive.enabled", spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set(conf, "false")  # keeps all partitions of the range sort
+    try:
+        got = L.interval_starts(spark.createDataFrame(runs, "d long, t long, s int, n int, r1 long, r2 long"), len(runs)).collect()
+    finally:
+        spark.conf.set(conf, before)
+    want = {}
+    for d, t, s, *key in runs:
+        want[tuple(key)] = min(want.get(tuple(key), (99, 0, 0)), (d, t, s))
+    assert len(got) == len(runs) and all(tuple(r["first"]) == want[r.n, r.r1, r.r2] for r in got)
+
+
+def test_very_long_text(spark, docs_of):
+    lines = [f"word{i} " * 3 for i in range(30_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["own"] + lines[100:29_000] + ["end"])), (3, "\n".join(lines[:10]))]
+    got = {r.doc_id: (r.text, r._n_deleted) for r in L.dedup_lines(docs_of(rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("own\nend", 28_900), 3: (rows[2][1], 0)}
+
+
 def test_repeated_rows_and_empty_table(spark, docs_of):
     text = "w " * 30 + "\n" + "v " * 30
     got = L.dedup_lines(docs_of([(4, text), (4, text), (4, "own\n" + text), (9, text + "\nend")], extra=1))
