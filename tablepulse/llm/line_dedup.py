@@ -162,23 +162,26 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_deleted").alias("n_deleted"), F.col("_deleted").alias("deleted"), "text")
 
 
+#: All pairs of equal lines, joined along diagonals to maximal runs: another way than the suffix array's.
 OP4_SQL = f"""
 WITH lines AS (
   SELECT doc_id, (unnest(range(len(l))))::BIGINT AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
 ), counted AS (
   SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM lines
 ), upto AS (
-  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS c, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words AS b FROM counted
-), shortest AS (
-  SELECT i.doc_id, i.pos AS s, min(j.pos) + 1 AS e FROM upto i JOIN upto j ON i.doc_id = j.doc_id AND j.pos >= i.pos AND j.c >= i.b + {MIN_WORDS} GROUP BY ALL
-  UNION
-  SELECT j.doc_id, max(i.pos) AS s, j.pos + 1 AS e FROM upto i JOIN upto j ON i.doc_id = j.doc_id AND j.pos >= i.pos AND j.c >= i.b + {MIN_WORDS} GROUP BY j.doc_id, j.pos
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS c FROM counted
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, b.pos - a.pos AS shift, b.pos AS pos, b.words, b.c FROM upto a JOIN upto b ON a.line = b.line AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.pos < b.pos))
+), diagonal AS (
+  SELECT *, pos - row_number() OVER (PARTITION BY a, b, shift ORDER BY pos) AS g FROM pairs
+), stretches AS (
+  SELECT a, b, shift, min(pos) AS s, max(pos) + 1 AS e FROM diagonal GROUP BY a, b, shift, g HAVING sum(words) >= {MIN_WORDS}
+), starts AS (
+  SELECT b, unnest(CASE WHEN a = b AND e - s > shift THEN range(s, e - shift + 1) ELSE [s] END) AS s, CASE WHEN a = b THEN least(shift, e - s) ELSE e - s END AS n FROM stretches
 ), runs AS (
-  SELECT r.doc_id, r.s, r.e, list(l.line ORDER BY l.pos) AS content FROM shortest r JOIN lines l ON l.doc_id = r.doc_id AND l.pos >= r.s AND l.pos < r.e GROUP BY ALL
-), firsts AS (
-  SELECT *, first_value(doc_id) OVER w AS d0, first_value(s) OVER w AS s0 FROM runs WINDOW w AS (PARTITION BY content ORDER BY doc_id, s)
+  SELECT DISTINCT x.b AS doc_id, x.s, x.s + x.n AS e FROM starts x JOIN upto l ON l.doc_id = x.b AND l.pos = x.s JOIN upto r ON r.doc_id = x.b AND r.pos = x.s + x.n - 1 WHERE r.c - l.c + l.words >= {MIN_WORDS}
 ), gone AS (
-  SELECT DISTINCT l.doc_id, l.pos FROM firsts f JOIN lines l ON l.doc_id = f.doc_id AND l.pos >= f.s AND l.pos < f.e WHERE f.doc_id <> f.d0 OR f.s >= f.s0 + (f.e - f.s)
+  SELECT DISTINCT l.doc_id, l.pos FROM runs f JOIN lines l ON l.doc_id = f.doc_id AND l.pos >= f.s AND l.pos < f.e
 ), islands AS (
   SELECT doc_id, min(pos) AS s, max(pos) + 1 AS e FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM gone) GROUP BY doc_id, g
 ), ranges AS (
