@@ -1,14 +1,18 @@
-"""Personal data: fixed patterns, and a semi-Markov conditional random field over candidate segments.
-
-Candidates are all segments of up to SPAN_LIMIT characters between two token borders that have the shape of some type:
-addresses, numbers in groups, identifiers, secrets. They overlap: where numbers stand side by side, each of them, each part
-of one that begins and ends at a border and each run over several is a candidate. Runs of letters and digits are tokens; the
-edges of what the fixed patterns find are borders too. Features describe the whole span (its form, digits, check digits,
-length), the word before it, what touches its edges and how it sits in its surroundings; a further weight stands for each pair of types that follow one another within ZONE
-characters. A labelling picks segments that don't overlap; everything else is plain text with score zero. Decoding goes once
-over the sorted borders and keeps the best score for each last type, so boundaries and types are chosen together in time
-linear in the number of candidates. The weights are trained here, by maximum likelihood on generated sentences with a fixed
-seed. What the fixed patterns find always stays; the field adds what doesn't overlap it.
+"""Personal data: fixed patterns, and a semi-Markov conditional random field over bounded runs of tokens.
+
+Runs of letters and digits are tokens. Tokens that may be part of an entity (with a digit, long, in groups of hexadecimal
+digits or of capitals, or tied to the next by a mark) make chains with at most two marks or spaces between neighbours. Every
+run of up to MOST_TOKENS tokens and SPAN_LIMIT characters of a chain is a segment that may be an entity of any type, with and
+without the brackets or plus signs that stand before it; the edges of what the fixed patterns find cut chains. A segment without
+a digit has twelve characters or more. Words in prose are in no chain, so they are plain text.
+
+Features describe the whole segment (its form, check digits, tokens, digits, length, kinds of characters and what is between
+them), the words before it, what touches its edges and whether it is assigned or quoted; each has a weight for each type. A
+further weight stands for each pair of types that follow one another within ZONE characters. A labelling picks segments that
+don't overlap; everything else is plain text with score zero. Decoding goes once over the sorted borders and keeps the best
+score for each last type, so boundaries and types are chosen together in time linear in the number of segments. The weights
+are trained here, by maximum likelihood on generated sentences with a fixed seed. What the fixed patterns find always stays;
+the field adds what doesn't overlap it.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import groupby
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +33,8 @@ from tablepulse.llm.common import map_texts, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "iban", "ssn", "mac", "ipv6")
-SPAN_LIMIT, ZONE = 120, 40
+TYPES = KINDS[len(BASE_KINDS) :] + ("phone",)
+MOST_TOKENS, SPAN_LIMIT, ZONE = 16, 120, 40
 
 #: Fixed by the task.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -37,40 +43,32 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # another st
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-#: Texts without any of these have no fixed span and no candidate.
-_MAY = re.compile(rb"[0-9@]"), re.compile(rb"[:-][A-Fa-f]{1,4}[:-]"), re.compile(rb"[A-Za-z_-]{16}")
 _PREFIX = re.compile(r"\+(?:[0-9]{1,3}[ .-]?)?\(?\Z")  # of a country
 _TURN = re.compile(r"[a-z](?=[A-Z])")
 #: Words before a span that tell its type.
 CUES = ("key", "token", "secret", "password", "passwd", "ssn", "social", "iban", "account", "card", "visa", "phone", "call", "tel", "mail", "mac", "device")
 
-_RUN, _PART = re.compile(r"[A-Za-z0-9_-]{16,}"), re.compile(r"[A-Za-z0-9]+|[_-]+")
+#: A token that may be part of an entity, by its own characters or those next to it.
+_TOKEN = r"(?:(?<![A-Za-z0-9])(?:[A-Za-z]*[0-9][A-Za-z0-9]*|[A-Za-z]{12,}|[A-Fa-f]{1,4}(?=[:-][A-Za-z0-9])|(?<=[:-])[A-Fa-f]{1,4}|[A-Z]{4}|[A-Za-z]+(?=[_/+-][A-Za-z0-9])|(?<=[_/+-])[A-Za-z]+)(?![A-Za-z0-9]))"
+_CHAIN = re.compile(rf"[+(]{{0,2}}{_TOKEN}(?:[ ()./:+=_-]{{1,2}}{_TOKEN})*")
+_ALNUM_RUN = re.compile(r"[A-Za-z0-9]+")
+#: Texts without any of these have no fixed span and no segment.
+_MAY = re.compile(rb"[0-9@]|[A-Za-z]{12}|[:-][A-Fa-f]{1,4}[:-]|[_/+-][A-Za-z]+[_/+-]|[A-Za-z]{6}[_/+-][A-Za-z]{5}|[A-Za-z]{5}[_/+-][A-Za-z]{6}|[A-Za-z]{4}[_/+-][A-Za-z]{7}|[A-Za-z]{7}[_/+-][A-Za-z]{4}|[A-Z]{4} [A-Z]{4} ")
 
-
-_GROUP = re.compile(r"[:-][0-9A-Fa-f]{1,4}[:-]")  # every MAC and IPv6 address has one
-
-
-def _shape(source: str, token: str, whole: str, start: str = "") -> tuple[str, re.Pattern, re.Pattern, re.Pattern]:
-    """(source, starts with the longest segment from there, characters that no segment ends before, whole segments)."""
-    return source, re.compile(f"(?:(?<![{token}]){start})(?=({whole}))"), re.compile(f"[{token}]"), re.compile(whole)
-
-
-#: All segments of these are shorter than SPAN_LIMIT.
-_SHAPES = (
-    _shape("iban", "A-Za-z0-9", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
-    _shape("number", "0-9A-Za-z", r"\+?\(?[0-9](?:[ ()./-]{0,2}[0-9]){6,22}", "|(?=[+(])"),
-    _shape("mac", "0-9A-Fa-f", r"[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}"),
-    _shape("ipv6", "0-9A-Fa-f", r"(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}"),
-)
 _FORMS = (
     ("ssn", re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")),
     ("local phone", re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}")),
     ("long phone", re.compile(r"\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}")),
-    ("date", re.compile(r"[0-9]{4}[./-][0-9]{2}[./-][0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4}")),
-    ("hex", re.compile(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}|(?=.*[0-9])(?=.*[A-F])[0-9A-F]{16,}")),
-    ("mixed", re.compile(r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+")),
+    ("date", re.compile(r"[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}")),
+    ("iban", re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")),
+    ("mac", re.compile(r"[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}")),
+    ("ipv6", re.compile(r"(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}")),
     ("digits", re.compile(r"[0-9]+")),
-    ("letters", re.compile(r"[A-Za-z_-]+")),
+    ("number", re.compile(r"[+(]*[0-9](?:[ ()./-]{0,2}[0-9])+")),
+    ("hex", re.compile(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}|(?=.*[0-9])(?=.*[A-F])[0-9A-F]{16,}")),
+    ("letters", re.compile(r"[A-Za-z]+")),
+    ("tied letters", re.compile(r"[A-Za-z_/+-]+")),
+    ("mixed", re.compile(r"[A-Za-z0-9_/+-]+")),
 )
 
 _ALL_DIGITS, _TIES = frozenset("0123456789"), frozenset("-_./:+()")
@@ -117,42 +115,35 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _words(part: str) -> Iterator[tuple[int, int, str]]:
-    for run in _RUN.finditer(part):
-        pieces = [m.span() for m in _PART.finditer(part, run.start(), run.end())]
-        for i, (start, _) in enumerate(pieces):
-            for k in range(i, len(pieces)):
-                end = pieces[k][1]
-                if end - start > SPAN_LIMIT:
-                    break
-                if end - start >= 16:
-                    yield start, end, "secret"
-
-
-def _shaped(part: str, source: str, starts: re.Pattern, token: re.Pattern, whole: re.Pattern) -> Iterator[tuple[int, int, str]]:
-    for m in starts.finditer(part):
-        start = m.start()
-        for end in range(start + 7, m.end(1) + 1):
-            if not token.match(part, end) and whole.fullmatch(part, start, end):
-                yield start, end, source
-
-
-def candidates(text: str, taken: list[Span]) -> Iterator[Span]:
-    """(source, start, end) of all segments that may be an entity, by start and end, in the text around taken."""
+def segments(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
+    """(start, end) of all runs of tokens that may be an entity, by start and end, in the text around taken."""
     at = 0
     for start, end in [*sorted((s, e) for _, s, e in taken), (len(text), len(text))]:
         if start > at:
             part = text[at:start]
-            sources = [_words(part)] if _RUN.search(part) else []
-            if _DIGITS.search(part):
-                sources += [_shaped(part, *x) for x in _SHAPES[:2]]
-            if _GROUP.search(part):
-                sources += [_shaped(part, *x) for x in _SHAPES[2:]]
-            for s, e, source in heapq.merge(*sources):
-                yield source, at + s, at + e
+            for chain in _CHAIN.finditer(part):
+                if chain.end() - chain.start() >= 7:
+                    for s, e in _runs(part, chain.start(), chain.end()):
+                        yield at + s, at + e
         at = max(at, end)
 
 
+def _runs(part: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    tokens = [m.span() for m in _ALNUM_RUN.finditer(part, begin, end)]
+    for i, (start, _) in enumerate(tokens):
+        first = start
+        while first > begin and start - first < 2 and part[first - 1] in "+(":
+            first -= 1
+        for s in range(first, start + 1):
+            digit = False
+            for a, e in tokens[i : i + MOST_TOKENS]:
+                if e - s > SPAN_LIMIT:
+                    break
+                digit = digit or _DIGITS.search(part, a, e) is not None
+                if e - s >= (7 if digit else 12):
+                    yield s, e
+
+
 def beside(text: str, at: int, step: int) -> str:
     """What touches a segment's edge: a letter or digit, a mark that ties one to it, a digit after a space, or none of these."""
     near = text[at : at + 1] if at >= 0 else ""
@@ -164,53 +155,59 @@ def beside(text: str, at: int, step: int) -> str:
     return "digit" if near == " " and far in _ALL_DIGITS else "none"
 
 
-def features(text: str, source: str, start: int, end: int) -> list[str]:
-    """What the whole span and its surroundings say."""
+def features(text: str, start: int, end: int) -> list[str]:
+    """What the whole segment and its surroundings say."""
     span = text[start:end]
     form = next((name for name, p in _FORMS if p.fullmatch(span)), "other")
     digits = sum("0" <= c <= "9" for c in span)
+    upper, lower = sum("A" <= c <= "Z" for c in span), sum("a" <= c <= "z" for c in span)
+    between = "".join(sorted({c for c in span if c not in _ALNUM}))
+    tokens = len(_ALNUM_RUN.findall(span))
     before = re.findall(r"[a-z]+", text[max(0, start - 24) : start].lower())[-2:]
     cue = next((c for c in CUES for w in before if w.startswith(c) or w.endswith(c)), "none")
     assigned = text[max(0, start - 3) : start].rstrip("\"' ")[-1:] in ("=", ":")
     quoted = text[start - 1 : start] in ('"', "'") and text[end : end + 1] in ('"', "'")
-    out = ["bias", f"source {source}", f"form {form}", f"source {source} form {form}", f"cue {cue}", f"digits {min(digits, 20) // 4}", f"length {min(end - start, 60) // 8}", f"assigned {assigned} quoted {quoted}"]
     left, right = beside(text, start - 1, -1), beside(text, end, 1)
     if _PREFIX.search(text, max(0, start - 6), start):
         left = "prefix"
-    out += [f"left {left}", f"right {right}", f"source {source} tied {left in _TIES or left == 'token'} {right in _TIES or right == 'token'}"]
-    if source == "number":
+    tied = f"{left in _TIES or left == 'token'} {right in _TIES or right == 'token'}"
+    characters = f"{'u' * (upper > 0)}{'l' * (lower > 0)}{'d' * (digits > 0)}"
+    long = min(end - start, 60) // 8
+    told = cue != "none" and assigned
+    out = ["bias", f"form {form}", f"cue {cue}", f"digits {min(digits, 20) // 4}", f"length {long}", f"tokens {min(tokens, 8)}", f"between {between}", f"assigned {assigned} quoted {quoted}"]
+    out += [f"left {left}", f"right {right}", f"form {form} tied {tied}", f"form {form} cue {cue}", f"form {form} characters {characters} length {long}", f"form {form} told {told}"]
+    if form in ("number", "local phone", "long phone"):
         out.append(f"brackets {span.count('(') - span.count(')')}")
-    if source == "secret":  # names of several words turn from small to capital letters less often than chance does
+    if form in ("letters", "tied letters", "mixed", "hex", "digits"):
+        # names of several words turn from small to capital letters less often than chance does; words have no digits inside
         turns = len(_TURN.findall(span)) * 7 > end - start
-        out += [f"turns {turns}", f"form {form} turns {turns} cue {cue != 'none'} assigned {assigned} quoted {quoted}"]
-    if source == "iban":
+        out += [f"turns {turns} characters {characters}", f"form {form} turns {turns} cue {cue != 'none'} assigned {assigned} quoted {quoted}", f"characters {characters} told {told} between {between}"]
+    if form == "iban":
         out.append(f"check {iban_ok(span)}")
     return out
 
 
-#: Types that a candidate of each source may be.
-MAY_BE = {"secret": ("secret",), "iban": ("iban",), "number": ("phone", "ssn"), "mac": ("mac",), "ipv6": ("ipv6",)}
 Weights = dict[str, float]
 
 
-def zones(spans: Iterable[Span]) -> Iterator[Iterator[Span]]:
+def zones(spans: Iterable[tuple[int, int]]) -> Iterator[Iterator[tuple[int, int]]]:
     """spans, sorted by start and end, in groups more than ZONE characters apart; none is held in memory."""
     reach, number = -ZONE - 1, 0
 
-    def place(c: Span) -> int:
+    def place(c: tuple[int, int]) -> int:
         nonlocal reach, number
-        number += c[1] - reach > ZONE
-        reach = max(reach, c[2])
+        number += c[0] - reach > ZONE
+        reach = max(reach, c[1])
         return number
 
     return (zone for _, zone in groupby(spans, place))
 
 
-def options(text: str, zone: Iterable[Span], weights: Weights) -> Iterator[tuple[int, int, str, float, list[str]]]:
-    """(start, end, type, score, feature names) of all typed segments of a zone."""
-    for source, start, end in zone:
-        names = features(text, source, start, end)
-        for kind in MAY_BE[source]:
+def options(text: str, zone: Iterable[tuple[int, int]], weights: Weights) -> Iterator[tuple[int, int, str, float, list[str]]]:
+    """(start, end, type, score, feature names) of all segments of a zone with each type."""
+    for start, end in zone:
+        names = features(text, start, end)
+        for kind in TYPES:
             typed = [f"{kind}|{n}" for n in names]
             yield start, end, kind, sum(weights.get(n, 0.0) for n in typed), typed
 
@@ -285,23 +282,31 @@ def _after(choices: list, weights: Weights) -> list[float]:
     return out
 
 
-def expected(choices: list, weights: Weights) -> dict[str, float]:
-    """Expected count of each feature and of each pair of types."""
+def marginals(choices: list, weights: Weights) -> tuple[list[float], dict[str, float]]:
+    """The probability of each choice, and the expected count of each pair of types."""
     before, _, total = _sums(choices, weights)
-    after, out = _after(choices, weights), {}
-    for i, (_, _, kind, score, names) in enumerate(choices):
+    after, pairs, out = _after(choices, weights), {}, []
+    for i, (_, _, kind, score, _) in enumerate(choices):
         here = 0.0
         for y, v in before[i].items():
             name = f"{y}>{kind}"
             p = math.exp(v + weights.get(name, 0.0) + score + after[i] - total)
-            out[name] = out.get(name, 0.0) + p
+            pairs[name] = pairs.get(name, 0.0) + p
             here += p
+        out.append(here)
+    return out, pairs
+
+
+def expected(choices: list, weights: Weights) -> dict[str, float]:
+    """Expected count of each feature and of each pair of types."""
+    each, out = marginals(choices, weights)
+    for p, (*_, names) in zip(each, choices, strict=True):
         for n in names:
-            out[n] = out.get(n, 0.0) + here
+            out[n] = out.get(n, 0.0) + p
     return out
 
 
-def sentences(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
+def sentences(n: int = 240, seed: int = 11) -> list[tuple[str, list[Span]]]:
     """Generated training sentences with their entities, and look-alikes that are none."""
     rng = random.Random(seed)
     hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
@@ -321,9 +326,16 @@ def sentences(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
     letters = lambda k: "".join(rng.choice("ABCDEFGHJKLMNOPQRSTUVWXYZabcdefghjkmnopqrstuvwxyz") for _ in range(k))
     parts = lambda: ["".join(rng.choice("abdefgilmnorstu") for _ in range(rng.randrange(3, 9))) for _ in range(rng.randrange(4, 6))]
     camel = lambda: "".join(w.capitalize() for w in parts())
+    upper = lambda k: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(k - 1)) + "7"
+    low = lambda k: "".join(rng.choice("abcdefghijkmnopqrstuvwxyz23456789") for _ in range(k - 2)) + "q4"
+    slashed = lambda k: "".join(rng.choice("ABCDEFGHJKabcdefghjk0123456789/+") for _ in range(k - 3)) + "aB7"
+    code = lambda: "-".join(upper(rng.randrange(2, 5)) for _ in range(rng.randrange(2, 4)))
     kinds = {
         "secret": [lambda: ('key = "', hexes(40), '"'), lambda: ("token: ", mixed(32), ""), lambda: ("api_key='", mixed(24), "'"), lambda: ("secret ", hexes(32), ""), lambda: ("password=", mixed(18), ""), lambda: ("", hexes(40), ""),
-            lambda: ('key = "', letters(24), '"'), lambda: ("password=", letters(20), ""), lambda: ("token: ", letters(32), ""), lambda: ("secret '", letters(28), "'"), lambda: ("api_key='", letters(40), "'")],
+            lambda: ('key = "', letters(24), '"'), lambda: ("password=", letters(20), ""), lambda: ("token: ", letters(32), ""), lambda: ("secret '", letters(28), "'"), lambda: ("api_key='", letters(40), "'"),
+            lambda: (rng.choice(["key ", "access key: ", "secret=", "", "token "]), upper(rng.randrange(16, 33)), ""), lambda: (rng.choice(["password=", "passwd: ", "secret = ", "token="]), low(rng.randrange(12, 30)), ""),
+            lambda: (rng.choice(["password=", "passwd = ", "password: '", "password is: "]), "".join(rng.choice((str, str.upper, str.capitalize))(w) for w in parts()), ""),
+            lambda: (rng.choice(["SECRET_KEY=", "access_key = ", "token: "]), slashed(40), ""), lambda: (rng.choice(["token ", "key: ", "", "api_key = "]), rng.choice(["sk-", "ghp_", "xoxb-", "pk_live_"]) + mixed(rng.randrange(20, 37)), "")],
         "iban": [lambda: ("IBAN ", iban(), ""), lambda: ("", iban(), ""), lambda: ("account ", iban(), ".")],
         "ssn": [lambda: ("SSN ", f"{digits(3)}-{digits(2)}-{digits(4)}", ""), lambda: ("social security ", f"{digits(3)}-{digits(2)}-{digits(4)}", ".")],
         "phone": [lambda: ("call ", f"({digits(3)}) {digits(3)}-{digits(4)}", ""), lambda: ("phone ", f"{digits(3)}-{digits(3)}-{digits(4)}", ","), lambda: ("tel ", f"{digits(3)}.{digits(3)}.{digits(4)}", "")],
@@ -332,6 +344,7 @@ def sentences(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
         "": [
             lambda: ("", word() + "-" + "".join(word() for _ in range(8)), ""), lambda: ("order ", digits(12), ""), lambda: ("", digits(16), ""), lambda: ("in ", "2019-2024 1990", ""), lambda: ("", "_" * 20, ""),
             lambda: ("part ", f"{digits(4)}-{digits(4)}", ""), lambda: ("", "XX12 " + "ABCD EFGH IJKL", ""), lambda: ("", "".join(word() for _ in range(9)), ""), lambda: ("sum ", f"{digits(7)}", ""),
+            lambda: (rng.choice(["item ", "key ", "model ", ""]), code(), ""), lambda: (rng.choice(["", "see ", "token "]), "/".join(parts()), ""), lambda: (rng.choice(["room ", "", "no. "]), upper(rng.randrange(7, 11)), ""),
             lambda: ("", camel(), ""), lambda: (rng.choice(["key ", "token = ", "secret: "]), camel(), ""), lambda: (rng.choice(["", "key ", "token: "]), "_".join(parts()), ""),
             lambda: (rng.choice(["", "secret ", "account: "]), "-".join(parts()), ""), lambda: (rng.choice(["", "key: ", "card "]), "".join(parts()), ""), lambda: ("", "-".join(af(2) for _ in range(9)), ""),
         ],
@@ -368,41 +381,52 @@ def sentences(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
 
 
 @lru_cache(maxsize=1)
-def trained(steps: int = 60, rate: float = 0.5, decay: float = 0.002) -> Weights:
+def trained(steps: int = 30, rate: float = 0.5, decay: float = 0.002) -> Weights:
     """Weights of greatest likelihood on the generated sentences, by gradient ascent with a Gaussian prior."""
-    data = []
+    number: dict[str, int] = {}
+    zoned, flat, sizes, wanted = [], [], [], []
     for text, spans in sentences():
-        want = set(spans)
-        for zone in zones(candidates(text, base_spans(text))):
-            data.append((list(options(text, zone, {})), want))
-    weights: Weights = {}
-    squares: dict[str, float] = {}
-    for _ in range(steps):
-        slope: dict[str, float] = {}
-        for choices, want in data:
-            scored = [(s, e, k, sum(weights.get(n, 0.0) for n in names), names) for s, e, k, _, names in choices]
-            for n, v in expected(scored, weights).items():
-                slope[n] = slope.get(n, 0.0) - v
-            last = ""
-            for s, e, k, _, names in sorted(scored):
-                if (k, s, e) in want:
-                    for n in [*names, f"{last}>{k}"]:
-                        slope[n] = slope.get(n, 0.0) + 1
+        there = set(spans)
+        for zone in zones(segments(text, base_spans(text))):
+            choices = list(options(text, zone, {}))
+            last, right = "", []
+            for s, e, k, _, names in sorted(choices):
+                if (k, s, e) in there:
+                    right += [*names, f"{last}>{k}"]
                     last = k
-        for n, v in slope.items():
-            v -= decay * len(data) * weights.get(n, 0.0)
-            squares[n] = squares.get(n, 0.0) + v * v
-            weights[n] = weights.get(n, 0.0) + rate * v / (math.sqrt(squares[n]) + 1e-9)
-    return weights
+            wanted += [number.setdefault(n, len(number)) for n in right]
+            zoned.append([c[:3] for c in choices])
+            sizes += [len(c[4]) for c in choices]
+            flat += [number.setdefault(n, len(number)) for c in choices for n in c[4]]
+    pairs = {f"{y}>{k}": number.setdefault(f"{y}>{k}", len(number)) for y in ("", *TYPES) for k in TYPES}
+    index, counts = np.array(flat), np.array(sizes)
+    begins = np.cumsum(counts) - counts
+    goal = np.bincount(wanted, minlength=len(number)).astype(float)
+    w, squares = np.zeros(len(number)), np.zeros(len(number))
+    for _ in range(steps):
+        scores = np.add.reduceat(w[index], begins).tolist()
+        transitions = {name: w[i] for name, i in pairs.items()}
+        slope, each, at = goal - decay * len(zoned) * w, [], 0
+        for choices in zoned:
+            scored = [(*c, score, ()) for c, score in zip(choices, scores[at : at + len(choices)], strict=True)]
+            at += len(choices)
+            p, follow = marginals(scored, transitions)
+            each += p
+            for name, v in follow.items():
+                slope[pairs[name]] -= v
+        slope -= np.bincount(index, np.repeat(each, counts), len(number))
+        squares += slope * slope
+        w += rate * slope / (np.sqrt(squares) + 1e-9)
+    return {name: float(w[i]) for name, i in number.items() if w[i]}
 
 
 def find(text: bytes, weights: Weights) -> tuple[list[Span], list[Span]]:
     """(what the fixed patterns find, what the field adds), both by kind and start, in code points."""
-    if not any(p.search(text) for p in _MAY):
+    if not _MAY.search(text):
         return [], []
     decoded = text.decode()
     base = base_spans(decoded)
-    added = [span for zone in zones(candidates(decoded, base)) for span in decode_sorted(options(decoded, zone, weights), weights)]
+    added = [span for zone in zones(segments(decoded, base)) for span in decode_sorted(options(decoded, zone, weights), weights)]
     return base, sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
