@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -19,8 +18,10 @@ from tablepulse.operators.frame import Table
 LARGE = 1e150
 #: Columns whose moments are taken in one aggregate.
 MOMENT_COLUMNS = 10
-#: Distinct values that one task may hold for Spark's own percentile; beyond, order statistics are picked from a range sort.
-PERCENTILE_LIMIT = 1_000_000
+#: Values around a wanted place that are looked at one by one; with more of them the brackets are narrowed first.
+LOOKED_AT = 20_000
+#: Rank error of Spark's approximate percentiles, as a part of the rows: one in so many.
+ACCURACY = 10_000
 
 
 def undefined_to_null(c: Column) -> Column:
@@ -72,80 +73,140 @@ def _moment_rows(table: Table, scales: dict[int, float], ddof: int) -> list[Row]
     return [Row(**dict(zip(MOMENT_NAMES, r, strict=True))) for r in out]
 
 
-def picked(values: DataFrame, places: list[int]) -> dict[int, float]:
-    """The values at the given places (from 0) in sorted order of (value, n) rows, n times each.
-
-    Values are dealt to partitions by range; only each partition's total comes to the driver, and each task sorts its own
-    range."""
-    spark = values.sparkSession
-    ranged = values.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "value").withColumn("part", F.spark_partition_id()).persist()
-    try:
-        before, offsets = 0, {}
-        for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
-            offsets[r.part] = before
-            before += r.n
-        wanted = [p for p in places if 0 <= p < before]
-        if not wanted:
-            return {}
-        starts = sorted((o, part) for part, o in offsets.items())
-        holds = {p: starts[bisect_right(starts, (p, before)) - 1] for p in wanted}  # the partition that a place is in
-        offset = F.coalesce(*(F.when(F.col("part") == part, F.lit(o).cast("long")) for o, part in set(holds.values())))
-        own = Window.partitionBy("part").orderBy("value")
-        upto = ranged.where(F.col("part").isin([part for _, part in holds.values()])).withColumn("upto", F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)) + offset)
-        hits = upto.where(" or ".join(f"(upto > {p} and upto - n <= {p})" for p in wanted)).select("value", "n", "upto").collect()
-        return {p: float(next(r.value for r in hits if r.upto > p >= r.upto - r.n)) for p in wanted}
-    finally:
-        ranged.unpersist()
-
-
-def quantiles(df: DataFrame | Table, name: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75), interpolation: str = "linear", limit: int = PERCENTILE_LIMIT) -> list[float | None]:
-    """Exact quantiles of a column's finite values at h = (n - 1) * share, by one of five interpolations."""
-    table = Table.of(df)
-    i = table.position(name)
-    values = table.df.select(table.finite(i).alias("value")).where("value is not null")
-    n, distinct = values.agg(F.count("*"), F.approx_count_distinct("value")).first()
-    if not n:
-        return [None] * len(shares)
-    if interpolation == "linear" and distinct <= limit:
-        return list(values.agg(F.percentile("value", F.array(*map(F.lit, shares)))).first()[0])
-    heights = [(n - 1) * p for p in shares]
-    found = picked(values.groupBy("value").agg(F.count("*").alias("n")), sorted({x for h in heights for x in (int(h), min(int(h) + 1, n - 1))}))
-    out = []
-    for h in heights:
-        low, share = int(h), h - int(h)
+def order_statistics(df: DataFrame, columns: list[Column], places: Callable[[int], list[int]], looked_at: int = LOOKED_AT) -> list[tuple[int, dict[int, float]]]:
+    """For each column of doubles, the number of values (not null) and the values at places(number) in sorted order.
+
+    Approximate percentiles, which add up before the shuffle, set brackets around each wanted place. Brackets are counted
+    exactly, and narrowed again while they hold more than looked_at values; then their distinct values are counted and the place is
+    looked up. So results are exact, nothing is sorted as a whole, and no task holds a column; all columns go together."""
+    names = [f"v{k}" for k in range(len(columns))]
+    rows = df.select(*(c.alias(n) for c, n in zip(columns, names, strict=True)))
+    first = rows.agg(*(F.struct(F.count(n).alias("n"), F.min(n).alias("low"), F.max(n).alias("high")).alias(n) for n in names)).first()
+    wanted = [sorted({p for p in places(x.n) if 0 <= p < x.n}) for x in first]
+    # of each column: bracket (low, high), how many values are below it and in it, and the places in it
+    open_ = {k: [(x.low, x.high, 0, x.n, wanted[k])] for k, x in enumerate(first) if wanted[k]}
+    out: list[dict[int, float]] = [{} for _ in columns]
+    while open_:
+        wide = {k: [b for b in brackets if b[3] > looked_at and b[0] < b[1]] for k, brackets in open_.items()}
+        found = _values_in(rows, {k: [b for b in brackets if b not in wide[k]] for k, brackets in open_.items()})
+        for k, p, value in found:
+            out[k][p] = value
+        open_ = _narrowed(rows, {k: x for k, x in wide.items() if x})
+    return [(x.n, values) for x, values in zip(first, out, strict=True)]
+
+
+Bracket = tuple[float, float, int, int, list[int]]
+
+
+def _inside(name: str, bracket: Bracket) -> Column:
+    return F.col(name).between(bracket[0], bracket[1])
+
+
+def _values_in(rows: DataFrame, brackets: dict[int, list[Bracket]]) -> list[tuple[int, int, float]]:
+    """(column, place, value) of all places in the brackets."""
+    flat = [(k, b) for k, some in brackets.items() for b in some]
+    if not flat:
+        return []
+    out = [(k, p, b[0]) for k, b in flat if b[0] == b[1] for p in b[4]]
+    flat = [(k, b) for k, b in flat if b[0] < b[1]]
+    if flat:
+        each = F.array(*(F.when(_inside(f"v{k}", b), F.struct(F.lit(j).alias("j"), F.col(f"v{k}").alias("v"))) for j, (k, b) in enumerate(flat)))
+        counts = rows.select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).groupBy("x.j", "x.v").count()
+        seen: dict[int, list] = {}
+        for r in counts.collect():  # distinct values among LOOKED_AT for each bracket at most
+            seen.setdefault(r.j, []).append((r.v, r["count"]))
+        for j, (k, b) in enumerate(flat):
+            values = sorted(seen[j])
+            upto = np.cumsum([n for _, n in values]) + b[2]
+            out += [(k, p, values[int(np.searchsorted(upto, p, side="right"))][0]) for p in b[4]]
+    return out
+
+
+def _neighbours(places: list[int]) -> list[list[int]]:
+    """places in groups of consecutive ones."""
+    out: list[list[int]] = []
+    for p in places:
+        if out and p == out[-1][-1] + 1:
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return out
+
+
+def _narrowed(rows: DataFrame, brackets: dict[int, list[Bracket]]) -> dict[int, list[Bracket]]:
+    """Brackets around the places, a small part of the given ones, counted exactly. One that percentiles don't narrow, because
+    its ends are frequent, falls into its ends and what is between them."""
+    if not brackets:
+        return {}
+    flat = [(k, b, group) for k, some in brackets.items() for b in some for group in _neighbours(b[4])]
+    shares = [[min(max((p - b[2]) / b[3] + d / ACCURACY, 0.0), 1.0) for p, d in ((group[0], -3), (group[-1], 3))] for _, b, group in flat]
+    edges = rows.agg(*(F.percentile_approx(F.when(_inside(f"v{k}", b), F.col(f"v{k}")), F.array(*map(F.lit, s)), ACCURACY).alias(f"e{j}") for j, ((k, b, _), s) in enumerate(zip(flat, shares, strict=True)))).first()
+    cut = []
+    for (k, b, group), (low, high) in zip(flat, edges, strict=True):
+        if (low, high) == b[:2]:
+            between = math.nextafter(low, high), math.nextafter(high, low)
+            cut += [(k, x, group) for x in ((low, low), between, (high, high)) if x[0] <= x[1]]
+        else:
+            cut.append((k, (low, high), group))
+    counted = rows.agg(*(c.alias(f"{what}{j}") for j, (k, (low, high), _) in enumerate(cut) for what, c in (("below", F.count_if(F.col(f"v{k}") < low)), ("held", F.count_if(F.col(f"v{k}").between(low, high)))))).first()
+    out: dict[int, list[Bracket]] = {}
+    for j, (k, (low, high), group) in enumerate(cut):
+        below, held = counted[f"below{j}"], counted[f"held{j}"]
+        if here := [p for p in group if below <= p < below + held]:
+            out.setdefault(k, []).append((low, high, below, held, here))
+    if sum(len(b[4]) for some in out.values() for b in some) != sum(len(group) for *_, group in flat):
+        raise RuntimeError("an approximate percentile is further off than its accuracy allows")
+    return out
+
+
+def interpolated(n: int, found: dict[int, float], shares: tuple[float, ...], interpolation: str) -> list[float | None]:
+    """Values at h = (n - 1) * share, by one of five interpolations."""
+    out: list[float | None] = []
+    for share in shares:
+        if not n:
+            out.append(None)
+            continue
+        h = (n - 1) * share
+        low, part = int(h), h - int(h)
         a, b = found[low], found[min(low + 1, n - 1)]
-        if interpolation == "lower" or share == 0:
+        if interpolation == "lower" or part == 0:
             out.append(a)
         elif interpolation == "higher":
             out.append(b)
         elif interpolation == "midpoint":
             out.append(a / 2 + b / 2)
         elif interpolation == "nearest":
-            out.append(b if share > 0.5 or (share == 0.5 and low % 2) else a)
+            out.append(b if part > 0.5 or (part == 0.5 and low % 2) else a)
         else:
-            out.append(a * (1 - share) + b * share)
+            out.append(a * (1 - part) + b * part)
     return out
 
 
-def quartiles(df: DataFrame | Table, names: list[str] | None = None, interpolation: str = "linear", distinct: dict[str, int] | None = None) -> DataFrame:
-    """(column_name, first_quartile, median, third_quartile, interquartile_range) of numeric columns.
+QUARTERS = (0.25, 0.5, 0.75)
+
+
+def quantiles_of(df: DataFrame, columns: list[Column], shares: tuple[float, ...] = QUARTERS, interpolation: str = "linear", looked_at: int = LOOKED_AT) -> list[list[float | None]]:
+    """Exact quantiles of several columns of doubles together; null where a column has no value."""
+    if not columns:
+        return []
+    places = lambda n: [p for s in shares for p in (int((n - 1) * s), min(int((n - 1) * s) + 1, n - 1))] if n else []
+    return [interpolated(n, found, shares, interpolation) for n, found in order_statistics(df, columns, places, looked_at)]
+
+
+def quantiles(df: DataFrame | Table, name: str, shares: tuple[float, ...] = QUARTERS, interpolation: str = "linear", limit: int = LOOKED_AT) -> list[float | None]:
+    """Exact quantiles of a column's finite values."""
+    table = Table.of(df)
+    return quantiles_of(table.df, [table.finite(table.position(name))], shares, interpolation, limit)[0]
+
 
-    Linear quartiles of columns without too many distinct values come from one aggregate over all of them. distinct: how many
-    there are by column, if that is known."""
+def quartiles(df: DataFrame | Table, names: list[str] | None = None, interpolation: str = "linear") -> DataFrame:
+    """(column_name, first_quartile, median, third_quartile, interquartile_range) of numeric columns, all together."""
     table = Table.of(df)
     chosen = [table.position(n) for n in names] if names else [i for i in range(len(table)) if table.is_numeric(i)]
-    spark, rows = table.df.sparkSession, []
-    if chosen and interpolation == "linear":
-        counts = [distinct[table.names[i]] for i in chosen] if distinct else table.df.agg(*(F.approx_count_distinct(table.finite(i)) for i in chosen)).first()
-        few = [i for i, d in zip(chosen, counts, strict=True) if d <= PERCENTILE_LIMIT]
-        if few:
-            found = table.df.agg(*(F.percentile(table.finite(i), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for i in few)).first()
-            rows = [(i, *(q or [None] * 3)) for i, q in zip(few, found, strict=True)]
-    done = {r[0] for r in rows}
-    rows += [(i, *quantiles(table, table.names[i], interpolation=interpolation)) for i in chosen if i not in done]
     wide = lambda a, c: None if a is None else (c / 2 - a / 2) * 2
-    shown = [(table.names[i], a, m, c, wide(a, c)) for i, a, m, c in sorted(rows)]
-    return undefined(spark.createDataFrame(shown, "column_name string, first_quartile double, median double, third_quartile double, interquartile_range double"), "interquartile_range")
+    found = quantiles_of(table.df, [table.finite(i) for i in chosen], interpolation=interpolation)
+    shown = [(table.names[i], a, m, c, wide(a, c)) for i, (a, m, c) in zip(chosen, found, strict=True)]
+    return undefined(table.df.sparkSession.createDataFrame(shown, "column_name string, first_quartile double, median double, third_quartile double, interquartile_range double"), "interquartile_range")
 
 
 def undefined(df: DataFrame, name: str) -> DataFrame:
@@ -279,10 +340,12 @@ def grouped_boxes(df: DataFrame | Table, name: str, target: str, classes: int =
     t = table.position(target)
     top = top_classes(table, t, classes).select(F.col("value").alias("class"), "class_number")
     rows = table.df.select(table.value(t).alias("class"), table.finite(table.position(name)).alias("v")).where("v is not null").join(F.broadcast(top), "class")
-    q = rows.groupBy("class").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select("class", *(F.col("q")[k].alias(c) for k, c in enumerate(("first_quartile", "median", "third_quartile"))))
+    numbers = [r.class_number for r in top.select("class_number").collect()]
+    found = quantiles_of(rows, [F.when(F.col("class_number") == k, F.col("v")) for k in numbers])
+    q = table.df.sparkSession.createDataFrame([(k, *x) for k, x in zip(numbers, found, strict=True)], "class_number int, first_quartile double, median double, third_quartile double")
     reach = (F.col("third_quartile") - F.col("first_quartile")) * 1.5
     inside = F.col("v").between(F.col("first_quartile") - reach, F.col("third_quartile") + reach)
-    found = rows.join(F.broadcast(q), "class").groupBy("class", "class_number", "first_quartile", "median", "third_quartile").agg(F.count("*").alias("n"), F.min(F.when(inside, F.col("v"))).alias("lower_whisker"), F.max(F.when(inside, F.col("v"))).alias("upper_whisker"), F.count_if(~inside).alias("outlier_count"))
+    found = rows.join(F.broadcast(q), "class_number").groupBy("class", "class_number", "first_quartile", "median", "third_quartile").agg(F.count("*").alias("n"), F.min(F.when(inside, F.col("v"))).alias("lower_whisker"), F.max(F.when(inside, F.col("v"))).alias("upper_whisker"), F.count_if(~inside).alias("outlier_count"))
     return found.where("lower_whisker is not null").orderBy("class_number").select(F.col("class").cast("string").alias("class"), "n", "lower_whisker", "first_quartile", "median", "third_quartile", "upper_whisker", "outlier_count")
 
 

@@ -583,6 +583,34 @@ def _charts(spark: SparkSession, sf: str) -> DataFrame:
 query("chart_marks")(_charts)
 
 
+def _marks(spark: SparkSession, sf: str, name: str, spec: str, **given: str) -> DataFrame:
+    from tablepulse.operators.charts import Wanted, marks
+
+    return rounded(marks(analysis(spark, sf, name), Wanted(spec, **given)).select("label", "value", "detail"))
+
+
+def _counted(column: str, values: tuple[str, ...], source: str) -> str:
+    listed = ", ".join(f"('{v}')" for v in values)
+    title = "array_to_string(list_transform(string_split(w.v, '_'), lambda x: upper(x[1]) || x[2:]), ' ')"
+    return f"{_F} SELECT {title} AS label, count({column})::DOUBLE AS value, '' AS detail FROM (VALUES {listed}) w(v) LEFT JOIN ({source}) ON {column} = w.v GROUP BY w.v"
+
+
+_DIMENSIONS = ("completeness", "uniqueness", "validity", "consistency", "integrity", "analytical_readiness")
+_TITLED = "array_to_string(list_transform(string_split(dimension, '_'), lambda x: upper(x[1]) || x[2:]), ' ')"
+_HEALTH = SQL["health_scores"]
+_CELLS = " UNION ALL ".join(f"SELECT {i} AS place, '{PADDED[0] if c == 'version' else c}' AS label, count(*) - count({c}) AS missing, count(*) AS n FROM t" for i, c in enumerate(COLUMNS["messy"]))
+query("chart_severities", _counted("severity", ("critical", "high", "medium", "low"), "SELECT severity FROM f"))(lambda s, d: _marks(s, d, "messy", "severities"))
+query("chart_action_dimensions", _counted("dimension", _DIMENSIONS, "SELECT DISTINCT family, column_name, dimension FROM f"))(lambda s, d: _marks(s, d, "messy", "action_dimensions"))
+query("chart_column_findings", _counted("dimension", _DIMENSIONS, "SELECT dimension FROM f WHERE column_name = 'event_id'"))(lambda s, d: _marks(s, d, "messy", "column_findings", column="event_id"))
+query("chart_types", "SELECT * FROM (VALUES ('Numeric Continuous', 1.0::DOUBLE, ''), ('Categorical', 1.0, ''), ('Datetime', 1.0, ''), ('Identifier', 1.0, ''), ('Constant', 1.0, ''), ('Empty', 1.0, '')) x(label, value, detail)")(lambda s, d: _marks(s, d, "messy", "types"))
+query("chart_missing_most", f"{_F} SELECT label, round((missing * 100.0 / n)::DOUBLE, 6) AS value, format('{{:,}}', missing) || ' missing' AS detail FROM ({_CELLS}) ORDER BY missing DESC, place LIMIT 5")(lambda s, d: _marks(s, d, "messy", "missing_most"))
+query("chart_present", f"{_F}, x AS (SELECT count(day_of) AS a, count(*) - count(day_of) AS b, count(*) AS n FROM t) SELECT 'Present' AS label, a::DOUBLE AS value, printf('%.1f%%', 100 - b * 100.0 / n) AS detail FROM x UNION ALL SELECT 'Missing', b::DOUBLE, printf('%.1f%%', b * 100.0 / n) FROM x")(lambda s, d: _marks(s, d, "messy", "present", column="day_of"))
+query("chart_quality", f"SELECT {_TITLED} AS label, score AS value, '' AS detail FROM ({_HEALTH}) WHERE dimension <> 'overall'")(lambda s, d: _marks(s, d, "messy", "quality"))
+query("chart_health", f"SELECT 'Data health' AS label, score AS value, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 60 THEN 'Needs Attention' WHEN score >= 40 THEN 'Poor' ELSE 'Critical' END AS detail FROM ({_HEALTH}) WHERE dimension = 'overall'")(lambda s, d: _marks(s, d, "messy", "health"))
+query("chart_readiness", f"SELECT 'Readiness' AS label, overall AS value FROM ({SQL['readiness_overall_orders']})")(lambda s, d: _marks(s, d, "orders", "readiness").select("label", F.round("value", 3).alias("value")))
+query("chart_prepared", f"SELECT array_to_string(list_transform(string_split(dimension, '_'), lambda x: upper(x[1]) || x[2:]), ' ') AS label, score AS value FROM ({SQL['readiness_dimensions_orders']})")(lambda s, d: _marks(s, d, "orders", "prepared").select("label", F.round("value", 3).alias("value")))
+
+
 # The shapes of the published baseline: a hundred thousand rows at sf0.1
 
 _THREE = ("value", "event_type", "user_id")
@@ -600,9 +628,9 @@ _X3 = " UNION ALL ".join(
     for i, (c, kind) in enumerate((("value", "numeric"), ("event_type", "categorical"), ("user_id", "numeric")))
 )
 query("profile_events_x3", f"SELECT x.*, y.semantic_type AS effective_type FROM ({_X3}) x JOIN ({_semantic_sql('events', _THREE)}) y USING (column_name)")(lambda s, d: rounded(_profile_of_three(s, d).drop("dtype").withColumn("warnings", F.array_join("warnings", ","))))
-_FOUR = ("event_id", "value", "event_type", "user_id")
-_RANKED = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(_FOUR))
-query("semantic_events_x4", f"SELECT CASE column_name {_RANKED} END AS position, column_name, semantic_type FROM ({_semantic_sql('events', _FOUR)})")(lambda s, d: (lambda df: types_frame(df, infer_types(df)).select("position", "column_name", "semantic_type"))(read(s, d, "events").select(*_FOUR)))
+_X4 = ("event_id", "value", "event_type", "user_id")
+_RANKED = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(_X4))
+query("semantic_events_x4", f"SELECT CASE column_name {_RANKED} END AS position, column_name, semantic_type FROM ({_semantic_sql('events', _X4)})")(lambda s, d: (lambda df: types_frame(df, infer_types(df)).select("position", "column_name", "semantic_type"))(read(s, d, "events").select(*_X4)))
 query(
     "duplicate_rows_events",
     "WITH g AS (SELECT count(*) AS c FROM events GROUP BY value, event_type, user_id) SELECT sum(c)::BIGINT AS row_count, sum(c - 1)::BIGINT AS duplicate_row_count, round((sum(c - 1) * 100.0 / sum(c))::DOUBLE, 6) AS duplicate_row_percentage FROM g",
