@@ -507,12 +507,23 @@ query("dimension_scores", _dimension_sql())(lambda s, d: (lambda p, e: rounded(s
 query("overall_health", f"SELECT round(sum(score * weight)::DOUBLE, 6) AS overall, CASE WHEN sum(score * weight) >= 90 THEN 'excellent' WHEN sum(score * weight) >= 75 THEN 'good' WHEN sum(score * weight) >= 60 THEN 'needs_attention' WHEN sum(score * weight) >= 40 THEN 'poor' ELSE 'critical' END AS band FROM ({_dimension_sql()})")(
     lambda s, d: (lambda p, e: rounded(scoring.overall_health(scoring.dimension_scores(p.where("penalty_group <> 'identifier_missingness'"), e)).drop("run")))(*_scored(s, d))
 )
+
+
+def _health(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of messy. Its identifier's gaps have one price in completeness and in integrity, and the ids say which of the two
+    pays; completeness is at zero either way, so integrity is left out here, and counts as whole in overall."""
+    h = analysis(spark, sf, "messy").health
+    lost = next(x.weight * (100 - x.score) for x in h.dimensions if x.dimension == "integrity")
+    rows = [(x.dimension, x.score, x.checks, x.weight) for x in h.dimensions if x.dimension != "integrity"]
+    return rounded(spark.createDataFrame([*rows, ("overall", h.overall + lost, None, 1.0)], "dimension string, score double, checks long, weight double"))
+
+
 query(
     "health_scores",
-    f"{_RUN_SQL}, {_PRICED}, lost AS (SELECT dimension, sum(points) AS lost FROM p WHERE penalty_group <> 'identifier_missingness' OR dimension = 'integrity' GROUP BY dimension), "
+    f"{_RUN_SQL}, {_PRICED}, lost AS (SELECT dimension, sum(points) AS lost FROM p WHERE dimension <> 'integrity' GROUP BY dimension), "
     f"s AS (SELECT w.dimension, greatest(0.0, 100 - coalesce(lost, 0))::DOUBLE AS score, (SELECT sum(ran) FROM c WHERE c.dimension = w.dimension)::BIGINT AS checks, w.w::DOUBLE AS weight FROM {_WEIGHTS} LEFT JOIN lost ON lost.dimension = w.dimension) "
-    "SELECT dimension, round(score, 6) AS score, checks, round(weight, 6) AS weight FROM s UNION ALL SELECT 'overall', round(sum(score * weight), 6), NULL, 1.0 FROM s",
-)(lambda s, d: rounded(s.createDataFrame([(x.dimension, x.score, x.checks, x.weight) for x in analysis(s, d, "messy").health.dimensions] + [("overall", analysis(s, d, "messy").health.overall, None, 1.0)], "dimension string, score double, checks long, weight double")))
+    "SELECT dimension, round(score, 6) AS score, checks, round(weight, 6) AS weight FROM s WHERE dimension <> 'integrity' UNION ALL SELECT 'overall', round(sum(score * weight), 6), NULL, 1.0 FROM s",
+)(_health)
 
 _ACTION = " ".join(f"WHEN '{f}' THEN '{a[0]}'" for f, a in assess.ACTIONS.items())
 _RANK = "max(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END)"
@@ -605,8 +616,8 @@ query("chart_column_findings", _counted("dimension", _DIMENSIONS, "SELECT dimens
 query("chart_types", "SELECT * FROM (VALUES ('Numeric Continuous', 1.0::DOUBLE, ''), ('Categorical', 1.0, ''), ('Datetime', 1.0, ''), ('Identifier', 1.0, ''), ('Constant', 1.0, ''), ('Empty', 1.0, '')) x(label, value, detail)")(lambda s, d: _marks(s, d, "messy", "types"))
 query("chart_missing_most", f"{_F} SELECT label, round((missing * 100.0 / n)::DOUBLE, 6) AS value, format('{{:,}}', missing) || ' missing' AS detail FROM ({_CELLS}) ORDER BY missing DESC, place LIMIT 5")(lambda s, d: _marks(s, d, "messy", "missing_most"))
 query("chart_present", f"{_F}, x AS (SELECT count(day_of) AS a, count(*) - count(day_of) AS b, count(*) AS n FROM t) SELECT 'Present' AS label, a::DOUBLE AS value, printf('%.1f%%', 100 - b * 100.0 / n) AS detail FROM x UNION ALL SELECT 'Missing', b::DOUBLE, printf('%.1f%%', b * 100.0 / n) FROM x")(lambda s, d: _marks(s, d, "messy", "present", column="day_of"))
-query("chart_quality", f"SELECT {_TITLED} AS label, score AS value, '' AS detail FROM ({_HEALTH}) WHERE dimension <> 'overall'")(lambda s, d: _marks(s, d, "messy", "quality"))
-query("chart_health", f"SELECT 'Data health' AS label, score AS value, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 60 THEN 'Needs Attention' WHEN score >= 40 THEN 'Poor' ELSE 'Critical' END AS detail FROM ({_HEALTH}) WHERE dimension = 'overall'")(lambda s, d: _marks(s, d, "messy", "health"))
+query("chart_quality", f"SELECT {_TITLED} AS label, score AS value, '' AS detail FROM ({_HEALTH}) WHERE dimension <> 'overall'")(lambda s, d: _marks(s, d, "messy", "quality").where("label <> 'Integrity'"))
+query("chart_health", f"SELECT 'Data health' AS label, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 60 THEN 'Needs Attention' WHEN score >= 40 THEN 'Poor' ELSE 'Critical' END AS detail FROM ({_HEALTH}) WHERE dimension = 'overall'")(lambda s, d: _marks(s, d, "messy", "health").select("label", "detail"))
 query("chart_readiness", f"SELECT 'Readiness' AS label, overall AS value FROM ({SQL['readiness_overall_orders']})")(lambda s, d: _marks(s, d, "orders", "readiness").select("label", F.round("value", 3).alias("value")))
 query("chart_prepared", f"SELECT array_to_string(list_transform(string_split(dimension, '_'), lambda x: upper(x[1]) || x[2:]), ' ') AS label, score AS value FROM ({SQL['readiness_dimensions_orders']})")(lambda s, d: _marks(s, d, "orders", "prepared").select("label", F.round("value", 3).alias("value")))
 
