@@ -123,8 +123,6 @@ def interval_starts(runs: DataFrame, n_runs: int) -> DataFrame:
     if not handed:
         return found.drop("opens", "part")
     given = runs.sparkSession.createDataFrame(handed, "part int, n int, r1 long, r2 long, earlier struct<d: long, t: long, s: int>")
-    kinds = dict(runs.dtypes)
-    given = given.select("part", *(F.col(c).cast(kinds[c]).alias(c) for c in DEPTH), F.col("earlier").cast(found.schema["first"].dataType).alias("earlier"))
     return found.join(F.broadcast(given), ["part", *DEPTH], "left").withColumn("first", F.coalesce("earlier", "first")).drop("earlier", "opens", "part")
 
 

@@ -67,6 +67,22 @@ def test_intervals_go_on_over_partitions(spark, monkeypatch, files):
     assert len(got) == len(runs) and all(tuple(r["first"]) == want[r.n, r.r1, r.r2] for r in got)
 
 
+def test_intervals_go_on_in_documents(spark, docs_of, monkeypatch):
+    """The same with the columns, never null, that documents give."""
+    from tablepulse.llm import common
+
+    monkeypatch.setattr(common, "FILE_ROWS", 40)
+    passage = "\n".join(f"line {i} of the passage" for i in range(12))
+    rows = [(d, f"own {d}\n{passage}\nend {d}") for d in range(200)]
+    conf, before = "spark.sql.adaptive.enabled", spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set(conf, "false")
+    try:
+        got = {r.doc_id: r._n_deleted for r in L.dedup_lines(docs_of(rows).repartition(4), 20).collect()}
+    finally:
+        spark.conf.set(conf, before)
+    assert got == {d: 12 * (d > 0) for d in range(200)}
+
+
 def test_very_long_text(spark, docs_of):
     lines = [f"word{i} " * 3 for i in range(30_000)]
     rows = [(1, "\n".join(lines)), (2, "\n".join(["own"] + lines[100:29_000] + ["end"])), (3, "\n".join(lines[:10]))]
