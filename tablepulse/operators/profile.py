@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -11,6 +12,7 @@ from tablepulse.config import ProfileConfig
 from tablepulse.operators import categorical, numeric
 from tablepulse.operators.facts import dataset_summary
 from tablepulse.operators.frame import Table
+from tablepulse.operators.jobs import together
 from tablepulse.operators.semantic import TYPES, ColumnType
 
 
@@ -90,29 +92,34 @@ def check_types(table: Table, types: list[ColumnType], row_count: int) -> None:
 
 
 def profile_table(df: DataFrame | Table, types: list[ColumnType], config: ProfileConfig | None = None) -> DatasetProfile:
-    """A handful of jobs, whatever the number of columns of a kind: one for the summary, and one or two for each kind."""
+    """A handful of jobs, whatever the number of columns of a kind: one for the summary, and a few for each kind, side by side."""
     table, config = Table.of(df), config or ProfileConfig()
     for limit, size, what in ((config.most_columns, len(table), "columns"), (config.most_rows, max((t.row_count for t in types), default=0), "rows")):
         if limit is not None and size > limit:
             raise ProfileError(f"the table has {size} {what}; the limit is {limit}")
-    summary = dataset_summary(table).first().asDict()
-    if config.most_cells is not None and summary["cell_count"] > config.most_cells:
-        raise ProfileError(f"the table has {summary['cell_count']} cells; the limit is {config.most_cells}")
-    check_types(table, types, summary["row_count"])
+    check_types(table, types, types[0].row_count if types else 0)
     kinds = {t.position: statistics_kind(table, t) for t in types}
     # names may repeat, so statistics go by position
     by_position = Table(table.df, tuple(f"_c{i}" for i in range(len(table))))
     of = lambda kind: [f"_c{i}" for i, k in kinds.items() if k == kind]
+    numbers, categories, texts, dates = map(of, ("numeric", "categorical", "text", "datetime"))
+    by_name = lambda rows: {r.column_name: r.asDict() for r in rows}
+    wanted: list[Callable[[], dict[str, dict]]] = []
+    if numbers:
+        wanted += [lambda: by_name(numeric.quartiles(by_position, numbers, config.interpolation).collect()), lambda: by_name(numeric.moments(by_position, numbers, config.ddof).collect())]
+    if categories:
+        wanted.append(lambda: categorical.summarized(categories, categorical.top_values(by_position, categories, config.top_values, config.display_length).collect()))
+    if texts:
+        wanted.append(lambda: by_name(categorical.text_summary(by_position, texts).collect()))
+    wanted += [lambda c=c: {c: categorical.datetime_summary(by_position, c).first().asDict()} for c in dates]
+    summary, *parts = together(table.df.sparkSession, lambda: dataset_summary(table).first().asDict(), *wanted)
+    if config.most_cells is not None and summary["cell_count"] > config.most_cells:
+        raise ProfileError(f"the table has {summary['cell_count']} cells; the limit is {config.most_cells}")
+    check_types(table, types, summary["row_count"])
     found: dict[str, dict] = {}
-    if numbers := of("numeric"):
-        quartiles = {r.column_name: r.asDict() for r in numeric.quartiles(by_position, numbers, config.interpolation).collect()}
-        found |= {r.column_name: r.asDict() | quartiles[r.column_name] for r in numeric.moments(by_position, numbers, config.ddof).collect()}
-    if categories := of("categorical"):
-        found |= categorical.summarized(categories, categorical.top_values(by_position, categories, config.top_values, config.display_length).collect())
-    if texts := of("text"):
-        found |= {r.column_name: r.asDict() for r in categorical.text_summary(by_position, texts).collect()}
-    for c in of("datetime"):
-        found[c] = categorical.datetime_summary(by_position, c).first().asDict()
+    for part in parts:
+        for name, facts in part.items():
+            found[name] = found.get(name, {}) | facts
     columns = []
     for t in types:
         stats = {k: v for k, v in found.get(f"_c{t.position}", {}).items() if k not in ("column_name", "position")}

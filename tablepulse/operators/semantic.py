@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ from tablepulse.functions.dates import date_share
 from tablepulse.functions.text import PUNCTUATION, STRUCTURED_CODE, UUID, name_tokens
 from tablepulse.operators.facts import column_facts
 from tablepulse.operators.frame import Table, evenly_spaced
+from tablepulse.operators.jobs import together
 
 #: The semantic types in their order.
 TYPES = ("numeric_continuous", "numeric_discrete", "categorical", "boolean", "datetime", "identifier", "free_text", "constant", "empty", "unknown")
@@ -271,11 +272,17 @@ def _samples(table: Table, rows: int, present: list[int], config: SemanticConfig
                     out[i].append(v)
     large = [i for i in wanted if present[i] > limit]
     full = [i for i in large if present[i] == rows]  # without missing values, their places are the same rows
-    for group in [full] * bool(full) + [[i] for i in large if i not in full]:
+
+
+    def sampled(group: list[int]) -> list[Row]:
         values = table.df.select(*(table.value(i).alias(f"_c{i}") for i in group))
-        if group is not full:
+        if group != full:
             values = values.where(F.col(f"_c{group[0]}").isNotNull())
-        for row in evenly_spaced(values, limit).orderBy("_pos").collect():
+        return evenly_spaced(values, limit).orderBy("_pos").collect()
+
+    groups = [full] * bool(full) + [[i] for i in large if i not in full]
+    for group, rows_of in zip(groups, together(table.df.sparkSession, *(lambda g=g: sampled(g) for g in groups)), strict=True):
+        for row in rows_of:
             for i in group:
                 out[i].append(row[f"_c{i}"])
     return [(out[i], present[i] > limit) for i in range(len(table))]

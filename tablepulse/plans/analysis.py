@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from tablepulse.config import CheckThresholds, FrameworkConfig, ProfileConfig, ScoreConfig, SemanticConfig
 from tablepulse.operators import assess
 from tablepulse.operators.frame import Table
+from tablepulse.operators.jobs import together
 from tablepulse.operators.profile import DatasetProfile, profile_table
 from tablepulse.operators.quality import Context, QualityRun, Registry, default_registry, run_checks
 from tablepulse.operators.semantic import infer_types
@@ -52,7 +53,11 @@ def analyze_table(
     types = infer_types(table, semantic)
     types = [t.confirmed(confirmed[t.column_name]) if confirmed and t.column_name in confirmed else t for t in types]
     facts = profile_table(table, types, profile)
-    run = run_checks(Context(table, facts, ingestion), registry if registry is not None else default_registry(thresholds), framework)
-    analytics = assess.analyze(table, facts)
-    readiness = assess.assess_readiness(facts, analytics, assess.analyze_target(table, target) if target else None)
+    run, analytics, aim = together(
+        table.df.sparkSession,
+        lambda: run_checks(Context(table, facts, ingestion), registry if registry is not None else default_registry(thresholds), framework),
+        lambda: assess.analyze(table, facts),
+        lambda: assess.analyze_target(table, target) if target else None,
+    )
+    readiness = assess.assess_readiness(facts, analytics, aim)
     return Analysis(source_name, table, facts, run, assess.score_health(run, score), assess.recommend(run), analytics, readiness, assess.insights(run, readiness, analytics), ingestion)

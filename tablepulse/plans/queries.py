@@ -11,6 +11,7 @@ from tablepulse.functions import text as T
 from tablepulse.functions.dates import read_text
 from tablepulse.operators import assess, categorical, facts, numeric, samples, scoring
 from tablepulse.operators.frame import Table, evenly_spaced
+from tablepulse.operators.jobs import together
 from tablepulse.operators.quality import CATALOGUE, executions_frame, findings_frame
 from tablepulse.operators.semantic import infer_types, types_frame
 from tablepulse.plans.analysis import Analysis, analyze_table
@@ -304,10 +305,10 @@ def _outlier_sql(name: str, column: str) -> str:
 
 
 _OUT = (("events", "value"), ("messy", "value"), ("documents", "n_chars"), ("lineitem", "l_extendedprice"))
-query("iqr_outliers", " UNION ALL ".join(f"SELECT '{t}' AS source_table, * FROM ({_outlier_sql(t, c)})" for t, c in _OUT))(lambda s, d: rounded(facts.union([numeric.outliers(derived(s, d, t), [c]).select(F.lit(t).alias("source_table"), "*") for t, c in _OUT])))
+query("iqr_outliers", " UNION ALL ".join(f"SELECT '{t}' AS source_table, * FROM ({_outlier_sql(t, c)})" for t, c in _OUT))(lambda s, d: rounded(facts.union(together(s, *(lambda t=t, c=c: numeric.outliers(derived(s, d, t), [c]).select(F.lit(t).alias("source_table"), "*") for t, c in _OUT)))))
 _SKEW = (("events", "value"), ("documents", "n_chars"), ("customer", "c_acctbal"))
 query("skew_labels", " UNION ALL ".join(f"SELECT '{c}' AS column_name, CASE WHEN abs(skewness({c})) < 0.5 THEN 'approximately symmetric' WHEN abs(skewness({c})) < 1 THEN 'moderately skewed' ELSE 'strongly skewed' END AS skew FROM {t}" for t, c in _SKEW))(
-    lambda s, d: facts.union([numeric.moments(read(s, d, t), [c]).select("column_name", numeric.skew_label(F.col("skewness")).alias("skew")) for t, c in _SKEW])
+    lambda s, d: facts.union(together(s, *(lambda t=t, c=c: numeric.moments(read(s, d, t), [c]).select("column_name", numeric.skew_label(F.col("skewness")).alias("skew")) for t, c in _SKEW)))
 )
 query(
     "histogram_totalprice",
