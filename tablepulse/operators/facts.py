@@ -68,6 +68,19 @@ def duplicate_rows(df: DataFrame | Table) -> DataFrame:
     return total.select("row_count", "duplicate_row_count", percent(F.col("duplicate_row_count"), F.col("row_count")).alias("duplicate_row_percentage"))
 
 
+def duplicate_flags(df: DataFrame | Table, *order: str) -> DataFrame:
+    """df with is_duplicate: whether a row equals an earlier one (missing values equal), earlier by the columns of order, which tell rows apart.
+
+    The first row of each group is an aggregate, made before the shuffle as well, so a frequent row's group is in no one task."""
+    table = Table.of(df)
+    by = [f"_c{table.position(o)}" for o in order]
+    same = [i for i in range(len(table)) if f"_c{i}" not in by]
+    first = table.df.groupBy(*(table.value(i).alias(f"k{i}") for i in same)).agg(F.min(F.struct(*by)).alias("first"))
+    equal = reduce(lambda a, b: a & b, [table.value(i).eqNullSafe(F.col(f"k{i}")) for i in same])
+    found = table.df.join(first, equal)
+    return found.select(*(F.col(f"_c{i}").alias(n) for i, n in enumerate(table.names)), (F.struct(*by) != F.col("first")).alias("is_duplicate"))
+
+
 def dataset_summary(df: DataFrame | Table) -> DataFrame:
     """One row: rows, columns, cells, missing cells and duplicates. data_bytes estimates the values' size, not that of objects in memory."""
     table = Table.of(df)

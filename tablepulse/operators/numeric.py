@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +113,8 @@ def _values_in(rows: DataFrame, brackets: dict[int, list[Bracket]]) -> list[tupl
     flat = [(k, b) for k, b in flat if b[0] < b[1]]
     if flat:
         each = F.array(*(F.when(_inside(f"v{k}", b), F.struct(F.lit(j).alias("j"), F.col(f"v{k}").alias("v"))) for j, (k, b) in enumerate(flat)))
-        counts = rows.select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).groupBy("x.j", "x.v").count()
+        some = reduce(or_, (_inside(f"v{k}", b) for k, b in flat))
+        counts = rows.where(some).select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).groupBy("x.j", "x.v").count()
         seen: dict[int, list] = {}
         for r in counts.collect():  # distinct values among LOOKED_AT for each bracket at most
             seen.setdefault(r.j, []).append((r.v, r["count"]))
@@ -138,9 +141,12 @@ def _narrowed(rows: DataFrame, brackets: dict[int, list[Bracket]]) -> dict[int,
     its ends are frequent, falls into its ends and what is between them."""
     if not brackets:
         return {}
-    flat = [(k, b, group) for k, some in brackets.items() for b in some for group in _neighbours(b[4])]
-    shares = [[min(max((p - b[2]) / b[3] + d / ACCURACY, 0.0), 1.0) for p, d in ((group[0], -3), (group[-1], 3))] for _, b, group in flat]
-    edges = rows.agg(*(F.percentile_approx(F.when(_inside(f"v{k}", b), F.col(f"v{k}")), F.array(*map(F.lit, s)), ACCURACY).alias(f"e{j}") for j, ((k, b, _), s) in enumerate(zip(flat, shares, strict=True)))).first()
+    wide = [(k, b, _neighbours(b[4])) for k, some in brackets.items() for b in some]
+    share = lambda b, p, d: min(max((p - b[2]) / b[3] + d / ACCURACY, 0.0), 1.0)
+    shares = [[x for group in groups for x in (share(b, group[0], -3), share(b, group[-1], 3))] for _, b, groups in wide]
+    found = rows.agg(*(F.percentile_approx(F.when(_inside(f"v{k}", b), F.col(f"v{k}")), F.array(*map(F.lit, s)), ACCURACY).alias(f"e{j}") for j, ((k, b, _), s) in enumerate(zip(wide, shares, strict=True)))).first()
+    flat = [(k, b, group) for k, b, groups in wide for group in groups]
+    edges = [pair for own in found for pair in zip(own[::2], own[1::2], strict=True)]
     cut = []
     for (k, b, group), (low, high) in zip(flat, edges, strict=True):
         if (low, high) == b[:2]:

@@ -124,6 +124,9 @@ for _name in ("orders", "labels_left", "ev_dup", "messy"):
 _MISSING = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {i}::BIGINT AS position, count(*) - count({c}) AS null_count, count({c}) AS non_null_count, round(((count(*) - count({c})) * 100.0 / count(*))::DOUBLE, 6) AS missing_percentage FROM t" for i, c in enumerate(COLUMNS["labels_left"]))
 query("missingness_by_column", f"WITH t AS (SELECT * FROM {input_sql('labels_left')}) {_MISSING}")(lambda s, d: rounded(facts.missing_counts(derived(s, d, "labels_left"))))
 query("missingness_ranking", f"WITH t AS (SELECT * FROM {input_sql('labels_left')}) SELECT * FROM ({_MISSING}) ORDER BY missing_percentage DESC, position LIMIT 5")(lambda s, d: rounded(samples.missing_ranking(derived(s, d, "labels_left"))))
+query("duplicate_flags", f"SELECT event_id, event_type, u, row_number() OVER (PARTITION BY event_type, u ORDER BY event_id) > 1 AS is_duplicate FROM (SELECT event_id, event_type, user_id % 10 AS u FROM events)")(
+    lambda s, d: facts.duplicate_flags(read(s, d, "events").select("event_id", "event_type", (F.col("user_id") % 10).alias("u")), "event_id")
+)
 query("duplicate_rows_summary", f"WITH g AS (SELECT count(*) AS c FROM {input_sql('ev_dup')} GROUP BY event_type, u) SELECT sum(c)::BIGINT AS row_count, sum(c - 1)::BIGINT AS duplicate_row_count, round((sum(c - 1) * 100.0 / sum(c))::DOUBLE, 6) AS duplicate_row_percentage FROM g")(lambda s, d: rounded(facts.duplicate_rows(derived(s, d, "ev_dup"))))
 query("identifier_duplicates", "SELECT count(o_custkey) AS non_null_count, count(o_custkey) - count(DISTINCT o_custkey) AS duplicate_identifier_count, round(((count(o_custkey) - count(DISTINCT o_custkey)) * 100.0 / count(o_custkey))::DOUBLE, 6) AS duplicate_percentage FROM orders")(
     lambda s, d: rounded(facts.identifier_duplicates(read(s, d, "orders"), "o_custkey"))

@@ -145,3 +145,18 @@ def test_dispatch_names_and_upload(spark):
     assert got.readiness.target.minority_ratio == pytest.approx(1 / 3) and got.readiness.target.kind == "classification_candidate" and len(got.ingestion.format["sha256"]) == 64
     with pytest.raises(ValueError):
         ResourceLimits(rows=0)
+
+
+def test_json_log(capsys):
+    import json
+
+    from tablepulse.sources import common
+
+    before = common.LOG.handlers[:], common.LOG.level
+    try:
+        common.configure_logging("INFO")
+        common.LOG.info("ingestion_completed", extra={"facts": {"rows": 3, "when": None}})
+        line = json.loads(capsys.readouterr().err.strip().splitlines()[-1])
+    finally:
+        common.LOG.handlers[:], common.LOG.level = before
+    assert (line["event"], line["level"], line["logger"], line["rows"], line["when"]) == ("ingestion_completed", "INFO", "tablepulse.ingestion", 3, None) and line["time"].endswith("+00:00")

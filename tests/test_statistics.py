@@ -167,3 +167,9 @@ def test_evenly_spaced_after_a_shuffle(spark, advisory):
         assert {r._pos: r.k for r in ordered} == {p: keys[p] for p in want}
     finally:
         spark.conf.set(conf, before)
+
+
+def test_duplicate_flags(spark):
+    rows = [(1, "a", 1.0), (2, None, math.nan), (3, "a", 1.0), (4, None, None), (5, "a", 2.0), (0, "a", 1.0)]
+    got = facts.duplicate_flags(spark.createDataFrame(rows, "i long, x string, y double"), "i").collect()
+    assert {r.i: r.is_duplicate for r in got} == {0: False, 1: True, 2: False, 3: True, 4: True, 5: False}
