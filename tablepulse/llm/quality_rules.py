@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,10 +121,10 @@ def probable(ids: DataFrame, n: int) -> Callable[[DataFrame], DataFrame]:
     held[found["word"].to_numpy()] = found["ones"].to_numpy()
     sent = ids.sparkSession.sparkContext.broadcast(held)
 
-    @F.pandas_udf("boolean")
-    def among(places: pd.Series) -> pd.Series:
-        p = np.stack(places.to_list()) if len(places) else np.zeros((0, 3), np.int64)
-        return pd.Series((sent.value[p >> 5] >> (p & 31).astype(np.int32) & 1).all(axis=1))
+    @F.arrow_udf("boolean")
+    def among(places: pa.Array) -> pa.Array:
+        p = places.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+        return pa.array((sent.value[p >> 5] >> (p & 31).astype(np.int32) & 1).all(axis=1))
 
     return lambda docs: docs.where("doc_id is not null").where(among(bits))
 

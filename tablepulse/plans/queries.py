@@ -585,6 +585,10 @@ def _target(spark: SparkSession, sf: str, table: str, column: str) -> DataFrame:
 for _t, _c, _number in (("labels_left", "toxic", True), ("orders", "o_totalprice", True), ("orders", "o_orderstatus", False)):
     query(f"target_analysis_{_c}", _target_sql(_t, _c, _number))(lambda s, d, t=_t, c=_c: _target(s, d, t, c))
 query("insights_ranked")(lambda s, d: s.createDataFrame([(k, x.insight_id, x.family, x.importance, x.message) for k, x in enumerate(analysis(s, d, "messy").insights, 1)], "rank int, insight_id string, family string, importance int, message string"))
+query(
+    "insight_counts",
+    f"{_F} SELECT 'quality' AS family, CASE WHEN severity IN ('high', 'critical') THEN 90 ELSE 65 END AS importance, count(*) AS n FROM f GROUP BY 1, 2 UNION ALL SELECT 'outliers', 60, 1 FROM ({_outlier_sql('messy', 'value')}) WHERE outlier_count > 0",
+)(lambda s, d: s.createDataFrame([(x.family, x.importance) for x in analysis(s, d, "messy").insights], "family string, importance int").groupBy("family", "importance").agg(F.count("*").alias("n")))
 query("type_histogram", "SELECT * FROM (VALUES ('numeric_continuous', 1), ('categorical', 1), ('datetime', 1), ('identifier', 1), ('constant', 1), ('empty', 1)) x(effective_type, n)")(lambda s, d: facts.type_histogram(types_frame(analysis(s, d, "messy").table, list(analysis(s, d, "messy").profile.types))))
 
 
