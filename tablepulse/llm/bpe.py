@@ -26,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepulse.llm.common import in_chunks, table, text_rows, worker_state
+from tablepulse.llm.common import give_back, in_chunks, table, text_rows, worker_state
 
 #: Pieces of text that a worker may know at once, and those, the first it met, that it keeps when there are more.
-TABLE_LIMIT, TABLE_KEPT = 240_000, 160_000
+TABLE_LIMIT, TABLE_KEPT = 120_000, 80_000
 
 
 def _points(ranges: str) -> Iterator[int]:
@@ -258,6 +258,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
             decoded = [own.decode(flat[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists, pa.array(decoded, pa.string())], schema=schema)
+        give_back()
 
     return text_rows(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

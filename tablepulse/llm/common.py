@@ -27,7 +27,7 @@ FILE_ROWS = 50_000
 #: Links that a task ties together at once.
 LINKS = 500_000
 #: Bytes of an Arrow batch, where the session has Spark's default.
-BATCH_BYTES, DEFAULT_BATCH = 8 << 20, "67108864b"
+BATCH_BYTES, DEFAULT_BATCH = 4 << 20, "67108864b"
 
 
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -89,6 +89,7 @@ def map_texts(docs: DataFrame, function: Callable[[list, list[bytes]], dict[str,
         for keys, texts in in_chunks(batches):
             out = function(keys, texts)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        give_back()
 
     return text_rows(docs).mapInArrow(run, schema)
 
@@ -105,6 +106,7 @@ def filter_texts(docs: DataFrame, keep: Callable[[list[bytes]], list[bool]]) ->
             for _, some in in_chunks([pa.RecordBatch.from_arrays([texts, texts], names=["key", "text"])]):
                 mask += keep(some)
             yield batch.filter(pa.array(mask, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -112,17 +114,20 @@ def filter_texts(docs: DataFrame, keep: Callable[[list[bytes]], list[bool]]) ->
 _STATE: dict = {}
 
 
-def worker_state(name: Hashable, make: Callable[[], object]) -> object:
-    """What a Python worker keeps from task to task; of one operator only, so that a pipeline's tables don't pile up.
+def give_back() -> None:
+    """What a Python worker has freed goes back to the system: idle workers share their executor's memory with its JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps it for later use
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
 
-    When another operator's turn has come, what the last one held goes back to the system."""
+def worker_state(name: Hashable, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task; of one operator only, so that a pipeline's tables don't pile up."""
     if name not in _STATE:
         if _STATE:
             _STATE.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library keeps it for later use
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
         _STATE[name] = make()
     return _STATE[name]
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepulse.llm.common import filter_texts, in_chunks, map_texts, table, text_rows
+from tablepulse.llm.common import filter_texts, give_back, in_chunks, map_texts, table, text_rows
 from tablepulse.llm.tokens import Words, shared_words, sums
 
 BUCKETS, PRIOR, THRESHOLD = 1 << 16, 20.0, -0.05
@@ -94,6 +94,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
             for which, mask in ((0, slice(None)), (1, in_target)):
                 total[which] += np.bincount(single[mask], minlength=BUCKETS) + np.bincount(pair[mask][pair[mask] >= 0], minlength=BUCKETS)
         found = np.flatnonzero(total[0])
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array(t[found], pa.int64()) for t in total)], names=["bucket", "raw", "target"])
 
     rows = text_rows(docs.select(F.col("trusted").cast("long").alias("doc_id"), "text"))
