@@ -22,7 +22,7 @@ import math
 import random
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -72,7 +72,9 @@ _FORMS = (
 )
 
 _ALL_DIGITS, _TIES = frozenset("0123456789"), frozenset("-_./:+()")
-_ALNUM = _ALL_DIGITS | frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_LOWER = frozenset("abcdefghijklmnopqrstuvwxyz")
+_UPPER = frozenset(c.upper() for c in _LOWER)
+_ALNUM, _NO_DIGITS = _ALL_DIGITS | _LOWER | _UPPER, dict.fromkeys(range(48, 58))
 
 Span = tuple[str, int, int]
 
@@ -159,9 +161,10 @@ def features(text: str, start: int, end: int) -> list[str]:
     """What the whole segment and its surroundings say."""
     span = text[start:end]
     form = next((name for name, p in _FORMS if p.fullmatch(span)), "other")
-    digits = sum("0" <= c <= "9" for c in span)
-    upper, lower = sum("A" <= c <= "Z" for c in span), sum("a" <= c <= "z" for c in span)
-    between = "".join(sorted({c for c in span if c not in _ALNUM}))
+    kinds = set(span)
+    digits = len(span) - len(span.translate(_NO_DIGITS)) if kinds & _ALL_DIGITS else 0
+    upper, lower = bool(kinds & _UPPER), bool(kinds & _LOWER)
+    between = "".join(sorted(kinds - _ALNUM))
     tokens = len(_ALNUM_RUN.findall(span))
     before = re.findall(r"[a-z]+", text[max(0, start - 24) : start].lower())[-2:]
     cue = next((c for c in CUES for w in before if w.startswith(c) or w.endswith(c)), "none")
@@ -171,7 +174,7 @@ def features(text: str, start: int, end: int) -> list[str]:
     if _PREFIX.search(text, max(0, start - 6), start):
         left = "prefix"
     tied = f"{left in _TIES or left == 'token'} {right in _TIES or right == 'token'}"
-    characters = f"{'u' * (upper > 0)}{'l' * (lower > 0)}{'d' * (digits > 0)}"
+    characters = f"{'u' * upper}{'l' * lower}{'d' * (digits > 0)}"
     long = min(end - start, 60) // 8
     told = cue != "none" and assigned
     out = ["bias", f"form {form}", f"cue {cue}", f"digits {min(digits, 20) // 4}", f"length {long}", f"tokens {min(tokens, 8)}", f"between {between}", f"assigned {assigned} quoted {quoted}"]
@@ -203,13 +206,35 @@ def zones(spans: Iterable[tuple[int, int]]) -> Iterator[Iterator[tuple[int, int]
     return (zone for _, zone in groupby(spans, place))
 
 
-def options(text: str, zone: Iterable[tuple[int, int]], weights: Weights) -> Iterator[tuple[int, int, str, float, list[str]]]:
-    """(start, end, type, score, feature names) of all segments of a zone with each type."""
+class Field(dict):
+    """Weights by type and feature, and by pair of types."""
+
+    @cached_property
+    def by_feature(self) -> dict[str, list[float]]:
+        """The weights of a feature for all types."""
+        out: dict[str, list[float]] = {}
+        for name, w in self.items():
+            kind, bar, feature = name.partition("|")
+            if bar:
+                out.setdefault(feature, [0.0] * len(TYPES))[TYPES.index(kind)] = w
+        return out
+
+
+def options(text: str, zone: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int, str, list[str]]]:
+    """(start, end, type, feature names) of all segments of a zone with each type."""
     for start, end in zone:
         names = features(text, start, end)
         for kind in TYPES:
-            typed = [f"{kind}|{n}" for n in names]
-            yield start, end, kind, sum(weights.get(n, 0.0) for n in typed), typed
+            yield start, end, kind, [f"{kind}|{n}" for n in names]
+
+
+def scored(text: str, zone: Iterable[tuple[int, int]], weights: Field) -> Iterator[tuple[int, int, str, float, tuple]]:
+    """(start, end, type, score) of all segments of a zone with each type."""
+    known = weights.by_feature
+    for start, end in zone:
+        rows = [known[n] for n in features(text, start, end) if n in known]
+        for kind, score in zip(TYPES, map(sum, zip(*rows, strict=True)) if rows else [0.0] * len(TYPES), strict=True):
+            yield start, end, kind, score, ()
 
 
 def decode(choices: Iterable[tuple[int, int, str, float, list[str]]], weights: Weights) -> list[Span]:
@@ -381,23 +406,23 @@ def sentences(n: int = 240, seed: int = 11) -> list[tuple[str, list[Span]]]:
 
 
 @lru_cache(maxsize=1)
-def trained(steps: int = 30, rate: float = 0.5, decay: float = 0.002) -> Weights:
+def trained(steps: int = 30, rate: float = 0.5, decay: float = 0.002) -> Field:
     """Weights of greatest likelihood on the generated sentences, by gradient ascent with a Gaussian prior."""
     number: dict[str, int] = {}
     zoned, flat, sizes, wanted = [], [], [], []
     for text, spans in sentences():
         there = set(spans)
         for zone in zones(segments(text, base_spans(text))):
-            choices = list(options(text, zone, {}))
+            choices = list(options(text, zone))
             last, right = "", []
-            for s, e, k, _, names in sorted(choices):
+            for s, e, k, names in sorted(choices):
                 if (k, s, e) in there:
                     right += [*names, f"{last}>{k}"]
                     last = k
             wanted += [number.setdefault(n, len(number)) for n in right]
             zoned.append([c[:3] for c in choices])
-            sizes += [len(c[4]) for c in choices]
-            flat += [number.setdefault(n, len(number)) for c in choices for n in c[4]]
+            sizes += [len(c[3]) for c in choices]
+            flat += [number.setdefault(n, len(number)) for c in choices for n in c[3]]
     pairs = {f"{y}>{k}": number.setdefault(f"{y}>{k}", len(number)) for y in ("", *TYPES) for k in TYPES}
     index, counts = np.array(flat), np.array(sizes)
     begins = np.cumsum(counts) - counts
@@ -408,25 +433,25 @@ def trained(steps: int = 30, rate: float = 0.5, decay: float = 0.002) -> Weights
         transitions = {name: w[i] for name, i in pairs.items()}
         slope, each, at = goal - decay * len(zoned) * w, [], 0
         for choices in zoned:
-            scored = [(*c, score, ()) for c, score in zip(choices, scores[at : at + len(choices)], strict=True)]
+            own = [(*c, score, ()) for c, score in zip(choices, scores[at : at + len(choices)], strict=True)]
             at += len(choices)
-            p, follow = marginals(scored, transitions)
+            p, follow = marginals(own, transitions)
             each += p
             for name, v in follow.items():
                 slope[pairs[name]] -= v
         slope -= np.bincount(index, np.repeat(each, counts), len(number))
         squares += slope * slope
         w += rate * slope / (np.sqrt(squares) + 1e-9)
-    return {name: float(w[i]) for name, i in number.items() if w[i]}
+    return Field({name: float(w[i]) for name, i in number.items() if w[i]})
 
 
-def find(text: bytes, weights: Weights) -> tuple[list[Span], list[Span]]:
+def find(text: bytes, weights: Field) -> tuple[list[Span], list[Span]]:
     """(what the fixed patterns find, what the field adds), both by kind and start, in code points."""
     if not _MAY.search(text):
         return [], []
     decoded = text.decode()
     base = base_spans(decoded)
-    added = [span for zone in zones(segments(decoded, base)) for span in decode_sorted(options(decoded, zone, weights), weights)]
+    added = [span for zone in zones(segments(decoded, base)) for span in decode_sorted(scored(decoded, zone, weights), weights)]
     return base, sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

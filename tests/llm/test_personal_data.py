@@ -207,7 +207,12 @@ def test_segments_are_all_bounded_runs_of_tokens():
         # a mark between two tokens of one chain stands before the second as well
         assert set(got) <= want and {x for x in want if x[0] == 0 or text[x[0]] not in "+("} <= set(got) and len(got) == len(set(got)) and got == sorted(got), text
     assert max(e - s for s, e in P.segments("a1-" * 200, [])) <= P.SPAN_LIMIT
-    assert {k for _, _, k, *_ in P.options("x 123-45-6789", P.segments("x 123-45-6789", []), {})} == set(P.TYPES)
+    text = "x 123-45-6789"
+    every = list(P.options(text, P.segments(text, [])))
+    assert {k for _, _, k, _ in every} == set(P.TYPES) and len(every) % len(P.TYPES) == 0
+    weights = P.trained()
+    assert [(s, e, k) for s, e, k, *_ in P.scored(text, P.segments(text, []), weights)] == [x[:3] for x in every]
+    assert [x[3] for x in P.scored(text, P.segments(text, []), weights)] == pytest.approx([sum(weights.get(n, 0.0) for n in names) for *_, names in every])
 
 
 @pytest.mark.parametrize(
