@@ -38,11 +38,13 @@ from tablepulse.llm.common import cut, give_back, in_chunks, table, text_rows
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 #: Slots of the prefix table (a power of two) and of a block of it that travels as one row.
-SLOT_BITS, BLOCK_BITS = 24, 14
+SLOT_BITS, BLOCK_BITS = 26, 14
 #: Leaves that one group may have, and counters for each depth of prefix.
 BUDGET, PREFIXES = 20_000, 1 << 14
 #: Suffixes that a task holds before it counts equal ones, and words that it may know.
 WAITING, LEAF_WORDS = 1_000_000, 300_000
+#: Languages up to which their totals are broadcast.
+LANGS = 10_000
 #: Parts of a language within which its best phrases are chosen first.
 SPREAD = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -104,21 +106,24 @@ def slots(hashes: np.ndarray, bits: int) -> np.ndarray:
 def frequent_slots(docs: DataFrame, min_count: int, bits: int = SLOT_BITS) -> np.ndarray:
     """Which slots of the prefix table have min_count prefixes or more, a bit each."""
     kind, block = np.uint8 if min_count < 256 else np.uint32, 1 << min(BLOCK_BITS, bits)
+    most = np.uint32(min_count)  # counts are clipped there, so that none overflows
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known = np.zeros(1 << bits, np.uint32), Vocabulary()
+        counts, known = np.zeros(1 << bits, kind), Vocabulary()
         for batch in batches:
             for lang, texts in by_language(batch):
                 if len(known) > LEAF_WORDS:
                     known = Vocabulary()
                 words = known.read(texts)
-                for _, hashes in prefix_hashes(words, known.hashes, lang):
-                    np.add.at(counts, slots(hashes, bits), np.uint32(1))
+                found = np.sort(np.concatenate([slots(hashes, bits) for _, hashes in prefix_hashes(words, known.hashes, lang)]))
+                first = np.flatnonzero(np.diff(found, prepend=-1))
+                met = found[first]
+                counts[met] = np.minimum(counts[met] + np.diff(np.append(first, len(found))), most)
         del known
-        clipped = np.minimum(counts, min_count).astype(kind).reshape(-1, block)
-        for first in range(0, len(clipped), 64):
-            some = first + np.flatnonzero(clipped[first : first + 64].any(axis=1))
-            packed = [zlib.compress(clipped[b].tobytes(), 1) for b in some]
+        blocks = counts.reshape(-1, block)
+        for first in range(0, len(blocks), 64):
+            some = first + np.flatnonzero(blocks[first : first + 64].any(axis=1))
+            packed = [zlib.compress(blocks[b].tobytes(), 1) for b in some]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
         give_back()
 
@@ -135,8 +140,7 @@ def frequent_slots(docs: DataFrame, min_count: int, bits: int = SLOT_BITS) -> np
                     if now is not None:
                         yield done()
                     now, total = b, np.zeros(block, np.uint32)
-                # clipped, so that no number of tasks overflows
-                total = np.minimum(total + np.frombuffer(zlib.decompress(packed), kind), np.uint32(min_count))
+                total = np.minimum(total + np.frombuffer(zlib.decompress(packed), kind), most)
         if now is not None:
             yield done()
 
@@ -312,6 +316,8 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, bu
     inside = both.where((F.col("k") == F.size("words") - 1) & (F.col("l") <= F.col("a"))).select("lang", F.col("left").alias("words"))
     inside = inside.union(both.where((F.col("k") == 1) & (F.col("r") <= F.col("a"))).select("lang", F.col("right").alias("words"))).where(F.size("words") > 1).distinct()
     whole = {c: F.col(c).cast("decimal(19,0)") for c in ("a", "total", "l", "r")}
+    # a row for each language; many languages are joined like any other keys
+    totals = F.broadcast(totals) if totals.count() <= LANGS else totals
     scored = both.join(totals, "lang").withColumn("over", F.lit(1000).cast("decimal(4,0)") * (whole["a"] * whole["total"])).withColumn("under", whole["l"] * whole["r"])
     lowest = F.min(F.struct(F.expr("over div under").alias("score"), "k", "l", "r")).alias("cut")
     found = scored.groupBy("lang", "words", "a", F.col("total").alias("n")).agg(lowest).join(inside, ["lang", "words"], "left_anti")
