@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepulse.operators.lineage import written
+from tablepulse.operators.ranks import at_places
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 FRACTIONAL = (T.FloatType, T.DoubleType)
@@ -81,20 +83,36 @@ class Table:
         return F.when(F.abs(c) < float("inf"), c)
 
 
-def _dealt_anew(df: DataFrame) -> bool:
-    """Whether each job may cut df into other partitions: a shuffle's are merged, split and bounded at run time."""
-    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+#: Steps that give the same rows in the same partitions each time they run over a scan.
+REPEATABLE = {"AdaptiveSparkPlan", "WholeStageCodegen", "InputAdapter", "ColumnarToRow", "Project", "Filter", "Union", "BroadcastHashJoin", "BroadcastExchange", "Scan", "FileScan", "BatchScan", "LocalTableScan", "Range", "Coalesce"}
+
+
+def repeatable(df: DataFrame) -> bool:
+    """Whether every job reads df in the same partitions and order: scans with deterministic steps that stay within a partition. What
+    is shuffled may be merged, split and bounded otherwise at run time; a limit, a Python step or a random filter may choose otherwise."""
+    query = df._jdf.queryExecution()
+    steps = {m[1] for line in query.executedPlan().toString().splitlines() if (m := re.match(r"[\s:+\-|]*(?:\*\(\d+\) )?([A-Za-z]+)", line))}
+    known = steps <= REPEATABLE or (steps - REPEATABLE) <= {"LogicalRDD", "ExistingRDD"}
+    plan = query.optimizedPlan()
+    return known and "Python" not in plan.toString() and _deterministic(plan)
+
+
+def _deterministic(plan) -> bool:  # noqa: ANN001
+    children = plan.children()
+    return plan.deterministic() and all(_deterministic(children.apply(k)) for k in range(children.size()))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, or what was written of it if two jobs could see other rows or partitions."""
+    return df if repeatable(df) else written(df)
 
 
 def _scan_position(df: DataFrame) -> tuple[DataFrame, int]:
     """df with _pos, the row's place in scan order (single-file sources: file order), and the number of rows.
 
     The id that Spark gives holds a partition's number and the place in it, so the rows before each partition are all that
-    is counted: one number for each partition. Rows that come from a shuffle are written with their id first, and counted
-    and read from there: two jobs over the same plan may deal them out differently."""
+    is counted: one number for each partition. df is repeatable."""
     marked = df.withColumn("_id", F.monotonically_increasing_id())
-    if _dealt_anew(df):
-        marked = written(marked)
     part = F.shiftright("_id", 33)
     counts = sorted((r.p, r["count"]) for r in marked.select(part.alias("p")).groupBy("p").count().collect())
     n = sum(c for _, c in counts)
@@ -109,16 +127,18 @@ def _scan_position(df: DataFrame) -> tuple[DataFrame, int]:
 
 def in_scan_order(df: DataFrame) -> DataFrame:
     """df with _pos, the row's place in scan order."""
-    return _scan_position(df)[0]
+    return _scan_position(settled(df))[0]
 
 
 def evenly_spaced(df: DataFrame, size: int, *order: str) -> DataFrame:
     """Up to size rows at positions i * (n - 1) // (size - 1), both ends included, with column _pos.
 
-    order: columns to sort by first; without them the scan's order counts."""
+    order: columns whose ascending order counts, found by rank selection; without them the scan's order does."""
     if size < 1:
         raise ValueError("The sample's size must be positive")
-    placed, n = _scan_position(df.orderBy(*order) if order else df)
+    if order:
+        return at_places(df, list(order), None, size)
+    placed, n = _scan_position(settled(df))
     if n <= size:
         return placed
     if size == 1:
