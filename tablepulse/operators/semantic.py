@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,8 +19,8 @@ from tablepulse.config import SemanticConfig
 from tablepulse.functions.dates import date_share
 from tablepulse.functions.text import PUNCTUATION, STRUCTURED_CODE, UUID, name_tokens
 from tablepulse.operators.facts import column_facts
-from tablepulse.operators.frame import Table, evenly_spaced
-from tablepulse.operators.jobs import together
+from tablepulse.operators.frame import Table
+from tablepulse.operators.picks import picked_values
 
 #: The semantic types in their order.
 TYPES = ("numeric_continuous", "numeric_discrete", "categorical", "boolean", "datetime", "identifier", "free_text", "constant", "empty", "unknown")
@@ -256,43 +256,19 @@ def decide(name: str, position: int, dtype: str, kind: T.DataType, rows: int, nu
     return ColumnType(name, position, dtype, found, confidence, (*evidence, *common), tuple(warnings), tuple(others), rows, nulls, distinct, len(values), sampled)
 
 
-def _samples(table: Table, rows: int, present: list[int], config: SemanticConfig) -> list[tuple[list[Any], bool]]:
-    """The inspected values of each column, and whether they are a sample."""
+def _samples(table: Table, present: list[int], config: SemanticConfig) -> list[tuple[list[Any], bool]]:
+    """The inspected values of each column, and whether they are a sample. All columns together take a count and a scan."""
     limit = config.inspected_values
-    wanted = [i for i in range(len(table)) if present[i] and not isinstance(table.kind(i), T.ArrayType | T.MapType | T.StructType | T.BinaryType)]
-    out: dict[int, list[Any]] = {i: [] for i in range(len(table))}
-    whole = [i for i in wanted if present[i] <= limit]
-    if whole:
-        some = F.lit(False)
-        for i in whole:
-            some = some | F.col(f"_c{i}").isNotNull()
-        for row in table.df.select(*(table.value(i).alias(f"_c{i}") for i in whole)).where(some).collect():  # limit values of a column at most
-            for i, v in zip(whole, row, strict=True):
-                if v is not None:
-                    out[i].append(v)
-    large = [i for i in wanted if present[i] > limit]
-    full = [i for i in large if present[i] == rows]  # without missing values, their places are the same rows
-
-
-    def sampled(group: list[int]) -> list[Row]:
-        values = table.df.select(*(table.value(i).alias(f"_c{i}") for i in group))
-        if group != full:
-            values = values.where(F.col(f"_c{group[0]}").isNotNull())
-        return evenly_spaced(values, limit).orderBy("_pos").collect()
-
-    groups = [full] * bool(full) + [[i] for i in large if i not in full]
-    for group, rows_of in zip(groups, together(table.df.sparkSession, *(lambda g=g: sampled(g) for g in groups)), strict=True):
-        for row in rows_of:
-            for i in group:
-                out[i].append(row[f"_c{i}"])
-    return [(out[i], present[i] > limit) for i in range(len(table))]
+    unread = T.ArrayType | T.MapType | T.StructType | T.BinaryType | T.VariantType
+    found = picked_values(table, {i: n for i, n in enumerate(present) if n and not isinstance(table.kind(i), unread)}, limit)
+    return [(found.get(i, []), n > limit) for i, n in enumerate(present)]
 
 
 def infer_types(df: DataFrame | Table, config: SemanticConfig | None = None, facts: list | None = None) -> list[ColumnType]:
     """Semantic type of each column, in order. facts: rows of column_facts, if they are known."""
     table, config = Table.of(df), config or SemanticConfig()
     facts = facts or sorted(column_facts(table).collect(), key=lambda r: r.position)
-    samples = _samples(table, facts[0].row_count if facts else 0, [f.non_null_count if f.distinct_count is not None else 0 for f in facts], config)
+    samples = _samples(table, [f.non_null_count if f.distinct_count is not None else 0 for f in facts], config)
     return [decide(f.column_name, f.position, f.dtype, table.kind(f.position), f.row_count, f.null_count, f.distinct_count, values, sampled, config) for f, (values, sampled) in zip(facts, samples, strict=True)]
 
 
