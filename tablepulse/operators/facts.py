@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablepulse.operators.frame import Table
+from tablepulse.operators.repeats import duplicate_flags, duplicate_rows  # noqa: F401
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -56,31 +57,6 @@ def missing_counts(df: DataFrame | Table) -> DataFrame:
     return each.select("column_name", "position", "null_count", (F.col("rows") - F.col("null_count")).alias("non_null_count"), percent(F.col("null_count"), F.col("rows")).alias("missing_percentage"))
 
 
-def duplicate_rows(df: DataFrame | Table) -> DataFrame:
-    """One row: row_count, duplicate_row_count (beyond each first, missing values equal) and its percentage. Null if rows can't be compared."""
-    table = Table.of(df)
-    if not len(table):
-        return table.df.agg(F.count("*").alias("row_count")).withColumn("duplicate_row_count", F.greatest(F.col("row_count") - 1, F.lit(0))).withColumn("duplicate_row_percentage", percent(F.col("duplicate_row_count"), F.col("row_count")))
-    if not all(map(table.is_comparable, range(len(table)))):
-        return table.df.agg(F.count("*").alias("row_count")).select("row_count", F.lit(None).cast("long").alias("duplicate_row_count"), F.lit(None).cast("double").alias("duplicate_row_percentage"))
-    groups = table.df.select(*(table.value(i).alias(f"_c{i}") for i in range(len(table)))).groupBy(*(f"_c{i}" for i in range(len(table)))).count()
-    total = groups.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_row_count"))
-    return total.select("row_count", "duplicate_row_count", percent(F.col("duplicate_row_count"), F.col("row_count")).alias("duplicate_row_percentage"))
-
-
-def duplicate_flags(df: DataFrame | Table, *order: str) -> DataFrame:
-    """df with is_duplicate: whether a row equals an earlier one (missing values equal), earlier by the columns of order, which tell rows apart.
-
-    The first row of each group is an aggregate, made before the shuffle as well, so a frequent row's group is in no one task."""
-    table = Table.of(df)
-    by = [f"_c{table.position(o)}" for o in order]
-    same = [i for i in range(len(table)) if f"_c{i}" not in by]
-    first = table.df.groupBy(*(table.value(i).alias(f"k{i}") for i in same)).agg(F.min(F.struct(*by)).alias("first"))
-    equal = reduce(lambda a, b: a & b, [table.value(i).eqNullSafe(F.col(f"k{i}")) for i in same])
-    found = table.df.join(first, equal)
-    return found.select(*(F.col(f"_c{i}").alias(n) for i, n in enumerate(table.names)), (F.struct(*by) != F.col("first")).alias("is_duplicate"))
-
-
 def dataset_summary(df: DataFrame | Table) -> DataFrame:
     """One row: rows, columns, cells, missing cells and duplicates. data_bytes estimates the values' size, not that of objects in memory."""
     table = Table.of(df)

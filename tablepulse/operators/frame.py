@@ -102,6 +102,12 @@ def _deterministic(plan) -> bool:  # noqa: ANN001
     return plan.deterministic() and all(_deterministic(children.apply(k)) for k in range(children.size()))
 
 
+def same_rows(df: DataFrame) -> bool:
+    """Whether every job sees the same rows, in whatever partitions and order: no random step, no choice of some rows."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return not re.search(r"^[\s:+\-|]*(Global|Local|Tail)?(Limit|Sample)\b", plan.toString(), re.M) and _deterministic(plan)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, or what was written of it if two jobs could see other rows or partitions."""
     return df if repeatable(df) else written(df)
