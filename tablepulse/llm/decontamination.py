@@ -11,8 +11,8 @@ A fingerprint is cut in four blocks of 16 bits. Two fingerprints within RADIUS =
 so items are indexed under all values within two bits of each of their blocks, and looking up each block of a window misses
 none of them; those found are compared whole. A survivor says where the item would begin; the item-sized window there, and
 those shifted by a few words, are compared with the item by their five-word shingles, each weighing as often as it stands (sum
-of minima over sum of maxima). From MIN_SIMILARITY on it's a leak. Windows of the same shingles are compared once in a text, so
-repetitive texts cost no more than others.
+of minima over sum of maxima). From MIN_SIMILARITY on it's a leak. All windows around the places found are counted in one pass over
+the text there, whatever their number and the item's length; the best one is then compared word by word.
 
 Fingerprints find what is within RADIUS, which is not all that is similar: of a passage at similarity 0.8 about one bit in
 seven differs. tests/llm/test_decontamination.py measures the share of similar passages found (RECALL there).
@@ -216,6 +216,7 @@ class Items:
     indexes: dict[int, Index] = field(init=False)
     least: dict[int, int] = field(init=False)  # by window size, the words that a text needs
     short: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)  # by number of words: sums, ascending, and their items
+    grams: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)  # of longer items: hashes of shingles, ascending, and how often each stands
 
     def __post_init__(self) -> None:
         same: dict[tuple, list] = {}
@@ -225,12 +226,13 @@ class Items:
         self.shingles = list(map(shingles, self.words))
         parts: dict[int, list] = {}
         short: dict[int, list] = {}
-        self.least = {}
+        self.least, self.grams = {}, {}
         for i, words in enumerate(self.words):
             n, hashes = len(words), np.array([hashed(w) for w in words], np.uint64)
             if LEAST_WORDS <= n < WINDOW_WORDS:
                 short.setdefault(n, []).append((int(run_sums(hashes, n)[0]), i))
             elif n >= WINDOW_WORDS:
+                self.grams[i] = np.unique(run_sums(hashes, SHINGLE), return_counts=True)
                 size = window_size(n)
                 prints = dict(run_prints(pair_hashes(hashes), [size - 1]))[size - 1]
                 parts.setdefault(size, []).append((prints, np.full(len(prints), i), np.arange(len(prints))))
@@ -268,9 +270,8 @@ def places(items: Items, hashes: np.ndarray, text: np.ndarray, begins: np.ndarra
     """Rows (text, item, first word of the item in it, differing bits) of all windows within RADIUS bits of an item's."""
     left = (begins + sizes)[text] - np.arange(len(text))  # words from here to the text's end
     out = [np.zeros((0, 4), np.int64)]
-
     waiting: dict[int, list] = {}
-    held = 0
+    held = kept = 0
 
     def compare() -> None:
         nonlocal held
@@ -279,10 +280,19 @@ def places(items: Items, hashes: np.ndarray, text: np.ndarray, begins: np.ndarra
             for where, entry in index.near(prints):
                 here, t = at[where], text[at[where]]
                 bits = np.bitwise_count(prints[where] ^ index.prints[entry])
-                out.append(np.column_stack([t, index.items[entry], here - begins[t] - index.offsets[entry], bits]).astype(np.int64))
+                keep(np.column_stack([t, index.items[entry], here - begins[t] - index.offsets[entry], bits]).astype(np.int64))
         waiting.clear()
         held = 0
 
+    def keep(rows: np.ndarray) -> None:
+        """Each text, item and place once: windows of a repetitive text or item meet there over and over."""
+        nonlocal kept
+        out.append(nearest(rows))
+        kept += len(out[-1])
+        if kept > 2 * COMPARED:
+            out[:] = [nearest(np.concatenate(out))]
+            kept = 0
+
     def look(size: int, prints: np.ndarray, counts: np.ndarray, at: np.ndarray) -> None:
         nonlocal held
         some = np.flatnonzero(items.indexes[size].known(prints) & counts)
@@ -301,7 +311,59 @@ def places(items: Items, hashes: np.ndarray, text: np.ndarray, begins: np.ndarra
     for size in items.indexes:
         look(size, prints, (sizes[small] < size) & (sizes[small] >= items.least[size]), begins[small])
     compare()
-    return np.concatenate(out)
+    return nearest(np.concatenate(out))
+
+
+def nearest(rows: np.ndarray) -> np.ndarray:
+    """Of rows (text, item, place, bits), those of fewest bits at each text, item and place, in that order."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))] if len(rows) else rows
+
+
+def similarities(grams: np.ndarray, hashes: np.ndarray, counts: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Similarity of an item and the window of its size at each word from first to last, which may lie beyond the text's ends.
+
+    grams: the text's shingles; hashes and counts: the item's, ascending. All windows are counted together: a shingle of the text
+    counts in those that hold it, but not so many earlier ones like it as the item has."""
+    size = int(counts.sum())
+    low, high = max(first, 0), min(last + size, len(grams))
+    number = np.minimum(np.searchsorted(hashes, grams[low:high]), len(hashes) - 1)
+    here = np.flatnonzero(hashes[number] == grams[low:high])
+    number = number[here]
+    order = np.argsort(number, kind="stable")
+    place, number = here[order] + low, number[order]
+    earlier = np.arange(len(place)) - counts[number]
+    alike = (earlier >= 0) & (number[np.maximum(earlier, 0)] == number)
+    begin = np.maximum(np.maximum(np.where(alike, place[np.maximum(earlier, 0)] + 1, first), place - size + 1), first)
+    end = np.minimum(place, last)
+    some = begin <= end
+    steps = np.bincount(begin[some] - first, minlength=last - first + 2) - np.bincount(end[some] + 1 - first, minlength=last - first + 2)
+    both = np.cumsum(steps)[:-1]
+    starts = np.arange(first, last + 1)
+    held = np.maximum(np.minimum(starts + size, len(grams)) - np.maximum(starts, 0), 0)
+    return both / (size + held - both)
+
+
+def best_window(grams: np.ndarray, hashes: np.ndarray, counts: np.ndarray, starts: np.ndarray, bits: np.ndarray, shift: int) -> tuple[float, int, int]:
+    """(similarity, start, bits) of the most similar window within shift words of starts (ascending); of equal ones, the nearest in bits, then the first."""
+    best = (0.0, 0, 0)
+    gaps = np.flatnonzero(np.diff(starts) > 2 * shift + 1)
+    for a, b in zip(np.append(0, gaps + 1), np.append(gaps, len(starts) - 1), strict=True):
+        first = int(starts[a]) - shift
+        found = similarities(grams, hashes, counts, first, int(starts[b]) + shift)
+        most = found.max()
+        if most < max(best[0], MIN_SIMILARITY):
+            continue
+        at = first + np.flatnonzero(found == most)
+        for n in np.unique(bits[a : b + 1]).tolist():
+            mine = starts[a : b + 1][bits[a : b + 1] == n]
+            upto = np.searchsorted(mine, at + shift, side="right")
+            near = at[upto > np.searchsorted(mine, at - shift)]
+            if len(near):
+                if most > best[0] or n < best[2]:
+                    best = (float(most), int(near[0]), n)
+                break
+    return best
 
 
 def leaks(texts: list[bytes], items: Items) -> list[tuple[int, int, float, int, int]]:
@@ -329,29 +391,23 @@ def leaks(texts: list[bytes], items: Items) -> list[tuple[int, int, float, int,
     found = places(items, hashes, text, begins, sizes) if len(hashes) else np.zeros((0, 4), np.int64)
     if not len(found):
         return [(t, i, *x) for (t, i), x in best.items()]
-    words_of = np.array([len(w) for w in items.words])
-    shift = np.array([reach(n) for n in words_of])[found[:, 1]]
-    rows = np.repeat(found, 2 * shift + 1, axis=0)
-    rows[:, 2] += ragged(-shift, 2 * shift + 1)
-    t, i, start, bits = rows.T
-    low = np.clip(start, 0, sizes[t])
-    high = np.clip(start + words_of[i], 0, sizes[t])
-    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(run_sums(hashes, SHINGLE), dtype=np.uint64)])
-    last = len(upto) - 1
-    content = upto[np.minimum(begins[t] + np.maximum(high - SHINGLE + 1, low), last)] - upto[np.minimum(begins[t] + low, last)]
-    order = np.lexsort((low, bits, i, t))
-    keys = np.column_stack([t, i, content.view(np.int64)])[order]
-    _, once = np.unique(keys, axis=0, return_index=True)  # the nearest of equal windows
+    runs = run_sums(hashes, SHINGLE)
     words: dict[int, list[bytes]] = {}
-    for k in order[np.sort(once)].tolist():
-        a, b = int(t[k]), int(i[k])
-        if best.get((a, b), (0.0,))[0] == 1.0:
+    cuts = np.flatnonzero((found[1:, :2] != found[:-1, :2]).any(axis=1)) + 1
+    for rows in np.split(found, cuts):
+        t, i = int(rows[0, 0]), int(rows[0, 1])
+        if best.get((t, i), (0.0,))[0] == 1.0:
             continue
-        if a not in words:
-            words = {a: plain_words(texts[a])}
-        s = similarity(items.shingles[b], shingles(words[a][int(low[k]) : int(high[k])]))
-        if s >= MIN_SIMILARITY and s > best.get((a, b), (0.0,))[0]:
-            best[a, b] = (s, int(low[k]), int(bits[k]))
+        n = len(items.words[i])
+        grams = runs[begins[t] : begins[t] + max(sizes[t] - SHINGLE + 1, 0)]
+        _, start, bits = best_window(grams, *items.grams[i], rows[:, 2], rows[:, 3], reach(n))
+        if t not in words:
+            words = {t: plain_words(texts[t])}
+        low, high = max(start, 0), start + n
+        # on the words themselves, so that no two shingles of one hash pass for equal
+        s = similarity(items.shingles[i], shingles(words[t][low:high])) if high > 0 else 0.0
+        if s >= MIN_SIMILARITY:
+            best[t, i] = (s, low, bits)
     return [(t, i, *x) for (t, i), x in best.items()]
 
 

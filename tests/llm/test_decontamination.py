@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -82,6 +84,40 @@ def test_long_and_repetitive_texts():
     assert set(got) - {(0, 11)} == {(1, i) for i in range(9)} | {(0, 9), (0, 10)}
 
 
+def test_similarities_of_all_windows():
+    r = random.Random(3)
+    for _ in range(200):
+        words, item = ([b"w%d" % r.randrange(4) for _ in range(n)] for n in (r.randrange(60), r.randrange(8, 40)))
+        hashes = lambda x: D.run_sums(np.array([D.hashed(w) for w in x], np.uint64), D.SHINGLE)
+        grams = hashes(words) if len(words) >= D.SHINGLE else np.zeros(0, np.uint64)
+        first = r.randrange(-45, 60)
+        last = first + r.randrange(40)
+        got = D.similarities(grams, *np.unique(hashes(item), return_counts=True), first, last)
+        for a, s in zip(range(first, last + 1), got.tolist(), strict=True):
+            window = words[max(a, 0) : max(a + len(item), 0)]
+            assert s == (D.similarity(D.shingles(item), D.shingles(window)) if len(window) >= D.SHINGLE else 0.0)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_very_long_items(repeated):
+    """One of 20,000 words with edits; of words that all differ, or of a phrase over and over. Time and memory follow its length."""
+    r = random.Random(4)
+    phrase = [b"p%d" % k for k in range(11)]
+    item = (phrase * 2000)[:20_000] if repeated else [b"v%d" % r.randrange(5000) for _ in range(20_000)]
+    doc = list(item)
+    for at in r.sample(range(20_000), 100):
+        doc[at] = b"edit"
+    known, texts = D.Items([1], [item]), [b" ".join(doc), b" ".join(doc[:15_000])]
+    D.leaks(texts[:1], D.Items([1], [item[:50]]))  # the worker's words are known
+    tracemalloc.start()
+    began = time.process_time()
+    found = D.leaks(texts, known)
+    took, most = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x[:2] for x in found] == [(0, 0)] and found[0][2] == pytest.approx(D.similarity(D.shingles(item), D.shingles(doc)))
+    assert most < 300e6 and took < (30 if repeated else 10), (took, most)  # tracing memory slows it
+
+
 def test_short_items_against_all_windows():
     r = random.Random(9)
     for _ in range(20):
