@@ -384,15 +384,30 @@ for _t in TABLES:
     query(f"semantic_types_{_t}", _semantic_sql(_t))(lambda s, d, t=_t: types_frame(read(s, d, t), infer_types(read(s, d, t))).select("position", "column_name", "semantic_type", "confidence", "sampled", F.array_join("warnings", ",").alias("warnings")))
 
 _ANALYSES: dict[tuple, Analysis] = {}
+#: Analyses that are kept.
+_KEPT = 8
+
+
+def _files(spark: SparkSession, sf: str) -> tuple:
+    """What a folder holds: path, length and time of change of each file."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    files, found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def analysis(spark: SparkSession, sf: str, name: str) -> Analysis:
-    """Several queries show parts of one analysis; it is made once for each session and folder."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    """Several queries show parts of one analysis; it is made once for each session and state of the folder's files."""
+    key = (spark.sparkContext.applicationId, sf, name, _files(spark, sf))
     if key not in _ANALYSES:
         df = derived(spark, sf, name)
         names = [PADDED[0] if name == "messy" and c == "version" else c for c in df.columns]
-        _ANALYSES[key] = analyze_table(Table.of(df, names), name)
+        found = analyze_table(Table.of(df, names), name)
+        for old in list(_ANALYSES)[: 1 - _KEPT]:
+            del _ANALYSES[old]
+        _ANALYSES[key] = found
     return _ANALYSES[key]
 
 

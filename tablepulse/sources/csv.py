@@ -7,6 +7,7 @@ import io
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablepulse.config import ResourceLimits
 from tablepulse.operators.frame import Table
@@ -104,10 +105,18 @@ def ingest_csv(spark: SparkSession, content: bytes, name: str = "unnamed.csv", l
     return logged("csv", shown, len(content), load)
 
 
+def _unused(header: list[str]) -> str:
+    """A name that no column has, whatever its case."""
+    name, taken = _CORRUPT, {h.lower() for h in header}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> Ingestion:
     """CSV files of any size on any storage, by the same rules. Without multiline, files are split; quoted line breaks then need it.
 
-    Rows of another width and bad quotes are found in the pass that counts the rows."""
+    Rows of another width, bad quotes and files whose header differs from the others' are found in the pass that counts the rows."""
     shown = display_name(path, "unnamed.csv")
 
     def load() -> Ingestion:
@@ -119,17 +128,26 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> Ingesti
         except (csv.Error, StopIteration) as error:
             raise E.MalformedSource("The header is malformed.") from error
         check_names(header)
-        schema = ", ".join(f"_c{i} string" for i in range(len(header))) + f", {_CORRUPT} string"
-        raw = spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, quote='"', escape='"', multiLine=multiline, enforceSchema=True, encoding="UTF-8", emptyValue="", nullValue="\u0000")
+        corrupt_name = _unused(header)
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, corrupt_name)])
+        # each file's header is held against the first one's
+        raw = spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt_name, quote='"', escape='"', multiLine=multiline, enforceSchema=False, encoding="UTF-8", emptyValue="", nullValue="\u0000")
+        raw = raw.toDF(*(f"_c{i}" for i in range(len(header))), _CORRUPT)
         values = [F.col(f"_c{i}") for i in range(len(header))]
         odd = F.lit(False)
         for v in values:
-            odd = odd | v.contains("�")  # what a byte that is no UTF-8 is read as
-        n, corrupt, replaced = raw.agg(F.count("*"), F.count(_CORRUPT), F.count_if(odd)).first()
+            odd = odd | v.contains("\ufffd")  # what a byte that is no UTF-8 is read as
+        try:
+            n, corrupt, replaced = raw.agg(F.count("*"), F.count(_CORRUPT), F.count_if(odd)).first()
+        except Exception as error:
+            if "CSV header does not conform" in str(error) or "Number of column in CSV header" in str(error):
+                raise E.MalformedSource("Files differ in their headers.") from error
+            raise
         if corrupt:
             raise E.MalformedSource("Rows differ in width or quotes are malformed.", rows=corrupt)
-        if replaced:
-            raise E.InvalidEncoding("The source is not UTF-8.", rows=replaced)
+        # the character may stand in the text itself, so the bytes decide
+        if replaced and (wrong := spark.read.text(path).where(~F.is_valid_utf8("value")).count()):
+            raise E.InvalidEncoding("The source is not UTF-8.", rows=wrong)
         if not n:
             raise E.NoDataRows("The source has a header but no rows.")
         return Ingestion(Table(typed(raw.select(*values)), tuple(header)), n, "csv", shown, None, "utf-8")

@@ -1,14 +1,16 @@
 """Facts of a stream: windowed counts with a watermark, and column facts kept up to date batch by batch.
 
-Facts of a batch are sums, extremes and value counts, which add up; only those of the batch are computed, and they are merged
-with the stored ones, so no row is read twice.
+Facts of a batch are counts, extremes, means and squared distances, which can be merged; only those of the batch are computed, and
+they are merged with the stored ones, so no row is read twice.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablepulse.functions.dates import native_micros
@@ -25,35 +27,92 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", window: str = "
     return kept.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.count_if(F.col("value").isNull()).alias("missing")).select(F.col("w.start").alias("start"), "event_type", "n", "total", "missing")
 
 
+PARTS = ("row_count", "null_count", "finite_count", "minimum", "maximum", "mean", "m2")
+
+
 def partial_facts(batch: DataFrame) -> DataFrame:
-    """What adds up, of each column: position, column_name, row_count, null_count and, of finite numbers, count, sum, sum of squares, extremes."""
+    """What can be merged, of each column: position, column_name, row_count, null_count and, of finite numbers, count, extremes, mean and the
+    sum of squared distances from it (m2)."""
     table = Table.of(batch)
     columns = []
     for i, name in enumerate(table.names):
         v = table.finite(i) if table.is_numeric(i) else F.lit(None).cast("double")
-        columns.append(F.struct(F.lit(i).alias("position"), F.lit(name).alias("column_name"), F.count("*").alias("row_count"), F.count_if(table.missing(i)).alias("null_count"), F.count(v).alias("finite_count"), F.sum(v).alias("s1"), F.sum(v * v).alias("s2"), F.min(v).alias("minimum"), F.max(v).alias("maximum")))
+        facts = (F.lit(i), F.lit(name), F.count("*"), F.count_if(table.missing(i)), F.count(v), F.min(v), F.max(v), F.avg(v), F.var_pop(v) * F.count(v))
+        columns.append(F.struct(*(c.alias(n) for c, n in zip(facts, ("position", "column_name", *PARTS), strict=True))))
     return table.df.agg(F.array(*columns).alias("all")).select(F.explode("all").alias("x")).select("x.*")
 
 
+def added(parts: DataFrame) -> DataFrame:
+    """Parts of each column as one part. Distances are taken from the common mean (Chan, Golub, LeVeque), so that none of them is the
+    difference of two large sums: m2 of all is the sum of the parts' m2 and of n (mean - common mean)^2."""
+    key = ["position", "column_name"]
+    # the common mean is a sum of shifts from one of the means, for the same reason
+    near = F.first("mean", ignorenulls=True).over(Window.partitionBy(*key).orderBy("mean").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    shift = F.col("finite_count") * (F.col("mean") - F.col("near"))
+    common = F.col("near") + F.sum(shift).over(Window.partitionBy(*key)) / F.sum("finite_count").over(Window.partitionBy(*key))
+    near_rows = parts.withColumn("near", near).withColumn("common", F.when(F.sum("finite_count").over(Window.partitionBy(*key)) > 0, common))
+    apart = F.col("finite_count") * F.pow(F.col("mean") - F.col("common"), F.lit(2))
+    sums = [F.sum(c).alias(c) for c in ("row_count", "null_count", "finite_count")]
+    ends = [F.min("minimum").alias("minimum"), F.max("maximum").alias("maximum")]
+    return near_rows.groupBy(*key).agg(*sums, *ends, F.first("common", ignorenulls=True).alias("mean"), F.sum(F.col("m2") + apart).alias("m2"))
+
+
 def merged(parts: DataFrame) -> DataFrame:
-    """Facts of all batches together, with mean and variance."""
-    total = parts.groupBy("position", "column_name").agg(*(F.sum(c).alias(c) for c in ("row_count", "null_count", "finite_count", "s1", "s2")), F.min("minimum").alias("minimum"), F.max("maximum").alias("maximum"))
-    n, mean = F.col("finite_count"), F.try_divide("s1", "finite_count")
-    variance = F.when(n > 1, F.greatest(F.lit(0.0), (F.col("s2") - n * mean * mean) / (n - 1)))
-    return total.select("position", "column_name", "row_count", "null_count", "finite_count", "minimum", "maximum", mean.alias("mean"), variance.alias("variance"))
+    """Facts of all batches together, with mean and variance. parts: one row for each column and stored batch."""
+    variance = F.when(F.col("finite_count") > 1, F.col("m2") / (F.col("finite_count") - 1))
+    return added(parts).select("position", "column_name", "row_count", "null_count", "finite_count", "minimum", "maximum", "mean", variance.alias("variance"))
+
+
+#: Stored batches after which they are written as one.
+STORED = 32
+
+
+class Batches:
+    """Numbered batches in a folder; a batch that comes again replaces itself. Every STORED of them are written as one, under the number of
+    the last, and names what it covers, so that what a look reads doesn't grow with the stream; folders that are covered are then removed."""
+
+    def __init__(self, path: str, add: Callable[[DataFrame], DataFrame]) -> None:
+        self.path, self.add = path, add
+
+    def _folders(self, spark: SparkSession) -> dict[str, list[int]]:
+        """Numbers below batch= (single ones) and upto= (merged ones), ascending."""
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        done = [n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return {kind: sorted(int(n.split("=")[1]) for n in done if n.startswith(f"{kind}=")) for kind in ("batch", "upto")}
+
+    def stored(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
+        """All batches (up to one), each once, with column batch."""
+        found = self._folders(spark)
+        last = max((n for n in found["upto"] if upto is None or n <= upto), default=-1)
+        names = [f"upto={last}"] * (last >= 0) + [f"batch={n}" for n in found["batch"] if n > last and (upto is None or n <= upto)]
+        return reduce(DataFrame.unionByName, (spark.read.parquet(f"{self.path}/{n}").withColumn("batch", F.lit(int(n.split("=")[1])).cast("long")) for n in names))
+
+    def write(self, rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        found = self._folders(spark)
+        last = max(found["upto"], default=-1)
+        single = [n for n in found["batch"] if last < n < number]  # the present one may still come again
+        if len(single) >= STORED:
+            self.add(self.stored(spark, single[-1])).write.mode("overwrite").parquet(f"{self.path}/upto={single[-1]}")
+            for gone in [*(f"batch={n}" for n in found["batch"] if n <= single[-1]), *(f"upto={n}" for n in found["upto"])]:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{gone}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class FactsSink:
     """A foreachBatch sink: writes each batch's partial facts under its number, so a batch that comes again replaces itself."""
 
     def __init__(self, path: str) -> None:
-        self.path = path
+        self.batches = Batches(path, lambda parts: added(parts).coalesce(1))
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        partial_facts(batch).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        self.batches.write(partial_facts(batch).coalesce(1), number)
 
     def facts(self, spark: SparkSession) -> DataFrame:
-        return merged(spark.read.parquet(self.path))
+        return merged(self.batches.stored(spark).drop("batch"))
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -71,15 +130,18 @@ class LatestSink:
     key the last batch's counts. Nothing is held on the driver."""
 
     def __init__(self, path: str, *key: str) -> None:
-        self.path, self.key = path, key
+        self.key = key
+        self.batches = Batches(path, self._latest)
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        facts = [c for c in rows.columns if c not in (*self.key, "batch")]
+        return rows.groupBy(*self.key).agg(F.max_by(F.struct(*facts), "batch").alias("x")).select(*self.key, "x.*")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        self.batches.write(batch, number)
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        written = spark.read.parquet(self.path)
-        facts = [c for c in written.columns if c not in (*self.key, "batch")]
-        return written.groupBy(*self.key).agg(F.max_by(F.struct(*facts), "batch").alias("x")).select(*self.key, "x.*")
+        return self._latest(self.batches.stored(spark))
 
 
 def streamed_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,7 +155,7 @@ def streamed_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def streamed_facts(spark: SparkSession, sf: str) -> DataFrame:
     sink = FactsSink(_folder(spark, "facts"))
-    running = _run(spark, sf, lambda s: s).writeStream.foreachBatch(sink).option("checkpointLocation", _folder(spark, "facts")).trigger(availableNow=True).start()
+    running = _run(spark, sf, lambda s: s.withColumn("shifted", F.col("value") + 1e9)).writeStream.foreachBatch(sink).option("checkpointLocation", _folder(spark, "facts")).trigger(availableNow=True).start()
     running.awaitTermination()
     return sink.facts(spark)
 
@@ -102,7 +164,11 @@ query(
     "streaming_windowed_counts",
     "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value)::DOUBLE, 4) AS total, count(*) - count(value) AS missing FROM events GROUP BY 1, 2",
 )(lambda s, d: streamed_counts(s, d).select(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("start") / 86_400).cast("int")).cast("string").alias("start"), "event_type", "n", F.round("total", 4).alias("total"), "missing"))
-query(
-    "streaming_column_facts",
-    "SELECT 'value' AS column_name, count(*) AS row_count, count(*) - count(value) AS null_count, round(min(value)::DOUBLE, 6) AS minimum, round(max(value)::DOUBLE, 6) AS maximum, round(avg(value)::DOUBLE, 6) AS mean, round(var_samp(value)::DOUBLE, 3) AS variance FROM events",
-)(lambda s, d: streamed_facts(s, d).where("column_name = 'value'").select("column_name", "row_count", "null_count", F.round("minimum", 6).alias("minimum"), F.round("maximum", 6).alias("maximum"), F.round("mean", 6).alias("mean"), F.round("variance", 3).alias("variance")))
+_FACTS = "SELECT '{n}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, round(min({c})::DOUBLE, 6) AS minimum, round(max({c})::DOUBLE, 6) AS maximum, round(avg({c})::DOUBLE, {m}) AS mean, round(var_samp({c})::DOUBLE, 2) AS variance FROM events"
+query("streaming_column_facts", f"{_FACTS.format(n='value', c='value', m=6)} UNION ALL {_FACTS.format(n='shifted', c='(value + 1e9)', m=4)}")(
+    lambda s, d: (
+        streamed_facts(s, d)
+        .where("column_name IN ('value', 'shifted')")
+        .select("column_name", "row_count", "null_count", *(F.round(c, 6).alias(c) for c in ("minimum", "maximum")), F.when(F.col("column_name") == "value", F.round("mean", 6)).otherwise(F.round("mean", 4)).alias("mean"), F.round("variance", 2).alias("variance"))
+    )
+)

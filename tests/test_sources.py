@@ -160,3 +160,22 @@ def test_json_log(capsys):
     finally:
         common.LOG.handlers[:], common.LOG.level = before
     assert (line["event"], line["level"], line["logger"], line["rows"], line["when"]) == ("ingestion_completed", "INFO", "tablepulse.ingestion", 3, None) and line["time"].endswith("+00:00")
+
+
+def test_csv_folders_whose_headers_differ(spark, tmp_path):
+    for folder, files in {"same": ("x,y\n1,2\n", "x,y\n3,4\n"), "swapped": ("x,y\n1,2\n", "y,x\n30,3\n"), "other": ("x,y\n1,2\n", "x,z\n3,4\n"), "wider": ("x,y\n1,2\n", "x,y,z\n3,4,5\n")}.items():
+        (tmp_path / folder).mkdir()
+        for k, text in enumerate(files):
+            (tmp_path / folder / f"{k}.csv").write_text(text)
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path / "same")).table.df.collect())) == [(1, 2), (3, 4)]
+    for folder in ("swapped", "other", "wider"):
+        with pytest.raises(E.MalformedSource):
+            read_csv(spark, str(tmp_path / folder))
+
+
+def test_csv_with_the_replacement_character(spark, tmp_path):
+    (tmp_path / "right.csv").write_text("x,_corrupt\na\ufffdb,1\n", encoding="utf-8")
+    assert read_csv(spark, str(tmp_path / "right.csv")).table.df.first()[0] == "a\ufffdb"
+    (tmp_path / "wrong.csv").write_bytes(b"x,y\na\xffb,1\n")
+    with pytest.raises(E.InvalidEncoding):
+        read_csv(spark, str(tmp_path / "wrong.csv"))
