@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-from functools import reduce
-from itertools import combinations
-from operator import or_
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from itertools import batched, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +19,13 @@ from tablepulse.operators.frame import Table
 LARGE = 1e150
 #: Columns whose moments are taken in one aggregate.
 MOMENT_COLUMNS = 10
-#: Values around a wanted place that are looked at one by one; with more of them the brackets are narrowed first.
+#: Values around a wanted place that are taken one by one; with more of them the bracket is narrowed first.
 LOOKED_AT = 20_000
-#: Rank error of Spark's approximate percentiles, as a part of the rows: one in so many.
-ACCURACY = 10_000
+#: Size of a quantile sketch (KLL), and the part of the values by which its ranks err in one case of a hundred at most.
+SKETCH = 8192
+SKETCH_ERROR = 2.296 / SKETCH**0.9723
+#: Columns, or brackets, that one aggregate works on.
+SKETCHED = 60
 
 
 def undefined_to_null(c: Column) -> Column:
@@ -75,54 +77,104 @@ def _moment_rows(table: Table, scales: dict[int, float], ddof: int) -> list[Row]
     return [Row(**dict(zip(MOMENT_NAMES, r, strict=True))) for r in out]
 
 
-def order_statistics(df: DataFrame, columns: list[Column], places: Callable[[int], list[int]], looked_at: int = LOOKED_AT) -> list[tuple[int, dict[int, float]]]:
-    """For each column of doubles, the number of values (not null) and the values at places(number) in sorted order.
+@dataclass(frozen=True)
+class Bracket:
+    """Values of column k from low to high, of which so many are expected between the ends, and the wanted places among all of the column's."""
 
-    Approximate percentiles, which add up before the shuffle, set brackets around each wanted place. Brackets are counted
-    exactly, and narrowed again while they hold more than looked_at values; then their distinct values are counted and the place is
-    looked up. So results are exact, nothing is sorted as a whole, and no task holds a column; all columns go together."""
+    k: int
+    low: float
+    high: float
+    expected: float
+    places: tuple[int, ...]
+
+
+def order_statistics(df: DataFrame, columns: list[Column], shares: tuple[float, ...], looked_at: int = LOOKED_AT) -> list[tuple[int, dict[int, float]]]:
+    """For each column of doubles, the number of values (not null) and the values at (n - 1) * share, rounded down, and after, in sorted order.
+
+    The first scan makes one mergeable quantile sketch for each column; its error in rank bounds where each share's values lie. The second
+    counts what is below and at the ends of these brackets and takes the values between. Counts are exact, so a sketch that errs further
+    than it should is noticed, and its places are looked for beyond the bracket. Brackets that hold more than looked_at values get a
+    sketch of their own instead, and another scan. All columns go together, nothing is sorted as a whole, and no task holds a column."""
     names = [f"v{k}" for k in range(len(columns))]
     rows = df.select(*(c.alias(n) for c, n in zip(columns, names, strict=True)))
-    first = rows.agg(*(F.struct(F.count(n).alias("n"), F.min(n).alias("low"), F.max(n).alias("high")).alias(n) for n in names)).first()
-    wanted = [sorted({p for p in places(x.n) if 0 <= p < x.n}) for x in first]
-    # of each column: bracket (low, high), how many values are below it and in it, and the places in it
-    open_ = {k: [(x.low, x.high, 0, x.n, wanted[k])] for k, x in enumerate(first) if wanted[k]}
-    out: list[dict[int, float]] = [{} for _ in columns]
+    out: list[tuple[int, dict[int, float]]] = []
+    open_: list[Bracket] = []
+    for some in batched(range(len(columns)), SKETCHED):
+        sketched = rows.agg(*(x for k in some for x in (F.count(f"v{k}").alias(f"n{k}"), F.min(f"v{k}").alias(f"low{k}"), F.max(f"v{k}").alias(f"high{k}"), F.kll_sketch_agg_double(f"v{k}", F.lit(SKETCH)).alias(f"s{k}"))))
+        ends = [min(1.0, max(0.0, share + sign * 3 * SKETCH_ERROR)) for share in shares for sign in (-1, 1)]
+        edges = [F.when(F.col(f"n{k}") > 0, F.array(*(F.kll_sketch_get_quantile_double(f"s{k}", F.lit(x)) for x in ends))).alias(f"e{k}") for k in some]
+        found = sketched.select(*(f"{x}{k}" for k in some for x in ("n", "low", "high")), *edges).first()
+        for k in some:
+            n, low, high, edge = (found[f"{x}{k}"] for x in ("n", "low", "high", "e"))
+            out.append((n, {}))
+            for j, share in enumerate(shares if n else ()):
+                p = int((n - 1) * share)
+                whole = n <= looked_at  # all of them are taken
+                from_, to = (low, high) if whole else (low if ends[2 * j] == 0 else edge[2 * j], high if ends[2 * j + 1] == 1 else edge[2 * j + 1])
+                open_.append(Bracket(k, from_, to, n if whole else 6 * SKETCH_ERROR * n, tuple(sorted({p, min(p + 1, n - 1)}))))
     while open_:
-        wide = {k: [b for b in brackets if b[3] > looked_at and b[0] < b[1]] for k, brackets in open_.items()}
-        found = _values_in(rows, {k: [b for b in brackets if b not in wide[k]] for k, brackets in open_.items()})
-        for k, p, value in found:
-            out[k][p] = value
-        open_ = _narrowed(rows, {k: x for k, x in wide.items() if x})
-    return [(x.n, values) for x, values in zip(first, out, strict=True)]
-
-
-Bracket = tuple[float, float, int, int, list[int]]
+        again: list[Bracket] = []
+        for some in batched(_merged(open_), SKETCHED):
+            again += _looked_up(rows, list(some), out, looked_at)
+        open_ = again
+    return out
 
 
-def _inside(name: str, bracket: Bracket) -> Column:
-    return F.col(name).between(bracket[0], bracket[1])
+def _merged(brackets: list[Bracket]) -> list[Bracket]:
+    """Equal brackets as one."""
+    same: dict[tuple, list[Bracket]] = {}
+    for b in brackets:
+        same.setdefault((b.k, b.low, b.high), []).append(b)
+    return [replace(some[0], expected=max(b.expected for b in some), places=tuple(sorted({p for b in some for p in b.places}))) for some in same.values()]
 
 
-def _values_in(rows: DataFrame, brackets: dict[int, list[Bracket]]) -> list[tuple[int, int, float]]:
-    """(column, place, value) of all places in the brackets."""
-    flat = [(k, b) for k, some in brackets.items() for b in some]
-    if not flat:
-        return []
-    out = [(k, p, b[0]) for k, b in flat if b[0] == b[1] for p in b[4]]
-    flat = [(k, b) for k, b in flat if b[0] < b[1]]
-    if flat:
-        each = F.array(*(F.when(_inside(f"v{k}", b), F.struct(F.lit(j).alias("j"), F.col(f"v{k}").alias("v"))) for j, (k, b) in enumerate(flat)))
-        some = reduce(or_, (_inside(f"v{k}", b) for k, b in flat))
-        counts = rows.where(some).select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).groupBy("x.j", "x.v").count()
-        seen: dict[int, list] = {}
-        for r in counts.collect():  # distinct values among LOOKED_AT for each bracket at most
-            seen.setdefault(r.j, []).append((r.v, r["count"]))
-        for j, (k, b) in enumerate(flat):
-            values = sorted(seen[j])
-            upto = np.cumsum([n for _, n in values]) + b[2]
-            out += [(k, p, values[int(np.searchsorted(upto, p, side="right"))][0]) for p in b[4]]
-    return out
+def _looked_up(rows: DataFrame, brackets: list[Bracket], out: list[tuple[int, dict[int, float]]], looked_at: int) -> list[Bracket]:
+    """Values at the brackets' places go to out; what has to be looked for further comes back."""
+    wanted = []
+    for j, b in enumerate(brackets):
+        v, between = F.col(f"v{b.k}"), (F.col(f"v{b.k}") > b.low) & (F.col(f"v{b.k}") < b.high)
+        wanted += [F.count_if(v < b.low).alias(f"below{j}"), F.count_if(v == b.low).alias(f"low{j}"), F.count_if((v == b.high) & (v != b.low)).alias(f"high{j}")]
+        if b.low == b.high:
+            continue
+        if b.expected <= looked_at:
+            wanted.append(F.sort_array(F.collect_list(F.when(between, v))).alias(f"values{j}"))
+        else:
+            wanted += [F.count_if(between).alias(f"n{j}"), F.kll_sketch_agg_double(F.when(between, v), F.lit(SKETCH)).alias(f"sketch{j}")]
+    found = rows.agg(*wanted).first()
+    again: list[Bracket] = []
+    for j, b in enumerate(brackets):
+        n, values = out[b.k]
+        below, low, high = (found[f"{x}{j}"] for x in ("below", "low", "high"))
+        flat, listed = b.low == b.high, b.expected <= looked_at
+        inside = 0 if flat else len(found[f"values{j}"]) if listed else found[f"n{j}"]
+        deeper = []
+        for p in b.places:
+            at = p - below
+            if at < 0:
+                again.append(Bracket(b.k, -math.inf, b.low, math.inf, (p,)))
+            elif at < low:
+                values[p] = b.low
+            elif at < low + inside:
+                if listed:
+                    values[p] = found[f"values{j}"][at - low]
+                else:
+                    deeper.append(p)
+            elif at < low + inside + high:
+                values[p] = b.high
+            else:
+                again.append(Bracket(b.k, b.high, math.inf, math.inf, (p,)))
+        for group in _neighbours(deeper):
+            again.append(_within(rows, found[f"sketch{j}"], b, group, below + low, inside))
+    return again
+
+
+def _within(rows: DataFrame, sketch: bytes, b: Bracket, places: list[int], before: int, n: int) -> Bracket:
+    """The part of a bracket, n values after before others, where a sketch of them has these places."""
+    m = 3 * SKETCH_ERROR + 2 / n
+    shares = [max(0.0, (places[0] - before) / n - m), min(1.0, (places[-1] - before + 1) / n + m)]
+    held = rows.sparkSession.createDataFrame([(bytearray(sketch),)], "s binary")
+    low, high = held.select(*(F.kll_sketch_get_quantile_double("s", F.lit(x)).alias(f"q{i}") for i, x in enumerate(shares))).first()
+    return Bracket(b.k, low, high, (shares[1] - shares[0]) * n, tuple(places))
 
 
 def _neighbours(places: list[int]) -> list[list[int]]:
@@ -136,35 +188,6 @@ def _neighbours(places: list[int]) -> list[list[int]]:
     return out
 
 
-def _narrowed(rows: DataFrame, brackets: dict[int, list[Bracket]]) -> dict[int, list[Bracket]]:
-    """Brackets around the places, a small part of the given ones, counted exactly. One that percentiles don't narrow, because
-    its ends are frequent, falls into its ends and what is between them."""
-    if not brackets:
-        return {}
-    wide = [(k, b, _neighbours(b[4])) for k, some in brackets.items() for b in some]
-    share = lambda b, p, d: min(max((p - b[2]) / b[3] + d / ACCURACY, 0.0), 1.0)
-    shares = [[x for group in groups for x in (share(b, group[0], -3), share(b, group[-1], 3))] for _, b, groups in wide]
-    found = rows.agg(*(F.percentile_approx(F.when(_inside(f"v{k}", b), F.col(f"v{k}")), F.array(*map(F.lit, s)), ACCURACY).alias(f"e{j}") for j, ((k, b, _), s) in enumerate(zip(wide, shares, strict=True)))).first()
-    flat = [(k, b, group) for k, b, groups in wide for group in groups]
-    edges = [pair for own in found for pair in zip(own[::2], own[1::2], strict=True)]
-    cut = []
-    for (k, b, group), (low, high) in zip(flat, edges, strict=True):
-        if (low, high) == b[:2]:
-            between = math.nextafter(low, high), math.nextafter(high, low)
-            cut += [(k, x, group) for x in ((low, low), between, (high, high)) if x[0] <= x[1]]
-        else:
-            cut.append((k, (low, high), group))
-    counted = rows.agg(*(c.alias(f"{what}{j}") for j, (k, (low, high), _) in enumerate(cut) for what, c in (("below", F.count_if(F.col(f"v{k}") < low)), ("held", F.count_if(F.col(f"v{k}").between(low, high)))))).first()
-    out: dict[int, list[Bracket]] = {}
-    for j, (k, (low, high), group) in enumerate(cut):
-        below, held = counted[f"below{j}"], counted[f"held{j}"]
-        if here := [p for p in group if below <= p < below + held]:
-            out.setdefault(k, []).append((low, high, below, held, here))
-    if sum(len(b[4]) for some in out.values() for b in some) != sum(len(group) for *_, group in flat):
-        raise RuntimeError("an approximate percentile is further off than its accuracy allows")
-    return out
-
-
 def interpolated(n: int, found: dict[int, float], shares: tuple[float, ...], interpolation: str) -> list[float | None]:
     """Values at h = (n - 1) * share, by one of five interpolations."""
     out: list[float | None] = []
@@ -195,8 +218,7 @@ def quantiles_of(df: DataFrame, columns: list[Column], shares: tuple[float, ...]
     """Exact quantiles of several columns of doubles together; null where a column has no value."""
     if not columns:
         return []
-    places = lambda n: [p for s in shares for p in (int((n - 1) * s), min(int((n - 1) * s) + 1, n - 1))] if n else []
-    return [interpolated(n, found, shares, interpolation) for n, found in order_statistics(df, columns, places, looked_at)]
+    return [interpolated(n, found, shares, interpolation) for n, found in order_statistics(df, columns, shares, looked_at)]
 
 
 def quantiles(df: DataFrame | Table, name: str, shares: tuple[float, ...] = QUARTERS, interpolation: str = "linear", limit: int = LOOKED_AT) -> list[float | None]:

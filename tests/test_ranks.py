@@ -29,8 +29,7 @@ def key_of(row, places):
     return tuple(one(row[p]) for p in places)
 
 
-@pytest.mark.parametrize("order", [["a"], ["b"], ["c"], ["d", "e"], ["f", "c", "b"], ["e", "a", "c", "_c0"], ["_c0"]])
-@pytest.mark.parametrize("size", [1, 7, 40, 5000])
+@pytest.mark.parametrize(("order", "size"), [(["a"], 7), (["b"], 40), (["c"], 40), (["d", "e"], 1), (["f", "c", "b"], 40), (["e", "a", "c", "_c0"], 7), (["_c0"], 5000)])
 def test_as_a_sort(spark, monkeypatch, order, size):
     """Few rows may be sorted and few cells counted, so that every step is taken."""
     monkeypatch.setattr(ranks, "SORTED", 10)

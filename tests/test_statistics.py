@@ -3,6 +3,7 @@ import statistics
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablepulse.operators import categorical, facts, numeric, samples
 from tablepulse.operators.frame import Table, evenly_spaced
@@ -173,3 +174,31 @@ def test_duplicate_flags(spark):
     rows = [(1, "a", 1.0), (2, None, math.nan), (3, "a", 1.0), (4, None, None), (5, "a", 2.0), (0, "a", 1.0)]
     got = facts.duplicate_flags(spark.createDataFrame(rows, "i long, x string, y double"), "i").collect()
     assert {r.i: r.is_duplicate for r in got} == {0: False, 1: True, 2: False, 3: True, 4: True, 5: False}
+
+
+@pytest.mark.parametrize("columns", [1, 8])
+def test_quartiles_take_two_scans_of_any_number_of_columns(spark, columns):
+    """Of 200,000 rows, far more than are looked at one by one."""
+    df = spark.range(200_000).selectExpr(*(f"CAST(pmod(xxhash64(id, {k}), 1000000007) AS double) / 7 AS c{k}" for k in range(columns)))
+    context = spark.sparkContext
+    context.setJobGroup(f"quartiles{columns}", "")
+    got = numeric.quantiles_of(df, [F.col(f"c{k}") for k in range(columns)])
+    jobs = len(context.statusTracker().getJobIdsForGroup(f"quartiles{columns}"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    want = df.agg(*(F.percentile(f"c{k}", F.array(*map(F.lit, numeric.QUARTERS))) for k in range(columns))).first()
+    assert [pytest.approx(w) for w in want] == got
+    assert jobs <= 4  # a shuffle's map side may be a job of its own
+
+
+def test_a_sketch_that_errs_is_noticed(spark, monkeypatch):
+    """Brackets too narrow for their places, and more values in them than may be looked at, lead to further scans."""
+    monkeypatch.setattr(numeric, "SKETCH", 8)
+    monkeypatch.setattr(numeric, "SKETCH_ERROR", 1e-6)
+    df = spark.range(5000).selectExpr("CAST(pmod(xxhash64(id), 997) AS double) AS a", "CAST(id % 3 AS double) AS b", "CASE WHEN id % 2 = 0 THEN -1e300 ELSE 1e300 END AS c", "CAST(NULL AS double) AS d")
+    shares = (0.0, 0.3, 1.0)
+    for looked_at in (5, 400):
+        got = numeric.quantiles_of(df, [F.col(c) for c in "abcd"], shares, "lower", looked_at)
+        for name, found in zip("abc", got, strict=False):
+            values = sorted(r[0] for r in df.select(name).collect())
+            assert found == [values[int(4999 * s)] for s in shares]
+        assert got[3] == [None] * 3
