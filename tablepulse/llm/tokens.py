@@ -11,7 +11,7 @@ import numpy as np
 from tablepulse.llm.common import worker_state
 
 #: Distinct words that a worker may know at once, and those, the first it met, that it keeps when there are more.
-TABLE_LIMIT, TABLE_KEPT = 120_000, 80_000
+TABLE_LIMIT, TABLE_KEPT = 250_000, 160_000
 #: Runs of letters and digits (anything beyond ASCII counts as a letter), and runs of other characters.
 PARTS = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff]+").findall
 SYMBOLS = b"#*$%&|<>"
