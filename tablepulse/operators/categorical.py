@@ -9,6 +9,7 @@ from tablepulse.functions.dates import iso_text, native_micros, read_text
 from tablepulse.functions.text import WHITESPACE, display, normalized
 from tablepulse.operators.facts import percent, union, value_counts
 from tablepulse.operators.frame import Table
+from tablepulse.operators.heavy import most_frequent
 
 
 def stacked_counts(table: Table, names: list[str]) -> DataFrame:
@@ -50,7 +51,13 @@ def summarized(names: list[str], top: list[Row]) -> dict[str, dict]:
 
 def frequencies(df: DataFrame | Table, name: str, k: int = 10, display_length: int = 200) -> DataFrame:
     """(rank, value, n, percentage, truncated, original_length, fingerprint): the k most frequent values of a column."""
-    return top_values(df, [name], k, display_length).drop("column_name", "non_null_count", "category_count", "entropy_bits")
+    table = Table.of(df)
+    i = table.position(name)
+    total = table.df.agg(F.count(table.value(i)).alias("total"))
+    order = Window.orderBy(F.desc("n"), "text")
+    top = most_frequent(table, i, k).select(F.row_number().over(order).alias("rank"), "n", display(F.col("text"), display_length).alias("shown"))  # k rows
+    shown = top.join(F.broadcast(total))  # one row
+    return shown.select("rank", F.col("shown.value").alias("value"), "n", percent(F.col("n"), F.col("total")).alias("percentage"), "shown.truncated", "shown.original_length", "shown.fingerprint")
 
 
 def category_summary(df: DataFrame | Table, names: list[str], k: int = 10) -> DataFrame:

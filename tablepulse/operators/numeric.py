@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tablepulse.operators.facts import percent, union, value_counts
+from tablepulse.operators.facts import percent, union
 from tablepulse.operators.frame import Table
+from tablepulse.operators.heavy import most_frequent
 
 #: Beyond this magnitude sums of squares may overflow, so values are divided by the largest one first.
 LARGE = 1e150
@@ -356,9 +357,8 @@ def histogram(df: DataFrame | Table, name: str, most: int = BINS) -> DataFrame:
 
 
 def top_classes(table: Table, i: int, n: int = 10) -> DataFrame:
-    """(value, n, class_number): the most frequent values, ties by their text."""
-    counts = value_counts(table, i).where("value is not null").withColumn("text", F.col("value").cast("string")).orderBy(F.desc("n"), "text").limit(n)
-    return counts.withColumn("class_number", F.row_number().over(Window.orderBy(F.desc("n"), "text")))  # n rows
+    """(value, n, text, class_number): the most frequent values, ties by their text."""
+    return most_frequent(table, i, n).withColumn("class_number", F.row_number().over(Window.orderBy(F.desc("n"), "text")))  # n rows
 
 
 def grouped_boxes(df: DataFrame | Table, name: str, target: str, classes: int = 10) -> DataFrame:

@@ -63,14 +63,12 @@ def missing_ranking(df: DataFrame | Table, most: int = 5) -> DataFrame:
 
 def top_and_other(df: DataFrame | Table, name: str, most: int = 10) -> DataFrame:
     """(rank, label, n): the most frequent values, and all others together."""
-    from tablepulse.operators.facts import value_counts
-
     table = Table.of(df)
     i = table.position(name)
     top = top_classes(table, i, most).select(F.col("class_number").alias("rank"), F.col("text").alias("label"), "n")
-    counts = value_counts(table, i).where("value is not null")
-    rest = counts.join(F.broadcast(top_classes(table, i, most).select("value")), "value", "left_anti").agg(F.sum("n").alias("n"))
-    return top.unionByName(rest.where("n is not null").select(F.lit(most + 1).alias("rank"), F.lit("Other (remaining categories)").alias("label"), "n"))
+    every = table.df.agg(F.count(table.value(i)).alias("n"))
+    rest = every.join(F.broadcast(top.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shown")))).select((F.col("n") - F.col("shown")).alias("n"))  # a row each
+    return top.unionByName(rest.where("n > 0").select(F.lit(most + 1).alias("rank"), F.lit("Other (remaining categories)").alias("label"), "n"))
 
 
 def first_values(df: DataFrame | Table, name: str, most: int = 5_000) -> DataFrame:
