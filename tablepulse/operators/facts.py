@@ -1,7 +1,8 @@
 """Facts of columns and of the whole table: counts of rows, nulls, distinct values and duplicates.
 
-Each column is grouped by its value once; from that come its rows, nulls and distinct values. The columns are read apart, so
-all of them together read the table once, nothing is expanded, and values are counted before they are shuffled.
+Each column is grouped by its value once; from that come its rows, nulls and distinct values. Up to WIDE columns are read apart, so
+all of them together read the table once, nothing is expanded, and values are counted before they are shuffled. More columns share
+one stage and one shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 
 from tablepulse.operators.frame import Table
 from tablepulse.operators.repeats import duplicate_flags, duplicate_rows  # noqa: F401
+from tablepulse.operators.wide import counted, countable
+
+#: Columns up to which each is an aggregate of its own.
+WIDE = 16
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -40,7 +45,12 @@ def column_facts(df: DataFrame | Table) -> DataFrame:
     """A row per column: position, column_name, dtype, row_count, null_count, non_null_count, distinct_count,
     missing_percentage (of all rows) and distinct_ratio (of non-missing values; null without any)."""
     table = Table.of(df)
-    rows = union([_one(table, i) for i in range(len(table))])
+    if len(table) > WIDE and countable(table):
+        n, found = counted(table)
+        known = [(i, table.names[i], table.dtype(i), n, n - found[i][0], found[i][1]) for i in range(len(table))]
+        rows = table.df.sparkSession.createDataFrame(known, "position int, column_name string, dtype string, row_count long, null_count long, distinct_count long")
+    else:
+        rows = union([_one(table, i) for i in range(len(table))])
     present = F.col("row_count") - F.col("null_count")
     return rows.select(
         "position", "column_name", "dtype", "row_count", "null_count", present.alias("non_null_count"), "distinct_count",
