@@ -253,7 +253,8 @@ class PlainHashes(Words):
         self.hashes.cut(len(self.numbers))
 
     def learn(self, fresh: list[bytes]) -> None:
-        self.hashes.add([hashed(plain(w)) for w in fresh])
+        # words have no line break, so all of them are lower-cased at once
+        self.hashes.add([hashed(w.strip(PUNCTUATION)) for w in b"\n".join(fresh).lower().split(b"\n")])
 
 
 def whole_prints(hashes: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
