@@ -88,26 +88,37 @@ def collisions(df: DataFrame | Table, *names: str) -> DataFrame:
     return every.join(F.broadcast(found), "column_name", "left").na.fill(0)  # one row a column
 
 
-def datetime_summary(df: DataFrame | Table, name: str) -> DataFrame:
-    """One row: parsed_count, unparsed_count, ambiguous_count, timezone_state (none, naive, aware, mixed), earliest, latest
-    (ISO; aware ones in UTC) and span_seconds; no range across mixed states."""
+DATETIMES = "column_name string, parsed_count long, unparsed_count long, ambiguous_count long, timezone_state string, earliest string, latest string, span_seconds double"
+
+
+def datetime_summary(df: DataFrame | Table, *names: str) -> DataFrame:
+    """A row for each column: parsed_count, unparsed_count, ambiguous_count, timezone_state (none, naive, aware, mixed), earliest, latest
+    (ISO; aware ones in UTC) and span_seconds; no range across mixed states.
+
+    Date and time columns take one aggregate together; of texts, each distinct value is read once."""
     table = Table.of(df)
-    i = table.position(name)
-    counts = value_counts(table, i).where("value is not null")
-    if table.is_temporal(i):
-        dtype = table.dtype(i)
-        read = counts.select("n", F.struct(F.lit("aware" if dtype == "timestamp" else "naive").alias("state"), native_micros(F.col("value"), dtype).alias("micros")).alias("x"))
-    elif table.is_text(i):
-        read = counts.select("n", read_text(F.col("value")).alias("x"))
-    else:
-        read = counts.select("n", F.struct(F.lit("unparsed").alias("state"), F.lit(None).cast("long").alias("micros")).alias("x"))
+    at = [table.position(n) for n in names]
+    found: dict[int, tuple] = {}  # parsed, unparsed, ambiguous, naive, aware, low, high
+    if native := [i for i in at if table.is_temporal(i)]:
+        micros = {i: native_micros(table.value(i), table.dtype(i)) for i in native}
+        r = table.df.agg(*(x for i, m in micros.items() for x in (F.count(m).alias(f"n{i}"), F.min(m).alias(f"low{i}"), F.max(m).alias(f"high{i}")))).first()
+        for i in native:
+            n, aware = r[f"n{i}"], table.dtype(i) == "timestamp"
+            found[i] = (n, 0, 0, 0 if aware else n, n if aware else 0, r[f"low{i}"], r[f"high{i}"])
     of = lambda *s: F.coalesce(F.sum(F.when(F.col("x.state").isin(*s), F.col("n"))), F.lit(0))
-    r = read.agg(of("naive", "aware").alias("parsed"), of("unparsed").alias("unparsed"), of("ambiguous").alias("ambiguous"), of("naive").alias("naive"), of("aware").alias("aware"), F.min("x.micros").alias("low"), F.max("x.micros").alias("high")).first()
-    zone = "none" if not r.parsed else "mixed" if r.naive and r.aware else "aware" if r.aware else "naive"
-    ranged = zone in ("naive", "aware")
-    low, high = (iso_text(x, zone == "aware") if ranged else None for x in (r.low, r.high))
-    row = (name, r.parsed, r.unparsed, r.ambiguous, zone, low, high, (r.high - r.low) / 1e6 if ranged else None)
-    return table.df.sparkSession.createDataFrame([row], "column_name string, parsed_count long, unparsed_count long, ambiguous_count long, timezone_state string, earliest string, latest string, span_seconds double")
+    for i in at:
+        if i not in found:
+            unread = F.struct(F.lit("unparsed").alias("state"), F.lit(None).cast("long").alias("micros"))
+            read = value_counts(table, i).where("value is not null").select("n", (read_text(F.col("value")) if table.is_text(i) else unread).alias("x"))
+            found[i] = tuple(read.agg(of("naive", "aware"), of("unparsed"), of("ambiguous"), of("naive"), of("aware"), F.min("x.micros"), F.max("x.micros")).first())
+    rows = []
+    for name, i in zip(names, at, strict=True):
+        parsed, unparsed, ambiguous, naive, aware, low, high = found[i]
+        zone = "none" if not parsed else "mixed" if naive and aware else "aware" if aware else "naive"
+        ranged = zone in ("naive", "aware")
+        earliest, latest = (iso_text(x, zone == "aware") if ranged else None for x in (low, high))
+        rows.append((name, parsed, unparsed, ambiguous, zone, earliest, latest, (high - low) / 1e6 if ranged else None))
+    return table.df.sparkSession.createDataFrame(rows, DATETIMES)
 
 
 def text_summary(df: DataFrame | Table, names: list[str]) -> DataFrame:

@@ -111,7 +111,8 @@ def profile_table(df: DataFrame | Table, types: list[ColumnType], config: Profil
         wanted.append(lambda: categorical.summarized(categories, categorical.top_values(by_position, categories, config.top_values, config.display_length).collect()))
     if texts:
         wanted.append(lambda: by_name(categorical.text_summary(by_position, texts).collect()))
-    wanted += [lambda c=c: {c: categorical.datetime_summary(by_position, c).first().asDict()} for c in dates]
+    if dates:
+        wanted.append(lambda: by_name(categorical.datetime_summary(by_position, *dates).collect()))
     summary, *parts = together(table.df.sparkSession, lambda: dataset_summary(table).first().asDict(), *wanted)
     if config.most_cells is not None and summary["cell_count"] > config.most_cells:
         raise ProfileError(f"the table has {summary['cell_count']} cells; the limit is {config.most_cells}")
