@@ -254,9 +254,9 @@ query(
         read(s, d, "supplier").selectExpr("CASE WHEN s_suppkey % 4 = 0 THEN substr(md5(s_name), 1, 8) || '-1234-1234-1234-' || substr(md5(s_name), 1, 12) WHEN s_suppkey % 4 = 1 THEN 'LN-' || s_suppkey WHEN s_suppkey % 4 = 2 THEN '2024-1-5 ' ELSE '1/2/2024' END AS w"), "w", _PATTERNS
     )
 )
-_NAMES = ("CustomerID", "custkey", "order_date", "isActive2", "l_extendedprice", "HTTPServer", "é_code")
-query("name_tokens", " UNION ALL ".join(f"SELECT '{n}' AS name, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace('{n}', '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z0-9]+'), lambda x: lower(x)))), ' ') AS tokens" for n in _NAMES))(
-    lambda s, d: s.createDataFrame([(n,) for n in _NAMES], "name string").select("name", F.array_join(T.name_tokens_column(F.col("name")), " ").alias("tokens"))
+_NAMES_SQL = " UNION ".join(f"SELECT column_name AS name FROM (DESCRIBE {t})" for t in TABLES)
+query("name_tokens", f"SELECT name, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z0-9]+'), lambda x: lower(x)))), ' ') AS tokens FROM ({_NAMES_SQL})")(
+    lambda s, d: s.createDataFrame([(n,) for n in sorted({c for t in TABLES for c in read(s, d, t).columns})], "name string").select("name", F.array_join(T.name_tokens_column(F.col("name")), " ").alias("tokens"))
 )
 
 
@@ -349,21 +349,22 @@ _SEEN = {
     "benchmark": "item_id:number:identifier text:text:prose",
     "conversations": "conv_id:number:identifier turn:number role:text text:text:prose",
     "embeddings": "vec_id:number:identifier embedding:nested label:number:category",
+    "messy": "event_id:number:identifier value:number:continuous event_type:text:category note:text version:number day_of:text",
 }
 
 
 def _semantic_sql(table: str, only: tuple[str, ...] = ()) -> str:
-    """The rules for columns without nulls, as CASE over counts of each column. Identifiers here rise in file order."""
+    """The rules as CASE over counts of each column's present values. Identifiers here rise in file order."""
     rows = []
     for i, (name, kind, *hint) in enumerate(x.split(":") for x in _SEEN[table].split() if not only or x.split(":")[0] in only):
         h, c = (hint or [""])[0], f"{name}::DOUBLE" if kind == "number" else name
         number = f"bool_and({c} = floor({c})) AS whole, min({c}) = 0 AND max({c}) = 1 AS flag" if kind == "number" else "true AS whole, false AS flag"
-        text = f"avg(length({c})) AS size, avg(regexp_matches({c}, '\\s')::INT) AS spaced, avg(regexp_matches({c}, '[.!?;:,]')::INT) AS marked" if kind == "text" else "0 AS size, 0 AS spaced, 0 AS marked"
+        text = f"avg(length({c})) AS size, avg(regexp_matches({c}, '\\s')::INT) AS spaced, avg(regexp_matches({c}, '[.!?;:,]')::INT) AS marked, avg(regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')::INT) AS dated" if kind == "text" else "0 AS size, 0 AS spaced, 0 AS marked, 0 AS dated"
         distinct = "NULL" if kind == "nested" else f"count(DISTINCT {c})"
-        rows.append(f"SELECT {i} AS position, '{name}' AS column_name, '{kind}' AS kind, '{h}' AS hint, count({name}) AS n, {distinct} AS d, {number}, {text} FROM {table}")
+        rows.append(f"SELECT {i} AS position, '{name}' AS column_name, '{kind}' AS kind, '{h}' AS hint, count({name}) AS n, {distinct} AS d, {number}, {text} FROM {input_sql(table)}")
     seen = " UNION ALL ".join(rows)
     return f"""WITH seen AS (SELECT *, d * 1.0 / n AS ratio, n > 10000 AS sampled FROM ({seen})), told AS (
-  SELECT *, CASE WHEN kind = 'nested' THEN 'unknown' WHEN d = 1 THEN 'constant' WHEN kind = 'moment' THEN 'datetime'
+  SELECT *, CASE WHEN kind = 'nested' THEN 'unknown' WHEN n = 0 THEN 'empty' WHEN d = 1 THEN 'constant' WHEN kind = 'moment' OR dated >= 0.95 THEN 'datetime'
     WHEN kind = 'number' AND hint = 'identifier' AND n >= 4 AND ratio >= 0.8 THEN 'identifier'
     WHEN kind = 'number' AND whole AND hint <> 'continuous' AND (d <= 20 OR (ratio <= 0.05 AND hint = 'category')) THEN 'numeric_discrete'
     WHEN kind = 'number' THEN 'numeric_continuous'
@@ -599,12 +600,27 @@ def _target(spark: SparkSession, sf: str, table: str, column: str) -> DataFrame:
 
 for _t, _c, _number in (("labels_left", "toxic", True), ("orders", "o_totalprice", True), ("orders", "o_orderstatus", False)):
     query(f"target_analysis_{_c}", _target_sql(_t, _c, _number))(lambda s, d, t=_t, c=_c: _target(s, d, t, c))
-query("insights_ranked")(lambda s, d: s.createDataFrame([(k, x.insight_id, x.family, x.importance, x.message) for k, x in enumerate(analysis(s, d, "messy").insights, 1)], "rank int, insight_id string, family string, importance int, message string"))
+
+
+def _insights(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids are digests that break ties only, so equal importance shares a rank here."""
+    found = analysis(spark, sf, "messy").insights
+    rows = [(1 + sum(y.importance > x.importance for y in found), x.family, x.importance, ", ".join(x.columns)) for x in found]
+    return spark.createDataFrame(rows, "rank long, family string, importance int, columns string")
+
+
+_CROWDED = "SELECT 'cardinality', 58, 'event_type' FROM t HAVING count(DISTINCT event_type) > greatest(20, floor(count(event_type) * 0.5))"
+query(
+    "insights_ranked",
+    f"{_F} SELECT rank() OVER (ORDER BY importance DESC) AS rank, family, importance, columns FROM ("
+    "SELECT 'quality' AS family, CASE WHEN severity IN ('high', 'critical') THEN 90 ELSE 65 END AS importance, coalesce(column_name, '') AS columns FROM f "
+    f"UNION ALL SELECT 'outliers', 60, 'value' FROM ({_outlier_sql('messy', 'value')}) WHERE outlier_count > 0 UNION ALL {_CROWDED})",
+)(_insights)
 query(
     "insight_counts",
     f"{_F} SELECT 'quality' AS family, CASE WHEN severity IN ('high', 'critical') THEN 90 ELSE 65 END AS importance, count(*) AS n FROM f GROUP BY 1, 2 UNION ALL SELECT 'outliers', 60, 1 FROM ({_outlier_sql('messy', 'value')}) WHERE outlier_count > 0",
 )(lambda s, d: s.createDataFrame([(x.family, x.importance) for x in analysis(s, d, "messy").insights], "family string, importance int").groupBy("family", "importance").agg(F.count("*").alias("n")))
-query("type_histogram", "SELECT * FROM (VALUES ('numeric_continuous', 1), ('categorical', 1), ('datetime', 1), ('identifier', 1), ('constant', 1), ('empty', 1)) x(effective_type, n)")(lambda s, d: facts.type_histogram(types_frame(analysis(s, d, "messy").table, list(analysis(s, d, "messy").profile.types))))
+query("type_histogram", f"SELECT semantic_type AS effective_type, count(*) AS n FROM ({_semantic_sql('messy')}) GROUP BY 1")(lambda s, d: facts.type_histogram(types_frame(analysis(s, d, "messy").table, list(analysis(s, d, "messy").profile.types))))
 
 
 def _charts(spark: SparkSession, sf: str) -> DataFrame:
@@ -636,7 +652,7 @@ _CELLS = " UNION ALL ".join(f"SELECT {i} AS place, '{PADDED[0] if c == 'version'
 query("chart_severities", _counted("severity", ("critical", "high", "medium", "low"), "SELECT severity FROM f"))(lambda s, d: _marks(s, d, "messy", "severities"))
 query("chart_action_dimensions", _counted("dimension", _DIMENSIONS, "SELECT DISTINCT family, column_name, dimension FROM f"))(lambda s, d: _marks(s, d, "messy", "action_dimensions"))
 query("chart_column_findings", _counted("dimension", _DIMENSIONS, "SELECT dimension FROM f WHERE column_name = 'event_id'"))(lambda s, d: _marks(s, d, "messy", "column_findings", column="event_id"))
-query("chart_types", "SELECT * FROM (VALUES ('Numeric Continuous', 1.0::DOUBLE, ''), ('Categorical', 1.0, ''), ('Datetime', 1.0, ''), ('Identifier', 1.0, ''), ('Constant', 1.0, ''), ('Empty', 1.0, '')) x(label, value, detail)")(lambda s, d: _marks(s, d, "messy", "types"))
+query("chart_types", f"SELECT array_to_string(list_transform(string_split(semantic_type, '_'), lambda x: upper(x[1]) || x[2:]), ' ') AS label, count(*)::DOUBLE AS value, '' AS detail FROM ({_semantic_sql('messy')}) GROUP BY 1")(lambda s, d: _marks(s, d, "messy", "types"))
 query("chart_missing_most", f"{_F} SELECT label, round((missing * 100.0 / n)::DOUBLE, 6) AS value, format('{{:,}}', missing) || ' missing' AS detail FROM ({_CELLS}) ORDER BY missing DESC, place LIMIT 5")(lambda s, d: _marks(s, d, "messy", "missing_most"))
 query("chart_present", f"{_F}, x AS (SELECT count(day_of) AS a, count(*) - count(day_of) AS b, count(*) AS n FROM t) SELECT 'Present' AS label, a::DOUBLE AS value, printf('%.1f%%', 100 - b * 100.0 / n) AS detail FROM x UNION ALL SELECT 'Missing', b::DOUBLE, printf('%.1f%%', b * 100.0 / n) FROM x")(lambda s, d: _marks(s, d, "messy", "present", column="day_of"))
 query("chart_quality", f"SELECT {_TITLED} AS label, score AS value, '' AS detail FROM ({_HEALTH}) WHERE dimension <> 'overall'")(lambda s, d: _marks(s, d, "messy", "quality").where("label <> 'Integrity'"))

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablepulse.config import SemanticConfig
 from tablepulse.functions.text import identifier_component, insight_id, name_tokens
@@ -84,3 +85,11 @@ def test_order_of_partitions_changes_nothing(spark):
         got = [(t.semantic_type, t.confidence, t.null_count, t.distinct_count) for t in infer_types(df.repartition(n))]
         assert want in (None, got)
         want = got
+
+
+def test_name_tokens_as_a_column(spark):
+    from tablepulse.functions.text import name_tokens_column
+
+    names = ["CustomerID", "custkey", "order_date", "isActive2", "l_extendedprice", "HTTPServer", "é_code"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", name_tokens_column(F.col("n")).alias("t")).collect()
+    assert {r.n: set(r.t) for r in got} == {n: set(name_tokens(n)) for n in names}
