@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 from hashlib import sha256
+from itertools import chain
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,13 +40,31 @@ def matches(c: Column, pattern: str) -> Column:
     return strip(c).rlike(pattern)
 
 
-def fold(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else v.strip().casefold())
+@cache
+def case_foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """What full Unicode case folding makes of single characters: those that become one character, and those that become several."""
+    one: dict[str, str] = {}
+    several: dict[str, str] = {}
+    for point in chain(range(0xD800), range(0xE000, 0x110000)):
+        c = chr(point)
+        if (folded := c.casefold()) != c:
+            (one if len(folded) == 1 else several)[c] = folded
+    return one, several
+
+
+def casefold(c: Column) -> Column:
+    """As Python's str.casefold, which folds each character apart. Most become one other character; text with one of the few that
+    become several is put together anew from its characters."""
+    one, several = case_foldings()
+    folded = F.translate(c, "".join(one), "".join(one.values()))
+    pairs = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    apart = F.transform(F.split(folded, ""), lambda x: F.coalesce(F.try_element_at(pairs, x), x))
+    return F.when(folded.rlike(f"[{''.join(several)}]"), F.array_join(apart, "")).otherwise(folded)
 
 
 def normalized(c: Column) -> Column:
-    """strip().casefold(); meant for distinct values, as only Python folds every case alike."""
-    return F.pandas_udf(fold, "string")(c)
+    """strip().casefold()."""
+    return casefold(strip(c))
 
 
 def name_tokens(name: str) -> frozenset[str]:

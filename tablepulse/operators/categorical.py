@@ -77,9 +77,7 @@ def category_summary(df: DataFrame | Table, names: list[str], k: int = 10) -> Da
 
 
 def collisions(df: DataFrame | Table, *names: str) -> DataFrame:
-    """(column_name, non_null_count, collision_groups, affected_rows), of values that differ but are alike once trimmed and case-folded.
-
-    Python folds the case of distinct values only."""
+    """(column_name, non_null_count, collision_groups, affected_rows), of values that differ but are alike once trimmed and case-folded."""
     counts = stacked_counts(Table.of(df), list(names)).withColumn("folded", normalized(F.col("value")))
     groups = counts.groupBy("column_name", "folded").agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
     several = F.col("forms") > 1
