@@ -2,8 +2,8 @@
 
 A text is lower-cased (A-Z) and reduced to its words with one space between them, so that a phrase is a run of whole words
 whatever stood between. What follows an identifier tag in the text itself, up to the end of the line or the next tag and
-however long, is read as a licence expression: identifiers, parentheses, WITH (behind an identifier) before AND before OR. An
-expression's freedom is a number from 0 to 1: OR gives the better of two sides, AND the worse, WITH lifts a licence half way
+however long, is read as a licence expression: identifiers of known families (or LicenseRef- names), parentheses, WITH (behind an
+identifier, before a known exception) before AND before OR; other words end it, so prose behind a tag names nothing. An expression's freedom is a number from 0 to 1: OR gives the better of two sides, AND the worse, WITH lifts a licence half way
 to 1. A text's score is the least freedom of what it names, 0 if it names nothing.
 """
 
@@ -58,6 +58,21 @@ FREEDOM = {
     "cc-by-nd": 0.1, "cc-by-sa": 0.5, "cc0": 1.0, "cddl": 0.5, "epl": 0.5, "gpl": 0.3, "isc": 0.9, "lgpl": 0.5, "mit": 0.9, "mpl": 0.6, "unlicense": 1.0, "wtfpl": 1.0, "zlib": 0.9,
 }
 
+#: Names of licence families in the public list of short identifiers, in lower case.
+FAMILIES = """
+0bsd aal afl agpl aladdin aml ampas antlr apache apl apsl artistic beerware bittorrent blessing blueoak bsd bsl busl bzip2 caldera catosl
+cc-by cc-pddc cc0 cddl cdla cecill cern clartistic cnri cpal cpl cua curl d-fsl drl ecl efl eiffel elastic entessa epl erlpl etalab eudatagram eupl
+fair fdk frameworx fsfap fsful ftl gfdl giftware gl2ps glide gpl gsoap hippocratic hpnd ibm icu ijg imagemagick imatix info-zip intel ipa
+ipl isc jasper json lal latex2e leptonica lgpl libpng libtiff liliq linux-openib lpl lppl miros mit motosoto mpl mpi ms-lpl ms-pl ms-rl
+mulanpsl multics nasa naumen ncsa netcdf ngpl nist nlod nokia npl nposl ntp oclc odbl odc-by ofl ogl oldap openssl opl osl parity pddl php
+polyform postgresql psf python qhull qpl rpl rpsl ruby sax-pd scea sendmail sgi simpl sissl sleepycat smlnj sspl ssh tcl tmate
+unicode unlicense upl vim vsl w3c watcom wtfpl x11 xfree86 xnet zend zimbra zlib zpl
+""".split()
+#: A family alone or with a version or variant; a name of the user's own, marked as such.
+_LICENSE = re.compile(rf"(?:{'|'.join(map(re.escape, FAMILIES))})(?:[-+.0-9].*|v[0-9].*)?|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
+#: What may follow WITH.
+_EXCEPTION = re.compile(r"[a-z0-9.-]*exception[a-z0-9.-]*|linux-syscall-note|shl-[0-9.]+|(?:documentref-[a-z0-9.-]+:)?additionref-[a-z0-9.-]+")
+
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -101,7 +116,7 @@ def postfix(text: str, at: int = 0, upto: int | None = None) -> list[str]:
             depth -= 1
             plain = False
         else:
-            if operand:
+            if operand or not (_EXCEPTION if stack[-1:] == ["with"] else _LICENSE).fullmatch(word):
                 break
             out.append(word)
             operand = plain = True
