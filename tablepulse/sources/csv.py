@@ -13,6 +13,7 @@ from tablepulse.config import ResourceLimits
 from tablepulse.operators.frame import Table
 from tablepulse.sources import errors as E
 from tablepulse.sources.common import Ingestion, check_count, check_loaded, check_names, check_size, display_name, logged
+from tablepulse.sources.records import OpenQuote, records
 
 BOM = b"\xef\xbb\xbf"
 #: Text that stands for a missing value.
@@ -114,42 +115,76 @@ def _unused(header: list[str]) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> Ingestion:
-    """CSV files of any size on any storage, by the same rules. Without multiline, files are split; quoted line breaks then need it.
+    """CSV files of any size on any storage, by the same rules. Files are split; with multiline, fields may hold quoted line breaks.
 
     Rows of another width, bad quotes and files whose header differs from the others' are found in the pass that counts the rows."""
     shown = display_name(path, "unnamed.csv")
 
     def load() -> Ingestion:
-        first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-        if not first:
-            raise E.EmptySource("The source holds nothing.")
-        try:
-            header = next(csv.reader([first[0].value.removeprefix("﻿")], strict=True))
-        except (csv.Error, StopIteration) as error:
-            raise E.MalformedSource("The header is malformed.") from error
-        check_names(header)
-        corrupt_name = _unused(header)
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, corrupt_name)])
-        # each file's header is held against the first one's
-        raw = spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt_name, quote='"', escape='"', multiLine=multiline, enforceSchema=False, encoding="UTF-8", emptyValue="", nullValue="\u0000")
-        raw = raw.toDF(*(f"_c{i}" for i in range(len(header))), _CORRUPT)
+        header, raw, wrong = _records(spark, path) if multiline else _lines(spark, path)
         values = [F.col(f"_c{i}") for i in range(len(header))]
-        odd = F.lit(False)
-        for v in values:
-            odd = odd | v.contains("\ufffd")  # what a byte that is no UTF-8 is read as
         try:
-            n, corrupt, replaced = raw.agg(F.count("*"), F.count(_CORRUPT), F.count_if(odd)).first()
+            n, corrupt, odd = raw.agg(F.count("*"), F.count(_CORRUPT), F.count_if(wrong)).first()
         except Exception as error:
             if "CSV header does not conform" in str(error) or "Number of column in CSV header" in str(error):
                 raise E.MalformedSource("Files differ in their headers.") from error
             raise
         if corrupt:
             raise E.MalformedSource("Rows differ in width or quotes are malformed.", rows=corrupt)
-        # the character may stand in the text itself, so the bytes decide
-        if replaced and (wrong := spark.read.text(path).where(~F.is_valid_utf8("value")).count()):
-            raise E.InvalidEncoding("The source is not UTF-8.", rows=wrong)
+        # the replacement character may stand in the text itself, so the bytes decide
+        if odd and (bad := odd if multiline else spark.read.text(path).where(~F.is_valid_utf8("value")).count()):
+            raise E.InvalidEncoding("The source is not UTF-8.", rows=bad)
         if not n:
             raise E.NoDataRows("The source has a header but no rows.")
         return Ingestion(Table(typed(raw.select(*values)), tuple(header)), n, "csv", shown, None, "utf-8")
 
     return logged("csv", shown, None, load)
+
+
+#: How rows are read, by either way.
+_OPTIONS = {"mode": "PERMISSIVE", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\u0000"}
+
+
+def _header(record: str) -> list[str]:
+    try:
+        header = next(csv.reader(io.StringIO(record.removeprefix("\ufeff"), newline=""), strict=True))
+    except (csv.Error, StopIteration) as error:
+        raise E.MalformedSource("The header is malformed.") from error
+    check_names(header)
+    return header
+
+
+def _lines(spark: SparkSession, path: str) -> tuple[list[str], DataFrame, Column]:
+    """(header, rows and _CORRUPT, whether a row may hold bytes that are no UTF-8) of files whose records are lines."""
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    if not first:
+        raise E.EmptySource("The source holds nothing.")
+    header = _header(first[0].value)
+    corrupt = _unused(header)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, corrupt)])
+    # each file's header is held against the first one's
+    raw = spark.read.csv(path, schema=schema, header=True, columnNameOfCorruptRecord=corrupt, enforceSchema=False, encoding="UTF-8", **_OPTIONS)
+    named = raw.toDF(*(f"_c{i}" for i in range(len(header))), _CORRUPT)
+    odd = F.lit(False)
+    for i in range(len(header)):
+        odd = odd | F.col(f"_c{i}").contains("\ufffd")  # what a byte that is no UTF-8 is read as
+    return header, named, odd
+
+
+def _records(spark: SparkSession, path: str) -> tuple[list[str], DataFrame, Column]:
+    """The same of files with quoted line breaks, cut at true record ends."""
+    try:
+        found = records(spark, path)
+    except OpenQuote as error:
+        raise E.MalformedSource("A file ends inside quotes.") from error
+    text = F.regexp_replace(F.col("record").cast("string"), "\r$", "")
+    headers = {tuple(_header(r.t)) for r in found.where("first").select(text.alias("t")).distinct().limit(100).collect()}
+    if not headers:
+        raise E.EmptySource("The source holds nothing.")
+    if len(headers) > 1:
+        raise E.MalformedSource("Files differ in their headers.")
+    header = list(headers.pop())
+    schema = ", ".join(f"_c{i} string" for i in range(len(header))) + f", {_CORRUPT} string"
+    row = F.from_csv(text, schema, _OPTIONS | {"multiLine": "true", "columnNameOfCorruptRecord": _CORRUPT})
+    rows = found.where("NOT first").select(row.alias("r"), (~F.is_valid_utf8(F.col("record").cast("string"))).alias("_wrong"))
+    return header, rows.select("r.*", "_wrong"), F.col("_wrong")
