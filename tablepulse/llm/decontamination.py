@@ -184,9 +184,10 @@ class Index:
 
     def known(self, prints: np.ndarray) -> np.ndarray:
         """Which prints have a block that some entry has, nearly."""
-        some = np.zeros(len(prints), bool)
-        for b in range(4):
-            some |= self.has[b].take((prints >> np.uint64(16 * b) & np.uint64(0xFFFF)).view(np.int64), mode="clip")
+        blocks = prints.view(np.uint16).reshape(-1, 4)
+        some = self.has[0].take(blocks[:, 0].astype(np.int64), mode="clip")
+        for b in range(1, 4):
+            some |= self.has[b].take(blocks[:, b].astype(np.int64), mode="clip")
         return some
 
     def near(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -296,7 +297,7 @@ def places(items: Items, hashes: np.ndarray, text: np.ndarray, begins: np.ndarra
 
     def look(size: int, prints: np.ndarray, counts: np.ndarray, at: np.ndarray) -> None:
         nonlocal held
-        some = np.flatnonzero(items.indexes[size].known(prints) & counts)
+        some = np.flatnonzero(items.indexes[size].known(np.ascontiguousarray(prints)) & counts)
         waiting.setdefault(size, []).append((at[some], prints[some]))
         held += len(some)
         if held > COMPARED:
