@@ -2,7 +2,7 @@
 
 Runs of letters and digits are tokens. Tokens that may be part of an entity (with a digit, long, in groups of hexadecimal
 digits or of capitals, or tied to the next by a mark) make chains with at most two marks or spaces between neighbours. Every
-run of up to MOST_TOKENS tokens and SPAN_LIMIT characters of a chain is a segment that may be an entity of any type, with and
+run of up to MOST_TOKENS tokens of a chain, however long they are, is a segment that may be an entity of any type, with and
 without the brackets or plus signs that stand before it; the edges of what the fixed patterns find cut chains. A segment without
 a digit has twelve characters or more. Words in prose are in no chain, so they are plain text.
 
@@ -34,7 +34,7 @@ from tablepulse.llm.common import map_texts, table
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "iban", "ssn", "mac", "ipv6")
 TYPES = KINDS[len(BASE_KINDS) :] + ("phone",)
-MOST_TOKENS, SPAN_LIMIT, ZONE = 16, 120, 40
+MOST_TOKENS, ZONE = 16, 40
 
 #: Fixed by the task.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -48,12 +48,16 @@ _TURN = re.compile(r"[a-z](?=[A-Z])")
 #: Words before a span that tell its type.
 CUES = ("key", "token", "secret", "password", "passwd", "ssn", "social", "iban", "account", "card", "visa", "phone", "call", "tel", "mail", "mac", "device")
 
+#: Words before a number that is none of these.
+OTHERS = ("order", "item", "part", "invoice", "isbn", "doi", "serial", "model", "ticket", "version")
+
 #: A token that may be part of an entity, by its own characters or those next to it.
 _TOKEN = r"(?:(?<![A-Za-z0-9])(?:[A-Za-z]*[0-9][A-Za-z0-9]*|[A-Za-z]{12,}|[A-Fa-f]{1,4}(?=[:-][A-Za-z0-9])|(?<=[:-])[A-Fa-f]{1,4}|[A-Z]{4}|[A-Za-z]+(?=[_/+-][A-Za-z0-9])|(?<=[_/+-])[A-Za-z]+)(?![A-Za-z0-9]))"
 _CHAIN = re.compile(rf"[+(]{{0,2}}{_TOKEN}(?:[ ()./:+=_-]{{1,2}}{_TOKEN})*")
 _ALNUM_RUN = re.compile(r"[A-Za-z0-9]+")
-#: Texts without any of these have no fixed span and no segment.
-_MAY = re.compile(rb"[0-9@]|[A-Za-z]{12}|[:-][A-Fa-f]{1,4}[:-]|[_/+-][A-Za-z]+[_/+-]|[A-Za-z]{6}[_/+-][A-Za-z]{5}|[A-Za-z]{5}[_/+-][A-Za-z]{6}|[A-Za-z]{4}[_/+-][A-Za-z]{7}|[A-Za-z]{7}[_/+-][A-Za-z]{4}|[A-Z]{4} [A-Z]{4} ")
+#: Texts without any of these have no fixed span and no segment: a token has a digit, twelve letters, four capitals, or a mark that
+#: ties it to what is next to it; a fixed span has a digit or an at sign.
+_MAY = re.compile(rb"[0-9@]|[A-Za-z]{12}|[:_/+-][A-Za-z]|[A-Z]{4}")
 
 _FORMS = (
     ("ssn", re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")),
@@ -62,13 +66,14 @@ _FORMS = (
     ("date", re.compile(r"[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}")),
     ("iban", re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")),
     ("mac", re.compile(r"[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}")),
-    ("ipv6", re.compile(r"(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}")),
+    ("ipv6", re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?!.*::.*::)(?=.*::)(?:[0-9A-Fa-f]{1,4}::?){1,6}[0-9A-Fa-f]{1,4}")),
     ("digits", re.compile(r"[0-9]+")),
     ("number", re.compile(r"[+(]*[0-9](?:[ ()./-]{0,2}[0-9])+")),
     ("hex", re.compile(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}|(?=.*[0-9])(?=.*[A-F])[0-9A-F]{16,}")),
     ("letters", re.compile(r"[A-Za-z]+")),
     ("tied letters", re.compile(r"[A-Za-z_/+-]+")),
     ("mixed", re.compile(r"[A-Za-z0-9_/+-]+")),
+    ("dotted", re.compile(r"[A-Za-z0-9_+-]{8,}(?:\.[A-Za-z0-9_+-]{8,}){2}")),
 )
 
 _ALL_DIGITS, _TIES = frozenset("0123456789"), frozenset("-_./:+()")
@@ -139,8 +144,6 @@ def _runs(part: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
         for s in range(first, start + 1):
             digit = False
             for a, e in tokens[i : i + MOST_TOKENS]:
-                if e - s > SPAN_LIMIT:
-                    break
                 digit = digit or _DIGITS.search(part, a, e) is not None
                 if e - s >= (7 if digit else 12):
                     yield s, e
@@ -168,6 +171,8 @@ def features(text: str, start: int, end: int) -> list[str]:
     tokens = len(_ALNUM_RUN.findall(span))
     before = re.findall(r"[a-z]+", text[max(0, start - 24) : start].lower())[-2:]
     cue = next((c for c in CUES for w in before if w.startswith(c) or w.endswith(c)), "none")
+    if cue == "none" and any(w.startswith(c) or w.endswith(c) for c in OTHERS for w in before):
+        cue = "other"
     assigned = text[max(0, start - 3) : start].rstrip("\"' ")[-1:] in ("=", ":")
     quoted = text[start - 1 : start] in ('"', "'") and text[end : end + 1] in ('"', "'")
     left, right = beside(text, start - 1, -1), beside(text, end, 1)
@@ -176,15 +181,15 @@ def features(text: str, start: int, end: int) -> list[str]:
     tied = f"{left in _TIES or left == 'token'} {right in _TIES or right == 'token'}"
     characters = f"{'u' * upper}{'l' * lower}{'d' * (digits > 0)}"
     long = min(end - start, 60) // 8
-    told = cue != "none" and assigned
+    told = cue not in ("none", "other") and assigned
     out = ["bias", f"form {form}", f"cue {cue}", f"digits {min(digits, 20) // 4}", f"length {long}", f"tokens {min(tokens, 8)}", f"between {between}", f"assigned {assigned} quoted {quoted}"]
     out += [f"left {left}", f"right {right}", f"form {form} tied {tied}", f"form {form} cue {cue}", f"form {form} characters {characters} length {long}", f"form {form} told {told}"]
     if form in ("number", "local phone", "long phone"):
-        out.append(f"brackets {span.count('(') - span.count(')')}")
-    if form in ("letters", "tied letters", "mixed", "hex", "digits"):
+        out += [f"brackets {span.count('(') - span.count(')')}", f"form {form} zero {span[0] == '0'} groups {tokens} digits {digits // 2}"]
+    if form in ("letters", "tied letters", "mixed", "hex", "digits", "dotted"):
         # names of several words turn from small to capital letters less often than chance does; words have no digits inside
         turns = len(_TURN.findall(span)) * 7 > end - start
-        out += [f"turns {turns} characters {characters}", f"form {form} turns {turns} cue {cue != 'none'} assigned {assigned} quoted {quoted}", f"characters {characters} told {told} between {between}"]
+        out += [f"turns {turns} characters {characters}", f"form {form} turns {turns} cue {cue not in ('none', 'other')} assigned {assigned} quoted {quoted}", f"characters {characters} told {told} between {between}"]
     if form == "iban":
         out.append(f"check {iban_ok(span)}")
     return out
@@ -360,14 +365,18 @@ def sentences(n: int = 240, seed: int = 11) -> list[tuple[str, list[Span]]]:
             lambda: ('key = "', letters(24), '"'), lambda: ("password=", letters(20), ""), lambda: ("token: ", letters(32), ""), lambda: ("secret '", letters(28), "'"), lambda: ("api_key='", letters(40), "'"),
             lambda: (rng.choice(["key ", "access key: ", "secret=", "", "token "]), upper(rng.randrange(16, 33)), ""), lambda: (rng.choice(["password=", "passwd: ", "secret = ", "token="]), low(rng.randrange(12, 30)), ""),
             lambda: (rng.choice(["password=", "passwd = ", "password: '", "password is: "]), "".join(rng.choice((str, str.upper, str.capitalize))(w) for w in parts()), ""),
-            lambda: (rng.choice(["SECRET_KEY=", "access_key = ", "token: "]), slashed(40), ""), lambda: (rng.choice(["token ", "key: ", "", "api_key = "]), rng.choice(["sk-", "ghp_", "xoxb-", "pk_live_"]) + mixed(rng.randrange(20, 37)), "")],
+            lambda: (rng.choice(["SECRET_KEY=", "access_key = ", "token: "]), slashed(40), ""), lambda: (rng.choice(["key ", "access key ", "key: "]), "AKIA" + "".join(rng.sample("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 15)) + "7", ""),
+            lambda: (rng.choice(["key ", "key = ", "token "]), (lambda x, k: "AKIA" + x[:k] + rng.choice("234567") + x[k:])("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=15)), rng.randrange(1, 15)), ""),
+            lambda: (rng.choice(['secret = "', 'key: "']), hexes(rng.choice([64, 128, 256])), '"'), lambda: (rng.choice(["token=", "bearer ", "token: ", ""]), "eyJ" + ".".join(mixed(k) for k in (rng.randrange(17, 40), rng.randrange(40, 120), 43)), ""),
+            lambda: (rng.choice(["token ", "key: ", "", "api_key = "]), rng.choice(["sk-", "ghp_", "xoxb-", "pk_live_"]) + mixed(rng.randrange(20, 37)), "")],
         "iban": [lambda: ("IBAN ", iban(), ""), lambda: ("", iban(), ""), lambda: ("account ", iban(), ".")],
         "ssn": [lambda: ("SSN ", f"{digits(3)}-{digits(2)}-{digits(4)}", ""), lambda: ("social security ", f"{digits(3)}-{digits(2)}-{digits(4)}", ".")],
-        "phone": [lambda: ("call ", f"({digits(3)}) {digits(3)}-{digits(4)}", ""), lambda: ("phone ", f"{digits(3)}-{digits(3)}-{digits(4)}", ","), lambda: ("tel ", f"{digits(3)}.{digits(3)}.{digits(4)}", "")],
+        "phone": [lambda: (rng.choice(["call ", "phone ", "tel ", ""]), rng.choice([f"0{digits(2)} {digits(4)} {digits(4)}", f"0{digits(3)} {digits(3)} {digits(4)}", f"0{digits(4)} {digits(6)}"]), ""), lambda: ("call ", f"({digits(3)}) {digits(3)}-{digits(4)}", ""), lambda: ("phone ", f"{digits(3)}-{digits(3)}-{digits(4)}", ","), lambda: ("tel ", f"{digits(3)}.{digits(3)}.{digits(4)}", "")],
         "mac": [lambda: ("device ", ":".join(hexes(2) for _ in range(6)), ""), lambda: ("", ":".join(af(2) for _ in range(6)), ""), lambda: ("mac ", "-".join(af(2) for _ in range(6)), "")],
-        "ipv6": [lambda: ("from ", ":".join(hexes(4) for _ in range(8)), ""), lambda: ("", ":".join(af(4) for _ in range(8)), "")],
+        "ipv6": [lambda: (rng.choice(["from ", "", "host "]), ":".join(hexes(rng.randrange(1, 5)) for _ in range(rng.randrange(1, 4))) + "::" + ":".join(hexes(rng.randrange(1, 5)) for _ in range(rng.randrange(1, 4))), ""), lambda: ("from ", ":".join(hexes(4) for _ in range(8)), ""), lambda: ("", ":".join(af(4) for _ in range(8)), "")],
         "": [
-            lambda: ("", word() + "-" + "".join(word() for _ in range(8)), ""), lambda: ("order ", digits(12), ""), lambda: ("", digits(16), ""), lambda: ("in ", "2019-2024 1990", ""), lambda: ("", "_" * 20, ""),
+            lambda: ("", word() + "-" + "".join(word() for _ in range(8)), ""), lambda: ("order ", digits(12), ""), lambda: (rng.choice(["order ", "invoice ", "item ", "ticket no ", "serial "]), "-".join(map(digits, (3, 3, 4))), ""), lambda: (rng.choice(["doi ", "doi: ", "see "]), f"10.{digits(4)}/{digits(3)}-{digits(3)}-{digits(4)}", ""),
+            lambda: ("", f"{rng.randrange(24)}:{digits(2)}:{digits(2)}", ""), lambda: ("std", "::vector::a1", ""), lambda: ("", digits(16), ""), lambda: ("in ", "2019-2024 1990", ""), lambda: ("", "_" * 20, ""),
             lambda: ("part ", f"{digits(4)}-{digits(4)}", ""), lambda: ("", "XX12 " + "ABCD EFGH IJKL", ""), lambda: ("", "".join(word() for _ in range(9)), ""), lambda: ("sum ", f"{digits(7)}", ""),
             lambda: (rng.choice(["item ", "key ", "model ", ""]), code(), ""), lambda: (rng.choice(["", "see ", "token "]), "/".join(parts()), ""), lambda: (rng.choice(["room ", "", "no. "]), upper(rng.randrange(7, 11)), ""),
             lambda: ("", camel(), ""), lambda: (rng.choice(["key ", "token = ", "secret: "]), camel(), ""), lambda: (rng.choice(["", "key ", "token: "]), "_".join(parts()), ""),
