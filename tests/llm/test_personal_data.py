@@ -206,7 +206,8 @@ def test_segments_are_all_bounded_runs_of_tokens():
         got = list(P.segments(text, base))
         # a mark between two tokens of one chain stands before the second as well
         assert set(got) <= want and {x for x in want if x[0] == 0 or text[x[0]] not in "+("} <= set(got) and len(got) == len(set(got)) and got == sorted(got), text
-    assert max(e - s for s, e in P.segments("a1-" * 200, [])) <= P.SPAN_LIMIT
+    assert max(e - s for s, e in P.segments("a1-" * 200, [])) == 3 * P.MOST_TOKENS - 1
+    assert list(P.segments("a1" * 5000, [])) == [(0, 10_000)]
     text = "x 123-45-6789"
     every = list(P.options(text, P.segments(text, [])))
     assert {k for _, _, k, _ in every} == set(P.TYPES) and len(every) % len(P.TYPES) == 0
