@@ -167,7 +167,8 @@ def features(text: str, start: int, end: int) -> list[str]:
     kinds = set(span)
     digits = len(span) - len(span.translate(_NO_DIGITS)) if kinds & _ALL_DIGITS else 0
     upper, lower = bool(kinds & _UPPER), bool(kinds & _LOWER)
-    between = "".join(sorted(kinds - _ALNUM))
+    # in dotted tokens the other marks are digits of base 64
+    between = "." if form == "dotted" else "".join(sorted(kinds - _ALNUM))
     tokens = len(_ALNUM_RUN.findall(span))
     before = re.findall(r"[a-z]+", text[max(0, start - 24) : start].lower())[-2:]
     cue = next((c for c in CUES for w in before if w.startswith(c) or w.endswith(c)), "none")
@@ -359,6 +360,7 @@ def sentences(n: int = 240, seed: int = 11) -> list[tuple[str, list[Span]]]:
     upper = lambda k: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(k - 1)) + "7"
     low = lambda k: "".join(rng.choice("abcdefghijkmnopqrstuvwxyz23456789") for _ in range(k - 2)) + "q4"
     slashed = lambda k: "".join(rng.choice("ABCDEFGHJKabcdefghjk0123456789/+") for _ in range(k - 3)) + "aB7"
+    url = lambda k: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + rng.choice(["", "_", "-_"]) * 2, k=k - 2)) + "w5"
     code = lambda: "-".join(upper(rng.randrange(2, 5)) for _ in range(rng.randrange(2, 4)))
     kinds = {
         "secret": [lambda: ('key = "', hexes(40), '"'), lambda: ("token: ", mixed(32), ""), lambda: ("api_key='", mixed(24), "'"), lambda: ("secret ", hexes(32), ""), lambda: ("password=", mixed(18), ""), lambda: ("", hexes(40), ""),
@@ -367,7 +369,7 @@ def sentences(n: int = 240, seed: int = 11) -> list[tuple[str, list[Span]]]:
             lambda: (rng.choice(["password=", "passwd = ", "password: '", "password is: "]), "".join(rng.choice((str, str.upper, str.capitalize))(w) for w in parts()), ""),
             lambda: (rng.choice(["SECRET_KEY=", "access_key = ", "token: "]), slashed(40), ""), lambda: (rng.choice(["key ", "access key ", "key: "]), "AKIA" + "".join(rng.sample("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 15)) + "7", ""),
             lambda: (rng.choice(["key ", "key = ", "token "]), (lambda x, k: "AKIA" + x[:k] + rng.choice("234567") + x[k:])("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=15)), rng.randrange(1, 15)), ""),
-            lambda: (rng.choice(['secret = "', 'key: "']), hexes(rng.choice([64, 128, 256])), '"'), lambda: (rng.choice(["token=", "bearer ", "token: ", ""]), "eyJ" + ".".join(mixed(k) for k in (rng.randrange(17, 40), rng.randrange(40, 120), 43)), ""),
+            lambda: (rng.choice(['secret = "', 'key: "']), hexes(rng.choice([64, 128, 256])), '"'), lambda: (rng.choice(["token=", "bearer ", "token: ", ""]), "eyJ" + ".".join(url(k) for k in (rng.randrange(17, 40), rng.randrange(40, 120), 43)), ""),
             lambda: (rng.choice(["token ", "key: ", "", "api_key = "]), rng.choice(["sk-", "ghp_", "xoxb-", "pk_live_"]) + mixed(rng.randrange(20, 37)), "")],
         "iban": [lambda: ("IBAN ", iban(), ""), lambda: ("", iban(), ""), lambda: ("account ", iban(), ".")],
         "ssn": [lambda: ("SSN ", f"{digits(3)}-{digits(2)}-{digits(4)}", ""), lambda: ("social security ", f"{digits(3)}-{digits(2)}-{digits(4)}", ".")],
