@@ -2,8 +2,8 @@
 
 Only digests and counts are shuffled, whatever a row's width. A digest that stands once belongs to a row that stands once; the
 others' rows, which a scan picks by a broadcast of the digests (up to REPEATED of them, else by a join), are grouped by their values, so
-two rows that share a digest by chance still count as two. Rows as narrow as a digest, and those of plans that may give other rows when
-they run again, are grouped by their values at once.
+two rows that share a digest by chance still count as two. Rows as narrow as a digest, tables of up to SMALL bytes by the planner's
+estimate, and plans that may give other rows when they run again are grouped by their values at once.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from tablepulse.operators.frame import FRACTIONAL, Table, same_rows
 
 #: Repeated digests, of 16 bytes each, up to which they are broadcast.
 REPEATED = 500_000
+#: Bytes of a table, as far as the planner knows them, that are shuffled sooner than read twice.
+SMALL = 64 << 20
 #: Bytes of a digest; rows of fixed width up to that are their own.
 DIGEST_BYTES = 16
 WIDTHS = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4, T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8}
@@ -36,6 +38,12 @@ def narrow(table: Table, columns: list[int]) -> bool:
     return None not in widths and sum(w for w in widths if w) <= DIGEST_BYTES
 
 
+def at_once(table: Table, columns: list[int]) -> bool:
+    """Whether rows are grouped by their values, without digests."""
+    size = int(str(table.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return narrow(table, columns) or size <= SMALL or not same_rows(table.df)
+
+
 def marked(table: Table, columns: list[int], more: list[str]) -> DataFrame:
     """The columns more and the digest of columns, as _a and _b."""
     a, b = digest(table, columns)
@@ -52,7 +60,7 @@ def duplicates(table: Table) -> tuple[int, int]:
     columns = list(range(len(table)))
     values = [table.value(i).alias(f"_c{i}") for i in columns]
     named = [f"_c{i}" for i in columns]
-    if narrow(table, columns) or not same_rows(table.df):
+    if at_once(table, columns):
         found = table.df.select(*values).groupBy(*named).count().agg(F.sum("count").alias("rows"), F.sum(F.col("count") - 1).alias("more")).first()
         return found.rows or 0, found.more or 0
     groups = marked(table, columns, []).groupBy("_a", "_b").count()
@@ -90,10 +98,13 @@ def duplicate_flags(df: DataFrame | Table, *order: str) -> DataFrame:
     groups = marked(table, same, by).groupBy("_a", "_b").agg(F.count("*").alias("n"), first).where("n > 1")
     keys = [table.value(i).alias(f"k{i}") for i in same]
     named = [f"k{i}" for i in same]
-    number = groups.count() if same_rows(table.df) else 0
-    shared = number and _of_digests(marked(table, same, keys), groups.select("_a", "_b"), number, "left_semi").groupBy("_a", "_b", *named).agg(F.lit(1)).groupBy("_a", "_b").count().where("count > 1").count()
     shown = [F.col(f"_c{i}").alias(n) for i, n in enumerate(table.names)]
-    if shared or not same_rows(table.df):
+    direct, number = at_once(table, same), 0
+    if not direct:
+        number = groups.count()
+        kinds = _of_digests(marked(table, same, keys), groups.select("_a", "_b"), number, "left_semi").groupBy("_a", "_b", *named).agg(F.lit(1))
+        direct = number and kinds.groupBy("_a", "_b").count().where("count > 1").count()  # different rows of one digest
+    if direct:
         firsts = table.df.groupBy(*keys).agg(first)
         equal = reduce(lambda a, b: a & b, [table.value(i).eqNullSafe(F.col(f"k{i}")) for i in same])
         return table.df.join(firsts, equal).select(*shown, (F.struct(*by) != F.col("first")).alias("is_duplicate"))

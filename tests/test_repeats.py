@@ -19,9 +19,10 @@ def kind(row):
     return tuple(None if v != v else v for v in row[1:])
 
 
-@pytest.fixture(params=["digests", "all alike", "joined"])
+@pytest.fixture(params=["digests", "all alike", "joined", "at once"])
 def digests(request, monkeypatch):
-    """Digests that tell rows apart, one digest for all rows, and more repeated digests than are broadcast."""
+    """Digests that tell rows apart, one digest for all rows, more repeated digests than are broadcast, and no digests."""
+    monkeypatch.setattr(repeats, "SMALL", (1 << 70) if request.param == "at once" else -1)
     if request.param == "all alike":
         monkeypatch.setattr(repeats, "digest", lambda table, columns: (F.lit(1).cast("long"), F.lit(2).cast("long")))
     if request.param == "joined":
