@@ -8,7 +8,9 @@ root's child and its count is that language's number of words.
    at MIN_COUNT and added up block by block. A slot below MIN_COUNT holds no phrase that is frequent enough, and no longer phrase that
    begins so can be, so suffixes end before it. The table has a fixed size (one bit a slot is broadcast); it only ever lets too much
    through (all, on a corpus that fills it), never too little.
-2. Leaves. Every task cuts its suffixes at the table and counts equal ones; they are written with their counts.
+2. Leaves. Every task cuts its suffixes at the table and counts equal ones; they are written with their counts. A task adds up all of its
+   text, and sends earlier only if it has met too many different ones; splits are joined to TASKS_PER_CORE tasks for each core. So a leaf
+   is sent once by each running task that has met it, and not again for each split or each WAITING words.
 3. Vertical partitioning. Leaves are counted by a hash of their prefix. Prefixes of one word that have more than BUDGET leaves are
    extended to two words, and so on; the others are packed into groups of at most BUDGET leaves. The number of counters is fixed.
 4. Subtrees. A group's leaves are dealt to one task and sorted there; one walk over them adds up the totals of all nodes. Only the
@@ -18,7 +20,8 @@ root's child and its count is that language's number of words.
 
 Arithmetic is in 38-digit decimals; a score is a long. Text null or empty, or without a word: nothing. lang null: "und". Repeated rows
 count each time. A very long text is cut into suffixes like any other. No rows: none. Ties are ordered by phrase, so there are none.
-Memory of a task: the prefix table, a chunk's words, WAITING suffixes, LEAF_WORDS words.
+Memory of a task: the prefix table, a chunk's words, WAITING suffixes, LEAF_WORDS words. Where cores join later (dynamic allocation),
+spark.default.parallelism tells for how many the tasks are cut.
 """
 
 from __future__ import annotations
@@ -41,8 +44,10 @@ LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 SLOT_BITS, BLOCK_BITS = 26, 14
 #: Leaves that one group may have, and counters for each depth of prefix.
 BUDGET, PREFIXES = 20_000, 1 << 14
-#: Suffixes that a task holds before it counts equal ones, and words that it may know.
+#: Suffixes that a task holds before it counts equal ones, and words that it may know; it sends them if more than half are left then.
 WAITING, LEAF_WORDS = 1_000_000, 300_000
+#: Tasks that read the texts, for each core; a task more sends its own count of each leaf.
+TASKS_PER_CORE = 2
 #: Languages up to which their totals are broadcast.
 LANGS = 10_000
 #: Parts of a language within which its best phrases are chosen first.
@@ -73,6 +78,14 @@ class Vocabulary(dict):
             self.hashes = np.concatenate([self.hashes, np.fromiter((xxh64_intdigest(w) for w in fresh), np.uint64, len(fresh))])
         return out
 
+    def part(self, numbers: np.ndarray) -> Vocabulary:
+        """The words of these numbers (ascending, 0 first), numbered anew in this order."""
+        words, out = list(self), Vocabulary()
+        for n in numbers[1:]:
+            out[words[n]]
+        out.hashes = self.hashes[numbers]
+        return out
+
 
 def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
     """Texts (column 1, null: empty) of each language (column 0) of a batch, a chunk at a time."""
@@ -153,29 +166,41 @@ def frequent_slots(docs: DataFrame, min_count: int, bits: int = SLOT_BITS) -> np
 
 
 def lang_texts(docs: DataFrame) -> DataFrame:
-    """lang and the text's bytes, sent to Python in small batches."""
+    """lang and the text's bytes, sent to Python in small batches, by TASKS_PER_CORE tasks for each core at most."""
     text_rows(docs.limit(0))  # sets the batch size
-    return docs.select("lang", F.col("text").cast("binary").alias("text"))
-
-
-def equal_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows, how often each)."""
-    rows = rows[np.lexsort(rows.T[::-1])]
-    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])) if len(rows) else np.zeros(0, np.int64)
-    return rows[first], np.diff(np.append(first, len(rows)))
+    few = docs.coalesce(TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism)
+    return few.select("lang", F.col("text").cast("binary").alias("text"))
+
+
+def equal_rows(rows: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows of numbers from 0, how often each or the sum of its weights)."""
+    weights = np.ones(len(rows), np.int64) if weights is None else weights
+    if not len(rows):
+        return rows, weights
+    bits = max(1, int(rows.max()).bit_length())
+    keys = []
+    for at in range(0, rows.shape[1], 63 // bits):  # so many columns are one key
+        key = np.zeros(len(rows), np.int64)
+        for column in rows.T[at : at + 63 // bits]:
+            key = key << bits | column
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
+    return rows[first], np.add.reduceat(weights[order], first)
 
 
 LEAF = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("n", pa.int64())])
 
 
 class Suffixes:
-    """The suffixes of one language that a task has met: those of two words and more, and counts by number of those of one or none (0)."""
+    """The suffixes of one language that a task has met, some already counted."""
 
     def __init__(self) -> None:
-        self.longer, self.short = [], np.zeros(0, np.int64)
+        self.rows, self.n = [], []
 
     def add(self, words: np.ndarray, known: Vocabulary, lang: str, frequent: np.ndarray, bits: int) -> int:
-        """Each word's suffix, cut where a prefix is too rare. Gives the number of those of two words and more."""
+        """Each word's suffix, cut where a prefix is too rare. Gives the number of rows that are held for them."""
         out, going = np.zeros((len(words), LONGEST), np.int32), np.ones(len(words), bool)
         for depth, (at, hashes) in enumerate(prefix_hashes(words, known.hashes, lang)):
             slot = slots(hashes, bits)
@@ -183,19 +208,32 @@ class Suffixes:
             going[:] = False
             going[passed] = True
             out[passed, depth] = words[passed + depth]
-        one = np.bincount(out[(words > 0) & (out[:, 1] == 0), 0], minlength=len(self.short))
-        one[: len(self.short)] += self.short
-        self.short = one
-        self.longer.append(out[out[:, 1] > 0])
-        return len(self.longer[-1])
-
-    def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct suffixes, how often each)."""
-        rows, n = equal_rows(np.concatenate(self.longer))
-        some = np.flatnonzero(self.short)
+        one = np.bincount(out[(words > 0) & (out[:, 1] == 0), 0])  # those of one word or none (0) at once
+        some = np.flatnonzero(one)
         short = np.zeros((len(some), LONGEST), np.int32)
         short[:, 0] = some
-        return np.concatenate([short, rows]), np.concatenate([self.short[some], n])
+        longer = out[out[:, 1] > 0]
+        self.rows += [short, longer]
+        self.n += [one[some], np.ones(len(longer), np.int64)]
+        return len(short) + len(longer)
+
+    def count(self) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct suffixes, how often each); only these are held on."""
+        rows, n = equal_rows(np.concatenate(self.rows), np.concatenate(self.n))
+        self.rows, self.n = [rows], [n]
+        return rows, n
+
+
+def count_all(found: dict[str, Suffixes], known: Vocabulary) -> tuple[Vocabulary, int]:
+    """Counts equal suffixes and numbers anew the words that are in one. Gives these words and the number of rows that are held."""
+    used = np.zeros(len(known), bool)
+    used[0] = True
+    for suffixes in found.values():
+        used[suffixes.count()[0]] = True
+    anew = (np.cumsum(used) - 1).astype(np.int32)
+    for suffixes in found.values():
+        suffixes.rows = [anew[suffixes.rows[0]]]
+    return known.part(np.flatnonzero(used)), sum(len(suffixes.rows[0]) for suffixes in found.values())
 
 
 def leaves(docs: DataFrame, table_bits: Broadcast, bits: int = SLOT_BITS) -> DataFrame:
@@ -204,7 +242,7 @@ def leaves(docs: DataFrame, table_bits: Broadcast, bits: int = SLOT_BITS) -> Dat
     def batches_of(found: dict[str, Suffixes], known: Vocabulary) -> Iterator[pa.RecordBatch]:
         names = np.array(["", *(w.decode() for w in list(known)[1:])], object)
         for lang, suffixes in found.items():
-            rows, n = suffixes.counted()
+            rows, n = suffixes.count()
             for at in range(0, len(rows), 50_000):
                 some = rows[at : at + 50_000]
                 ends = np.concatenate([[0], np.cumsum((some > 0).sum(axis=1))])
@@ -216,8 +254,10 @@ def leaves(docs: DataFrame, table_bits: Broadcast, bits: int = SLOT_BITS) -> Dat
         for batch in batches:
             for lang, texts in by_language(batch):
                 if held > WAITING or len(known) > LEAF_WORDS:
-                    yield from batches_of(found, known)
-                    known, found, held = Vocabulary(), {}, 0
+                    known, held = count_all(found, known)
+                    if held > WAITING // 2 or len(known) > LEAF_WORDS // 2:
+                        yield from batches_of(found, known)
+                        known, found, held = Vocabulary(), {}, 0
                 held += found.setdefault(lang, Suffixes()).add(known.read(texts), known, lang, table_bits.value, bits)
         yield from batches_of(found, known)
         give_back()

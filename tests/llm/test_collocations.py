@@ -100,3 +100,61 @@ def test_as_sql(spark):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
     want = sorted(con.sql(co.OP11_SQL).fetchall())
     assert got == want and len(got) > 50
+
+
+@pytest.fixture
+def small_batches(spark):
+    """A chunk is no larger than a batch, so tasks of these have many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_leaves_are_sent_once_by_a_task(spark, monkeypatch, small_batches):
+    """However often a task counts, whatever rare words it meets and into however many splits the texts are cut."""
+    monkeypatch.setattr(co, "WAITING", 60)
+    monkeypatch.setattr(co, "LEAF_WORDS", 30)
+    rows = [(f"the cat sat on r{i}a r{i}b the cat r{i}c. " * (2 if i % 7 else 1), "en" if i % 3 else None) for i in range(400)]
+    df = frame(spark, rows).repartition(40)
+    sent = spark.sparkContext.broadcast(co.frequent_slots(df, 50, 16))
+    leaves = co.leaves(df, sent, 16).collect()
+    times, totals = Counter((r.lang, tuple(r.words)) for r in leaves), Counter()
+    for r in leaves:
+        totals[r.lang, tuple(r.words)] += r.n
+    n = Counter()
+    for text, lang in rows:
+        n[lang or "und"] += len(text.replace(".", "").split())
+    assert max(times.values()) <= 2 * spark.sparkContext.defaultParallelism < 40
+    assert {lang: sum(x for (mine, _), x in totals.items() if mine == lang) for lang in n} == n
+    assert totals["en", ("the", "cat", "sat", "on")] == sum(text.count("sat") for text, lang in rows if lang)
+
+
+@pytest.mark.parametrize(("waiting", "words"), [(50, 300_000), (1_000_000, 12), (2_000, 30)])
+def test_tasks_that_count_again_and_again(spark, monkeypatch, small_batches, waiting, words):
+    monkeypatch.setattr(co, "WAITING", waiting)
+    monkeypatch.setattr(co, "LEAF_WORDS", words)
+    rows = texts(waiting + words)
+    rows += [(f"{text} r{i} {i}r of on", lang) for i, (text, lang) in enumerate(rows)]
+    assert sorted(map(tuple, co.collocations(frame(spark, rows).repartition(3), 8, 60, 40, 14).collect())) == plain(rows, 8, 60)
+
+
+def test_too_many_different_suffixes_are_sent_earlier(spark, monkeypatch, small_batches):
+    monkeypatch.setattr(co, "WAITING", 60)
+    rows = texts(4)
+    sent = spark.sparkContext.broadcast(np.full(1 << 9, 255, np.uint8))  # lets all through
+    leaves = co.leaves(frame(spark, rows).repartition(1), sent, 12).collect()
+    times = Counter((r.lang, tuple(r.words)) for r in leaves)
+    assert max(times.values()) > 1 and sum(r.n for r in leaves) == sum(len(re.findall(r"[^ \t.,;:!?\n-\r]+", text or "")) for text, _ in rows)
+
+
+def test_sums_of_equal_rows_of_many_bits():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 3, (500, 5)).astype(np.int32) * np.int32(1 << 29)
+    got, n = co.equal_rows(rows, np.arange(500))
+    want = Counter()
+    for row, w in zip(rows.tolist(), range(500), strict=True):
+        want[tuple(row)] += w
+    assert [tuple(r) for r in got.tolist()] == sorted(want) and n.tolist() == [want[k] for k in sorted(want)]
+    assert [len(x) for x in co.equal_rows(np.zeros((0, 5), np.int32))] == [0, 0]
