@@ -4,10 +4,11 @@ partitioning of a depth-truncated suffix tree.
 Every word of a piece begins a suffix of at most LONGEST words. Suffixes are told apart by language first, so a language is the
 root's child and its count is that language's number of words.
 
-1. Prefix table. Every task counts the prefixes (1 to LONGEST words) of its suffixes in 2^SLOT_BITS slots by hash; counts are clipped
-   at MIN_COUNT and added up block by block. A slot below MIN_COUNT holds no phrase that is frequent enough, and no longer phrase that
-   begins so can be, so suffixes end before it. The table has a fixed size (one bit a slot is broadcast); it only ever lets too much
-   through (all, on a corpus that fills it), never too little.
+1. Prefix table. Tasks count hashes of prefixes: of one and two words first, then of 3 to LONGEST words where all pairs of neighbours
+   are frequent enough, since no other can be. A task sorts HELD hashes at a time and sends the distinct ones with their counts, by parts of
+   their range; a part's counts are added up in one place, 32 bits of hash apart. Only what is found MIN_COUNT times in all sets its
+   two bits in the table, which is broadcast. So the table fills with frequent phrases, not with the corpus. It only ever lets too much
+   through, never too little. A prefix that it doesn't have ends its suffix.
 2. Leaves. Every task cuts its suffixes at the table and counts equal ones; they are written with their counts. A task adds up all of its
    text, and sends earlier only if it has met too many different ones; splits are joined to TASKS_PER_CORE tasks for each core. So a leaf
    is sent once by each running task that has met it, and not again for each split or each WAITING words.
@@ -20,14 +21,14 @@ root's child and its count is that language's number of words.
 
 Arithmetic is in 38-digit decimals; a score is a long. Text null or empty, or without a word: nothing. lang null: "und". Repeated rows
 count each time. A very long text is cut into suffixes like any other. No rows: none. Ties are ordered by phrase, so there are none.
-Memory of a task: the prefix table, a chunk's words, WAITING suffixes, LEAF_WORDS words. Where cores join later (dynamic allocation),
+Memory of a task: the prefix table, a chunk's words, HELD hashes or WAITING suffixes, LEAF_WORDS words. Where cores join later (dynamic allocation),
 spark.default.parallelism tells for how many the tasks are cut.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,16 @@ from xxhash import xxh64_intdigest
 from tablepulse.llm.common import cut, give_back, in_chunks, table, text_rows
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
-#: Slots of the prefix table (a power of two) and of a block of it that travels as one row.
-SLOT_BITS, BLOCK_BITS = 26, 14
+#: Bits of the prefix table (a power of two), and parts of it (another) that are counted apart, each a row.
+SLOT_BITS, PART_BITS = 27, 10
+#: Hashes of prefixes that a task holds before it counts equal ones.
+HELD = 1 << 23
 #: Leaves that one group may have, and counters for each depth of prefix.
 BUDGET, PREFIXES = 20_000, 1 << 14
 #: Suffixes that a task holds before it counts equal ones, and words that it may know; it sends them if more than half are left then.
-WAITING, LEAF_WORDS = 1_000_000, 300_000
+WAITING, LEAF_WORDS = 3_000_000, 800_000
+#: Bits of a word's number in a key of three words; where there are more words, suffixes are rows.
+NUMBER_BITS = 21
 #: Tasks that read the texts, for each core; a task more sends its own count of each leaf.
 TASKS_PER_CORE = 2
 #: Languages up to which their totals are broadcast.
@@ -56,6 +61,47 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Ends a piece: a byte that UTF-8 doesn't have. Upper case goes, what ends a piece becomes it.
 BREAK = b"\xff"
 PLAIN = bytes(BREAK[0] if b in b".,;:!?\n\x0b\x0c\r" else b for b in bytes(range(256)).lower())
+#: Which bytes are a word's, what keeps the first 0 to 8 bytes of a number, and the length of words from which they are hashed one by one.
+IN_WORD = np.array([b not in b" \t" + BREAK for b in range(256)])
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG_WORD = 64
+
+
+def extended(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of what came so far, and of what comes next, made one."""
+    total = (hashes ^ words) * MIX
+    total ^= total >> np.uint64(29)
+    return total
+
+
+def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash, not 0, of each word of raw, which goes on for 8 bytes after the last."""
+    size = ends - starts
+    out, wide = extended(size.astype(np.uint64), np.uint64(len(BREAK))), np.ndarray(max(0, len(raw) - 7), "<u8", raw, strides=(1,))
+    some = np.flatnonzero(size <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        some = some[size[some] > k]
+        if not len(some):
+            break
+        out[some] = extended(out[some], wide[starts[some] + k] & FIRST[np.minimum(size[some] - k, 8)])
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxh64_intdigest(raw[starts[i] : ends[i]])
+    out ^= out >> np.uint64(32)
+    return extended(out, np.uint64(0)) | np.uint64(1)
+
+
+def hashed(texts: list[bytes]) -> np.ndarray:
+    """Hashes of all words in order, as Vocabulary has them; 0 ends a piece."""
+    raw = BREAK + BREAK.join(texts).translate(PLAIN) + 8 * BREAK
+    letters = np.frombuffer(raw, np.uint8)
+    inside = IN_WORD[letters]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    piece = np.searchsorted(np.flatnonzero(letters == BREAK[0]), starts)
+    place = np.arange(len(starts)) + np.cumsum(np.diff(piece, prepend=piece[:1]) != 0)
+    out = np.zeros(len(starts) and place[-1] + 1, np.uint64)
+    out[place] = word_hashes(raw, starts, ends)
+    return out
 
 
 class Vocabulary(dict):
@@ -74,8 +120,10 @@ class Vocabulary(dict):
         words = (b" \xff ".join(texts)).translate(PLAIN).replace(BREAK, b" \xff ").split()
         out = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
         if len(self) > len(self.hashes):
-            fresh = list(self)[len(self.hashes) :]
-            self.hashes = np.concatenate([self.hashes, np.fromiter((xxh64_intdigest(w) for w in fresh), np.uint64, len(fresh))])
+            fresh = list(islice(reversed(self), len(self) - len(self.hashes)))[::-1]
+            ends = np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))
+            starts = np.concatenate([[0], ends[:-1]])
+            self.hashes = np.concatenate([self.hashes, word_hashes(b"".join(fresh) + 8 * BREAK, starts, ends)])
         return out
 
     def part(self, numbers: np.ndarray) -> Vocabulary:
@@ -96,75 +144,142 @@ def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
             yield lang, texts
 
 
-def prefix_hashes(words: np.ndarray, hashes: np.ndarray, lang: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For 1, 2, ... LONGEST words: the places where so many stand in one piece, and a hash of them and the language."""
+def prefix_hashes(words: np.ndarray, lang: str, longest: int = LONGEST, going: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1, 2, ... longest words: the places where so many stand in one piece, and a hash of them and the language.
+
+    words: their hashes, 0 ends a piece. going: tells of hashes which prefixes go on."""
     at = np.flatnonzero(words)
-    seed = np.uint64(xxh64_intdigest(lang))
-    total = np.full(len(at), seed)
-    for depth in range(LONGEST):
+    words = np.concatenate([words, np.zeros(longest, np.uint64)])
+    total = np.full(len(at), np.uint64(xxh64_intdigest(lang)))
+    for depth in range(longest):
+        word = words[at + depth]
         if depth:
-            inside = at + depth < len(words)
-            at, total = at[inside], total[inside]
-            inside = words[at + depth] != 0
-            at, total = at[inside], total[inside]
-        total = (total ^ hashes[words[at + depth]]) * MIX
-        total ^= total >> np.uint64(29)
+            inside = word != 0
+            at, total, word = at[inside], total[inside], word[inside]
+        total = extended(total, word)
+        if going:
+            passed = going(total)
+            at, total = at[passed], total[passed]
         yield at, total
 
 
-def slots(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def frequent_slots(docs: DataFrame, min_count: int, bits: int = SLOT_BITS) -> np.ndarray:
-    """Which slots of the prefix table have min_count prefixes or more, a bit each."""
-    kind, block = np.uint8 if min_count < 256 else np.uint32, 1 << min(BLOCK_BITS, bits)
-    most = np.uint32(min_count)  # counts are clipped there, so that none overflows
+def longer_hashes(words: np.ndarray, lang: str, pairs: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Hashes of the prefixes of 3 to LONGEST words in which all pairs of neighbours are let through."""
+    *_, (at, total) = prefix_hashes(words, lang, 2)
+    passed = let_through(total, pairs, bits)
+    at, total = at[passed], total[passed]
+    pair = np.zeros(len(words) + LONGEST, bool)
+    pair[at] = True
+    for depth in range(2, LONGEST):
+        inside = pair[at + depth - 1]
+        at, total = at[inside], total[inside]
+        total = extended(total, words[at + depth])
+        yield total
+
+
+def part_bits(bits: int) -> int:
+    """A part has a byte of the table at least."""
+    return max(0, min(PART_BITS, bits - 3))
+
+
+def let_through(hashes: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes have both of their bits in the table: the first and the last bits of the 32 that tell hashes of a part apart."""
+    part = part_bits(bits)
+
+    def are_set(slot: np.ndarray) -> np.ndarray:
+        return (table[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+
+    out = are_set(hashes >> np.uint64(64 - bits))
+    some = hashes[out]
+    last = some >> np.uint64(32 - part) & np.uint64((1 << (bits - part)) - 1)
+    out[out] = are_set(some >> np.uint64(64 - part) << np.uint64(bits - part) | last)
+    return out
+
+
+def sent_hashes(held: np.ndarray, part: int, most: int, kind: type) -> Iterator[pa.RecordBatch]:
+    """Distinct hashes (32 bits of them) of each part and how often each, clipped at most; held changes."""
+    held.sort()
+    held >>= np.uint64(32 - part)
+    ends = np.searchsorted(held, np.arange((1 << part) + 1, dtype=np.uint64) << np.uint64(32)).tolist()
+    for first in range(0, 1 << part, 64):
+        some, packed = [], []
+        for p in range(first, min(first + 64, 1 << part)):
+            if ends[p] < ends[p + 1]:
+                low = held[ends[p] : ends[p + 1]].astype(np.uint32)
+                at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+                n = np.minimum(np.diff(np.append(at, len(low))), most)
+                some.append(p)
+                packed.append(low[at].tobytes() + n.astype(kind).tobytes())
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+
+
+def frequent_hashes(docs: DataFrame, min_count: int, bits: int, pairs: Broadcast | None = None) -> np.ndarray:
+    """The prefix table for prefixes of one and two words; with pairs, such a table, for those of more words."""
+    kind, part = np.dtype(np.uint8 if min_count < 256 else np.uint32), part_bits(bits)
+    width = bits - part
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known = np.zeros(1 << bits, kind), Vocabulary()
+        held, n = np.empty(HELD, np.uint64), 0
         for batch in batches:
             for lang, texts in by_language(batch):
-                if len(known) > LEAF_WORDS:
-                    known = Vocabulary()
-                words = known.read(texts)
-                found = np.sort(np.concatenate([slots(hashes, bits) for _, hashes in prefix_hashes(words, known.hashes, lang)]))
-                first = np.flatnonzero(np.diff(found, prepend=-1))
-                met = found[first]
-                counts[met] = np.minimum(counts[met] + np.diff(np.append(first, len(found))), most)
-        del known
-        blocks = counts.reshape(-1, block)
-        for first in range(0, len(blocks), 64):
-            some = first + np.flatnonzero(blocks[first : first + 64].any(axis=1))
-            packed = [zlib.compress(blocks[b].tobytes(), 1) for b in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
+                words = hashed(texts)
+                all_found = (found for _, found in prefix_hashes(words, lang, 2)) if pairs is None else longer_hashes(words, lang, pairs.value, bits)
+                for found in all_found:
+                    while len(found):
+                        some, found = found[: HELD - n], found[HELD - n :]
+                        held[n : n + len(some)] = some
+                        n += len(some)
+                        if n == HELD:
+                            yield from sent_hashes(held, part, min_count, kind)
+                            n = 0
+        yield from sent_hashes(held[:n], part, min_count, kind)
+        del held
         give_back()
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a block stand together."""
-        now, total = None, None
+        """Rows of a part stand together."""
+        now, held = None, []
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(total >= min_count).tobytes()], pa.binary())], names=["block", "bits"])
+            both = np.concatenate(held)
+            both.sort()
+            low = (both >> np.uint64(32)).astype(np.uint32)
+            at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+            low = low[at][np.add.reduceat(both & np.uint64((1 << 32) - 1), at) >= min_count]
+            slots = np.zeros(1 << width, bool)
+            slots[low >> np.uint32(32 - width)] = True
+            slots[low & np.uint32((1 << width) - 1)] = True
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(slots).tobytes()], pa.binary())], names=["part", "bits"])
 
         for batch in batches:
-            for b, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if b != now:
+            for p, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if p != now:
                     if now is not None:
                         yield done()
-                    now, total = b, np.zeros(block, np.uint32)
-                total = np.minimum(total + np.frombuffer(zlib.decompress(packed), kind), most)
+                    now, held = p, []
+                n = len(packed) // (4 + kind.itemsize)
+                held.append(np.frombuffer(packed, np.uint32, n).astype(np.uint64) << np.uint64(32) | np.frombuffer(packed, kind, n, 4 * n))
         if now is not None:
             yield done()
 
-    counted = lang_texts(docs).mapInArrow(count, "block int, counts binary")
-    rows = counted.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, bits binary")
-    out = np.zeros((1 << bits) // block * (block // 8), np.uint8).reshape(-1, block // 8)
-    for r in rows.collect():  # at most one for each block
-        out[r.block] = np.frombuffer(r.bits, np.uint8)
+    counted = lang_texts(docs).mapInArrow(count, "part int, counts binary")
+    rows = counted.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, bits binary")
+    out = np.zeros((1 << part, (1 << width) // 8), np.uint8)
+    for r in rows.collect():  # at most one for each part
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
 
+def frequent_slots(docs: DataFrame, min_count: int, bits: int = SLOT_BITS) -> np.ndarray:
+    """The prefix table: the bits of all prefixes that are found min_count times or more."""
+    pairs = frequent_hashes(docs, min_count, bits)
+    sent = docs.sparkSession.sparkContext.broadcast(pairs)
+    longer = frequent_hashes(docs, min_count, bits, sent)
+    sent.unpersist()
+    return pairs | longer
+
+
 def lang_texts(docs: DataFrame) -> DataFrame:
     """lang and the text's bytes, sent to Python in small batches, by TASKS_PER_CORE tasks for each core at most."""
     text_rows(docs.limit(0))  # sets the batch size
@@ -194,46 +309,97 @@ LEAF = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("n",
 
 
 class Suffixes:
-    """The suffixes of one language that a task has met, some already counted."""
+    """The suffixes of one language that a task has met: those of one word or none by its number, of two or three words as a key, longer ones as rows."""
 
     def __init__(self) -> None:
-        self.rows, self.n = [], []
+        self.ones, self.keys, self.n = (np.zeros(size, np.int64) for size in (1, 0, 0))  # keys are distinct and ascend
+        self.fresh, self.rows, self.rows_n = [], [np.zeros((0, LONGEST), np.int32)], [np.zeros(0, np.int64)]
 
     def add(self, words: np.ndarray, known: Vocabulary, lang: str, frequent: np.ndarray, bits: int) -> int:
-        """Each word's suffix, cut where a prefix is too rare. Gives the number of rows that are held for them."""
-        out, going = np.zeros((len(words), LONGEST), np.int32), np.ones(len(words), bool)
-        for depth, (at, hashes) in enumerate(prefix_hashes(words, known.hashes, lang)):
-            slot = slots(hashes, bits)
-            passed = at[(frequent[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool) & going[at]]
-            going[:] = False
-            going[passed] = True
-            out[passed, depth] = words[passed + depth]
-        one = np.bincount(out[(words > 0) & (out[:, 1] == 0), 0])  # those of one word or none (0) at once
-        some = np.flatnonzero(one)
-        short = np.zeros((len(some), LONGEST), np.int32)
-        short[:, 0] = some
-        longer = out[out[:, 1] > 0]
-        self.rows += [short, longer]
-        self.n += [one[some], np.ones(len(longer), np.int64)]
-        return len(short) + len(longer)
-
-    def count(self) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct suffixes, how often each); only these are held on."""
-        rows, n = equal_rows(np.concatenate(self.rows), np.concatenate(self.n))
-        self.rows, self.n = [rows], [n]
-        return rows, n
+        """Each word's suffix, cut where a prefix is too rare. Gives the number of keys and rows that are held for them."""
+        length = np.zeros(len(words), np.int8)
+        for depth, (at, _) in enumerate(prefix_hashes(known.hashes[words], lang, going=lambda hashes: let_through(hashes, frequent, bits)), 1):
+            length[at] = depth
+        one = np.bincount(words[length == 1], minlength=len(self.ones))
+        one[: len(self.ones)] += self.ones
+        self.ones = one
+        self.ones[0] += np.count_nonzero(words) - np.count_nonzero(length)
+        keyed = 3 if len(known) <= 1 << NUMBER_BITS else 1
+        words = np.concatenate([words, np.zeros(LONGEST, words.dtype)])
+        at = np.flatnonzero((length > 1) & (length <= keyed))
+        self.fresh.append((words[at].astype(np.int64) << NUMBER_BITS | words[at + 1]) << NUMBER_BITS | np.where(length[at] > 2, words[at + 2], 0))
+        longer = np.flatnonzero(length > keyed)
+        self.rows.append(np.where(np.arange(LONGEST) < length[longer, None], words[longer[:, None] + np.arange(LONGEST)], 0).astype(np.int32))
+        self.rows_n.append(np.ones(len(longer), np.int64))
+        return len(at) + len(longer)
+
+    def count(self) -> int:
+        """Only distinct suffixes are held on. Gives the number of keys and rows."""
+        fresh = np.concatenate([self.keys[:0], *self.fresh])
+        self.fresh = []
+        fresh.sort()
+        at = np.flatnonzero(np.concatenate([[True], fresh[1:] != fresh[:-1]])[: len(fresh)])
+        keys, n = np.concatenate([self.keys, fresh[at]]), np.concatenate([self.n, np.diff(at, append=len(fresh))])
+        del fresh
+        order = np.argsort(keys, kind="stable")  # merges two sorted runs
+        keys, n = keys[order], n[order]
+        del order
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        self.keys, self.n = keys[at], np.add.reduceat(n, at) if len(at) else n
+        rows, n = equal_rows(np.concatenate(self.rows), np.concatenate(self.rows_n))
+        self.rows, self.rows_n = [rows], [n]
+        return len(self.keys) + len(rows)
+
+    def key_rows(self, part: slice = slice(None)) -> np.ndarray:
+        """The words of the counted keys."""
+        out, mask = np.zeros((len(self.keys[part]), LONGEST), np.int32), (1 << NUMBER_BITS) - 1
+        for k in range(3):
+            out[:, k] = self.keys[part] >> NUMBER_BITS * (2 - k) & mask
+        return out
+
+    def mark(self, used: np.ndarray) -> None:
+        """Marks the words of counted suffixes."""
+        used[np.flatnonzero(self.ones)] = True
+        for k in range(3):
+            used[self.keys >> NUMBER_BITS * k & ((1 << NUMBER_BITS) - 1)] = True
+        used[self.rows[0]] = True
+
+    def renumber(self, anew: np.ndarray, size: int) -> None:
+        """Words get other numbers of the same order."""
+        ones, some = np.zeros(size, np.int64), np.flatnonzero(self.ones)
+        ones[anew[some]] = self.ones[some]
+        keys, mask = np.zeros_like(self.keys), (1 << NUMBER_BITS) - 1
+        for k in (2, 1, 0):
+            keys = keys << NUMBER_BITS | anew[self.keys >> NUMBER_BITS * k & mask]
+        self.ones, self.keys, self.rows = ones, keys, [anew[self.rows[0]]]
+
+    def counted(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All distinct suffixes, size at a time, and how often each."""
+        self.count()
+        some = np.flatnonzero(self.ones)
+        for at in range(0, len(some), size):
+            rows = np.zeros((len(some[at : at + size]), LONGEST), np.int32)
+            rows[:, 0] = some[at : at + size]
+            yield rows, self.ones[some[at : at + size]]
+        for at in range(0, len(self.keys), size):
+            yield self.key_rows(slice(at, at + size)), self.n[at : at + size]
+        for at in range(0, len(self.rows[0]), size):
+            yield self.rows[0][at : at + size], self.rows_n[0][at : at + size]
 
 
 def count_all(found: dict[str, Suffixes], known: Vocabulary) -> tuple[Vocabulary, int]:
-    """Counts equal suffixes and numbers anew the words that are in one. Gives these words and the number of rows that are held."""
+    """Counts equal suffixes and numbers anew the words that are in one. Gives these words and the number of keys and rows that are held."""
     used = np.zeros(len(known), bool)
     used[0] = True
+    held = 0
     for suffixes in found.values():
-        used[suffixes.count()[0]] = True
-    anew = (np.cumsum(used) - 1).astype(np.int32)
+        held += suffixes.count()
+        suffixes.mark(used)
+    anew, numbers = (np.cumsum(used) - 1).astype(np.int32), np.flatnonzero(used)
     for suffixes in found.values():
-        suffixes.rows = [anew[suffixes.rows[0]]]
-    return known.part(np.flatnonzero(used)), sum(len(suffixes.rows[0]) for suffixes in found.values())
+        suffixes.renumber(anew, len(numbers))
+    give_back()
+    return known.part(numbers), held
 
 
 def leaves(docs: DataFrame, table_bits: Broadcast, bits: int = SLOT_BITS) -> DataFrame:
@@ -242,12 +408,10 @@ def leaves(docs: DataFrame, table_bits: Broadcast, bits: int = SLOT_BITS) -> Dat
     def batches_of(found: dict[str, Suffixes], known: Vocabulary) -> Iterator[pa.RecordBatch]:
         names = np.array(["", *(w.decode() for w in list(known)[1:])], object)
         for lang, suffixes in found.items():
-            rows, n = suffixes.count()
-            for at in range(0, len(rows), 50_000):
-                some = rows[at : at + 50_000]
-                ends = np.concatenate([[0], np.cumsum((some > 0).sum(axis=1))])
-                words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names[some[some > 0]], pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), words, pa.array(n[at : at + 50_000], pa.int64())], schema=LEAF)
+            for rows, n in suffixes.counted(50_000):
+                ends = np.concatenate([[0], np.cumsum((rows > 0).sum(axis=1))])
+                words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names[rows[rows > 0]], pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), words, pa.array(n, pa.int64())], schema=LEAF)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, found, held = Vocabulary(), {}, 0

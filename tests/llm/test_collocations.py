@@ -158,3 +158,65 @@ def test_sums_of_equal_rows_of_many_bits():
         want[tuple(row)] += w
     assert [tuple(r) for r in got.tolist()] == sorted(want) and n.tolist() == [want[k] for k in sorted(want)]
     assert [len(x) for x in co.equal_rows(np.zeros((0, 5), np.int32))] == [0, 0]
+
+
+def test_prefix_table_fills_with_frequent_phrases_not_with_the_corpus(spark):
+    """Hundreds of rare prefixes for each bit, found more often in all than a frequent phrase."""
+    rng = random.Random(5)
+    rows = [(" ".join(f"r{rng.randrange(10**9)}" for _ in range(200)) + ". the cat sat on it", "en") for _ in range(150)]
+    bits = 10
+    found = co.frequent_slots(frame(spark, rows).repartition(4), 100, bits)
+    assert 0 < np.unpackbits(found).sum() <= 2 * 15  # two for each phrase of "the cat sat on it"
+    sent = spark.sparkContext.broadcast(found)
+    leaves = co.leaves(frame(spark, rows).coalesce(1), sent, bits).collect()
+    assert len(leaves) < 500 and sum(r.n for r in leaves) == 150 * 205  # each of 30,000 words began a leaf where all passed
+    assert sum(r.n for r in leaves if r.words == ["the", "cat", "sat", "on", "it"]) == 150
+
+
+@pytest.mark.parametrize(("min_count", "held"), [(8, 37), (300, 64), (300, 1000)])
+def test_prefix_table_has_all_frequent_prefixes(spark, monkeypatch, small_batches, min_count, held):
+    """However few hashes a task holds; counts of 256 and more take four bytes."""
+    monkeypatch.setattr(co, "HELD", held)
+    rows, bits = texts(held), 14
+    table = co.frequent_slots(frame(spark, rows).repartition(3), min_count, bits)
+    counts = Counter()
+    for text, lang in rows:
+        for _, found in co.prefix_hashes(co.hashed([(text or "").encode()]), lang or "und"):
+            counts.update(found.tolist())
+    frequent = {h for h, n in counts.items() if n >= min_count}
+    passed = {h for h in counts if co.let_through(np.array([h], np.uint64), table, bits)[0]}
+    assert frequent and frequent <= passed and len(passed) < len(frequent) + len(counts) // 5
+
+
+def test_hashes_of_words_as_the_vocabulary_has_them():
+    some = [t.encode() for t, _ in texts(2) if t] + [b"x" * n + b" x" for n in (7, 8, 9, 63, 64, 65, 300)] + [b"a\x00 a \x00a", b"", b" . "]
+    known = co.Vocabulary()
+    words = known.read(some)
+    inside = (words > 0) | (np.concatenate([[1], words[:-1]]) > 0)  # one 0 between pieces
+    assert np.array_equal(np.trim_zeros(co.hashed(some)), np.trim_zeros(known.hashes[words[inside]]))
+    assert len(set(known.hashes.tolist())) == len(known) and len(co.hashed([])) == len(co.hashed([b"", b" ."])) == 0
+
+
+@pytest.mark.parametrize("number_bits", [co.NUMBER_BITS, 3])
+def test_suffixes_by_key_and_by_row(monkeypatch, number_bits):
+    """Equal however often they are counted and numbered anew, also with more words than a key takes."""
+    monkeypatch.setattr(co, "NUMBER_BITS", number_bits)
+    some, seen = [t.encode() for t, _ in texts(3, 60) if t], []
+    for every in (5, 1000):
+        known, found, totals = co.Vocabulary(), {"en": co.Suffixes()}, Counter()
+        for i, text in enumerate(some):
+            found["en"].add(known.read([text]), known, "en", np.full(1 << 5, 255, np.uint8), 8)
+            if i % every == every - 1:
+                known, held = co.count_all(found, known)
+                assert held == len(found["en"].keys) + len(found["en"].rows[0])
+        names = list(known)
+        for rows, n in found["en"].counted(7):
+            for row, times in zip(rows.tolist(), n.tolist(), strict=True):
+                totals[b" ".join(names[w] for w in row if w)] += times
+        seen.append(totals)
+    want = Counter()
+    for text in some:
+        for piece in re.split(rb"[.,;:!?\n-\r]", text.lower()):
+            w = piece.split()
+            want.update(b" ".join(w[i : i + co.LONGEST]) for i in range(len(w)))
+    assert seen == [want, want]
